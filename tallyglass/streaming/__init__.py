@@ -1,0 +1,3 @@
+"""No streaming operators: the operator inventory contains no stream source,
+state or event-time logic.  A fitted recipe (``plans.recipe.fit_recipe``) is a
+plain projection, so it may be applied to a streaming DataFrame as it is."""
