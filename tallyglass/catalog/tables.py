@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..functions.store import scratch
 from ..operators import relational as rel
 from ..sources import metadata, reports, tables as src
 from .registry import query, rounded
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder for written tables, in the shared folder the cluster names."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base.rstrip('/')}/tallyglass-{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return tempfile.mkdtemp(prefix=f"tallyglass-{name}-")
-
-
 # Events with missing values where the value is small: the same view on both engines.
 def holed(t):
     return t.events.select("event_id", "ts", "user_id", F.expr("CASE WHEN value < 5 THEN NULL ELSE event_type END").alias("event_type"),

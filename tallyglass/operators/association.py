@@ -13,6 +13,7 @@ from ..functions.exprs import collect_stats, columns_of, num, q, ratio, records,
 from ..functions.keyed import attach
 from ..functions.ordered import average_ranks, isolate, with_range
 from ..functions.quantiles import quantiles
+from ..functions.store import materialise
 
 # fixed values: association settings
 CRAMER_LEVELS = (2, 80)
@@ -127,8 +128,8 @@ def kendall(df: DataFrame, cols=None, block_rows: int = KENDALL_BLOCK_ROWS) -> D
     spark = df.sparkSession
     out = []
     for a, b in _pairs(cols):
-        cells = (df.select(num(df, a).alias("x"), num(df, b).alias("y")).dropna()
-                 .groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
+        cells = materialise(df.select(num(df, a).alias("x"), num(df, b).alias("y")).dropna()
+                            .groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")), "cells")
         size, n_cells = cells.agg(F.sum("w"), F.count(F.lit(1))).first()
         if not size or size < 2:
             out.append((a, b, int(size or 0), None))
