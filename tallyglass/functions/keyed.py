@@ -22,16 +22,19 @@ def key_count(df: DataFrame, keys: list[str]) -> int:
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner",
-           broadcast_keys: int | None = None) -> DataFrame:
+           broadcast_keys: int | None = None, n_keys: int | None = None) -> DataFrame:
     """Null-safe join of ``df`` with per-key ``stats`` (one row per key of ``df``).
 
     Few keys (checked): broadcast.  Many keys: keys holding more than 1/256 of the
     rows are at most 256, so they are joined by broadcast; the others, all small,
-    by a shuffle join."""
+    by a shuffle join.
+
+    ``n_keys``: the number of keys when the caller has counted them already.
+    """
     limit = BROADCAST_KEYS if broadcast_keys is None else broadcast_keys
     side = stats.select(*[q(k).alias("_k_" + k) for k in keys], *[q(c) for c in stats.columns if c not in keys])
     drop = ["_k_" + k for k in keys]
-    if key_count(df, keys) <= limit:
+    if (key_count(df, keys) if n_keys is None else n_keys) <= limit:
         return df.join(F.broadcast(side), _on(df, side, keys), how).drop(*drop)
     total = df.count()
     hot = (df.groupBy(*[q(k).alias("_k_" + k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))

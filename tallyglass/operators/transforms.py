@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import kind, num, q
-from ..functions.keyed import attach, frequency
+from ..functions.keyed import attach, frequency, key_count
 from ..functions.ordered import average_ranks
 from ..functions.sequences import fill
 from . import association
@@ -102,11 +102,11 @@ def _one_hot(df, c, p):
     return df.select(*rest, *[F.coalesce(q(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}") for v in shown])
 
 
-def level_codes(df: DataFrame, c: str, sort_levels: int = SORT_LEVELS) -> DataFrame:
+def level_codes(df: DataFrame, c: str, sort_levels: int = SORT_LEVELS, n: int | None = None) -> DataFrame:
     """(value, code): rank of each distinct value among the sorted values.  Many values are sorted in
     ranges between boundary values taken from a sample of the values."""
     levels = df.filter(q(c).isNotNull()).select(q(c)).distinct()
-    n = df.agg(F.approx_count_distinct(q(c), 0.02)).first()[0]
+    n = key_count(df, [c]) if n is None else n
     ranges = -(-n // sort_levels)
     if ranges <= 1:
         cut = levels.withColumn("_range", F.lit(0))
@@ -127,7 +127,8 @@ def level_codes(df: DataFrame, c: str, sort_levels: int = SORT_LEVELS) -> DataFr
 
 def _label(df, c, p):
     out = p.get("out", f"{c}_le")
-    return attach(df, level_codes(df, c), [c], how="left").withColumn(out, F.coalesce("code", F.lit(-1).cast("long"))).drop("code")
+    n = key_count(df, [c])
+    return attach(df, level_codes(df, c, n=n), [c], how="left", n_keys=n).withColumn(out, F.coalesce("code", F.lit(-1).cast("long"))).drop("code")
 
 
 def _freq(df, c, p):
