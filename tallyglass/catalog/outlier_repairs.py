@@ -175,16 +175,17 @@ def _(t):
     return rounded(rem.transform(holed(t), "value", "zscore")[0].select("event_id", "value_zscore"))
 
 
-def _grid(table, family, jacobian, rounds=3):
-    """The same three-pass likelihood grid in SQL (41 points per pass, range -2..2)."""
-    parts, prev = [], None
+def _grid(table, family, jacobian, rounds=4, points=15):
+    """The same likelihood grid search in SQL (15 points per pass, range -2..2); the last best is ``best``."""
+    parts, step = [], 4.0 / (points - 1)
     for k in range(rounds):
-        base = "SELECT -2.0 + range * 0.1 AS g FROM range(41)" if k == 0 else (
-            f"SELECT (SELECT best FROM b{k - 1}) + (range - 20) * {0.1 / 20 ** k!r} AS g FROM range(41)")
+        base = f"SELECT -2.0 + range * {step!r} AS g FROM range({points})" if k == 0 else (
+            f"SELECT (SELECT best FROM b{k - 1}) + (range - {points // 2}) * {step!r} AS g FROM range({points})")
         parts.append(f"""g{k} AS (SELECT CASE WHEN abs(g) < 1e-12 THEN 0.0 ELSE CAST(g AS DOUBLE) END AS g FROM ({base})),
  l{k} AS (SELECT g, -0.5 * count(x) * ln(var_pop({family})) + (g - 1) * sum({jacobian}) AS ll FROM {table}, g{k} GROUP BY g),
  b{k} AS (SELECT arg_max(g, ll) AS best FROM l{k})""")
-    return ", ".join(parts)
+        step = 2 * step / (points - 1)
+    return ", ".join(parts) + f", bl AS (SELECT best FROM b{rounds - 1})"
 
 
 _BOXCOX = "CASE WHEN g = 0 THEN ln(x) ELSE (power(x, g) - 1) / CASE WHEN g = 0 THEN 1 ELSE g END END"
@@ -192,7 +193,7 @@ _BOXCOX = "CASE WHEN g = 0 THEN ln(x) ELSE (power(x, g) - 1) / CASE WHEN g = 0 T
 
 @query("rem_boxcox", f"""WITH d AS (SELECT event_id, value, value + (SELECT CASE WHEN min(value) <= 0 THEN 1 - min(value) ELSE 0 END FROM events) AS x FROM events),
  {_grid('d', _BOXCOX, 'ln(x)')}
- SELECT event_id, round((SELECT best FROM b2), 6) AS lambda, round((power(x, best) - 1) / best, 5) AS value_boxcox FROM d, b2""")
+ SELECT event_id, round((SELECT best FROM bl), 6) AS lambda, round((power(x, best) - 1) / best, 5) AS value_boxcox FROM d, bl""")
 def _(t):
     got, fit = rem.transform(t.events, "value", "boxcox")
     return rounded(got.select("event_id", F.lit(fit["lambda"]).alias("lambda"), "value_boxcox"), 5, **{"lambda": 6})

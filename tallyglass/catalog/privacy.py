@@ -34,7 +34,7 @@ def contacts(t):
 
 _SCAN = f"""c AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey, {_CONTACT} AS contact FROM customer),
  v AS ({_values('c', 'contact')} UNION ALL {_values('c', 'c_name')} UNION ALL {_values('c', 'c_mktsegment')}),
- f AS (SELECT "column", string_agg(pii_type, ',') AS types, sum(n_matches) AS m, max(n_values) AS n FROM (SELECT *, row_number() OVER () AS i FROM v) WHERE n_matches > 0 GROUP BY 1),
+ f AS (SELECT "column", string_agg(pii_type, ',' ORDER BY list_position([{", ".join(repr(k) for k in pii.PATTERNS)}], pii_type)) AS types, sum(n_matches) AS m, max(n_values) AS n FROM v WHERE n_matches > 0 GROUP BY 1),
  names("column", types) AS (VALUES ('c_name', 'NAME')),
  s AS (SELECT coalesce(f."column", names."column") AS "column", concat_ws(',', names.types, f.types) AS pii_types,
   greatest(CASE WHEN names.types IS NULL THEN 0 ELSE 0.7 END, coalesce(least(m * 1.0 / n, 0.95), 0)) AS confidence, CAST(coalesce(m, 0) AS BIGINT) AS match_count,

@@ -13,12 +13,12 @@ from .registry import query, rounded
 
 # Numeric columns of different shapes, one per rule.
 _SHAPED = """d AS (SELECT event_id, value, value * value * value AS cubed, CAST(user_id AS DOUBLE) AS user_id, CASE WHEN value > 90 THEN 200 + value ELSE 100 + user_id / 20.0 END AS burst,
- value - 30 AS shifted FROM events)"""
+ value * 1.5 - 30 AS shifted FROM events)"""
 
 
 def shaped(t):
     return t.events.selectExpr("event_id", "value", "value * value * value AS cubed", "double(user_id) AS user_id",
-                               "CASE WHEN value > 90 THEN 200 + value ELSE 100 + user_id / 20.0D END AS burst", "value - 30 AS shifted")
+                               "CASE WHEN value > 90 THEN 200 + value ELSE 100 + user_id / 20.0D END AS burst", "value * 1.5D - 30 AS shifted")
 
 
 _NUM = ["event_id", "value", "cubed", "user_id", "burst", "shifted"]

@@ -113,7 +113,7 @@ _simple("tf_mask", "mask", """SELECT doc_id, concat(substr(text, 1, length(text)
         table=lambda t: t.documents, key="doc_id", col="text")
 _YEO = "CASE WHEN g = 0 THEN ln(1 + x) ELSE (power(x + 1, g) - 1) / CASE WHEN g = 0 THEN 1 ELSE g END END"
 _simple("tf_power", "power_transform", f"""WITH d AS (SELECT event_id, value AS x FROM events), {_grid('d', _YEO, 'ln(1 + x)')},
- y AS (SELECT event_id, (power(x + 1, best) - 1) / best AS y FROM d, b2) SELECT event_id, round((y - (SELECT avg(y) FROM y)) / (SELECT stddev_pop(y) FROM y), 5) AS value_power FROM y""",
+ y AS (SELECT event_id, (power(x + 1, best) - 1) / best AS y FROM d, bl) SELECT event_id, round((y - (SELECT avg(y) FROM y)) / (SELECT stddev_pop(y) FROM y), 5) AS value_power FROM y""",
         decimals=5, table=lambda t: t.events)
 
 

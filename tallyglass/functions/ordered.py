@@ -71,10 +71,10 @@ def running_totals(freq: DataFrame, value: str, sums: list[str], group: list[str
     return joined.drop("range_id", *[f"_o_{c}" for c in sums])
 
 
-def average_ranks(df: DataFrame, value: str) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, rows: int | None = None) -> DataFrame:
     """(value, n, rank) with tied values sharing their mean rank; nulls left out."""
     freq = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    cum = running_totals(freq, value, ["n"], rows=df.count())
+    cum = running_totals(freq, value, ["n"], rows=df.count() if rows is None else rows)
     return cum.select(value, "n", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 

@@ -57,17 +57,20 @@ def spearman(df: DataFrame, cols=None) -> DataFrame:
     with nulls every pair is ranked over its complete rows."""
     cols = resolve(df, cols, "numeric")
     x = df.select(*[num(df, c).alias(c) for c in cols])
-    seen = collect_stats(x, {"n": F.count(F.lit(1)), **{("c", c): F.count(q(c)) for c in cols}})
+    seen = collect_stats(x, {"n": F.count(F.lit(1)), **{("c", c): F.count(q(c)) for c in cols},
+                             **{("k", c): F.approx_count_distinct(q(c), 0.02) for c in cols}})
+    keys = {c: seen["k", c] for c in cols}
     if all(seen["c", c] == seen["n"] for c in cols):
-        return _rank_correlation(x, cols)
-    return reduce(DataFrame.unionByName, [_rank_correlation(x.select(q(a), q(b)).dropna(), [a, b]) for a, b in _pairs(cols)])
+        return _rank_correlation(x, cols, seen["n"], keys)
+    return reduce(DataFrame.unionByName, [_rank_correlation(x.select(q(a), q(b)).dropna(), [a, b], seen["n"], keys) for a, b in _pairs(cols)])
 
 
-def _rank_correlation(x: DataFrame, cols: list[str]) -> DataFrame:
+def _rank_correlation(x: DataFrame, cols: list[str], rows: int, keys: dict[str, int]) -> DataFrame:
+    ranked = x
     for c in cols:
-        ranks = average_ranks(x.select(q(c)), c).select(c, F.col("rank").alias(f"_rank_{c}"))
-        x = attach(x, ranks, [c])
-    return _pair_rows(x, _pairs(cols), {c: q(f"_rank_{c}") for c in cols})
+        ranks = average_ranks(x.select(q(c)), c, rows).select(c, F.col("rank").alias(f"_rank_{c}"))
+        ranked = attach(ranked, ranks, [c], n_keys=keys[c])
+    return _pair_rows(ranked, _pairs(cols), {c: q(f"_rank_{c}") for c in cols})
 
 
 def _inversions(key, x_order, w):

@@ -156,9 +156,9 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, up).when(x < 0, down)
 
 
-def best_lambda(df: DataFrame, x: Column, family, log_jacobian: Column, passes: int = 3, points: int = 41) -> float:
+def best_lambda(df: DataFrame, x: Column, family, log_jacobian: Column, passes: int = 4, points: int = 15) -> float:
     """Maximum-likelihood power: the profile likelihood of a whole grid is one aggregate, and each
-    further pass refines around the best point (final step 0.1 * 2 / 40^(passes-1) of the range)."""
+    further pass searches one step to either side of the best point (final step below 0.001)."""
     lo, hi = LAMBDA_RANGE
     best = 1.0
     for _ in range(passes):

@@ -203,15 +203,15 @@ def acf(df: DataFrame, time: str, value: str, lags: int = MAX_LAGS, series_key:
         "series", "n", "d", "_own", *[F.lag("d", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)]).filter("_own")
     sums = wide.groupBy("series", "n").agg(F.sum(F.col("d") * F.col("d")).alias("_c0"), *[
         F.coalesce(F.sum(F.col("d") * F.col(f"_l{k}")), F.lit(0.0)).alias(f"_c{k}") for k in range(1, lags + 1)])
-    r = [ratio(F.col(f"_c{k}"), F.col("_c0")) for k in range(lags + 1)]
-    cells, spread = [], F.lit(0.0)
-    for k in range(lags + 1):
-        var = F.lit(0.0) if k == 0 else (F.lit(1.0) + 2 * spread) / F.col("n")
-        half = F.lit(NORMAL_95) * F.sqrt(var)
-        cells.append(F.struct(F.lit(k).alias("lag"), r[k].alias("acf"), (r[k] - half).alias("lower"), (r[k] + half).alias("upper")))
-        if k:
-            spread = spread + r[k] * r[k]
-    out = sums.select("series", "n", F.inline(F.array(*cells))).filter(F.col("lag") <= F.least(F.lit(lags), F.col("n") - 1))
+    cells = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_c{k}").alias("_c")) for k in range(lags + 1)])
+    rows = sums.select("series", "n", "_c0", F.inline(cells)).filter(F.col("lag") <= F.least(F.lit(lags), F.col("n") - 1)).select(
+        "series", "n", "lag", ratio(F.col("_c"), F.col("_c0")).alias("acf"))
+    # Bartlett: the variance at a lag grows with the squares of the lags before it (at most ``lags`` rows per series)
+    before = Window.partitionBy("series").orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
+    spread = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf"))).over(before), F.lit(0.0))
+    half = F.lit(NORMAL_95) * F.sqrt(F.when(F.col("lag") == 0, F.lit(0.0)).otherwise((1 + 2 * spread) / F.col("n")))
+    out = rows.withColumn("_h", half).select("series", "n", "lag", "acf", (F.col("acf") - F.col("_h")).alias("lower"),
+                                             (F.col("acf") + F.col("_h")).alias("upper"))
     return out if series_key else out.drop("series")
 
 
