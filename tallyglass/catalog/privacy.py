@@ -37,7 +37,7 @@ _SCAN = f"""c AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey, {_CONTACT
  f AS (SELECT "column", string_agg(pii_type, ',' ORDER BY list_position([{", ".join(repr(k) for k in pii.PATTERNS)}], pii_type)) AS types, sum(n_matches) AS m, max(n_values) AS n FROM v WHERE n_matches > 0 GROUP BY 1),
  names("column", types) AS (VALUES ('c_name', 'NAME')),
  s AS (SELECT coalesce(f."column", names."column") AS "column", concat_ws(',', names.types, f.types) AS pii_types,
-  greatest(CASE WHEN names.types IS NULL THEN 0 ELSE 0.7 END, coalesce(least(m * 1.0 / n, 0.95), 0)) AS confidence, CAST(coalesce(m, 0) AS BIGINT) AS match_count,
+  greatest(CASE WHEN names.types IS NULL THEN 0 ELSE 0.7 END, coalesce(least(coalesce(m * 1.0 / n, 0), 0.95), 0)) AS confidence, CAST(coalesce(m, 0) AS BIGINT) AS match_count,
   concat_ws(',', CASE WHEN names.types IS NOT NULL THEN 'column_name' END, CASE WHEN f.types IS NOT NULL THEN 'pattern_match' END) AS methods
   FROM f FULL JOIN names ON f."column" = names."column")"""
 

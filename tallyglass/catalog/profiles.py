@@ -165,22 +165,22 @@ def _(t):
     return prof.value_counts_by(t.part, "p_brand", "p_type")
 
 
-_HIST = """WITH r AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 30 AS w FROM events),
- b AS (SELECT CAST(least(floor((value - lo) / w), 29) AS INTEGER) AS bin, event_type FROM events, r)"""
+_HIST = _EV + """, r AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 30 AS w FROM e),
+ b AS (SELECT CAST(least(floor((value - lo) / w), 29) AS INTEGER) AS bin, event_type FROM e, r WHERE value IS NOT NULL)"""
 
 
 @query("prof_histogram", _HIST + """, c AS (SELECT CAST(range AS INTEGER) AS bin FROM range(30)), n AS (SELECT bin, count(*) AS n FROM b GROUP BY 1)
  SELECT c.bin, round(lo + c.bin * w, 6) AS lo, round(lo + c.bin * w + w, 6) AS hi, coalesce(n, 0) AS n,
- round(coalesce(n, 0) / ((SELECT count(*) FROM events) * w), 9) AS density FROM c LEFT JOIN n ON c.bin = n.bin, r""")
+ round(coalesce(n, 0) / ((SELECT count(value) FROM e) * w), 9) AS density FROM c LEFT JOIN n ON c.bin = n.bin, r""")
 def _(t):
-    return rounded(prof.histogram(t.events, "value"), 6, density=9)
+    return rounded(prof.histogram(holed(t), "value"), 6, density=9)
 
 
-@query("prof_histogram_by", _HIST + """, s AS (SELECT event_type, count(*) AS size FROM events GROUP BY 1)
+@query("prof_histogram_by", _HIST + """, s AS (SELECT event_type, count(value) AS size FROM e GROUP BY 1)
  SELECT event_type AS "by", bin, round(lo + bin * w, 6) AS lo, round(lo + bin * w + w, 6) AS hi, count(*) AS n,
  round(count(*) / (any_value(size) * any_value(w)), 9) AS density FROM b JOIN s USING (event_type), r GROUP BY event_type, bin, lo, w""")
 def _(t):
-    return rounded(prof.histogram(t.events, "value", by="event_type"), 6, density=9)
+    return rounded(prof.histogram(holed(t), "value", by="event_type"), 6, density=9)
 
 
 def _box(col, table, group=""):

@@ -42,7 +42,7 @@ def _pair_rows(df: DataFrame, pairs, x) -> DataFrame:
         xa, xb = F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])
         r = ratio(F.covar_pop(x[a], x[b]), F.stddev_pop(xa) * F.stddev_pop(xb))
         rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.count(xa).alias("n"),
-                             F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r")))
+                             F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r")))
     return tidy(df, rows)
 
 

@@ -73,7 +73,7 @@ def pii_scan(df: DataFrame, names: bool = True, whole_word: bool = False) -> Dat
     t = found.join(named, "column", "full_outer")
     none = F.array().cast("array<string>")
     a, b = F.coalesce("name_types", none), F.coalesce("value_types", none)
-    share = F.least(F.try_divide(F.col("match_count"), F.col("n_values")), F.lit(MAX_VALUE_CONFIDENCE))
+    share = F.least(F.coalesce(F.try_divide(F.col("match_count"), F.col("n_values")), F.lit(0.0)), F.lit(MAX_VALUE_CONFIDENCE))
     return t.select(
         "column", F.concat_ws(",", F.array_union(a, b)).alias("pii_types"),
         F.greatest(F.when(F.size(a) > 0, F.lit(NAME_CONFIDENCE)).otherwise(F.lit(0.0)), F.coalesce(share, F.lit(0.0))).alias("confidence"),

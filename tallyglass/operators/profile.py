@@ -237,7 +237,7 @@ def bin_index(x: Column, lo: float, hi: float, bins: int) -> Column:
     """Left-closed equal-width bin number; the last bin is closed on both sides."""
     if hi == lo:
         return F.when(x.isNotNull(), F.lit(0))
-    return F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)).cast("int"), F.lit(bins - 1))
+    return F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)).cast("int"), F.lit(bins - 1)))
 
 
 def histogram(df: DataFrame, col: str, bins: int = HISTOGRAM_BINS, by: str | None = None) -> DataFrame:

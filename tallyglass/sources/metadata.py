@@ -84,8 +84,6 @@ def detect_relationships(tables: dict[str, DataFrame], key_suffix: str | None =
                 for p in cols[parent]:
                     if parent == child or stem(p) != stem(c) or p not in unique.get(parent, ()):
                         continue
-                    if c in unique.get(child, ()) and (parent, p) > (child, c):
-                        continue  # one-to-one pairs are tested in one direction first
                     keys = tables[parent].select(q(p).cast("string").alias("k"))
                     orphans = (df.select(q(c).cast("string").alias("k")).filter(F.col("k").isNotNull()).distinct()
                                .join(keys, "k", "left_anti").agg(F.count(F.lit(1)).alias("n_orphans")))
@@ -95,4 +93,10 @@ def detect_relationships(tables: dict[str, DataFrame], key_suffix: str | None =
     schema = "parent_table string, parent_column string, child_table string, child_column string, n_orphans bigint"
     if not checks:
         return records(spark, [], schema)
-    return reduce(DataFrame.unionByName, checks).filter("n_orphans = 0").drop("n_orphans")
+    found = reduce(DataFrame.unionByName, checks).filter("n_orphans = 0").drop("n_orphans")
+    # two equal unique columns include each other: keep one direction (the table is as small as the schema)
+    back = found.select(F.col("parent_table").alias("_ct"), F.col("parent_column").alias("_cc"),
+                        F.col("child_table").alias("_pt"), F.col("child_column").alias("_pc"))
+    mirrored = ((F.col("parent_table") == F.col("_pt")) & (F.col("parent_column") == F.col("_pc")) & (F.col("child_table") == F.col("_ct"))
+                & (F.col("child_column") == F.col("_cc")) & (F.struct("parent_table", "parent_column") > F.struct("child_table", "child_column")))
+    return found.join(back, mirrored, "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.exprs import columns_of, finite, q
@@ -82,8 +84,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", decimals: int |
     """Overwrite ``path``; ``decimals`` fixes the number of decimals of floating-point columns."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt}")
-    here = [p.rstrip("/").removeprefix("file:").replace("//", "/") for p in df.inputFiles()]
-    target = path.rstrip("/").removeprefix("file:")
+    plain = lambda p: re.sub("/+", "/", p.removeprefix("file:")).rstrip("/")
+    here, target = [plain(p) for p in df.inputFiles()], plain(path)
     if any(p == target or p.startswith(target + "/") for p in here):
         raise ValueError("refusing to overwrite an input of the same job")
     if decimals is not None:
