@@ -167,7 +167,7 @@ def _(t):
  SELECT model, round(abs(s), 6) AS score FROM m ORDER BY abs(s) LIMIT 1""")
 def _(t):
     a, b = halves(t)
-    row = lambda name, c: a.agg(F.avg(c).alias("x")).crossJoin(b.agg(F.avg(c).alias("y"))).select(  # noqa: E731 - one row each
+    row = lambda name, c: a.agg(F.avg(c).alias("x"), F.lit(1).alias("k")).join(b.agg(F.avg(c).alias("y"), F.lit(1).alias("k")), "k").select(
         F.lit(name).alias("model"), F.lit("success").alias("status"), F.abs(F.col("y") / F.col("x") - 1).alias("ks"),
         *[F.lit(None).cast("double").alias(m) for m in ("js", "wasserstein", "mmd")])
     failed = records(t.spark, [("broken", "failed:ValueError", 0.0, 0.0, 0.0, 0.0)], "model string, status string, ks double, js double, wasserstein double, mmd double")

@@ -104,5 +104,19 @@ def records(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def row_total(df: DataFrame) -> int:
-    return df.count()
+SMALL_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs (planner's size estimate below 1 GiB) over all cores, ahead of work that is heavy per row.
+    Larger inputs come in many splits already and are left where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < SMALL_BYTES else df
+
+
+def cells(df: DataFrame, values: dict[str, Column], *extra) -> DataFrame:
+    """Long form (column, value): the expressions are evaluated once, before the rows are multiplied."""
+    names = list(values)
+    flat = spread(df.select(*[values[c].alias(f"_v{i}") for i, c in enumerate(names)]))
+    return flat.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_v{i}").alias("value")) for i, c in enumerate(names)])))

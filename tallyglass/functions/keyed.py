@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .exprs import q
+from .exprs import cells, q
 
-BROADCAST_KEYS = 200_000
+BROADCAST_BYTES = 64 << 20
+ROW_OVERHEAD = 48
 HOT_SHARE = 256
+SALTS = 1_024
 
 
 def _on(left: DataFrame, right: DataFrame, keys: list[str]):
@@ -21,39 +23,57 @@ def key_count(df: DataFrame, keys: list[str]) -> int:
     return df.agg(F.approx_count_distinct(F.struct(*[q(k) for k in keys]), 0.02)).first()[0]
 
 
+def side_bytes(df: DataFrame, side: DataFrame, keys: list[str], n_keys: int | None) -> float:
+    """Upper estimate of the size of the per-key side: key count times the longest key and a fixed
+    width per payload column.  Numeric keys with a known count need no scan."""
+    texts = [k for k in keys if not isinstance(df.schema[k].dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+    longest = 0
+    if n_keys is None or texts:
+        size = reduce(lambda a, b: a + b, [F.coalesce(F.length(q(k).cast("string")), F.lit(0)) for k in texts], F.lit(0))
+        n, longest = df.agg(F.approx_count_distinct(F.struct(*[q(k) for k in keys]), 0.02), F.max(size)).first()
+        n_keys = max(n, n_keys or 0)
+    return 1.1 * n_keys * (ROW_OVERHEAD + 4 * (longest or 0) + 16 * len(side.columns))
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner",
-           broadcast_keys: int | None = None, n_keys: int | None = None) -> DataFrame:
+           broadcast_bytes: int | None = None, n_keys: int | None = None) -> DataFrame:
     """Null-safe join of ``df`` with per-key ``stats`` (one row per key of ``df``).
 
-    Few keys (checked): broadcast.  Many keys: keys holding more than 1/256 of the
-    rows are at most 256, so they are joined by broadcast; the others, all small,
-    by a shuffle join.
+    A small side (its size is checked) is broadcast.  Otherwise both sides shuffle once; keys holding more
+    than 1/256 of the rows, at most 256 of them, get their stats from a broadcast of those few rows
+    and travel under a salt, so no task receives a hot key whole.
 
     ``n_keys``: the number of keys when the caller has counted them already.
     """
-    limit = BROADCAST_KEYS if broadcast_keys is None else broadcast_keys
-    side = stats.select(*[q(k).alias("_k_" + k) for k in keys], *[q(c) for c in stats.columns if c not in keys])
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    payload = [c for c in stats.columns if c not in keys]
+    side = stats.select(*[q(k).alias("_k_" + k) for k in keys], *[q(c) for c in payload])
     drop = ["_k_" + k for k in keys]
-    if (key_count(df, keys) if n_keys is None else n_keys) <= limit:
+    if side_bytes(df, side, keys, n_keys) <= limit:
         return df.join(F.broadcast(side), _on(df, side, keys), how).drop(*drop)
     total = df.count()
     hot = (df.groupBy(*[q(k).alias("_k_" + k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") * HOT_SHARE > total).drop("_n"))
+    if not hot.limit(1).count():
+        return df.join(side, _on(df, side, keys), how).drop(*drop)
     same = reduce(lambda a, b: a & b, [side[c].eqNullSafe(hot[c]) for c in drop])
-    hot_side = side.join(F.broadcast(hot), same, "left_semi")
-    heavy = df.join(F.broadcast(hot), _on(df, hot, keys), "left_semi")
-    light = df.join(F.broadcast(hot), _on(df, hot, keys), "left_anti")
-    heavy = heavy.join(F.broadcast(hot_side), _on(heavy, hot_side, keys), how).drop(*drop)
-    light = light.join(side, _on(light, side, keys), how).drop(*drop)
-    return heavy.unionByName(light)
+    few = side.join(F.broadcast(hot), same, "left_semi").select(
+        *[F.col(c).alias("_h" + c) for c in drop], F.lit(True).alias("_hot"), *[q(c).alias("_h_" + c) for c in payload])
+    wide = df.join(F.broadcast(few), reduce(lambda a, b: a & b, [q(k).eqNullSafe(F.col("_h_k_" + k)) for k in keys]), "left")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[q(c) for c in df.columns]), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long"))
+    wide = wide.withColumn("_salt", salt)
+    side = side.withColumn("_side_salt", F.lit(0).cast("long"))
+    on = _on(wide, side, keys) & (F.col("_salt") == F.col("_side_salt"))
+    joined = wide.join(side, on, "left").withColumn("_hit", F.col("_hot") | F.col("_side_salt").isNotNull())
+    if how == "inner":
+        joined = joined.filter("_hit")
+    return joined.select(*[q(c) for c in df.columns], *[F.when(F.col("_hot"), F.col(f"`_h_{c}`")).otherwise(q(c)).alias(c) for c in payload])
 
 
 def frequency(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias(name))
 
 
-def long_counts(df: DataFrame, cols: dict[str, "F.Column"], *extra) -> DataFrame:
+def long_counts(df: DataFrame, cols: dict) -> DataFrame:
     """(column, value, n) of all columns in one shuffle with map-side combining."""
-    cells = F.array(*[F.struct(F.lit(name).alias("column"), expr.alias("value")) for name, expr in cols.items()])
-    return (df.select(F.explode(cells).alias("cell"), *extra)
-            .groupBy("cell.column", "cell.value").agg(F.count(F.lit(1)).alias("n")))
+    return cells(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-VALUES_PER_RANGE = 500_000
+VALUES_PER_RANGE = 1_000_000
 MAX_RANGES = 8_192
 
 

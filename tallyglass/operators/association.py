@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.exprs import collect_stats, columns_of, num, q, ratio, records, resolve, tidy
+from ..functions.exprs import collect_stats, columns_of, num, q, ratio, records, resolve, spread, tidy
 from ..functions.keyed import attach
 from ..functions.ordered import average_ranks, isolate, with_range
 from ..functions.quantiles import quantiles
@@ -36,14 +36,28 @@ def _pairs(cols: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def _pair_rows(df: DataFrame, pairs, x) -> DataFrame:
+def _pair_rows(df: DataFrame, pairs, x, base: dict | None = None) -> DataFrame:
+    """(col_a, col_b, n, r).  First the means, then plain sums of the centred values: sums of columns
+    without nulls are shared by all their pairs, and the generated code stays small."""
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    base = base or collect_stats(df, {"n": F.count(F.lit(1)), **{(c, k): f(x[c]) for c in cols
+                              for k, f in (("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))}})
+    at = {c: F.col(f"_c{i}") for i, c in enumerate(cols)}
+    data = df.select(*[(x[c] - F.lit(base[c, "m"] or 0.0)).alias(f"_c{i}") for i, c in enumerate(cols)])
+    whole = {c: base[c, "n"] == base["n"] for c in cols}
+    flat = {c for c in cols if base[c, "lo"] == base[c, "hi"]}
     rows = []
     for a, b in pairs:
-        xa, xb = F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])
-        r = ratio(F.covar_pop(x[a], x[b]), F.stddev_pop(xa) * F.stddev_pop(xb))
-        rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.count(xa).alias("n"),
+        va = at[a] if whole[b] else F.when(at[b].isNotNull(), at[a])
+        vb = at[b] if whole[a] else F.when(at[a].isNotNull(), at[b])
+        n = F.count(at[a] if whole[b] else va)
+        d = n.cast("double")
+        cov = F.sum(at[a] * at[b]) - F.sum(va) * F.sum(vb) / d
+        va2, vb2 = F.sum(va * va) - F.sum(va) * F.sum(va) / d, F.sum(vb * vb) - F.sum(vb) * F.sum(vb) / d
+        r = F.when((n > 0) & (va2 > 0) & (vb2 > 0), cov / (F.sqrt(va2) * F.sqrt(vb2))) if not {a, b} & flat else F.lit(None).cast("double")
+        rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), n.alias("n"),
                              F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r")))
-    return tidy(df, rows)
+    return tidy(data, rows)
 
 
 def pearson(df: DataFrame, cols=None) -> DataFrame:
@@ -61,16 +75,19 @@ def spearman(df: DataFrame, cols=None) -> DataFrame:
                              **{("k", c): F.approx_count_distinct(q(c), 0.02) for c in cols}})
     keys = {c: seen["k", c] for c in cols}
     if all(seen["c", c] == seen["n"] for c in cols):
-        return _rank_correlation(x, cols, seen["n"], keys)
+        return _rank_correlation(x, cols, seen["n"], keys, True)
     return reduce(DataFrame.unionByName, [_rank_correlation(x.select(q(a), q(b)).dropna(), [a, b], seen["n"], keys) for a, b in _pairs(cols)])
 
 
-def _rank_correlation(x: DataFrame, cols: list[str], rows: int, keys: dict[str, int]) -> DataFrame:
+def _rank_correlation(x: DataFrame, cols: list[str], rows: int, keys: dict[str, int], complete: bool = False) -> DataFrame:
     ranked = x
     for c in cols:
         ranks = average_ranks(x.select(q(c)), c, rows).select(c, F.col("rank").alias(f"_rank_{c}"))
         ranked = attach(ranked, ranks, [c], n_keys=keys[c])
-    return _pair_rows(ranked, _pairs(cols), {c: q(f"_rank_{c}") for c in cols})
+    base = None
+    if complete and rows:  # the mean rank is known
+        base = {"n": rows, **{(c, k): v for c in cols for k, v in (("n", rows), ("m", (rows + 1) / 2), ("lo", 1), ("hi", keys[c]))}}
+    return _pair_rows(ranked, _pairs(cols), {c: q(f"_rank_{c}") for c in cols}, base)
 
 
 def _inversions(key, x_order, w):
@@ -196,9 +213,11 @@ def corr_diff(real: DataFrame, synth: DataFrame, cols=None) -> DataFrame:
 
 def _pair_counts(df: DataFrame, values: dict, pairs) -> DataFrame:
     """(col_a, col_b, a, b, n) of all pairs in one shuffle."""
-    cells = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), values[a].alias("a"), values[b].alias("b"))
-                      for a, b in pairs])
-    return (df.select(F.inline(cells)).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    cols = list(values)
+    coded = spread(df.select(*[values[c].alias(f"_v{i}") for i, c in enumerate(cols)]))
+    at = {c: F.col(f"_v{i}") for i, c in enumerate(cols)}
+    cells = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), at[a].alias("a"), at[b].alias("b")) for a, b in pairs])
+    return (coded.select(F.inline(cells)).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
             .groupBy("col_a", "col_b", "a", "b").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import special
-from ..functions.exprs import collect_stats, columns_of, num, q, records
+from ..functions.exprs import cells, collect_stats, columns_of, num, q, records
 from ..functions.ordered import running_totals
 from ..functions.quantiles import quantiles
 from .profile import bin_index
@@ -35,15 +35,14 @@ def common(ref: DataFrame, cur: DataFrame, cols, *kinds: str) -> list[str]:
 def pair_counts(ref: DataFrame, cur: DataFrame, ref_cells: dict[str, Column], cur_cells: dict[str, Column],
                 keep_null: bool = False) -> DataFrame:
     """(column, value, ref, cur): both tables reduced to value counts in one shuffle."""
-    def cells(df, exprs, side):
-        arr = F.array(*[F.struct(F.lit(c).alias("column"), x.alias("value")) for c, x in exprs.items()])
-        flat = df.select(F.inline(arr))
+    def one(df, exprs, side):
+        flat = cells(df, exprs)
         if not keep_null:
             flat = flat.filter(F.col("value").isNotNull())
         return flat.select("column", "value", F.lit(int(side == "ref")).cast("long").alias("ref"),
                            F.lit(int(side == "cur")).cast("long").alias("cur"))
 
-    both = cells(ref, ref_cells, "ref").unionByName(cells(cur, cur_cells, "cur"))
+    both = one(ref, ref_cells, "ref").unionByName(one(cur, cur_cells, "cur"))
     return both.groupBy("column", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
 
 
@@ -103,12 +102,12 @@ def chi_cells(ref: DataFrame, cur: DataFrame, cols: list[str], bins: int = 10, n
     return pair_counts(ref, cur, sides["ref"], sides["cur"])
 
 
-def chi_statistics(cells: DataFrame) -> DataFrame:
+def chi_statistics(counts: DataFrame) -> DataFrame:
     """(column, n_ref, n_cur, n_categories, dof, statistic) of the 2 x k tables; continuity-corrected at one
     degree of freedom.  Margins are joined as one row per column, so categories may be many."""
-    sizes = cells.groupBy(F.col("column").alias("_column")).agg(
+    sizes = counts.groupBy(F.col("column").alias("_column")).agg(
         F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"), F.count(F.lit(1)).alias("n_categories"))
-    t = cells.join(F.broadcast(sizes), F.col("column") == F.col("_column")).drop("_column")
+    t = counts.join(F.broadcast(sizes), F.col("column") == F.col("_column")).drop("_column")
     both = (F.col("ref") + F.col("cur")).cast("double")
     total = (F.col("n_ref") + F.col("n_cur")).cast("double")
     corr = F.when(F.col("n_categories") == 2, F.lit(0.5)).otherwise(F.lit(0.0))
@@ -160,10 +159,10 @@ def psi(ref: DataFrame, cur: DataFrame, cols=None, bins: int = PSI_BINS) -> Data
     keep = [c for c in cols if min(n["ref"][c], n["cur"][c]) >= MIN_VALUES["psi"] and c in edges]
     if not keep:
         return records(ref.sparkSession, [], schema)
-    cells = pair_counts(ref, cur, {c: bin_column(num(ref, c), edges[c]) for c in keep},
-                        {c: bin_column(num(cur, c), edges[c]) for c in keep})
-    sizes = cells.groupBy(F.col("column").alias("_column")).agg(F.sum("ref").alias("_r"), F.sum("cur").alias("_c"))
-    t = cells.join(F.broadcast(sizes), F.col("column") == F.col("_column"))
+    binned = pair_counts(ref, cur, {c: bin_column(num(ref, c), edges[c]) for c in keep},
+                         {c: bin_column(num(cur, c), edges[c]) for c in keep})
+    sizes = binned.groupBy(F.col("column").alias("_column")).agg(F.sum("ref").alias("_r"), F.sum("cur").alias("_c"))
+    t = binned.join(F.broadcast(sizes), F.col("column") == F.col("_column"))
     r = F.greatest(F.coalesce(F.try_divide(F.col("ref"), F.col("_r")), F.lit(0.0)), F.lit(PSI_FLOOR))
     c = F.greatest(F.coalesce(F.try_divide(F.col("cur"), F.col("_c")), F.lit(0.0)), F.lit(PSI_FLOOR))
     # A bin empty on both sides adds nothing: both proportions sit at the floor.

@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.exprs import q, resolve
+from ..functions.exprs import q, resolve, spread
 from ..functions.quantiles import one_column
 from ..functions.store import materialise
 from .neighbours import CONTAMINATION, _matrix, standardised
@@ -105,9 +105,9 @@ def isolation_forest(df: DataFrame, key: list[str], cols=None, trees: int = TREE
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "p") + ", score double"
     # The cut needs the scores alone: a lean pass over the features writes 8 bytes per row.
-    scores = materialise(rows.select("p").mapInPandas(score, "score double"), "scores")
+    scores = materialise(spread(rows.select("p")).mapInPandas(score, "score double"), "scores")
     cut = one_column(scores, F.col("score"), [1 - contamination])[0]
-    scored = rows.mapInPandas(score, schema)
+    scored = spread(rows).mapInPandas(score, schema)
     return scored.withColumn("iforest_outlier", F.col("score") > F.lit(cut))
 
 

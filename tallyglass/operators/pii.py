@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.exprs import q, records, resolve, text_columns
+from ..functions.exprs import q, records, resolve, spread, text_columns
 
 # fixed values: value patterns, in checking order
 PATTERNS = {
@@ -36,16 +36,26 @@ SNIPPET = 10
 EXAMPLES = 10
 
 
+def possible(x, family: str):
+    """Cheap necessary condition of a pattern, so that most texts skip the costly expression."""
+    if family == "EMAIL":
+        return x.contains("@")
+    if family == "URL":
+        return x.contains("://")
+    return x.rlike("[0-9]")
+
+
 def pii_by_value(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, pii_type, n_values, n_matches) of every text column and pattern: one scan, no shuffle
     of rows, whole texts."""
     cols = text_columns(df) if cols is None else resolve(df, cols)
     if not cols:
         return records(df.sparkSession, [], "column string, pii_type string, n_values bigint, n_matches bigint")
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("pii_type"), F.count(q(c)).alias("n_values"),
-                               F.coalesce(F.sum(F.regexp_count(q(c), F.lit(rx))), F.lit(0)).alias("n_matches"))
+    table = spread(df.select(*[q(c) for c in cols]))
+    found = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("pii_type"), F.count(q(c)).alias("n_values"),
+                               F.coalesce(F.sum(F.when(possible(q(c), p), F.regexp_count(q(c), F.lit(rx)))), F.lit(0)).alias("n_matches"))
                       for c in cols for p, rx in PATTERNS.items()])
-    return df.agg(cells.alias("r")).select(F.inline("r"))
+    return table.agg(found.alias("r")).select(F.inline("r"))
 
 
 def name_types(column: str, whole_word: bool = False) -> list[str]:
@@ -96,25 +106,24 @@ def pii_summary(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
 def pii_findings(df: DataFrame, cols: list[str], key: list[str]) -> DataFrame:
     """One row per match: key, column, type, 1-based start, length and the surrounding snippet.
 
-    The text is split at the match with its gaps kept, so repeated equal matches get their own positions."""
-    parts = None
+    One scan for all columns and patterns.  The text is split at the match with its gaps kept, so repeated
+    equal matches get their own positions."""
+    cells = []
     for c in resolve(df, cols):
         for t, rx in PATTERNS.items():
-            hit = df.filter(F.regexp_count(q(c), F.lit(rx)) > 0)
-            # regexp_extract_all of "gap or match": accumulate lengths to place each match
-            found = hit.select(*[q(k) for k in key], q(c).alias("_text"),
-                               F.regexp_extract_all(q(c), F.lit(rx), F.lit(0)).alias("_m"),
-                               F.split(q(c), rx, -1).alias("_gaps"))
-            spot = found.select(*[q(k) for k in key], "_text", F.posexplode("_m").alias("_i", "match"), "_gaps", "_m")
-            before = F.aggregate(F.slice("_gaps", F.lit(1), F.col("_i") + 1), F.lit(0), lambda a, g: a + F.length(g)) + \
-                F.aggregate(F.slice("_m", F.lit(1), F.col("_i")), F.lit(0), lambda a, g: a + F.length(g))
-            one = spot.withColumn("start", before + 1).select(
-                *[q(k) for k in key], F.lit(c).alias("column"), F.lit(t).alias("pii_type"), "start",
-                F.length("match").alias("length"), "match",
-                F.substring(F.col("_text"), F.greatest(F.lit(1), F.col("start") - SNIPPET),
-                            F.least(F.col("start") - 1, F.lit(SNIPPET)) + F.length("match") + SNIPPET).alias("snippet"))
-            parts = one if parts is None else parts.unionByName(one)
-    return parts
+            found = F.struct(F.lit(c).alias("column"), F.lit(t).alias("pii_type"), q(c).alias("_text"),
+                             F.regexp_extract_all(q(c), F.lit(rx), F.lit(0)).alias("_m"), F.split(q(c), rx, -1).alias("_gaps"))
+            cells.append(F.when(possible(q(c), t) & (F.regexp_count(q(c), F.lit(rx)) > 0), found))
+    table = spread(df.select(*[q(k) for k in dict.fromkeys([*key, *cols])]))
+    rows = table.select(*[q(k) for k in key], F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("f")).select(*[q(k) for k in key], "f.*")
+    spot = rows.select("*", F.posexplode("_m").alias("_i", "match"))
+    # lengths of the gaps and matches before the i-th match
+    before = F.aggregate(F.slice("_gaps", F.lit(1), F.col("_i") + 1), F.lit(0), lambda a, g: a + F.length(g)) + \
+        F.aggregate(F.slice("_m", F.lit(1), F.col("_i")), F.lit(0), lambda a, g: a + F.length(g))
+    return spot.withColumn("start", before + 1).select(
+        *[q(k) for k in key], "column", "pii_type", "start", F.length("match").alias("length"), "match",
+        F.substring(F.col("_text"), F.greatest(F.lit(1), F.col("start") - SNIPPET),
+                    F.least(F.col("start") - 1, F.lit(SNIPPET)) + F.length("match") + SNIPPET).alias("snippet"))
 
 
 def finding_counts(findings: DataFrame) -> DataFrame:

@@ -85,13 +85,17 @@ def remove_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
 
 def bin_column(x: Column, edges: list[float], labels: list[str] | None = None) -> Column:
     """Right-closed bin number (or label); the lowest edge belongs to the first bin."""
-    k = len(edges) - 1
-    out = None
-    for i in range(k):
-        value = F.lit(labels[i]) if labels else F.lit(i)
-        inside = (x >= F.lit(edges[i]) if i == 0 else x > F.lit(edges[i])) & (x <= F.lit(edges[i + 1]))
-        out = F.when(inside, value) if out is None else out.when(inside, value)
-    return out
+    # Counting the inner edges below x keeps the generated code small, unlike a chain of cases.
+    number = F.lit(0)
+    for e in edges[1:-1]:
+        number = number + (x > F.lit(e)).cast("int")
+    inside = F.when(x.between(F.lit(edges[0]), F.lit(edges[-1])), number)
+    if not labels:
+        return inside
+    named = F.lit(labels[-1])
+    for i, v in reversed(list(enumerate(labels[:-1]))):
+        named = F.when(inside == i, F.lit(v)).otherwise(named)
+    return F.when(inside.isNotNull(), named)
 
 
 def equal_width_edges(lo: float, hi: float, n: int) -> list[float]:

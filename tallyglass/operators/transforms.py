@@ -87,8 +87,7 @@ def mask_text(x: Column, share: float) -> Column:
 
 
 def word_count(x: Column) -> Column:
-    t = F.trim(F.regexp_replace(x, r"\s+", " "))
-    return F.when(x.isNull(), None).when(t == "", 0).otherwise(F.size(F.split(t, " ")))
+    return F.regexp_count(x, F.lit(r"\S+"))
 
 
 def _one_hot(df, c, p):

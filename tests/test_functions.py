@@ -62,11 +62,11 @@ def test_heavy_value_gets_its_own_range():
     assert cuts == [1.0, 7.0, math.nextafter(7.0, math.inf), 9.0]
 
 
-@pytest.mark.parametrize("limit", [1_000, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_attach_is_null_safe_and_keeps_every_row(spark, limit):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 3) for i in range(100)], "id int, k int")
     stats = keyed.frequency(df, ["k"])
-    got = keyed.attach(df, stats, ["k"], broadcast_keys=limit)
+    got = keyed.attach(df, stats, ["k"], broadcast_bytes=limit)
     want = df.toPandas()["k"].value_counts(dropna=False).to_dict()
     rows = got.collect()
     assert len(rows) == 100 and sorted(r["id"] for r in rows) == list(range(100))
@@ -74,6 +74,18 @@ def test_attach_is_null_safe_and_keeps_every_row(spark, limit):
     assert all(r["n"] == want[r["k"]] for r in rows if r["k"] is not None)
 
 
+def test_attach_without_hot_keys_and_with_missing_ones(spark):
+    df = spark.range(2000).select("id", (F.col("id") + 0.5).alias("k"), F.lit(None).cast("string").alias("n"))
+    stats = df.filter("id < 1500").select("k", (F.col("id") * 2).alias("twice"))
+    inner = keyed.attach(df, stats, ["k"], broadcast_bytes=0)
+    assert inner.count() == 1500 and inner.filter("twice = 2 * id").count() == 1500
+    assert keyed.attach(df, stats, ["k"], how="left", broadcast_bytes=0).filter("twice IS NULL").count() == 500
+    hot = df.withColumn("k", F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("k")))
+    got = keyed.attach(hot, stats, ["k"], how="left", broadcast_bytes=0)
+    assert got.count() == 2000 and got.filter("k = 0.5 AND twice = 0").count() == 667
+    assert got.columns == ["id", "k", "n", "twice"]
+
+
 @pytest.mark.parametrize("per_range", [500_000, 40])
 def test_row_index_with_hot_time(spark, per_range):
     df = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, F.lit(500.0)).otherwise(F.pmod(F.col("id") * 37, F.lit(1000)).cast("double")).alias("t"))
