@@ -227,19 +227,19 @@ def _(t):
 _BASIC = ("norm", "lognorm", "expon", "uniform")
 
 
-def _fit_sql(c, table):
-    """Residual sum of squares of four closed-form families on 50 bins."""
+def _fit_sql(c, table, families=_BASIC):
+    """Residual sum of squares of closed-form families on 50 bins."""
     return f"""SELECT '{c}' AS "column", any_value(n) AS n, family, sum(power(coalesce(h, 0) - pdf, 2)) AS rss FROM (
  SELECT n, family, k, CASE family WHEN 'norm' THEN exp(-0.5 * power((x - m) / s, 2)) / (s * sqrt(2 * pi())) WHEN 'lognorm' THEN CASE WHEN x > 0 THEN exp(-0.5 * power((ln(CASE WHEN x > 0 THEN x END) - lm) / ls, 2)) / (x * ls * sqrt(2 * pi())) ELSE 0 END
   WHEN 'expon' THEN exp(-(x - lo) / (m - lo)) / (m - lo) ELSE 1 / (hi - lo) END AS pdf FROM (SELECT range AS k, lo + (range + 0.5) * (hi - lo) / 50 AS x, st.* FROM range(50), st),
-  (VALUES ('norm'), ('lognorm'), ('expon'), ('uniform')) f(family) WHERE family <> 'lognorm' OR positive)
+  (VALUES {", ".join(f"('{f}')" for f in families)}) f(family) WHERE family <> 'lognorm' OR positive)
  LEFT JOIN (SELECT least(floor(({c} - lo) / ((hi - lo) / 50)), 49) AS hk, count(*) / (any_value(n) * ((any_value(hi) - any_value(lo)) / 50)) AS h FROM {table}, st GROUP BY 1) ON hk = k GROUP BY family"""
 
 
-def _fits(c, table):
+def _fits(c, table, families=_BASIC):
     st = f"""st AS (SELECT count({c}) AS n, avg({c}) AS m, stddev_pop({c}) AS s, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, avg(CASE WHEN {c} > 0 THEN ln(CASE WHEN {c} > 0 THEN {c} END) END) AS lm,
  stddev_pop(CASE WHEN {c} > 0 THEN ln(CASE WHEN {c} > 0 THEN {c} END) END) AS ls, min({c}) > 0 AS positive, min({c}) < 0 AS neg, skewness({c}) AS skew, kurtosis({c}) AS kurt FROM {table})"""
-    return f"WITH {st}, r AS ({_fit_sql(c, table)}), fit AS (SELECT r.*, neg AS has_negatives, skew, kurt AS kurtosis, lo, hi FROM r, st WHERE rss = (SELECT min(rss) FROM r))"
+    return f"WITH {st}, r AS ({_fit_sql(c, table, families)}), fit AS (SELECT r.*, neg AS has_negatives, skew, kurt AS kurtosis, lo, hi FROM r, st WHERE rss = (SELECT min(rss) FROM r))"
 
 
 @query("dist_fit_basic", " UNION ALL ".join(f"""(SELECT * FROM ({_fits(c, tb)} SELECT "column", n, family, round(rss, 9) AS rss, has_negatives, round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, lo, hi FROM fit))"""
@@ -273,6 +273,11 @@ def _(t):
     return rounded(dist.fit_curve(dist.fit_distributions(t.events, ["value"], _BASIC), "value"), 6, density=9)
 
 
-@query("dist_lognormal", """SELECT * FROM (VALUES ('value', false), ('exp_user', false)) v("column", lognormal) WHERE (SELECT count(*) FROM events) > 0""")
+_THREE = ("lognorm", "norm", "expon")
+
+
+@query("dist_lognormal", " UNION ALL ".join(f"""(SELECT * FROM ({_fits(c, tb, _THREE)} SELECT "column", family = 'lognorm' AND lo > 0 AS lognormal FROM fit))"""
+                                            for c, tb in (("value", "events"), ("n_chars", "documents"), ("l_quantity", "lineitem"))))
 def _(t):
-    return dist.is_lognormal(t.events.select("value", F.exp(F.col("user_id") / 100).alias("exp_user")))
+    return dist.is_lognormal(t.events, ["value"]).unionByName(dist.is_lognormal(t.documents, ["n_chars"])).unionByName(
+        dist.is_lognormal(t.lineitem, ["l_quantity"]))

@@ -141,7 +141,19 @@ def _(t):
     return rounded(stamped(ts.ts_outliers(t.events, "ts", "value")))
 
 
-@query("out_ts_by")
+_BY = f"""h AS (SELECT event_type AS series, date_trunc('day', ts) AS time, avg(value) AS value FROM events GROUP BY 1, 2),
+ o AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY time) - 1 AS idx, count(*) OVER (PARTITION BY series) AS n, time, value FROM h),
+ m AS (SELECT *, CASE WHEN idx >= 3 AND idx < n - 3 THEN avg(value) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS t0 FROM o),
+ f AS (SELECT series, regr_slope(t0, idx) AS k, regr_intercept(t0, idx) AS b FROM m WHERE idx >= 3 AND idx < least(10, n - 4) GROUP BY 1),
+ g AS (SELECT series, regr_slope(t0, idx) AS k, regr_intercept(t0, idx) AS b FROM m WHERE idx >= greatest(3, n - 11) AND idx < n - 4 GROUP BY 1),
+ t AS (SELECT m.series, idx, time, value, coalesce(t0, CASE WHEN idx < 3 THEN f.b + f.k * idx ELSE g.b + g.k * idx END) AS trend FROM m JOIN f ON m.series = f.series JOIN g ON m.series = g.series),
+ ph AS (SELECT series, ph, s - avg(s) OVER (PARTITION BY series) AS seasonal FROM (SELECT series, idx % 7 AS ph, avg(value - trend) AS s FROM t GROUP BY 1, 2)),
+ d AS (SELECT t.series, idx, time, value AS observed, trend, seasonal, value - trend - seasonal AS residual FROM t JOIN ph ON t.series = ph.series AND idx % 7 = ph),
+ z AS (SELECT *, (residual - avg(residual) OVER (PARTITION BY series)) / stddev(residual) OVER (PARTITION BY series) AS z FROM d)"""
+
+
+@query("out_ts_by", f"""WITH {_BY} SELECT series, idx, {_stamp('time')} AS time, round(observed, 6) AS observed, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(residual, 6) AS residual,
+ round(z, 6) AS z, abs(z) > 3 AS outlier FROM z""")
 def _(t):
     return rounded(stamped(ts.ts_outliers(ts.resample(t.events, "ts", "value", "D", series_key="event_type"), "time", "value",
-                                          freq="D", series_key="event_type").filter("outlier")))
+                                          freq="D", series_key="event_type")))
