@@ -64,11 +64,6 @@ def _(t):
     return rounded(dr.chi_square(*halves(t)).drop("p_value"))
 
 
-def _width_bin(c):
-    return (f"(SELECT CASE WHEN {c} >= lo - 0.001 * (hi - lo) AND {c} <= hi THEN greatest(ceil(({c} - lo) / (hi - lo) * 10) - 1, 0) END "
-            f"FROM (SELECT min({c}) AS lo, max({c}) AS hi FROM a))")
-
-
 def _chi_num(c):
     # the same literal bounds on both sides: bins of the reference table
     x = f"CASE WHEN {c} <= (SELECT max({c}) FROM a) AND {c} >= (SELECT min({c}) FROM a) THEN greatest(CAST(ceil(round(({c} - (SELECT min({c}) FROM a)) / ((SELECT max({c}) - min({c}) FROM a)) * 10, 9)) AS INTEGER) - 1, 0) END"
