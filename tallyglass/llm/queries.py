@@ -1,9 +1,10 @@
 """The queries of this folder and their SQL twins."""
 
-from . import bpe, decontaminate, language, quality
+from . import bpe, decontaminate, language, ppm, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_ppm": ppm.op2_ppm,
     "op3_quality": quality.op3_quality,
     "op5_language": language.op5_language,
     "op10_bpe": bpe.op10_bpe,
