@@ -1,12 +1,13 @@
 """The queries of this folder and their SQL twins."""
 
-from . import bpe, decontaminate, language, ppm, quality
+from . import bpe, decontaminate, language, ngram_join, ppm, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_ppm": ppm.op2_ppm,
     "op3_quality": quality.op3_quality,
     "op5_language": language.op5_language,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {
