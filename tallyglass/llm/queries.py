@@ -1,6 +1,6 @@
 """The queries of this folder and their SQL twins."""
 
-from . import bpe, decontaminate, language, ngram_join, ppm, quality
+from . import bpe, decontaminate, language, lattice, ngram_join, ppm, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op5_language": language.op5_language,
     "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op9_lattice": lattice.op9_lattice,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {
