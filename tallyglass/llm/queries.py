@@ -1,12 +1,14 @@
 """The queries of this folder and their SQL twins."""
 
-from . import bpe, decontaminate, language, lattice, ngram_join, ppm, quality
+from . import bpe, decontaminate, extract, language, lattice, licenses, ngram_join, ppm, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_ppm": ppm.op2_ppm,
     "op3_quality": quality.op3_quality,
+    "op4_extract": extract.op4_extract,
     "op5_language": language.op5_language,
+    "op6_licenses": licenses.op6_licenses,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op9_lattice": lattice.op9_lattice,
     "op10_bpe": bpe.op10_bpe,
