@@ -257,3 +257,10 @@ def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Key, language, source and the ids of every document, with their digests."""
+    done = encode(docs)
+    return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

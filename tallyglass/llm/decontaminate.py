@@ -29,7 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.store import materialise
 from .arrays import ALNUM, Members, runs, shingles, texts, word_hashes, words
+from .rows import without
 
 WIDTH, THRESHOLD = 5, 0.8
 BLOCK_SHINGLES = 2_000_000
@@ -149,8 +151,12 @@ def _search(held, schema):
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents that contain no item."""
-    dirty = contained(docs, items, key, **options).select(F.col(key).alias("_dirty")).distinct()
-    return docs.join(dirty, docs[key].eqNullSafe(dirty["_dirty"]), "left_anti")
+    dirty = materialise(contained(docs, items, key, **options).select(key).distinct(), "dirty")
+    return without(docs, key, dirty)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions.store import materialise
 from .arrays import SPACE, U, mix, runs, shingles, texts, word_hashes, words
 from .graph import components
+from .rows import without
 
 WIDTH, PERCENT = 4, 85
 LOW = 1 << 62  # a quarter of the hashes
@@ -317,3 +318,14 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component the document with the smallest id; rows that repeat an id and its text stay once."""
+    found = materialise(join_components(docs), "components")
+    kept = without(docs, "doc_id", found.filter("component_id <> doc_id").select("doc_id"))
+    again = materialise(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not again.limit(1).count():
+        return kept
+    repeated = kept.join(again.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(kept, "doc_id", again).unionByName(repeated)

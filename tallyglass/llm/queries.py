@@ -1,6 +1,6 @@
 """The queries of this folder and their SQL twins."""
 
-from . import bpe, decontaminate, extract, language, lattice, licenses, ngram_join, ppm, quality
+from . import bpe, decontaminate, extract, language, lattice, licenses, ngram_join, ppm, quality, toolcalls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_language": language.op5_language,
     "op6_licenses": licenses.op6_licenses,
     "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op8_toolcalls": toolcalls.op8_toolcalls,
     "op9_lattice": lattice.op9_lattice,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {
+    "op8_toolcalls": toolcalls.OP8_SQL,
     "op1_decontaminate": decontaminate.OP1_SQL,
 }
