@@ -31,10 +31,10 @@ from ..functions.store import materialise
 from .arrays import FOLD, SPACE, Members, U, mix, runs, texts, word_hashes, words
 
 ORDER = 5
-SHARD, FREQUENT = 4_000_000, 4_000_000
+SHARD, FREQUENT = 1_500_000, 2_000_000
 END = int(mix(np.array([12345], U), 9)[0] >> U(1))
-RUN = 1 << 19
-HELD = 600_000
+RUN = 1 << 18
+HELD = 800_000
 GRAM, WORD = 0, 1
 
 
@@ -158,8 +158,21 @@ class Table:
         return got
 
 
+def _place(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of each wanted value in the sorted values, or -1."""
+    if not len(values):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return np.where(values[at] == wanted, at, -1)
+
+
+def _slim(n: np.ndarray) -> np.ndarray:
+    return n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n
+
+
 class Trie:
-    """``keys``, ``n``: grams of ORDER + 1 bytes of one shard; ``low``, ``low_n``: all grams of two bytes."""
+    """``keys``, ``n``: grams of ORDER + 1 bytes of one shard; ``low``, ``low_n``: all grams of two bytes.  A hash table
+    finds the longest grams; only positions that miss it search the sorted levels."""
 
     def __init__(self, keys, n, low, low_n):
         self.levels = []
@@ -170,19 +183,20 @@ class Trie:
             at = np.flatnonzero(np.diff(context, prepend=~context[:1])) if len(own) else np.zeros(0, int)
             total = np.add.reduceat(count, at) if len(at) else count[:0]
             kinds = np.diff(np.append(at, len(own)))
-            level = {"grams": Table(own), "n": count.astype(np.float64), "contexts": Table(context[at]), "T": total.astype(np.float64), "q": kinds.astype(np.float64)}
+            level = {"grams": own, "n": _slim(count), "contexts": context[at], "T": _slim(total), "q": kinds.astype(np.uint32)}
+            del context
             if j:  # what this context excludes one order below
                 below = self.levels[-1]
-                seen = below["n"][below["grams"].find(own & U((1 << 8 * j) - 1))] if len(own) else level["n"]
-                level["out"] = np.add.reduceat(seen, at) if len(at) else seen
+                seen = below["n"][_place(below["grams"], own & U((1 << 8 * j) - 1))].astype(np.int64) if len(own) else count[:0]
+                level["out"] = _slim(np.add.reduceat(seen, at) if len(at) else seen)
             self.levels.append(level)
-        top = self.levels[ORDER]
-        self.direct = np.log10((top["n"] - 0.5) / np.repeat(top["T"], top["q"].astype(int)))
+        self.table = Table(own)
+        self.direct = np.log10((count - 0.5) / np.repeat(total, kinds)).astype(np.float32)
         self.rest = math.log10(1 / max(1, 256 - len(self.levels[0]["n"])))
 
     def logp(self, keys: np.ndarray) -> np.ndarray:
-        hit = self.levels[ORDER]["grams"].find(keys)
-        out = self.direct[hit] if len(self.direct) else np.zeros(len(keys))
+        hit = self.table.find(keys)
+        out = self.direct[hit].astype(np.float64) if len(self.direct) else np.zeros(len(keys))
         todo = np.flatnonzero(hit < 0)
         if not len(todo):
             return out
@@ -192,13 +206,13 @@ class Trie:
         for j in range(ORDER, -1, -1):
             level = self.levels[j]
             part = key & U((1 << 8 * (j + 1)) - 1)
-            at = level["contexts"].find(part >> U(8))
+            at = _place(level["contexts"], part >> U(8))
             known = np.flatnonzero(at >= 0)
             if not len(known):
                 continue
             c = at[known]
             left, kinds = level["T"][c] - cut_n[known], level["q"][c] - cut_q[known]
-            gram = level["grams"].find(part[known])
+            gram = _place(level["grams"], part[known])
             found = gram >= 0
             share = np.where(found, level["n"][gram] - 0.5, np.where(kinds > 0, kinds / 2, 1))
             out[todo[known]] += np.log10(share / np.where(kinds > 0, left, 1))
