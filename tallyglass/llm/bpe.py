@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .arrays import runs, texts
+from .rows import extend
 
 PATH = "/opt/tokenizers/word_bpe_49k.json"
 #: Entries a worker keeps of words already encoded and of arcs already decided; beyond it starts anew.
@@ -228,25 +229,22 @@ def encode(df: DataFrame, path: str = PATH, text: str = "text") -> DataFrame:
     ``path``: vocabulary file, read by the driver (its size is that of the vocabulary, not of the data)."""
     with open(path, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
-    rest = [c for c in df.columns if c not in ("ids", "decoded")]
-    base = df.select(*[F.col(f"`{c}`") for c in rest])
-    schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
-    def run(batches):
+    def run():
         a = compiled(spec.value)
         labels = a.labels.__getitem__
-        for batch in batches:
-            column = texts(batch.column(rest.index(text)))
+
+        def work(batch, place):
+            column = texts(batch.column(place[text]))
             for at, end, _, _ in runs(column, 1 << 20):
-                part = column.slice(at, end - at)
-                ids = [a.encode(t.as_py()) for t in part]
+                ids = [a.encode(t.as_py()) for t in column.slice(at, end - at)]
                 flat = np.fromiter(chain.from_iterable(ids), np.int32)
                 where = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                decoded = pa.array([" ".join(map(labels, x)) for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, end - at) for i in range(len(rest))],
-                                                  pa.ListArray.from_arrays(pa.array(where), pa.array(flat)), decoded], [*rest, "ids", "decoded"])
+                yield at, [pa.ListArray.from_arrays(pa.array(where), pa.array(flat)), pa.array([" ".join(map(labels, x)) for x in ids], pa.string())]
+
+        return work
 
-    return base.mapInArrow(run, schema)
+    return extend(df, run, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.exprs import q
 from ..functions.store import materialise
 from .arrays import ALNUM, Members, runs, shingles, texts, word_hashes, words
 from .rows import without
@@ -87,9 +88,9 @@ class Items:
 
 def _blocks(items: DataFrame, item_key: str, text: str, limit: int):
     """(block, blocks) of the items by key hash; a block has about ``limit`` words, an upper bound of its shingles."""
-    size = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)) / 2 + 1
+    size = F.coalesce(F.length(q(text)), F.lit(0)) / 2 + 1
     total = items.agg(F.sum(size)).first()[0] or 0
-    return F.pmod(F.xxhash64(F.col(f"`{item_key}`")), F.lit(max(1, math.ceil(total / limit)))), max(1, math.ceil(total / limit))
+    return F.pmod(F.xxhash64(q(item_key)), F.lit(max(1, math.ceil(total / limit)))), max(1, math.ceil(total / limit))
 
 
 def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
@@ -97,8 +98,8 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """One row per contained pair: the keys, ``n_shingles`` of the item, ``n_found`` of them in the document and
     ``containment``."""
     block, blocks = _blocks(items, item_key, item_text, block_shingles)
-    few = items.select(F.col(f"`{item_key}`").alias("k"), F.col(f"`{item_text}`").alias("t"), block.alias("b"))
-    base = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("t"))
+    few = items.select(q(item_key).alias("k"), q(item_text).alias("t"), block.alias("b"))
+    base = docs.select(q(key).alias("doc"), q(text).alias("t"))
     schema = f"doc {base.schema['doc'].dataType.simpleString()}, item {few.schema['k'].dataType.simpleString()}, n_shingles long, n_found long"
     passes = []
     for b in range(blocks):
@@ -114,7 +115,7 @@ def _search(held, schema):
     def run(batches):
         items: Items = held.value
         widths = sorted(set(items.width))
-        for batch in batches:
+        for batch in batches if widths else ():
             column = pc.utf8_lower(texts(batch.column(1)))
             out = []
             for at, _, raw, offsets in runs(column):

@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.exprs import q
 from .arrays import SPACE, runs, texts, word_hashes, words
 
 RUN, COVERED, TEMPLATE_PAGES, TEMPLATE_SHARE = 8, 0.8, 8, 0.9
@@ -261,8 +262,8 @@ def _unpack(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", shard: int = SHARD) -> DataFrame:
     """One row per row of ``pages``: key, url and ``text``."""
-    host = F.coalesce(F.regexp_extract(F.lower(F.col(f"`{url}`")), r"^[a-z][a-z0-9+.\-]*://([^/?#]*)", 1), F.lit(""))
-    base = pages.select(F.col(f"`{key}`").alias("page"), F.col(f"`{url}`").alias("url"), host.alias("host"), F.col(f"`{html}`").alias("html"))
+    host = F.coalesce(F.regexp_extract(F.lower(q(url)), r"^[a-z][a-z0-9+.\-]*://([^/?#]*)", 1), F.lit(""))
+    base = pages.select(q(key).alias("page"), q(url).alias("url"), host.alias("host"), q(html).alias("html"))
     large = base.groupBy("host").agg(F.sum(F.length("html")).alias("size")).filter(F.col("size") > shard).select(F.col("host").alias("large"), F.ceil(F.col("size") / shard).cast("int").alias("shards"))
     few = large.count() <= BROADCAST_HOSTS
     base = base.join(F.broadcast(large) if few else large, F.col("host") == F.col("large"), "left").select(

@@ -24,7 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.exprs import q
 from .arrays import ALNUM, runs, texts
+from .rows import extend
 
 LONGEST, SLOTS, LANDMARKS, SAMPLE, RIDGE = 4, 1 << 15, 256, 8_000, 1e-3
 ROWS, RUN = 64, 1 << 18
@@ -74,7 +76,7 @@ def _spread(rows: DataFrame, counts: dict, total: int) -> DataFrame:
 
 def learn(docs: DataFrame, key: str, text: str, lang: str, condition, sample: int = SAMPLE, landmarks: int = LANDMARKS):
     """(languages, SLOTS x languages weights, intercepts) from rows that meet ``condition`` and have a language and text."""
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("lang")).filter("lang is not null and t is not null")
+    rows = docs.select(q(key).alias("k"), q(text).alias("t"), q(lang).alias("lang")).filter("lang is not null and t is not null")
     if condition is not None:
         rows = rows.filter(condition(F.col("k")))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
@@ -125,26 +127,26 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
              landmarks: int = LANDMARKS) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
     held = docs.sparkSession.sparkContext.broadcast(learn(docs, key, text, lang, condition, sample, landmarks))
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "_letter")]
-    base = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{text}`").rlike("\\p{L}"), F.lit(False)).alias("_letter"))
-    schema = T.StructType([*base.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    letter = F.coalesce(q(text).rlike("\\p{L}"), F.lit(False))
 
-    def run(batches):
+    def run():
         names, weights, intercept = held.value
-        for batch in batches:
-            n = batch.num_rows
-            pred, score = ["und"] * n, np.zeros(n)
-            if names:
-                letter = batch.column(len(rest)).to_numpy(zero_copy_only=False)
-                for at, x in _matrices(batch.column(rest.index(text))):
+
+        def work(batch, place):
+            known = batch.column(place["has a letter"]).to_numpy(zero_copy_only=False)
+            for at, x in _matrices(batch.column(place[text])):
+                pred, score = ["und"] * len(x), np.zeros(len(x))
+                if names:
                     out = (x @ weights) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)) + intercept
                     best = out.argmax(axis=1)
-                    for i in np.flatnonzero(letter[at:at + len(x)]).tolist():
-                        pred[at + i] = names[best[i]]
-                        score[at + i] = min(1.0, max(0.0, out[i, best[i]]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array(pred, pa.string()), pa.array(score)], [*rest, "lang_pred", "score"])
+                    for i in np.flatnonzero(known[at:at + len(x)]).tolist():
+                        pred[i] = names[best[i]]
+                        score[i] = min(1.0, max(0.0, out[i, best[i]]))
+                yield at, [pa.array(pred, pa.string()), pa.array(score)]
+
+        return work
 
-    return base.mapInArrow(run, schema)
+    return extend(docs, run, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], {"has a letter": letter})
 
 
 def _held_out(key):
@@ -163,4 +165,4 @@ SURE = 0.9
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language: out go those without text in letters and those whose stated language is surely another."""
     wrong = F.coalesce((F.col("lang_pred") != F.col("lang")) & (F.col("score") >= SURE), F.lit(False))
-    return identify(docs, condition=lambda k: ~_held_out(k)).filter((F.col("lang_pred") != "und") & ~wrong).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return identify(docs, condition=lambda k: ~_held_out(k)).filter((F.col("lang_pred") != "und") & ~wrong).select(*[q(c) for c in docs.columns])

@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.exprs import q
 from ..functions.store import materialise
 from .arrays import U, mix
 from .graph import components
@@ -244,7 +245,7 @@ def _verify(threshold: float, tables: int, probes: int):
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """One row per row of ``df``: key, ``n_links``, ``component_id``, ``kept``."""
-    base = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast(T.ArrayType(T.DoubleType())).alias("v"))
+    base = df.select(q(key).alias("id"), q(vector).cast(T.ArrayType(T.DoubleType())).alias("v"))
     kind = base.schema["id"].dataType.simpleString()
     rows = materialise(base.mapInArrow(_prepare, f"id {kind}, node long, vector binary"), "vectors")
     nodes = materialise(rows.filter("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "vector-nodes")

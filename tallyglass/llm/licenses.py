@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.exprs import q
 from .arrays import ALNUM, Members, U, runs, shingles, texts, word_hashes, words
 
 KGRAM, WINDOW, BAND, COVERAGE = 3, 4, 8, 0.8
@@ -122,11 +123,17 @@ def find(index: Index, doc: np.ndarray, hits: dict[int, list[tuple[int, int]]],
     """(template, matched, first word, end word) of the notices of one document."""
     found = []
     for t, places in hits.items():
-        template = index.words[t]
-        for low, high in _candidates(places):
-            n, first, end = align(template, doc, low - BAND, high + BAND)
-            if n and n >= coverage * len(template) - 1e-9 and end > first:
-                found.append((t, n, first, end))
+        template, rest = index.words[t], doc
+        while places:
+            more = []
+            for low, high in _candidates(places):
+                n, first, end = align(template, rest, low - BAND, high + BAND)
+                if n and n >= coverage * len(template) - 1e-9 and end > first:
+                    found.append((t, n, first, end))
+                    rest = rest.copy() if rest is doc else rest
+                    rest[first:end] = 0  # the same words are not found again
+                    more += [p for p in places if low <= p[0] - p[1] <= high and not first <= p[0] < end]
+            places = more
     found.sort(key=lambda f: (-f[1] / len(index.words[f[0]]), -len(index.words[f[0]]), index.names[f[0]], f[2]))
     taken: list[tuple[int, int, int, int]] = []
     for f in found:
@@ -139,7 +146,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
     """One row per notice: key, ``license``, ``matched`` and ``n_words`` of the template, ``coverage``, ``first`` and ``last``
     (characters of the document, end exclusive), ``notice`` (the text of the span)."""
     held = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
-    base = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    base = docs.select(q(key).alias("k"), q(text).alias("t"))
     kind = base.schema["k"].dataType.simpleString()
 
     def run(batches):

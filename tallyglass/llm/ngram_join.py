@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.exprs import q
 from ..functions.store import materialise
 from .arrays import SPACE, U, mix, runs, shingles, texts, word_hashes, words
 from .graph import components
@@ -249,7 +250,7 @@ def _compare(percent: int):
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, small: int = SMALL,
           broadcast_ids: int = BROADCAST_IDS) -> tuple[DataFrame, DataFrame]:
     """(rows, edges): doc, node and set size of every row; enough linked pairs of nodes to connect all that are linked."""
-    base = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("t"))
+    base = docs.select(q(key).alias("doc"), q(text).alias("t"))
     kind = base.schema["doc"].dataType.simpleString()
     spark = docs.sparkSession
     first = materialise(base.mapInArrow(_nodes(width), f"doc {kind}, node long, n long, token long, hits long"), "nodes")

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.exprs import q
 from ..functions.store import materialise
 from .arrays import FOLD, SPACE, Members, U, mix, runs, texts, word_hashes, words
 
@@ -241,7 +242,7 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", shard
     ``learn``: condition for the rows to learn from."""
     spark = docs.sparkSession
     context = spark.sparkContext
-    base = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    base = docs.select(q(key).alias("k"), q(text).alias("t"), F.coalesce(learn, F.lit(False)).alias("learn"))
     counts = materialise(base.filter("learn").select("t").mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm")
     of = {r["kind"]: (r["n"], r["kinds"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()}
     tokens, vocabulary = of.get(WORD, (0, 0))

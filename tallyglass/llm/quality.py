@@ -24,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.exprs import q
 from .arrays import ALNUM, SPACE, U, mix, runs, texts, word_hashes, words
+from .rows import extend
 
 BUCKETS, DIMS, NONZERO, WINDOW = 1 << 14, 64, 4, 2
 POOLED = 2 * DIMS + 2
@@ -75,7 +77,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
             rows = used[at:at + 2048]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *[pa.array(np.ascontiguousarray(table[rows, i])) for i in range(DIMS)]], ["b", *names])
 
-    parts = docs.select(F.col(f"`{text}`")).mapInArrow(run, "b int, " + ", ".join(f"{n} long" for n in names))
+    parts = docs.select(q(text)).mapInArrow(run, "b int, " + ", ".join(f"{n} long" for n in names))
     got = parts.groupBy("b").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # BUCKETS rows at most
     table = np.zeros((BUCKETS, DIMS))
     if got.num_rows:
@@ -158,14 +160,14 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, key: str = "doc_id", text: str = "text", label: str = "quality",
           learn=None, sample: int = SAMPLE) -> Network:
     """``learn``: condition on the key that a labelled row must meet.  The sample takes rows by a hash of the key."""
-    rows = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("y")).filter("y is not null and k is not null")
+    rows = labels.select(q(key).alias("k"), q(label).alias("y")).filter("y is not null and k is not null")
     if learn is not None:
         rows = rows.filter(learn(F.col("k")))
     n = rows.count()
     if n > sample:
         rows = rows.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     rows = rows.groupBy("k").agg(F.min("y").alias("y"))  # about `sample` rows: the bound of the broadcast
-    picked = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(rows), "k")
+    picked = docs.select(q(key).alias("k"), q(text).alias("t")).join(F.broadcast(rows), "k")
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -187,18 +189,18 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     table = word_vectors(docs, text)
     context = docs.sparkSession.sparkContext
     held = context.broadcast((table, train(docs, labels, table, key, text, label, learn, sample)))
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    base = docs.select(*[F.col(f"`{c}`") for c in rest])
-    schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
-    def run(batches):
+    def run():
         vectors, network = held.value
-        for batch in batches:
-            scores = [network.probability(_pool(vectors, raw, offsets)) for _, _, raw, offsets in runs(texts(batch.column(rest.index(text))), RUN)]
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*rest, "score", "predicted"])
 
-    return base.mapInArrow(run, schema)
+        def work(batch, place):
+            for at, _, raw, offsets in runs(texts(batch.column(place[text])), RUN):
+                score = network.probability(_pool(vectors, raw, offsets))
+                yield at, [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
+
+        return work
+
+    return extend(docs, run, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
 
 def _held_out(key):
@@ -214,4 +216,4 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be of quality 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels, learn=lambda k: ~_held_out(k)).filter("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return classify(docs, labels, learn=lambda k: ~_held_out(k)).filter("predicted = 1").select(*[q(c) for c in docs.columns])

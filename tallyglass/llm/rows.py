@@ -1,8 +1,11 @@
-"""Taking rows out of a wide table by their keys without moving it."""
+"""Rows of wide tables: columns added by Arrow functions, rows taken out by their keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from ..functions.exprs import q
 
 BROADCAST_KEYS = 2_000_000
 
@@ -12,4 +15,25 @@ def without(df: DataFrame, key: str, keys: DataFrame, limit: int = BROADCAST_KEY
     broadcast, so the rows stay where they are; more are joined by shuffle."""
     gone = keys.select(F.col(keys.columns[0]).alias("_gone")).distinct()
     side = F.broadcast(gone) if gone.count() <= limit else gone
-    return df.join(side, df[key].eqNullSafe(side["_gone"]), "left_anti")
+    return df.join(side, q(key).eqNullSafe(side["_gone"]), "left_anti")
+
+
+def extend(df: DataFrame, run, fields: list[T.StructField], hidden: dict | None = None) -> DataFrame:
+    """``df`` with the columns ``fields`` (those of ``df`` by these names go) that ``run(batch)`` gives as (first row, arrays)
+    for runs of its rows.  The batch has the columns of ``df`` in order, then the expressions ``hidden``, for the function alone."""
+    kept = [c for c in df.columns if c not in {f.name for f in fields}]
+    every = kept + [c for c in df.columns if c not in kept]  # a column that is replaced may be read
+    names = [f"c{i}" for i in range(len(every))]
+    base = df.select(*[q(c).alias(n) for c, n in zip(every, names)], *[e.alias(f"h{i}") for i, e in enumerate((hidden or {}).values())])
+    place = {c: i for i, c in enumerate([*every, *(hidden or {})])}
+    given = [f"n{i}" for i in range(len(fields))]
+    schema = T.StructType([*[T.StructField(n, base.schema[n].dataType) for n in names[:len(kept)]], *[T.StructField(n, f.dataType) for n, f in zip(given, fields)]])
+
+    def over(batches):
+        work = run()
+        for batch in batches:
+            for at, arrays in work(batch, place):
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, len(arrays[0])) for i in range(len(kept))], *arrays], schema.names)
+
+    out = base.mapInArrow(over, schema)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, kept)], *[F.col(n).alias(f.name) for n, f in zip(given, fields)])
