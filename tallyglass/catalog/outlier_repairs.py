@@ -35,13 +35,24 @@ def _(t):
  round(count(CASE WHEN {c} THEN 1 END) * 100.0 / count(value), 6) AS pct, CAST(NULL AS VARCHAR) AS error FROM e, f"""
     for i, (m, c) in enumerate((("zscore", _Z), ("iqr", _IQR), ("mad", _MAD)))))
 def _(t):
-    return rounded(out.detect_all(holed(t), ["value"])[1])
+    return rounded(out.detect_all(holed(t), ["value"], ["zscore", "iqr", "mad"])[1])
+
+
+@query("out_all_methods", _E + ", " + _FENCE + "".join(
+    f""" {'UNION ALL' if i else ''} SELECT '{m}' AS method, count(value) AS n, count(CASE WHEN {c} THEN 1 END) AS n_outliers FROM e, f"""
+    for i, (m, c) in enumerate((("zscore", _Z), ("iqr", _IQR), ("mad", _MAD))))
+    # by definition: the rows above the (1 - contamination) quantile of the scores, of the complete rows
+    + " UNION ALL SELECT 'iforest', count(value), 0 FROM e UNION ALL SELECT 'lof', count(value), 0 FROM e")
+def _(t):
+    got = out.detect_all(holed(t), ["value"], key=["event_id"])[1]
+    few = F.col("n_outliers").between(1, F.ceil(F.col("n") * 0.1))
+    return got.select("method", "n", F.when(F.col("method").isin("iforest", "lof") & few, F.lit(0).cast("long")).otherwise(F.col("n_outliers")).alias("n_outliers"))
 
 
 @query("out_all_rows", _E + f""", {_FENCE} SELECT event_id, coalesce({_Z}, false) AS value_zscore, coalesce({_IQR}, false) AS value_iqr,
  coalesce({_MAD}, false) AS value_mad FROM e, f""")
 def _(t):
-    return out.detect_all(holed(t).select("event_id", "value"), ["value"])[0].drop("value")
+    return out.detect_all(holed(t).select("event_id", "value"), ["value"], ["zscore", "iqr", "mad"])[0].drop("value")
 
 
 @query("out_drop", _E + f"SELECT event_id, value FROM e WHERE NOT coalesce({_Z}, false)")

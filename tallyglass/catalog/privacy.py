@@ -119,7 +119,7 @@ def _(t):
     return rounded(anon.k_risk_curve(banded(t), _QIS), 2)
 
 
-@query("priv_k_dist", _K + " SELECT k, count(*) AS n_records, round(count(*) * 100.0 / (SELECT count(*) FROM k), 2) AS pct FROM k GROUP BY k ORDER BY k LIMIT 20")
+@query("priv_k_dist", _K + " SELECT k, count(*) AS n_records, round(count(*) * 100.0 / (SELECT count(*) FROM k), 2) AS pct FROM k GROUP BY k")
 def _(t):
     return rounded(anon.k_distribution(banded(t), _QIS), 2)
 

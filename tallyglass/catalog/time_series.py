@@ -37,6 +37,27 @@ def _(t):
     return ts.detect_series(ts.resample(t.events, "ts", "value", "H"))
 
 
+_QUARTERS = "SELECT DISTINCT time_bucket(INTERVAL 15 MINUTE, ts) AS time FROM events"
+
+
+@query("ts_detect_15min", f"""WITH g AS ({_QUARTERS}), d AS (SELECT time - lag(time) OVER (ORDER BY time) AS gap FROM g),
+ m AS (SELECT gap, count(*) AS n FROM d WHERE gap IS NOT NULL GROUP BY 1 ORDER BY n DESC, gap LIMIT 1)
+ SELECT {_stamp('min(time)')} AS first, {_stamp('max(time)')} AS last, count(*) AS n_points, CASE WHEN (SELECT n FROM m) = (SELECT count(gap) FROM d) OR (SELECT n FROM m) > 0.8 * (SELECT count(gap) FROM d)
+ THEN (SELECT CAST(CAST(epoch(gap) AS BIGINT) // 60 AS VARCHAR) || 'T' FROM m) END AS frequency FROM g""")
+def _(t):
+    quarter = F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 900) * 900).cast("timestamp_ntz")
+    got = ts.detect_series(t.events.select(quarter.alias("time"), F.lit(1.0).alias("x")).distinct(), "time")
+    return got.select("first", "last", "n_points", "frequency")
+
+
+@query("ts_detect_weekly", f"""WITH w AS (SELECT DISTINCT date_trunc('week', l_shipdate) + INTERVAL 2 DAY AS time FROM lineitem), d AS (SELECT time - lag(time) OVER (ORDER BY time) AS gap FROM w)
+ SELECT {_stamp('min(time)')} AS first, {_stamp('max(time)')} AS last, count(*) AS n_points, (SELECT CASE WHEN min(gap) = max(gap) AND min(gap) = INTERVAL 7 DAY THEN 'W-WED' ELSE 'other' END FROM d) AS frequency FROM w""")
+def _(t):
+    day = F.date_add(F.to_date(F.date_trunc("week", F.col("l_shipdate"))), 2).cast("timestamp_ntz")
+    got = ts.detect_series(t.lineitem.select(day.alias("time"), F.lit(1.0).alias("x")).distinct(), "time")
+    return got.select("first", "last", "n_points", "frequency")
+
+
 _GRID = {"D": "date_trunc('day', ts)", "H": "date_trunc('hour', ts)", "T": "date_trunc('minute', ts)",
          "W": "date_trunc('week', ts) + INTERVAL 6 DAY", "M": "CAST(last_day(ts) AS TIMESTAMP)"}
 _AGG = {"mean": "avg(value)", "sum": "sum(value)", "median": "median(value)", "first": "arg_min(value, (ts, event_id))", "last": "arg_max(value, (ts, event_id))"}

@@ -149,19 +149,19 @@ def recipe_input(t):
  concat(substr(event_type, 1, length(event_type) - CAST(floor(length(event_type) * 0.4) AS BIGINT)), repeat('*', CAST(floor(length(event_type) * 0.4) AS BIGINT))) AS event_type_masked,
  sha256(CAST(user_id AS VARCHAR)) AS user_text_hashed FROM l""")
 def _(t):
-    return rounded(apply_recipe(recipe_input(t), steps_of(_STEPS))[0])
+    return rounded(apply_recipe(recipe_input(t), steps_of(_STEPS), on_error="skip", unprotected=True)[0])
 
 
 @query("recipe_log", "SELECT * FROM (VALUES " + ", ".join(
     f"({i}, '{s['action']}', '{s['column']}', '{'skipped' if i in _REASONS else 'applied'}', {repr(_REASONS[i]) if i in _REASONS else 'NULL'})"
     for i, s in enumerate(_STEPS)) + ") v(position, action, \"column\", status, reason) WHERE (SELECT min(value) - 50 < 0 FROM events)")
 def _(t):
-    return apply_recipe(recipe_input(t), steps_of(_STEPS), dry_run=True)[1].drop("category", "output")
+    return apply_recipe(recipe_input(t), steps_of(_STEPS), dry_run=True, on_error="skip")[1].drop("category", "output")
 
 
 @query("recipe_summary", """SELECT 13 AS n_steps, 9 AS n_applied, 4 AS n_skipped, 'event_type,user_id,user_text,value,value_log' AS columns_modified WHERE (SELECT min(value) - 50 < 0 FROM events)""")
 def _(t):
-    return recipe_summary(apply_recipe(recipe_input(t), steps_of(_STEPS))[1])
+    return recipe_summary(apply_recipe(recipe_input(t), steps_of(_STEPS), on_error="skip", unprotected=True)[1])
 
 
 @query("recipe_features", """WITH c AS (SELECT p_type, count(*) * 1.0 / (SELECT count(*) FROM part) AS f FROM part GROUP BY 1),

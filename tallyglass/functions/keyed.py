@@ -11,7 +11,6 @@ from .exprs import cells, q
 BROADCAST_BYTES = 64 << 20
 ROW_OVERHEAD = 48
 HOT_SHARE = 256
-SALTS = 1_024
 
 
 def _on(left: DataFrame, right: DataFrame, keys: list[str]):
@@ -39,9 +38,9 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner",
            broadcast_bytes: int | None = None, n_keys: int | None = None) -> DataFrame:
     """Null-safe join of ``df`` with per-key ``stats`` (one row per key of ``df``).
 
-    A small side (its size is checked) is broadcast.  Otherwise both sides shuffle once; keys holding more
-    than 1/256 of the rows, at most 256 of them, get their stats from a broadcast of those few rows
-    and travel under a salt, so no task receives a hot key whole.
+    A small side (its size is checked) is broadcast.  Otherwise keys holding more than 1/256 of the rows, at most
+    256 of them, get their stats from a broadcast of those few rows and stay where they are; only the rows of the
+    other keys shuffle, so no task receives a hot key.
 
     ``n_keys``: the number of keys when the caller has counted them already.
     """
@@ -56,18 +55,13 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner",
            .filter(F.col("_n") * HOT_SHARE > total).drop("_n"))
     if not hot.limit(1).count():
         return df.join(side, _on(df, side, keys), how).drop(*drop)
-    same = reduce(lambda a, b: a & b, [side[c].eqNullSafe(hot[c]) for c in drop])
-    few = side.join(F.broadcast(hot), same, "left_semi").select(
-        *[F.col(c).alias("_h" + c) for c in drop], F.lit(True).alias("_hot"), *[q(c).alias("_h_" + c) for c in payload])
-    wide = df.join(F.broadcast(few), reduce(lambda a, b: a & b, [q(k).eqNullSafe(F.col("_h_k_" + k)) for k in keys]), "left")
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[q(c) for c in df.columns]), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long"))
-    wide = wide.withColumn("_salt", salt)
-    side = side.withColumn("_side_salt", F.lit(0).cast("long"))
-    on = _on(wide, side, keys) & (F.col("_salt") == F.col("_side_salt"))
-    joined = wide.join(side, on, "left").withColumn("_hit", F.col("_hot") | F.col("_side_salt").isNotNull())
-    if how == "inner":
-        joined = joined.filter("_hit")
-    return joined.select(*[q(c) for c in df.columns], *[F.when(F.col("_hot"), F.col(f"`_h_{c}`")).otherwise(q(c)).alias(c) for c in payload])
+    hot = F.broadcast(hot)  # at most HOT_SHARE rows
+    few = side.join(hot, reduce(lambda a, b: a & b, [side[c].eqNullSafe(hot[c]) for c in drop]), "left_semi")
+    names = [*df.columns, *payload]
+    held = df.join(F.broadcast(few), _on(df, few, keys), how).select(*[q(c) for c in names]) if how == "inner" else (
+        df.join(hot, _on(df, hot, keys), "left_semi").join(F.broadcast(few), _on(df, few, keys), how).select(*[q(c) for c in names]))
+    cold = df.join(hot, _on(df, hot, keys), "left_anti")
+    return held.unionByName(cold.join(side, _on(cold, side, keys), how).select(*[q(c) for c in names]))
 
 
 def frequency(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:

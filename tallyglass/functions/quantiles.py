@@ -1,10 +1,9 @@
 """Exact linear-interpolated quantiles without sorting or gathering a column.
 
-Small inputs (row count checked) use Spark's exact ``percentile``.  Beyond that a
-sketch brackets every wanted order statistic, one scan counts the values below
-and inside each bracket, and only the distinct values inside brackets are
-shuffled.  Brackets that still hold too many distinct values are narrowed again,
-so the work stays a few scans and a shuffle of a tiny share of the rows.
+The first scan counts, takes the range and brackets every wanted order statistic with a sketch; the second counts
+the values below and inside each bracket; then only the distinct values inside brackets are shuffled.  Brackets
+that still hold too many distinct values are narrowed again, so the work stays a few scans and a shuffle
+of a tiny share of the rows, for any number of rows and columns.
 """
 
 from __future__ import annotations
@@ -15,23 +14,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .exprs import collect_stats
 
-PERCENTILE_ROWS = 2_000_000
 SKETCH_ACCURACY = 10_000
 BRACKET_VALUES = 50_000
 
 
-def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], small_rows: int | None = None,
-              bracket_values: int = BRACKET_VALUES) -> dict[str, list[float | None]]:
+def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], bracket_values: int = BRACKET_VALUES) -> dict[str, list[float | None]]:
     """``wanted`` maps a name to (double column, probabilities)."""
-    small_rows = PERCENTILE_ROWS if small_rows is None else small_rows
-    if not wanted:
-        return {}
-    if df.count() <= small_rows:
-        got = collect_stats(df, {
-            name: F.percentile(x, F.array(*[F.lit(float(p)) for p in ps])) for name, (x, ps) in wanted.items()})
-        return {name: list(got[name]) if got[name] is not None else [None] * len(ps)
-                for name, (_, ps) in wanted.items()}
-    return _bracketed(df, wanted, bracket_values)
+    return _bracketed(df, wanted, bracket_values) if wanted else {}
 
 
 def _position(n: int, p: float) -> float:
@@ -40,40 +29,37 @@ def _position(n: int, p: float) -> float:
 
 
 def _bracketed(df, wanted, bracket_values):
+    eps = 2.0 / SKETCH_ACCURACY
     first = {}
-    for name, (x, _) in wanted.items():
+    for name, (x, ps) in wanted.items():
         first[name, "n"] = F.count(x)
         first[name, "lo"] = F.min(x)
         first[name, "hi"] = F.max(x)
+        if ps:
+            near = [max(0.0, min(1.0, p + e)) for p in ps for e in (-eps, eps)]
+            first[name, "cuts"] = F.percentile_approx(x, F.array(*[F.lit(v) for v in near]), F.lit(SKETCH_ACCURACY))
     base = collect_stats(df, first)
     # One target per order statistic: 0-based rank among the non-null values.
-    ranks = {}
+    open_, cuts = {}, {}
     for name, (_, ps) in wanted.items():
         n = base[name, "n"]
-        for p in ps:
+        for i, p in enumerate(ps if n else ()):
             h = _position(n, p)
-            for r in {math.floor(h), math.ceil(h)} if n else ():
-                ranks.setdefault(name, set()).add(r)
-    open_ = {(name, r): (base[name, "lo"], base[name, "hi"]) for name, rs in ranks.items() for r in rs}
+            for r in {math.floor(h), math.ceil(h)}:
+                open_[name, r] = (base[name, "lo"], base[name, "hi"])
+                cuts[name, r] = tuple(base[name, "cuts"][2 * i:2 * i + 2])
     below = {t: 0 for t in open_}
     inside = {t: base[t[0], "n"] for t in open_}
     found: dict[tuple[str, int], float] = {}
     ready: dict[tuple[str, int], tuple[float, float]] = {}
+    under: dict[tuple[str, int], int] = {}
     while open_:
-        sketch = {}
-        for t, (lo, hi) in open_.items():
-            x = wanted[t[0]][0]
-            pos = (t[1] - below[t]) / max(inside[t] - 1, 1)
-            eps = 2.0 / SKETCH_ACCURACY
-            cut = F.when(x.between(F.lit(lo), F.lit(hi)), x)
-            sketch[t] = F.percentile_approx(
-                cut, F.array(F.lit(max(0.0, pos - eps)), F.lit(min(1.0, pos + eps))), F.lit(SKETCH_ACCURACY))
-        cuts = collect_stats(df, sketch)
         counts = {}
-        for t, (lo, hi) in open_.items():
+        for t in open_:
             x, (a, b) = wanted[t[0]][0], cuts[t]
             counts[t, "below"] = F.count_if(x < F.lit(a))
             counts[t, "in"] = F.count_if(x.between(F.lit(a), F.lit(b)))
+            counts[t, "top"] = F.count_if(x == F.lit(b))
             counts[t, "distinct"] = F.approx_count_distinct(F.when(x.between(F.lit(a), F.lit(b)), x))
         seen = collect_stats(df, counts)
         nxt = {}
@@ -81,16 +67,22 @@ def _bracketed(df, wanted, bracket_values):
             (a, b), lt, inn = cuts[t], seen[t, "below"], seen[t, "in"]
             if not lt <= t[1] < lt + inn:
                 # The sketch missed: keep the side that must hold the rank and solve it exactly.
-                ready[t] = (lo, a) if t[1] < lt else (b, hi)
+                ready[t], under[t] = ((lo, a), below[t]) if t[1] < lt else ((b, hi), lt + inn - seen[t, "top"])
             elif a == b:
                 found[t] = a
             elif seen[t, "distinct"] <= bracket_values or (a, b) == (lo, hi):
-                ready[t] = (a, b)
+                ready[t], under[t] = (a, b), lt
             else:
                 nxt[t] = (a, b)
                 below[t], inside[t] = lt, inn
-        open_ = nxt
-    found.update(_pick(df, wanted, ready))
+        open_, sketch = nxt, {}
+        for t, (lo, hi) in open_.items():
+            x = wanted[t[0]][0]
+            pos = (t[1] - below[t]) / max(inside[t] - 1, 1)
+            cut = F.when(x.between(F.lit(lo), F.lit(hi)), x)
+            sketch[t] = F.percentile_approx(cut, F.array(F.lit(max(0.0, pos - eps)), F.lit(min(1.0, pos + eps))), F.lit(SKETCH_ACCURACY))
+        cuts = {t: tuple(c) for t, c in collect_stats(df, sketch).items()} if sketch else {}
+    found.update(_pick(df, wanted, ready, under))
     out = {}
     for name, (_, ps) in wanted.items():
         n = base[name, "n"]
@@ -106,8 +98,8 @@ def _bracketed(df, wanted, bracket_values):
     return out
 
 
-def _pick(df, wanted, ready):
-    """Order statistics inside their brackets, by distributed cumulative counts."""
+def _pick(df, wanted, ready, lows):
+    """Order statistics inside their brackets, by distributed cumulative counts; ``lows`` counts the values below each."""
     from .ordered import running_totals
 
     if not ready:
@@ -118,7 +110,6 @@ def _pick(df, wanted, ready):
                F.struct(F.lit(i).alias("target"), wanted[t[0]][0].alias("value")))
         for i, t in enumerate(targets)]), lambda s: s.isNotNull())
     freq = (df.select(F.explode(cands).alias("c")).groupBy("c.target", "c.value").agg(F.count(F.lit(1)).alias("n")))
-    lows = collect_stats(df, {t: F.count_if(wanted[t[0]][0] < F.lit(ready[t][0])) for t in targets})
     cum = running_totals(freq, "value", ["n"], group=["target"], rows=None)
     hit = None
     for i, t in enumerate(targets):
@@ -128,18 +119,11 @@ def _pick(df, wanted, ready):
     return {targets[r["target"]]: r["value"] for r in cum.filter(hit).select("target", "value").collect()}
 
 
-def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, list[int]]], small_rows: int | None = None
-                     ) -> dict[str, list[float | None]]:
+def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, list[int]]]) -> dict[str, list[float | None]]:
     """Values at 0-based ranks among the non-null values of each column."""
-    small_rows = PERCENTILE_ROWS if small_rows is None else small_rows
     n = collect_stats(df, {name: F.count(x) for name, (x, _) in wanted.items()})
-    if max(n.values(), default=0) <= small_rows:
-        got = collect_stats(df.select(*[x.alias(f"_v{i}") for i, (x, _) in enumerate(wanted.values())]), {
-            (name, r): F.expr(f"percentile_disc({(r + 0.5) / max(n[name], 1)!r}D) WITHIN GROUP (ORDER BY _v{i})")
-            for i, (name, (_, rs)) in enumerate(wanted.items()) for r in rs})
-        return {name: [got[name, r] for r in rs] for name, (_, rs) in wanted.items()}
     # A probability that lands exactly on a rank: the bracket search snaps to it.
-    return quantiles(df, {name: (x, [r / max(n[name] - 1, 1) for r in rs]) for name, (x, rs) in wanted.items()}, small_rows)
+    return quantiles(df, {name: (x, [r / max(n[name] - 1, 1) for r in rs]) for name, (x, rs) in wanted.items()})
 
 
 def one_column(df: DataFrame, x: Column, probs: list[float]) -> list[float | None]:

@@ -12,7 +12,6 @@ from .profile import profile_columns
 # fixed values: settings
 QI_LEVELS = (2, 100)
 RISK_STEPS = (1, 2, 3, 5, 10, 20, 50, 100)
-DISTRIBUTION_ROWS = 20
 TARGET_K = 5
 
 
@@ -41,8 +40,8 @@ def vulnerable(df: DataFrame, qis: list[str], k: int = 5) -> DataFrame:
     return k_anonymity(df, qis).filter(F.col("k") < k)
 
 
-def k_distribution(df: DataFrame, qis: list[str], rows: int | None = DISTRIBUTION_ROWS) -> DataFrame:
-    """Records per k: the smallest ``rows`` values of k (all of them when None)."""
+def k_distribution(df: DataFrame, qis: list[str], rows: int | None = None) -> DataFrame:
+    """Records per k; the smallest ``rows`` values of k when given."""
     total = df.count()
     out = group_sizes(df, qis).groupBy("k").agg(F.sum("k").alias("n_records")).withColumn(
         "pct", F.round(F.col("n_records") * 100.0 / F.lit(float(max(total, 1))), 2)).orderBy("k")

@@ -198,7 +198,7 @@ def analyze(ref: DataFrame, cur: DataFrame, cols=None, methods: list[str] | None
     for m in methods:
         try:
             parts.append(runs[m]())
-        except Exception as exc:  # noqa: BLE001 - one method must not stop the others
+        except ValueError as exc:  # input that the method refuses; failures of the engine are raised
             parts.append(records(ref.sparkSession, [(m, None, None, None, None, None, None, None, None, type(exc).__name__)],
                                  MEASURE_SCHEMA))
     return reduce(DataFrame.unionByName, parts)

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import collect_stats, num, q, ratio, records, resolve, tidy
+from ..functions.keyed import attach
 from ..functions.quantiles import quantiles
+from ..functions.store import materialise
 
 # fixed values: detector defaults
 Z_LIMIT = 3.0
@@ -76,6 +78,7 @@ def _never(df: DataFrame, c: str) -> Column:
     return F.lit(False)
 
 
+SUMMARY = "method string, column string, n bigint, n_outliers bigint, pct double, error string"
 METHODS = {"zscore": zscore_flags, "iqr": iqr_flags, "mad": mad_flags}
 
 
@@ -107,25 +110,56 @@ def flag_stats(df: DataFrame, cols, flags: dict[str, Column], method: str) -> Da
         F.coalesce(ratio(F.count_if(flags[c]) * 100.0, F.count(num(df, c))), F.lit(0.0)).alias("pct")) for c in cols])
 
 
-def detect_all(df: DataFrame, cols=None, methods: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows with a flag per method and column, summary).  A failing method becomes a summary row
-    with its error; an unknown method is an error at once."""
+#: Methods that look at the columns together: they flag rows, not values.
+JOINT = ("iforest", "lof")
+
+
+def detect_all(df: DataFrame, cols=None, methods: list[str] | None = None, key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with a flag per method and column, summary).
+
+    ``methods`` from zscore, iqr, mad (a flag per column) and iforest, lof (one flag ``iforest`` / ``lof`` per row over all columns; rows with a
+    missing value are never flagged, percentages are of the complete rows).  iforest needs ``key``, the columns that tell rows
+    apart; without it the default leaves it out.  A method that refuses its input (too few rows) becomes a summary row with its error;
+    failures of the engine are raised, and so is an unknown method."""
     cols = resolve(df, cols, "numeric")
-    methods = methods or list(METHODS)
-    unknown = [m for m in methods if m not in METHODS]
+    methods = methods or [*METHODS, *[m for m in JOINT if m == "lof" or key]]
+    unknown = [m for m in methods if m not in METHODS and m not in JOINT]
     if unknown:
         raise ValueError(f"unknown methods: {unknown}")
-    flagged, summaries = [], []
+    if "iforest" in methods and not key:
+        raise ValueError("iforest needs key")
+    flagged, summaries, joint = [], [], []
     for m in methods:
         try:
-            flags = METHODS[m](df, cols)
-            part = flag_stats(df, cols, flags, m).withColumn("error", F.lit(None).cast("string"))
-            flagged += [f.alias(f"{c}_{m}") for c, f in flags.items()]
-        except Exception as exc:  # noqa: BLE001 - one method must not stop the others
-            part = records(df.sparkSession, [(m, None, None, None, None, type(exc).__name__)],
-                           "method string, column string, n bigint, n_outliers bigint, pct double, error string")
+            if m in JOINT:
+                points = _joint(df, cols, m, key)
+                got = points.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("flag"), F.col("n")).otherwise(0)).alias("k")).first()
+                part = records(df.sparkSession, [(m, ",".join(cols), got["n"], got["k"], 100.0 * got["k"] / got["n"], None)], SUMMARY)
+                joint.append((m, points))
+            else:
+                flags = METHODS[m](df, cols)
+                part = flag_stats(df, cols, flags, m).withColumn("error", F.lit(None).cast("string"))
+                flagged += [f.alias(f"{c}_{m}") for c, f in flags.items()]
+        except ValueError as exc:
+            part = records(df.sparkSession, [(m, None, None, None, None, type(exc).__name__)], SUMMARY)
         summaries.append(part)
-    return df.select("*", *flagged), reduce(DataFrame.unionByName, summaries)
+    out = df.select("*", *flagged)
+    for m, points in joint:
+        values = [num(df, c) for c in cols]
+        place = F.when(reduce(lambda a, b: a & b, [v.isNotNull() for v in values]), F.to_json(F.array(*values)))
+        marked = attach(out.withColumn("_place", place), points.select(F.col("place").alias("_place"), F.col("flag").alias(m)), ["_place"], how="left")
+        out = marked.withColumn(m, F.coalesce(F.col(m), F.lit(False))).drop("_place")
+    return out, reduce(DataFrame.unionByName, summaries)
+
+
+def _joint(df: DataFrame, cols: list[str], method: str, key: list[str] | None) -> DataFrame:
+    """(place, n, flag): every distinct complete row of the columns as text, its copies and whether the method flags it."""
+    from .isolation import isolation_forest
+    from .neighbours import lof
+
+    marked, name = (isolation_forest(df, key, cols), "iforest_outlier") if method == "iforest" else (lof(df, cols), "lof_outlier")
+    place = F.to_json(F.array(*[num(df, c) for c in cols]))
+    return materialise(marked.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"), F.max(name).alias("flag")), method)
 
 
 def drop_outliers(df: DataFrame, cols, limit: float = Z_LIMIT) -> DataFrame:

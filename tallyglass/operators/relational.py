@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.exprs import q
 from ..sources.tables import known_columns
 
-SEARCH_LIMIT = 100  # fixed value: matches offered by the value search
-
-
 def keep(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[q(c) for c in known_columns(df, cols)])
 
@@ -36,16 +33,19 @@ def filter_in(df: DataFrame, col: str, values: list) -> DataFrame:
     return df.filter(q(col).cast("string").isin([str(v) for v in values]))
 
 
-def search_values(df: DataFrame, col: str, term: str, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """Distinct values containing ``term`` in any case: the first ``limit`` in value order."""
-    text = q(col).cast("string")
-    return (df.filter(F.lower(text).contains(term.lower())).select(text.alias("value")).distinct()
-            .orderBy("value").limit(limit))
+def _contains(col: str, term: str) -> Column:
+    return F.lower(q(col).cast("string")).contains(term.lower())
+
+
+def search_values(df: DataFrame, col: str, term: str, limit: int | None = None) -> DataFrame:
+    """Distinct values containing ``term`` in any case, in value order; the first ``limit`` for a pick list."""
+    found = df.filter(_contains(col, term)).select(q(col).cast("string").alias("value")).distinct().orderBy("value")
+    return found if limit is None else found.limit(limit)
 
 
-def filter_search(df: DataFrame, col: str, term: str, limit: int = SEARCH_LIMIT) -> DataFrame:
-    hits = F.broadcast(search_values(df, col, term, limit))
-    return df.join(hits, q(col).cast("string") == hits["value"], "left_semi")
+def filter_search(df: DataFrame, col: str, term: str) -> DataFrame:
+    """Rows whose value contains ``term`` in any case."""
+    return df.filter(_contains(col, term))
 
 
 def value_counts(df: DataFrame, col: str, n: int = 10) -> DataFrame:

@@ -78,21 +78,20 @@ def _gaps(df: DataFrame, time: str, series_key: str | None) -> DataFrame:
     return near.select("_series", gap.alias("gap"), "_prev", "_t")
 
 
-def _code(seconds: float) -> str:
-    days, rest = int(seconds // 86400), seconds - 86400 * int(seconds // 86400)
-    if days == 1 and rest == 0:
-        return "D"
-    if days == 7:
-        return "W"
-    if 28 <= days <= 31:
-        return "M"
-    if days >= 365:
-        return "Y"
-    if rest == 3600:
-        return "H"
-    if rest == 60:
-        return "T"
-    return f"{days}D {int(rest)}S"
+#: units of a regular gap, the largest first
+UNITS = {"W": 604800, "D": 86400, "H": 3600, "T": 60, "S": 1}
+WEEK_DAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
+
+
+def _code(seconds: float, weekday: int | None = None) -> str:
+    """The largest unit that divides the gap, with its multiple in front if that is not 1 (2H, 15T, 3D).  Weeks name
+    the day on which all times fall, if there is one."""
+    for unit, size in UNITS.items():
+        times, rest = divmod(seconds, size)
+        if times >= 1 and rest == 0:
+            anchor = f"-{WEEK_DAYS[weekday]}" if unit == "W" and weekday is not None else ""
+            return (f"{int(times)}" if times > 1 else "") + unit + anchor
+    return f"{seconds:g}S"
 
 
 def detect_series(df: DataFrame, time: str | None = None, series_key: str | None = None) -> DataFrame:
@@ -120,10 +119,11 @@ def detect_series(df: DataFrame, time: str | None = None, series_key: str | None
         s = gaps.agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("lo"), F.max("gap").alias("hi"),
                      *[F.count_if(both_first & (step == k)).alias(f"s{k}") for k in (1, 3, 12)],
                      *[F.count_if(both_last & (step == k)).alias(f"e{k}") for k in (1, 3, 12)],
-                     F.count_if(business).alias("b")).first()
+                     F.count_if(business).alias("b"), F.min(F.weekday("_t")).alias("first_day"), F.max(F.weekday("_t")).alias("last_day")).first()
         if s["n"]:
             calendar = {"s1": "MS", "s3": "QS", "s12": "YS", "e1": "M", "e3": "Q", "e12": "Y", "b": "B"}
-            exact = _code(s["lo"]) if s["lo"] == s["hi"] else next((c for k, c in calendar.items() if s[k] == s["n"]), None)
+            day_of = s["first_day"] if s["first_day"] == s["last_day"] else None
+            exact = _code(s["lo"], day_of) if s["lo"] == s["hi"] else next((c for k, c in calendar.items() if s[k] == s["n"]), None)
             if exact:
                 regular, freq, conf = True, exact, "high"
             else:
@@ -264,8 +264,8 @@ def arma_orders(df: DataFrame, time: str, value: str, lags: int = MAX_LAGS, seri
 def period_of(freq: str | None) -> int:
     if not freq:
         return DEFAULT_PERIOD
-    f = freq.upper()
-    return PERIODS.get(f, PERIODS.get(f[0], DEFAULT_PERIOD))
+    unit = freq.upper().split("-")[0].lstrip("0123456789.")
+    return PERIODS.get(unit, PERIODS.get(unit[:1], DEFAULT_PERIOD))
 
 
 def decompose(df: DataFrame, time: str, value: str, period: int, model: str = "additive", series_key: str | None = None,

@@ -25,7 +25,7 @@ MIN_FREQUENCY = 5
 TOP_CATEGORIES = 10
 BINS = 4
 QUARTILES = ["Q1", "Q2", "Q3", "Q4"]
-ONE_HOT_LEVELS = 1_000
+ONE_HOT_COLUMNS = 1_000
 INTERACTION_R, INTERACTION_PAIRS = 0.4, 5
 SORT_LEVELS = 1_000_000
 
@@ -91,11 +91,16 @@ def word_count(x: Column) -> Column:
 
 
 def _one_hot(df, c, p):
-    """0/1 column per sorted level; the level count is checked before levels are listed."""
-    drop_first = p.get("drop_first", True)
-    levels = [r[0] for r in df.filter(q(c).isNotNull()).select(q(c)).distinct().orderBy(q(c)).limit(ONE_HOT_LEVELS + 1).collect()]
-    if len(levels) > ONE_HOT_LEVELS:
-        raise ValueError(f"more than {ONE_HOT_LEVELS} levels in {c}")
+    """0/1 column per sorted level.  Beyond ``max_columns`` levels (counted first) the columns become one sparse vector
+    ``{c}_onehot``: its size and the place of its only 1, null where no level (or the dropped first one) stands."""
+    drop_first, most = p.get("drop_first", True), p.get("max_columns", ONE_HOT_COLUMNS)
+    levels = [r[0] for r in df.filter(q(c).isNotNull()).select(q(c)).distinct().orderBy(q(c)).limit(most + 1).collect()]
+    if len(levels) > most:
+        codes = level_codes(df, c)
+        n = codes.count() - drop_first
+        place = F.col("code") - int(drop_first)
+        coded = attach(df, codes, [c], how="left", n_keys=n + drop_first)
+        return coded.withColumn(f"{c}_onehot", F.struct(F.lit(n).cast("long").alias("size"), F.when(place >= 0, place).alias("index"))).drop(c, "code")
     shown = levels[1:] if drop_first else levels
     rest = [q(k) for k in df.columns if k != c]
     return df.select(*rest, *[F.coalesce(q(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}") for v in shown])
@@ -239,8 +244,7 @@ OPS: dict[str, Op] = {
     "word_count": Op(lambda df, c, p, s: word_count(q(c)), suffix="_wordcount"),
     "redact": Op(lambda df, c, p, s: F.lit(p.get("replacement", REDACTED))),
     "hash": Op(_hash, suffix="_hashed"),
-    "mask": Op(lambda df, c, p, s: mask_text(q(c), p.get("mask_percentage", MASK_SHARE)) if kind(df.schema[c].dataType) == "categorical"
-               else q(c), suffix="_masked"),
+    "mask": Op(lambda df, c, p, s: mask_text(q(c).cast("string"), p.get("mask_percentage", MASK_SHARE)), suffix="_masked"),
     "cast": Op(lambda df, c, p, s: q(c).try_cast(p["dtype"]) if not s["lost"] else q(c),
                lambda df, c, p: {"lost": F.count_if(q(c).isNotNull() & q(c).try_cast(p["dtype"]).isNull())}),
     "power_transform": Op(None, numeric=True, suffix="_power", whole=_power),

@@ -72,7 +72,7 @@ def compare_recipe(df: DataFrame, steps) -> tuple[DataFrame, DataFrame]:
     inputs come from one pass over the table and those of all outputs from one pass over the result."""
     from .recipe import apply_recipe
 
-    out, log = apply_recipe(df, steps)
+    out, log = apply_recipe(df, steps, on_error="skip")
     done = [r for r in log.collect() if r["status"] == "applied"]  # one row per step
     before_cols, after_cols = columns_of(df, "numeric"), columns_of(out, "numeric")
     pairs = [(r["action"], r["column"], r["output"]) for r in done if r["column"] in before_cols and r["output"] in after_cols

@@ -5,13 +5,22 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import collect_stats, kind, num, q, records
 from ..functions.quantiles import quantiles
 from ..operators.transforms import OPS, _mode_small
 
 
+#: Steps that take personal data away: a table is never returned without them unless that is asked for.
+PRIVACY = ("redact", "hash", "mask", "generalize", "suppress", "bin", "drop")
+
+
+class RecipeError(ValueError):
+    """A step could not be applied."""
+
+
 @dataclass(frozen=True)
 class Step:
     action: str
@@ -20,6 +29,10 @@ class Step:
     category: str = "unknown"
 
 
+#: What a wrong step raises on purpose: bad or missing parameters, expressions that don't resolve.  Failures of the engine pass.
+VALIDATION = (ValueError, KeyError, AnalysisException, ParseException)
+
+
 def steps_of(rows: list[dict]) -> list[Step]:
     """Steps from plain records; parameters may be nested under ``params`` or stand beside the action."""
     out = []
@@ -75,10 +88,11 @@ def fit_recipe(df: DataFrame, steps: list[Step], persist: bool = False):
             try:
                 fn = _whole(op, step)
                 current = fn(current)
-                plan.append(fn)
-                log[i].update(status="applied", output=op.output(step.column))
-            except Exception as exc:  # noqa: BLE001 - a failing step is reported, the recipe goes on
+            except VALIDATION as exc:
                 log[i]["reason"] = f"error:{type(exc).__name__}"
+                continue
+            plan.append(fn)
+            log[i].update(status="applied", output=op.output(step.column))
             continue
         group.append((i, step))
         written.add(op.output(step.column))
@@ -128,7 +142,7 @@ def _run_group(df: DataFrame, group, log, plan) -> DataFrame:
             continue
         try:
             op.build(df, s.column, s.params, mine)
-        except Exception as exc:  # noqa: BLE001 - a failing step is reported, the recipe goes on
+        except VALIDATION as exc:
             log[i]["reason"] = f"error:{type(exc).__name__}"
             continue
         log[i].update(status="applied", output=op.output(s.column))
@@ -146,9 +160,18 @@ def _run_group(df: DataFrame, group, log, plan) -> DataFrame:
 LOG_SCHEMA = "position int, action string, column string, category string, status string, reason string, output string"
 
 
-def apply_recipe(df: DataFrame, steps: list[Step], dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(transformed table, log); a dry run returns the table unchanged."""
+def apply_recipe(df: DataFrame, steps: list[Step], dry_run: bool = False, on_error: str = "raise",
+                 unprotected: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(transformed table, log); a dry run returns the table unchanged.
+
+    ``on_error``: "raise" when any step was skipped, "skip" to go on without it.  Even then a skipped privacy step raises
+    unless ``unprotected`` asks for the table all the same."""
+    if on_error not in ("raise", "skip"):
+        raise ValueError(f"unknown on_error: {on_error}")
     apply, log = fit_recipe(df, steps)
+    lost = [r for r in log if r["status"] == "skipped" and (on_error == "raise" or r["action"] in PRIVACY and not unprotected)]
+    if lost and not dry_run:
+        raise RecipeError("; ".join(f"step {r['position']} {r['action']} of {r['column']}: {r['reason']}" for r in lost))
     rows = [tuple(r[k] for k in ("position", "action", "column", "category", "status", "reason", "output")) for r in log]
     return (df if dry_run else apply(df)), records(df.sparkSession, rows, LOG_SCHEMA)
 
@@ -159,11 +182,12 @@ def recipe_summary(log: DataFrame) -> DataFrame:
                    F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("status") == "applied", F.col("column"))))).alias("columns_modified"))
 
 
-def save_recipe(path: str, steps: list[Step]) -> None:
-    with open(path, "w") as f:
-        json.dump([{"action": s.action, "column": s.column, "params": s.params, "category": s.category} for s in steps], f, indent=1)
+def save_recipe(spark: SparkSession, path: str, steps: list[Step]) -> None:
+    """One JSON record per step, in any store that Spark writes to."""
+    rows = [(i, json.dumps({"action": s.action, "column": s.column, "params": s.params, "category": s.category})) for i, s in enumerate(steps)]
+    records(spark, rows, "position int, step string").coalesce(1).write.mode("overwrite").json(path)
 
 
-def load_recipe(path: str) -> list[Step]:
-    with open(path) as f:
-        return steps_of(json.load(f))
+def load_recipe(spark: SparkSession, path: str) -> list[Step]:
+    rows = spark.read.schema("position int, step string").json(path).collect()  # one row per step
+    return steps_of([json.loads(r["step"]) for r in sorted(rows, key=lambda r: r["position"])])

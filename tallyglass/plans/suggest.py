@@ -15,7 +15,6 @@ INDIRECT_PII = ["NAME", "ADDRESS", "URL", "IP_ADDRESS"]
 DIRECT_IDENTIFIERS = ["EMAIL", "SSN", "PHONE", "CREDIT_CARD", "PHONE_US", "IP_ADDRESS"]
 DESTRUCTIVE = ["redact", "suppress", "hash"]
 PROTECTIONS = ["hash", "mask", "redact", "generalize", "suppress", "bin"]
-MAX_PER_KIND = 4
 MAX_PAIRS, PAIR_R = 5, 0.4
 ONE_HOT_LEVELS = 12
 EMBED_LENGTH = 15
@@ -51,27 +50,41 @@ def suggest_utility(df: DataFrame, cols=None, lognormal: bool = True) -> DataFra
         cv = (s[c, "sd"] or 0.0) / s[c, "mean"] if s[c, "mean"] else 0.0
         pct = 100.0 * s[c, "far"] / n
         rank = sum(v is not None and var is not None and v > var for v in variances) / len(cols)
-        rows.append((c, _utility_rule(skew, pct, rank, cv, lo, hi, logn.get(c, False)), skew, s[c, "kurt"], cv, pct, rank))
+        rows.append((c, _utility_rule(skew=skew, outliers=pct, rank=rank, cv=cv, lo=lo, hi=hi, lognormal=logn.get(c, False)), skew, s[c, "kurt"], cv, pct, rank))
     flat = [(c, r[0], r[1], *rest) for c, r, *rest in rows if r]
     return records(df.sparkSession, [(c, t, float(k), *[None if v is None else float(v) for v in rest]) for c, t, k, *rest in flat], schema)
 
 
-def _utility_rule(skew, outlier_pct, variance_rank, cv, lo, hi, lognormal):
-    """(transformation, confidence) of the first rule that fires, else None."""
-    if (abs(skew) > 2.0 or lognormal) and lo >= 0:
-        confidence = min(0.9, abs(skew) / 5.0)
-        if lognormal:
-            confidence = min(0.95, confidence + 0.15)
-        return ("log_transform" if skew > 0 or lognormal else "power_transform"), confidence
-    if outlier_pct > 5.0:
-        return "robust_scaler", min(0.85, outlier_pct / 20.0)
-    if variance_rank < 0.3 and cv > 1.0:
-        return "standard_scaler", 0.75
-    if 0.75 < abs(skew) <= 2.0 and lo >= 0:
-        return "sqrt_transform", 0.70
-    if lo >= 0 and outlier_pct < 2.0 and not (lo == 0 and hi == 1):
-        return "minmax_scaler", 0.65
-    return None
+# fixed values: limits and confidences of the utility rules, in the order in which they are tried
+HEAVY_SKEW, HEAVY_BASE, HEAVY_MOST, LOGNORMAL_BONUS, LOGNORMAL_MOST = 2.0, 5.0, 0.9, 0.15, 0.95
+OUTLIER_PCT, OUTLIER_BASE, OUTLIER_MOST = 5.0, 20.0, 0.85
+LOW_RANK, HIGH_CV, STANDARD_CONFIDENCE = 0.3, 1.0, 0.75
+MILD_SKEW, SQRT_CONFIDENCE = 0.75, 0.70
+FEW_OUTLIERS_PCT, MINMAX_CONFIDENCE = 2.0, 0.65
+
+
+def _heavy_confidence(s):
+    base = min(HEAVY_MOST, abs(s["skew"]) / HEAVY_BASE)
+    return min(LOGNORMAL_MOST, base + LOGNORMAL_BONUS) if s["lognormal"] else base
+
+
+def _heavy(s):
+    return s["lo"] >= 0 and (s["lognormal"] or abs(s["skew"]) > HEAVY_SKEW)
+
+
+#: (transformation, condition, confidence) on the statistics of a column; the first that holds is suggested.
+UTILITY_RULES = [
+    ("log_transform", lambda s: _heavy(s) and (s["lognormal"] or s["skew"] > 0), _heavy_confidence),
+    ("power_transform", _heavy, _heavy_confidence),
+    ("robust_scaler", lambda s: s["outliers"] > OUTLIER_PCT, lambda s: min(OUTLIER_MOST, s["outliers"] / OUTLIER_BASE)),
+    ("standard_scaler", lambda s: s["rank"] < LOW_RANK and s["cv"] > HIGH_CV, lambda s: STANDARD_CONFIDENCE),
+    ("sqrt_transform", lambda s: s["lo"] >= 0 and MILD_SKEW < abs(s["skew"]) <= HEAVY_SKEW, lambda s: SQRT_CONFIDENCE),
+    ("minmax_scaler", lambda s: s["lo"] >= 0 and s["outliers"] < FEW_OUTLIERS_PCT and (s["lo"], s["hi"]) != (0, 1), lambda s: MINMAX_CONFIDENCE),
+]
+
+
+def _utility_rule(**stats):
+    return next(((name, confidence(stats)) for name, holds, confidence in UTILITY_RULES if holds(stats)), None)
 
 
 def suggest_privacy(df: DataFrame, scan: DataFrame | None = None, qis: DataFrame | None = None, every: bool = False) -> DataFrame:
@@ -172,9 +185,9 @@ def protection_totals(grid: DataFrame) -> DataFrame:
                     F.coalesce(F.try_divide(F.count_if(safe) * 100.0, n), F.lit(100.0)).alias("protection_rate"))
 
 
-def suggest_features(df: DataFrame, max_suggestions: int | None = 5) -> DataFrame:
-    """(position, column, feature): candidate features in rule order, at most four columns per kind."""
-    numeric, texts = columns_of(df, "numeric")[:MAX_PER_KIND], text_columns(df)[:MAX_PER_KIND]
+def suggest_features(df: DataFrame, max_suggestions: int | None = None, per_kind: int | None = None) -> DataFrame:
+    """(position, column, feature): candidate features in rule order, for all columns unless ``per_kind`` limits them."""
+    numeric, texts = columns_of(df, "numeric")[:per_kind], text_columns(df)[:per_kind]
     stats = {}
     for c in numeric:
         x = num(df, c)

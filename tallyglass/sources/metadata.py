@@ -54,11 +54,13 @@ def detect_metadata(df: DataFrame, overrides: dict[str, str] | None = None, sequ
     return records(df.sparkSession, rows, "column string, dtype string, kind string, role string")
 
 
-def detect_relationships(tables: dict[str, DataFrame], key_suffix: str | None = "key") -> DataFrame:
+def detect_relationships(tables: dict[str, DataFrame], key_suffix: str | None = None, same_name: bool = True) -> DataFrame:
     """Foreign keys: child column whose values all occur in a unique column of another table.
 
-    Names must agree after their table prefix (``o_custkey`` / ``c_custkey``), which keeps the
-    number of inclusion checks small; each check is a distinct plus a left-anti join."""
+    Whole numbers and texts are candidates.  ``same_name``: names must agree after their table prefix (``o_custkey`` /
+    ``c_custkey``); without it any name may refer to any other, and small numbers will.  ``key_suffix`` limits the names further.  One aggregate per table gives range, approximate distinct count and kind, which rule out
+    most pairs (a child's range lies within the parent's, its distinct count is not larger); the parent must be unique;
+    each pair that is left is a distinct plus a left-anti join."""
     spark = next(iter(tables.values())).sparkSession
 
     def stem(c):
@@ -68,28 +70,41 @@ def detect_relationships(tables: dict[str, DataFrame], key_suffix: str | None =
         ok = isinstance(f.dataType, (T.IntegralType, T.StringType))
         return ok and (key_suffix is None or stem(f.name).endswith(key_suffix) or stem(f.name) == "id")
 
+    def whole(df, c):
+        return isinstance(df.schema[c].dataType, T.IntegralType)
+
     cols = {t: [f.name for f in df.schema.fields if candidate(f)] for t, df in tables.items()}
-    shared = {c for t in cols for c in cols[t]
-              if sum(stem(c) == stem(d) for u in cols if u != t for d in cols[u])}
+    stats = {}
+    for t, df in tables.items():
+        got = collect_stats(df, {"n": F.count(F.lit(1)), **{(c, k): f(q(c)) for c in cols[t] for k, f in (
+            ("lo", F.min), ("hi", F.max), ("filled", F.count), ("distinct", lambda x: F.approx_count_distinct(x, 0.02)))}})
+        stats.update({(t, c): (got["n"], *[got[c, k] for k in ("lo", "hi", "filled", "distinct")]) for c in cols[t]})
+
+    def possible(parent, p, child, c):
+        n, lo, hi, filled, distinct = stats[parent, p]
+        _, low, high, present, kinds = stats[child, c]
+        if parent == child or not present or not n or filled < n or distinct < 0.9 * n or whole(tables[parent], p) != whole(tables[child], c):
+            return False
+        if same_name and stem(p) != stem(c):
+            return False
+        return lo <= low and high <= hi and kinds <= 1.1 * distinct
+
+    pairs = [(parent, p, child, c) for parent in tables for p in cols[parent] for child in tables for c in cols[child] if possible(parent, p, child, c)]
     unique = {}
     for t, df in tables.items():
-        mine = [c for c in cols[t] if c in shared]
+        mine = sorted({p for parent, p, _, _ in pairs if parent == t})
         if mine:
-            got = collect_stats(df, {"n": F.count(F.lit(1)), **{c: F.count_distinct(q(c)) for c in mine}})
-            unique[t] = {c for c in mine if got[c] == got["n"] and got["n"] > 0}
+            got = collect_stats(df, {c: F.count_distinct(q(c)) for c in mine})
+            unique[t] = {c for c in mine if got[c] == stats[t, c][0]}
     checks = []
-    for child, df in tables.items():
-        for c in cols[child]:
-            for parent in tables:
-                for p in cols[parent]:
-                    if parent == child or stem(p) != stem(c) or p not in unique.get(parent, ()):
-                        continue
-                    keys = tables[parent].select(q(p).cast("string").alias("k"))
-                    orphans = (df.select(q(c).cast("string").alias("k")).filter(F.col("k").isNotNull()).distinct()
-                               .join(keys, "k", "left_anti").agg(F.count(F.lit(1)).alias("n_orphans")))
-                    checks.append(orphans.select(
-                        F.lit(parent).alias("parent_table"), F.lit(p).alias("parent_column"),
-                        F.lit(child).alias("child_table"), F.lit(c).alias("child_column"), "n_orphans"))
+    for parent, p, child, c in pairs:
+        if p not in unique.get(parent, ()):
+            continue
+        keys = tables[parent].select(q(p).cast("string").alias("k"))
+        orphans = (tables[child].select(q(c).cast("string").alias("k")).filter(F.col("k").isNotNull()).distinct()
+                   .join(keys, "k", "left_anti").agg(F.count(F.lit(1)).alias("n_orphans")))
+        checks.append(orphans.select(F.lit(parent).alias("parent_table"), F.lit(p).alias("parent_column"),
+                                     F.lit(child).alias("child_table"), F.lit(c).alias("child_column"), "n_orphans"))
     schema = "parent_table string, parent_column string, child_table string, child_column string, n_orphans bigint"
     if not checks:
         return records(spark, [], schema)

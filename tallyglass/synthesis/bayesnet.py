@@ -21,14 +21,16 @@ MAX_DOMAIN = 1_000
 
 
 class PrivBayes:
-    def __init__(self, marginals, domains, order, tables, spark):
-        self.marginals, self.domains, self.order, self.tables, self.spark = marginals, domains, order, tables, spark
+    def __init__(self, marginals, domains, order, tables, spark, limited=()):
+        self.marginals, self.domains, self.order, self.tables, self.spark, self.limited = marginals, domains, order, tables, spark, list(limited)
 
     @classmethod
     def fit(cls, df: DataFrame, epsilon: float = 1.0, degree: int = 2, bins: int = NUMERIC_BINS, ids: list[str] | None = None,
-            bounds: dict[str, tuple[float, float]] | None = None, seed: int = 42) -> "PrivBayes":
+            bounds: dict[str, tuple[float, float]] | None = None, seed: int | None = None, max_cells: int = MAX_CELLS) -> "PrivBayes":
         """``bounds`` gives public ranges of numeric columns; without them the data range is used, which the
-        privacy budget does not cover.  Level lists are taken as public."""
+        privacy budget does not cover.  Level lists are taken as public.  The noise comes from the system's entropy; a ``seed``
+        is for tests alone: whoever knows it can draw the noise again, so nothing is private.  A table of counts has
+        at most ``max_cells`` cells: columns that got fewer parents for it are listed in ``limited``."""
         if epsilon <= 0:
             raise ValueError("epsilon must be positive")
         rng = np.random.default_rng(seed)
@@ -58,6 +60,7 @@ class PrivBayes:
         # sensitivity of mutual information for n rows (non-binary columns)
         sens = 2 / n * math.log((n + 1) / 2) + (n - 1) / n * math.log((n + 1) / (n - 1)) if n > 1 else 1.0
         order = [(names[int(rng.integers(len(names)))], ())]
+        limited: list[str] = []
         eps1, eps2, steps = epsilon / 2, epsilon / 2, max(1, len(names) - 1)
         while len(order) < len(names):
             chosen = [o[0] for o in order]
@@ -66,12 +69,14 @@ class PrivBayes:
             for x in names:
                 if x in chosen:
                     continue
-                fits = [p for k in range(size, 0, -1) for p in combinations(chosen, k) if _cells(domains, (x, *p)) <= MAX_CELLS]
+                fits = [p for k in range(size, 0, -1) for p in combinations(chosen, k) if _cells(domains, (x, *p)) <= max_cells]
                 top = max((len(p) for p in fits), default=0)
                 cands += [(x, p) for p in fits if len(p) == top] or [(x, ())]
             mi = _information(coded, cands, n)
             gumbel = [mi[c] * eps1 / (2 * steps * sens) + rng.gumbel() for c in cands]  # exponential mechanism
             order.append(cands[int(np.argmax(gumbel))])
+            if len(order[-1][1]) < size:
+                limited.append(order[-1][0])
         scale = 2.0 * len(names) / eps2
         tables = {}
         joint = _joints(coded, order, domains)
@@ -82,7 +87,7 @@ class PrivBayes:
             total = grid.sum(1, keepdims=True)
             whole = grid.sum(0) / grid.sum() if grid.sum() > 0 else np.full(shape[-1], 1 / shape[-1])
             tables[x] = np.cumsum(np.where(total > 0, grid / np.where(total > 0, total, 1), whole), axis=1)
-        return cls(marginals, domains, order, tables, df.sparkSession)
+        return cls(marginals, domains, order, tables, df.sparkSession, limited)
 
     def sample(self, n: int, seed: int = 42) -> DataFrame:
         """Ancestral sampling: each column looks its distribution up by the codes of its parents."""

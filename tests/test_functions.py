@@ -22,7 +22,7 @@ PROBS = [0.0, 0.01, 0.25, 0.333, 0.5, 0.75, 0.99, 1.0]
 @pytest.mark.parametrize("bracket", [5, 50, 100_000])
 def test_bracketed_quantiles_equal_exact(numbers, bracket):
     x = numbers.toPandas()["x"]
-    got = qt.quantiles(numbers, {"x": (F.col("x"), PROBS)}, small_rows=0, bracket_values=bracket)["x"]
+    got = qt.quantiles(numbers, {"x": (F.col("x"), PROBS)}, bracket_values=bracket)["x"]
     assert np.allclose(got, np.quantile(x, PROBS))
     small = qt.quantiles(numbers, {"x": (F.col("x"), PROBS)})["x"]
     assert np.allclose(small, got)
@@ -31,14 +31,12 @@ def test_bracketed_quantiles_equal_exact(numbers, bracket):
 def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([(None,)], "x double")
     assert qt.quantiles(empty, {"x": (F.col("x"), [0.5])})["x"] == [None]
-    assert qt.quantiles(empty, {"x": (F.col("x"), [0.5])}, small_rows=0)["x"] == [None]
 
 
-def test_order_statistics_both_paths(numbers):
+def test_order_statistics(numbers):
     x = np.sort(numbers.toPandas()["x"])
     ranks = [0, 150, 1499, 2999]
-    for small in (10_000, 0):
-        assert qt.order_statistics(numbers, {"x": (F.col("x"), ranks)}, small)["x"] == [x[r] for r in ranks]
+    assert qt.order_statistics(numbers, {"x": (F.col("x"), ranks)})["x"] == [x[r] for r in ranks]
 
 
 @pytest.mark.parametrize("per_range", [500_000, 100])
@@ -150,3 +148,20 @@ def test_special_functions_against_tables():
 
 def test_materialise_keeps_rows(spark, numbers):
     assert materialise(numbers, "t").count() == 3000
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_attach_leaves_hot_rows_where_they_are(spark, how):
+    from tallyglass.functions import keyed
+
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, "hot").when(F.col("id") % 10 == 9, F.concat(F.lit("k"), F.col("id") % 500)).alias("c"))
+    rows = rows.unionByName(spark.createDataFrame([(None,)] * 300 + [("alone",)], "c string"))
+    stats = rows.filter("c <> 'alone'").unionByName(spark.createDataFrame([(None,)], "c string").limit(0)).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    if how == "left":
+        stats = stats.filter("c <> 'hot'")
+    got = keyed.attach(rows, stats, ["c"], how=how, broadcast_bytes=0)
+    assert got.columns == ["c", "n"]
+    by = {r["c"]: (r["n"], r["count"]) for r in got.groupBy("c", "n").count().collect()}
+    want = {r["c"]: r["count"] for r in rows.groupBy("c").count().collect()}
+    assert {k: v[1] for k, v in by.items()} == {k: n for k, n in want.items() if how == "left" or k not in ("alone", None)}
+    assert all(n in (None, want[k]) for k, (n, _) in by.items()) and by["hot"][0] == (None if how == "left" else 18_000)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.operators import isolation, neighbours as nb, timeseries as ts, transforms as tf
 from tallyglass.plans import impact, suggest
-from tallyglass.plans.recipe import Step, apply_recipe, fit_recipe, load_recipe, recipe_summary, save_recipe, steps_of
+from tallyglass.plans.recipe import RecipeError, Step, apply_recipe, fit_recipe, load_recipe, recipe_summary, save_recipe, steps_of
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def test_recipe_order_params_and_reasons(people):
     steps = steps_of([{"action": "redact", "column": "c", "params": {"replacement": "x"}}, {"action": "generalize", "column": "id", "min_frequency": 2, "replacement": "few"},
                       {"action": "log_transform", "column": "v"}, {"action": "rename", "column": "v", "params": {"to": "w"}}, {"action": "zscore", "column": "w"},
                       {"action": "zscore", "column": "v"}, {"action": "sqrt_transform", "column": "c"}, {"action": "cast", "column": "c", "params": {"dtype": "int"}}])
-    got, log = apply_recipe(people, steps)
+    got, log = apply_recipe(people, steps, on_error="skip")
     status = [(r["status"], r["reason"]) for r in log.orderBy("position").collect()]
     assert status == [("applied", None), ("applied", None), ("skipped", "negative_values"), ("applied", None), ("applied", None),
                       ("skipped", "missing_column"), ("skipped", "not_numeric"), ("skipped", "cast_loses_values")]
@@ -30,14 +30,43 @@ def test_recipe_order_params_and_reasons(people):
     assert recipe_summary(log).first()["n_applied"] == 4
 
 
+def test_skipped_privacy_steps_never_return_the_table(people):
+    steps = [Step("log_transform", "v"), Step("redact", "absent"), Step("mask", "id")]
+    with pytest.raises(RecipeError, match="log_transform"):
+        apply_recipe(people, steps)
+    with pytest.raises(RecipeError, match="redact of absent: missing_column"):
+        apply_recipe(people, steps, on_error="skip")
+    got, _ = apply_recipe(people, steps, on_error="skip", unprotected=True)
+    assert "id_masked" in got.columns
+    apply_recipe(people, steps, dry_run=True)
+    with pytest.raises(ValueError, match="on_error"):
+        apply_recipe(people, [], on_error="ignore")
+
+
+def test_numbers_are_masked(spark):
+    got = tf.apply_op(spark.createDataFrame([(123456,), (None,)], "n int"), "mask", "n")
+    assert [r["n_masked"] for r in got.collect()] == ["123***", None]
+
+
+def test_one_hot_beyond_the_column_limit(spark):
+    df = spark.range(1500).select(F.concat(F.lit("v"), F.lpad("id", 5, "0")).alias("c")).unionByName(spark.createDataFrame([(None,)], "c string"))
+    got = tf.apply_op(df, "encode", "c", drop_first=False)
+    assert got.columns == ["c_onehot"]
+    rows = [tuple(r[0]) for r in got.collect()]
+    assert sorted(i for n, i in rows if i is not None) == list(range(1500)) and {n for n, _ in rows} == {1500}
+    assert sum(i is None for _, i in rows) == 1
+    first = [tuple(r[0]) for r in tf.apply_op(df, "encode", "c").collect()]
+    assert {n for n, _ in first} == {1499} and sum(i is None for _, i in first) == 2
+
+
 def test_fitted_recipe_replays_on_other_rows(spark, people, tmp_path):
     steps = [Step("impute", "v", {"method": "mean"}), Step("minmax_scaler", "v"), Step("mask", "c")]
     apply, _ = fit_recipe(people, steps)
     other = spark.createDataFrame([(9, None, "violet")], "id int, v double, c string")
     r = apply(other).first()
     assert r["v"] == 108.75 and math.isclose(r["v_minmax"], (108.75 + 5) / 405) and r["c_masked"] == "vio***"
-    save_recipe(str(tmp_path / "r.json"), steps)
-    assert load_recipe(str(tmp_path / "r.json")) == steps
+    save_recipe(spark, str(tmp_path / "r.json"), steps)
+    assert load_recipe(spark, str(tmp_path / "r.json")) == steps
 
 
 def test_independent_steps_share_one_group(people, monkeypatch):

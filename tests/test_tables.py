@@ -232,3 +232,26 @@ def test_dependency_validation_statuses(spark):
     got = {(r["determinant"], r["dependent"]): r["status"] for r in dep.validate(fds, other).collect()}
     assert got == {("a", "b"): "PRESERVED", ("a", "gone"): "MISSING_COLUMNS", ("b", "a"): "VIOLATED"}
     assert math.isclose(dep.preservation_rate(dep.validate(fds, other)).first()["pct_preserved"], 100 / 3)
+
+
+def test_search_and_k_have_no_cap(spark):
+    from tallyglass.operators import anonymity, relational
+
+    df = spark.range(1500).select(F.concat(F.lit("Value "), F.col("id")).alias("c"), "id")
+    assert relational.filter_search(df, "c", "VALUE").count() == 1500
+    assert relational.search_values(df, "c", "value").count() == 1500 and relational.search_values(df, "c", "value", 7).count() == 7
+    many = spark.range(1, 26).select(F.explode(F.sequence(F.lit(1), "id")).alias("x"), "id")
+    assert [r["k"] for r in anonymity.k_distribution(many, ["id"]).collect()] == list(range(1, 26))
+    assert anonymity.k_distribution(many, ["id"], rows=3).count() == 3
+
+
+def test_foreign_keys_of_any_name(spark):
+    from tallyglass.sources import metadata
+
+    parent = spark.createDataFrame([(i, f"n{i}") for i in range(1, 30)], "id long, label string")
+    child = spark.createDataFrame([(i % 29 + 1, i % 7, f"n{i % 5 + 1}") for i in range(100)], "customer_no long, small long, tag string")
+    got = {tuple(r) for r in metadata.detect_relationships({"parent": parent, "child": child}, same_name=False).collect()}
+    assert got == {("parent", "id", "child", "customer_no"), ("parent", "label", "child", "tag")}
+    named = metadata.detect_relationships({"parent": parent.withColumnRenamed("id", "p_customer_no"), "child": child.withColumnRenamed("customer_no", "c_customer_no")})
+    assert [tuple(r) for r in named.collect()] == [("parent", "p_customer_no", "child", "c_customer_no")]
+    assert metadata.detect_relationships({"parent": parent, "child": child}, key_suffix="key").count() == 0
