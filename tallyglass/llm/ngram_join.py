@@ -172,13 +172,30 @@ def _sketch_batch(out):
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *[lists(x) for x in out[2:]]], ["node", "n", "second", "third", "map", "shingles"])
 
 
-def _share(rows: list[np.ndarray], other: list[np.ndarray], step: int = 4096) -> np.ndarray:
-    """Number of common values of each pair of rows, by products of presence matrices over runs of values."""
+def _share(rows: list[np.ndarray], other: list[np.ndarray], step: int = 2048, dense: int = 4096) -> np.ndarray:
+    """Number of common values of each pair of rows.  Values that few pairs share are counted pair by pair, the
+    others by products of presence matrices over runs of values."""
     out = np.zeros((len(rows), len(other)), np.float32)
     sides = []
     for side in (rows, other):
-        sides.append((np.concatenate(side), np.repeat(np.arange(len(side)), [len(x) for x in side])))
-    values = np.intersect1d(sides[0][0], sides[1][0])
+        value, owner = np.concatenate(side), np.repeat(np.arange(len(side)), [len(x) for x in side])
+        order = np.argsort(value, kind="stable")
+        sides.append((value[order], owner[order]))
+    (left, i), (right, j) = sides
+    values = np.intersect1d(left, right)
+    if not len(values):
+        return out
+    begins = [np.searchsorted(v, values) for v in (left, right)]
+    counts = [np.searchsorted(v, values, "right") - b for v, b in zip((left, right), begins)]
+    often = counts[0] * counts[1] > dense
+    few = ~often
+    if few.any():
+        at = _ranges(begins[0][few], counts[0][few])  # entries of the left side
+        times = np.repeat(counts[1][few], counts[0][few])
+        with_ = _ranges(np.repeat(begins[1][few], counts[0][few]), times)
+        flat = np.repeat(i[at], times) * len(other) + j[with_]
+        out += np.bincount(flat, minlength=out.size).reshape(out.shape)
+    values = values[often]
     for at in range(0, len(values), step):
         part = values[at:at + step]
         matrices = []
@@ -192,6 +209,20 @@ def _share(rows: list[np.ndarray], other: list[np.ndarray], step: int = 4096) ->
     return out
 
 
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... count[0] numbers, then those from begin[1] on, and so on."""
+    before = np.cumsum(count) - count
+    return np.repeat(begin - before, count) + np.arange(int(count.sum()))
+
+
+def _common(rows: list[np.ndarray], other: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Number of common values of the pairs (rows[i], other[j])."""
+    if len(i) <= 1_000:
+        return np.array([len(np.intersect1d(rows[x], other[y])) for x, y in zip(i, j)], np.int64)
+    (p, i), (q_, j) = (np.unique(k, return_inverse=True) for k in (i, j))
+    return _share([rows[x] for x in p], [other[y] for y in q_])[i, j].astype(np.int64)
+
+
 def _forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     """Label of each of ``size`` members: the smallest member reachable over the pairs."""
     label = np.arange(size)
@@ -226,17 +257,17 @@ def _compare(percent: int):
         earlier = [[x[:np.searchsorted(x, token)] for x in (np.sort(np.asarray(v)) for v in side["prefix"])] for side in (left, right)]
         if live.any() and any(map(len, earlier[0])) and any(map(len, earlier[1])):
             live &= _share(*earlier) == 0
+        i, j = np.nonzero(live)
         sets = [[np.asarray(v).view(U) for v in side["shingles"]] for side in (left, right)]
         for seed in (2, 3):
-            if live.any():
-                live &= _share(*[[_order(s, seed, percent) for s in side] for side in sets]) > 0
-        i, j = np.nonzero(live)
+            if len(i):
+                prefix = [dict.fromkeys(k.tolist()) for k in (i, j)]
+                prefix = [[_order(side[k], seed, percent) if k in used else np.zeros(0, np.int32) for k in range(len(side))] for side, used in zip(sets, prefix)]
+                share = _common(*prefix, i, j) > 0
+                i, j = i[share], j[share]
         if not len(i):
             return empty
-        if len(i) > 2_000:
-            common = _share(*sets)[i, j].astype(np.int64)
-        else:
-            common = np.array([len(np.intersect1d(sets[0][x], sets[1][y], assume_unique=True)) for x, y in zip(i, j)])
+        common = _common(*sets, i, j)
         linked = 100 * common >= percent * (n[i, 0] + m[0, j] - common)
         i, j = i[linked], j[linked]
         names = left["node"].to_numpy() if lo == hi else np.concatenate([left["node"].to_numpy(), right["node"].to_numpy()])
