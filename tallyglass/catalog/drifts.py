@@ -112,7 +112,7 @@ def _(t):
 
 @query("drift_classifier")
 def _(t):
-    return rounded(dr.drift_classifier(*halves(t), trees=30, depth=6))
+    return rounded(dr.drift_classifier(*halves(t)))
 
 
 @query("cmp_columns", f"WITH {SIDES}, {KS} " + " UNION ALL ".join(

@@ -65,7 +65,15 @@ def _(t):
     return rounded(suggest.suggest_privacy(contacts(t)))
 
 
-@query("sug_privacy_every")
+_DIRECT = "regexp_matches(pii_types, 'EMAIL|SSN|PHONE|CREDIT_CARD')"
+
+
+@query("sug_privacy_every", f"""WITH {_PRIV}, every AS (
+ SELECT "column", unnest(['redact', 'hash']) AS transformation, 'high' AS risk_level, pii_types, CAST(NULL AS INTEGER) AS n_bins, confidence FROM s WHERE {_DIRECT}
+ UNION ALL SELECT "column", 'mask', 'medium', pii_types, NULL, confidence FROM s WHERE NOT {_DIRECT} AND regexp_matches(pii_types, 'NAME|ADDRESS|URL')
+ UNION ALL SELECT "column", transformation, risk_level, pii_types, n_bins, confidence FROM cand WHERE pii_types = 'QUASI_IDENTIFIER'
+ UNION ALL SELECT "column", 'suppress', risk, 'QUASI_IDENTIFIER', NULL, rr FROM qr WHERE risk = 'high' AND ratio > 0.5)
+ SELECT "column", transformation, risk_level, pii_types, n_bins, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM every""")
 def _(t):
     return rounded(suggest.suggest_privacy(contacts(t), every=True))
 
