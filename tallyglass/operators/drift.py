@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import special
 from ..functions.exprs import cells, collect_stats, columns_of, num, q, records
 from ..functions.ordered import running_totals
+from ..functions.store import materialise
 from ..functions.quantiles import quantiles
 from .profile import bin_index
 from .remediation import bin_column, equal_width_edges
@@ -48,9 +49,9 @@ def pair_counts(ref: DataFrame, cur: DataFrame, ref_cells: dict[str, Column], cu
 
 def ecdf_pairs(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value, ref, cur, cum_ref, cum_cur, n_ref, n_cur): both empirical distributions."""
-    counts = pair_counts(ref, cur, {c: num(ref, c) for c in cols}, {c: num(cur, c) for c in cols})
-    rows = len(cols) * (ref.count() + cur.count())
-    cum = running_totals(counts, "value", ["ref", "cur"], group=["column"], rows=rows)
+    # written once: the range cuts, the running totals and the sizes all read the value counts
+    counts = materialise(pair_counts(ref, cur, {c: num(ref, c) for c in cols}, {c: num(cur, c) for c in cols}), "value-counts")
+    cum = running_totals(counts, "value", ["ref", "cur"], group=["column"])
     sizes = counts.groupBy(F.col("column").alias("_column")).agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
     return cum.join(F.broadcast(sizes), F.col("column") == F.col("_column")).drop("_column")
 

@@ -106,15 +106,33 @@ def rare_values(df: DataFrame, cols: list[str] | None = None, rare: int = RARE_C
     return _value_table(df, cols).filter(F.col("value").isNotNull() & (F.col("n") < rare))
 
 
+SKETCH_ERROR = 0.02
+
+
+def profile_against(df: DataFrame, limits: tuple[int, ...], cols: list[str] | None = None) -> DataFrame:
+    """``profile_columns`` without samples, for comparing ``n_unique`` with the limits: one scan sketches all columns, and only
+    those whose sketch is within five standard errors of a limit are counted exactly."""
+    cols = resolve(df, cols, "numeric", "categorical", "datetime")
+    rough = profile_columns(df, cols, approx=True).drop("samples")
+    seen = {r["column"]: r["n_unique"] for r in rough.collect()}  # one row per column
+    near = [c for c in cols if any(abs(seen[c] - v) <= 5 * SKETCH_ERROR * v + 1 for v in limits)]
+    if not near:
+        return rough
+    exact = profile_columns(df, near).drop("samples")
+    return exact.unionByName(rough.filter(~F.col("column").isin(near)))
+
+
 def profile_summary(df: DataFrame) -> DataFrame:
     """One row: rows, columns, missing cells, and the names of problem columns."""
-    p = profile_columns(df, columns_of(df, "numeric", "categorical", "datetime"))
+    cols = columns_of(df, "numeric", "categorical", "datetime")
+    p = tidy(df, [F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count_if(q(c).isNull()).alias("n_missing"),
+                           F.coalesce(F.min(q(c)).eqNullSafe(F.max(q(c))), F.lit(True)).alias("constant")) for c in cols])
     def names(cond):
         return F.concat_ws(",", F.sort_array(F.collect_list(F.when(cond, F.col("column")))))
     return p.agg(
         F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_columns"),
         F.sum("n_missing").alias("missing_cells"), names(F.col("n_missing") > 0).alias("columns_with_missing"),
-        names(F.col("n_unique") <= 1).alias("constant_columns"),
+        names(F.col("constant")).alias("constant_columns"),
         names(F.col("n_missing") > HIGH_MISSING * F.col("n_rows")).alias("columns_high_missing"))
 
 
@@ -184,8 +202,8 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 
 def suggest_fixes(df: DataFrame) -> DataFrame:
-    """(column, fix, method) rule rows over the profile."""
-    p = profile_columns(df).drop("samples")
+    """(column, fix, method) rule rows over the profile.  Distinct counts are exact only where the sketch is near a limit."""
+    p = profile_against(df, (1, LOW_CARDINALITY, HIGH_CARDINALITY))
     numeric = columns_of(df, "numeric")
     if numeric:
         shape = profile_numeric(df).select("column", "skew").join(profile_outliers(df), "column")
