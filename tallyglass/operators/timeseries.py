@@ -10,8 +10,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.exprs import collect_stats, columns_of, kind, num, q, ratio, records
+from ..functions.keyed import attach
 from ..functions.ordered import grouped_quantiles
 from ..functions.sequences import BLOCK, blocks, row_index
+from ..functions.store import materialise
 
 # fixed values: settings
 TIME_NAMES = ["date", "datetime", "timestamp", "time"]
@@ -67,6 +69,12 @@ def primary_time(columns: list[str]) -> str | None:
     return columns[0] if columns else None
 
 
+def _beside(rows: DataFrame, stats: DataFrame, keys: list[str], series_key: str | None, how: str = "inner") -> DataFrame:
+    """Per-series values beside the rows.  Without a series key there is one series: its values (one row, or one per phase of
+    the period) are broadcast.  With one, a long series is not gathered into one task."""
+    return rows.join(F.broadcast(stats), keys, how) if series_key is None else attach(rows, stats, keys, how)
+
+
 def _gaps(df: DataFrame, time: str, series_key: str | None) -> DataFrame:
     """(series, gap in seconds, previous time, time) between neighbouring distinct times."""
     keys = [q(series_key).alias("_series")] if series_key else [F.lit(0).alias("_series")]
@@ -94,9 +102,9 @@ def _code(seconds: float, weekday: int | None = None) -> str:
     return f"{seconds:g}S"
 
 
-def detect_series(df: DataFrame, time: str | None = None, series_key: str | None = None) -> DataFrame:
+def detect_series(df: DataFrame, time: str | None = None, series_key: str | None = None, gaps: DataFrame | None = None) -> DataFrame:
     """One row: time column, extent, regularity, frequency code, confidence and numeric targets.
-    Gaps are taken between distinct times (per series when ``series_key`` is given)."""
+    Gaps are taken between distinct times (per series when ``series_key`` is given); ``gaps``: when they are written already."""
     found = [r["column"] for r in datetime_columns(df).collect()]
     time = time or primary_time(found)
     schema = ("time_column string, first string, last string, n_points bigint, is_regular boolean, frequency string, "
@@ -108,7 +116,7 @@ def detect_series(df: DataFrame, time: str | None = None, series_key: str | None
     lo, hi, n = df.agg(F.min(t), F.max(t), F.count(t)).first()
     regular, freq, conf = False, None, "low"
     if n >= 2:
-        gaps = _gaps(df, time, series_key)
+        gaps = materialise(_gaps(df, time, series_key), "gaps") if gaps is None else gaps
         day = lambda c: F.dayofmonth(c)
         midnight = F.date_format("_t", "HHmmss") == "000000"
         step = F.months_between(F.trunc("_t", "month"), F.trunc("_prev", "month"))
@@ -196,8 +204,7 @@ def acf(df: DataFrame, time: str, value: str, lags: int = MAX_LAGS, series_key:
     """(series, lag, n, acf, lower, upper) with Bartlett 95 % bounds; series below ten points are left out."""
     s = series(df, time, value, series_key, tie)
     stats = s.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m")).filter(F.col("n") >= MIN_ACF_ROWS)
-    s = s.join(stats, "series")
-    s = s.withColumn("d", F.col("value") - F.col("m"))
+    s = _beside(s, stats, ["series"], series_key).withColumn("d", F.col("value") - F.col("m"))
     w = Window.partitionBy("series", "_block").orderBy("idx")
     wide = blocks(s, lags, 0, block=block).select(
         "series", "n", "d", "_own", *[F.lag("d", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)]).filter("_own")
@@ -279,9 +286,9 @@ def decompose(df: DataFrame, time: str, value: str, period: int, model: str = "a
         raise ValueError(f"unknown model: {model}")
     if period < 2:
         raise ValueError("period must be at least 2")
-    s = series(df, time, value, series_key, tie)
+    s = materialise(series(df, time, value, series_key, tie), "series")
     sizes = s.groupBy("series").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2 * period)
-    s = s.join(sizes, "series")
+    s = _beside(s, sizes, ["series"], series_key)
     half = period // 2
     w = Window.partitionBy("series", "_block").orderBy("idx")
     near = blocks(s, half, half, block=block)
@@ -291,7 +298,7 @@ def decompose(df: DataFrame, time: str, value: str, period: int, model: str = "a
         inner = F.sum("value").over(w.rowsBetween(-(half - 1), half - 1))
         mean = (inner + 0.5 * (F.lag("value", half).over(w) + F.lead("value", half).over(w))) / period
     whole = (F.col("idx") >= half) & (F.col("idx") < F.col("n") - half)
-    t = near.withColumn("trend", F.when(whole, mean)).filter("_own").drop("_block", "_own")
+    t = materialise(near.withColumn("trend", F.when(whole, mean)).filter("_own").drop("_block", "_own"), "trend")
     # straight lines through the first and the last trend values
     x, y = F.col("idx").cast("double"), F.col("trend")
     first, last = F.lit(half), F.col("n") - 1 - half
@@ -299,7 +306,7 @@ def decompose(df: DataFrame, time: str, value: str, period: int, model: str = "a
     tail = whole & (F.col("idx") >= F.greatest(first, last - period)) & (F.col("idx") < last)
     lines = t.filter(head | tail).groupBy("series").agg(*[f(F.when(c, y), F.when(c, x)).alias(name) for name, f, c in (
         ("_k0", F.regr_slope, head), ("_b0", F.regr_intercept, head), ("_k1", F.regr_slope, tail), ("_b1", F.regr_intercept, tail))])
-    t = t.join(lines, "series", "left")
+    t = _beside(t, lines, ["series"], series_key, "left")
     ends = F.when(F.col("idx") < half, F.col("_b0") + F.col("_k0") * x).otherwise(F.col("_b1") + F.col("_k1") * x)
     t = t.withColumn("trend", F.coalesce("trend", ends)).drop("_k0", "_b0", "_k1", "_b1")
     add = model == "additive"
@@ -308,7 +315,7 @@ def decompose(df: DataFrame, time: str, value: str, period: int, model: str = "a
     phases = t.groupBy("series", "_phase").agg(F.avg(flat).alias("_s"))
     middle = phases.groupBy("series").agg(F.avg("_s").alias("_m"))
     phases = phases.join(middle, "series").select("series", "_phase", (F.col("_s") - F.col("_m") if add else ratio(F.col("_s"), F.col("_m"))).alias("seasonal"))
-    t = t.join(phases, ["series", "_phase"])
+    t = _beside(t, phases, ["series", "_phase"], series_key)
     resid = F.col("value") - F.col("trend") - F.col("seasonal") if add else ratio(ratio(F.col("value"), F.col("trend")), F.col("seasonal"))
     out = t.select("series", "idx", "time", F.col("value").alias("observed"), "trend", "seasonal", resid.alias("residual"))
     return out if series_key else out.drop("series")
@@ -332,10 +339,10 @@ def ts_outliers(df: DataFrame, time: str, value: str, freq: str | None = None, p
     averaged on the grid its median gap suggests."""
     rows, t, v = df, time, value
     if freq is None:
-        found = detect_series(df, time, series_key).first()
+        gaps = materialise(_gaps(df, time, series_key), "gaps")
+        found = detect_series(df, time, series_key, gaps).first()
         freq = found["frequency"] if found["is_regular"] else None
         if freq is None:
-            gaps = _gaps(df, time, series_key)
             from ..functions.quantiles import one_column
 
             mid = one_column(gaps, F.col("gap"), [0.5])[0]
@@ -350,9 +357,9 @@ def ts_outliers(df: DataFrame, time: str, value: str, freq: str | None = None, p
     period = period or period_of(freq)
     if n[0] < 2 * period:
         period = max(7, n[0] // 3)
-    parts = decompose(rows, t, v, period, series_key=series_key, tie=tie if rows is df else None)
+    parts = materialise(decompose(rows, t, v, period, series_key=series_key, tie=tie if rows is df else None), "parts")
     keyed = parts if series_key else parts.withColumn("series", F.lit(0))
     stats = keyed.groupBy("series").agg(F.avg("residual").alias("_m"), F.stddev("residual").alias("_s"))
-    out = keyed.join(stats, "series").withColumn("z", ratio(F.col("residual") - F.col("_m"), F.col("_s"))).withColumn(
+    out = _beside(keyed, stats, ["series"], series_key).withColumn("z", ratio(F.col("residual") - F.col("_m"), F.col("_s"))).withColumn(
         "outlier", F.coalesce(F.abs("z") > limit, F.lit(False))).drop("_m", "_s")
     return out if series_key else out.drop("series")
