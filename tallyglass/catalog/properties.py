@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import isolation, neighbours as nb, remediation as rem, transforms as tf
 from ..operators.drift import drift_classifier
 from ..plans import suggest
+from ..plans.recipe import Step, apply_recipe
 from ..synthesis import evaluate as ev
 from ..synthesis.bayesnet import PrivBayes
 from ..synthesis.copula import GaussianCopula
@@ -112,3 +113,14 @@ def _(t):
 
     emb = tf.apply_op(t.documents.select("doc_id", "text"), "tfidf", "text")
     return emb.select("doc_id", F.exists(vector_to_array("text_emb"), lambda x: x > 0).alias("has_terms"))
+
+
+@query("syn_pipeline", """SELECT count(*) AS n_rows, count(DISTINCT c_custkey) AS n_ids, 'c_acctbal,c_custkey,c_mktsegment,c_nationkey_log' AS columns,
+ count(DISTINCT c_mktsegment) FILTER (WHERE c_acctbal >= 0) AS n_levels, 0 AS n_missing FROM customer""")
+def _(t):
+    """Recipe, fit and draw in one call: the imputed, transformed and dropped columns show in the drawn table."""
+    real = people(t)
+    safe, _ = apply_recipe(real, [Step("impute", "c_mktsegment", {"method": "mode"}), Step("log_transform", "c_nationkey"), Step("drop", "c_nationkey")])
+    made = GaussianCopula.fit(safe, ids=["c_custkey"]).sample(real.count())
+    return made.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("c_custkey").alias("n_ids"), F.lit(",".join(sorted(made.columns))).alias("columns"),
+                    F.count_distinct("c_mktsegment").alias("n_levels"), F.count_if(F.col("c_mktsegment").isNull()).alias("n_missing"))
