@@ -30,9 +30,10 @@ def _(t):
 @query("prof_columns_wide", " UNION ALL ".join(
     _col(c, table="lineitem", dtype=d) for c, d in (
         ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double"),
-        ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"), ("l_linestatus", "string"))))
+        ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"), ("l_linestatus", "string"),
+        ("l_shipdate", "timestamp_ntz"))))
 def _(t):
-    return prof.profile_columns(t.lineitem.drop("l_extendedprice", "l_shipdate"))
+    return prof.profile_columns(t.lineitem)
 
 
 def _numeric(col, table):
@@ -104,6 +105,12 @@ def _(t):
     return rounded(prof.duplicate_rows(t.lineitem.select("l_orderkey", "l_linenumber")))
 
 
+@query("prof_dup_rows_whole", """SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_duplicates, round(sum(n - 1) * 100.0 / sum(n), 6) AS pct_duplicates
+ FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)""")
+def _(t):
+    return rounded(prof.duplicate_rows(t.lineitem))
+
+
 @query("prof_dup_texts", """SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_duplicates,
  round(sum(n - 1) * 100.0 / sum(n), 6) AS pct_duplicates FROM (SELECT text, count(*) AS n FROM documents GROUP BY 1)""")
 def _(t):

@@ -104,15 +104,14 @@ def records(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-SMALL_BYTES = 1 << 30
+SPREAD = "spark.tallyglass.spread"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Small inputs (planner's size estimate below 1 GiB) over all cores, ahead of work that is heavy per row.
-    Larger inputs come in many splits already and are left where they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if cores > 1 and size < SMALL_BYTES else df
+    """Ahead of work that is heavy per row: as many partitions as the session setting ``SPREAD`` names, for inputs that come in
+    fewer splits than there are cores.  Without the setting the input stays where it is."""
+    partitions = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def cells(df: DataFrame, values: dict[str, Column], *extra) -> DataFrame:

@@ -128,3 +128,16 @@ def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, list[int]]])
 
 def one_column(df: DataFrame, x: Column, probs: list[float]) -> list[float | None]:
     return quantiles(df, {"x": (x, probs)})["x"]
+
+
+def smallest(df: DataFrame, order: Column, n: int, ties: list[Column]) -> DataFrame:
+    """The ``n`` rows with the smallest ``order`` (a 64-bit hash), whatever n: rows below the n-th smallest value are filtered, and
+    only rows that share that value are ordered, by ``order`` and ``ties``."""
+    if n >= df.count():
+        return df
+    if n <= 0:
+        return df.limit(0)
+    x = order.cast("double")
+    cut = F.lit(order_statistics(df, {"x": (x, [n - 1])})["x"][0])
+    below = df.filter(x < cut)
+    return below.unionByName(df.filter(x == cut).orderBy(order, *ties).limit(n - below.count()))

@@ -10,8 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.exprs import collect_stats, columns_of, num, q, ratio, records, resolve, spread, tidy
-from ..functions.keyed import attach
-from ..functions.ordered import average_ranks, isolate, with_range
+from ..functions.keyed import attach, long_counts
+from ..functions.ordered import isolate, running_totals, with_range
 from ..functions.quantiles import quantiles
 from ..functions.store import materialise
 
@@ -24,16 +24,12 @@ MI_BINS = 10
 NONLINEAR_MI, NONLINEAR_R = 0.3, 0.3
 KNN_ROWS, KNN_NEIGHBOURS = 5_000, 3
 MIN_MI_ROWS = 10
-MAX_PAIRS = 5_000
 KENDALL_BLOCK_ROWS = 500_000
 KENDALL_RANGES = 1_000  # the range contingency table has at most this many rows and columns
 
 
 def _pairs(cols: list[str]) -> list[tuple[str, str]]:
-    out = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if len(out) > MAX_PAIRS:
-        raise ValueError(f"{len(out)} column pairs: name at most {MAX_PAIRS} pairs' worth of columns")
-    return out
+    return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 
 
 def _pair_rows(df: DataFrame, pairs, x, base: dict | None = None) -> DataFrame:
@@ -67,23 +63,39 @@ def pearson(df: DataFrame, cols=None) -> DataFrame:
 
 
 def spearman(df: DataFrame, cols=None) -> DataFrame:
-    """Pearson correlation of average ranks.  Without nulls the ranks are made once per column;
-    with nulls every pair is ranked over its complete rows."""
+    """Pearson correlation of average ranks over the complete rows of each pair.  Columns that miss the same rows share
+    one set of ranks; only pairs that miss different rows are ranked over their own complete rows."""
     cols = resolve(df, cols, "numeric")
     x = df.select(*[num(df, c).alias(c) for c in cols])
+    pairs = _pairs(cols)
     seen = collect_stats(x, {"n": F.count(F.lit(1)), **{("c", c): F.count(q(c)) for c in cols},
-                             **{("k", c): F.approx_count_distinct(q(c), 0.02) for c in cols}})
+                             **{("k", c): F.approx_count_distinct(q(c), 0.02) for c in cols},
+                             **{("p", a, b): F.count_if(q(a).isNotNull() & q(b).isNotNull()) for a, b in pairs}})
     keys = {c: seen["k", c] for c in cols}
-    if all(seen["c", c] == seen["n"] for c in cols):
-        return _rank_correlation(x, cols, seen["n"], keys, True)
-    return reduce(DataFrame.unionByName, [_rank_correlation(x.select(q(a), q(b)).dropna(), [a, b], seen["n"], keys) for a, b in _pairs(cols)])
+    alike: list[list[str]] = []  # columns that miss the same rows
+    for c in cols:
+        home = next((g for g in alike if seen["c", g[0]] == seen["c", c] == seen["p", g[0], c]), None)
+        home.append(c) if home else alike.append([c])
+    parts = []
+    for group in alike:
+        if len(group) > 1:
+            rows = x.select(*[q(c) for c in group])
+            whole = seen["c", group[0]] == seen["n"]
+            parts.append(_rank_correlation(rows if whole else rows.dropna(), group, seen["c", group[0]], keys, True))
+    inside = {frozenset(p) for g in alike for p in _pairs(g)}
+    parts += [_rank_correlation(x.select(q(a), q(b)).dropna(), [a, b], seen["p", a, b], keys) for a, b in pairs if frozenset((a, b)) not in inside]
+    return reduce(DataFrame.unionByName, parts) if parts else _pair_rows(x, [], {})
 
 
 def _rank_correlation(x: DataFrame, cols: list[str], rows: int, keys: dict[str, int], complete: bool = False) -> DataFrame:
+    # the ranks of all columns in one long pass, written once
+    counts = long_counts(x, {c: q(c) for c in cols}).filter(F.col("value").isNotNull())
+    cum = running_totals(counts, "value", ["n"], group=["column"], rows=sum(keys[c] for c in cols))
+    ranks = materialise(cum.select("column", "value", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("rank")), "ranks")
     ranked = x
     for c in cols:
-        ranks = average_ranks(x.select(q(c)), c, rows).select(c, F.col("rank").alias(f"_rank_{c}"))
-        ranked = attach(ranked, ranks, [c], n_keys=keys[c])
+        mine = ranks.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"))
+        ranked = attach(ranked, mine, [c], n_keys=keys[c])
     base = None
     if complete and rows:  # the mean rank is known
         base = {"n": rows, **{(c, k): v for c in cols for k, v in (("n", rows), ("m", (rows + 1) / 2), ("lo", 1), ("hi", keys[c]))}}

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.exprs import collect_stats, num, q, resolve
+from ..functions.keyed import attach
 from ..functions.quantiles import one_column
 from ..functions.store import materialise
 
@@ -252,8 +253,9 @@ def lof_scores(df: DataFrame, cols=None, k: int = LOF_NEIGHBOURS) -> tuple[DataF
 def lof(df: DataFrame, cols=None, k: int = LOF_NEIGHBOURS, contamination: float = CONTAMINATION) -> DataFrame:
     """Complete rows with ``lof`` and ``lof_outlier``: scores above the (1 - contamination) quantile."""
     rows, scores = lof_scores(df, cols, k)
-    cut = one_column(rows.select("p").join(scores, "p"), F.col("lof"), [1 - contamination])[0]
-    return rows.join(scores, "p").drop("p").withColumn("lof_outlier", F.col("lof") > F.lit(cut))
+    scored = attach(rows, scores, ["p"])  # a repeated point is not gathered into one task
+    cut = one_column(scored.select("lof"), F.col("lof"), [1 - contamination])[0]
+    return scored.drop("p").withColumn("lof_outlier", F.col("lof") > F.lit(cut))
 
 
 def impute_knn(df: DataFrame, col: str, features: list[str] | None = None, k: int = IMPUTE_NEIGHBOURS) -> DataFrame:
@@ -276,6 +278,6 @@ def impute_knn(df: DataFrame, col: str, features: list[str] | None = None, k: in
     point = F.when(x.isNull(), F.array(*parts))
     keyed = df.withColumn("_p", point)
     filled = keyed.filter("_p IS NULL").drop("_p").withColumn(col, F.coalesce(x, F.lit(mean)))
-    holes = keyed.filter("_p IS NOT NULL").join(got, F.col("_p") == F.col("p"), "left")
-    holes = holes.withColumn(col, F.coalesce("_v", F.lit(mean))).drop("_p", "p", "_v")
+    holes = attach(keyed.filter("_p IS NOT NULL"), got.withColumnRenamed("p", "_p"), ["_p"], how="left")
+    holes = holes.withColumn(col, F.coalesce("_v", F.lit(mean))).drop("_p", "_v")
     return filled.unionByName(holes)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.exprs import collect_stats, columns_of, num, q, ratio, records, resolve, skew_pop, tidy
 from ..operators.outliers import iqr_fences
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import quantiles, smallest
 from ..sources.tables import SAMPLE_SEED
 
 # fixed values: settings
@@ -122,7 +122,7 @@ def sample_rows(df: DataFrame, method: str, n: int, key: list[str], seed: int =
     by = strata_column(df) if method == "stratified" else None
     keyed = F.xxhash64(*[q(c) for c in key], F.lit(seed))
     if by is None:
-        return df.orderBy(keyed, *[q(c) for c in key]).limit(n)
+        return smallest(df, keyed, n, [q(c) for c in key])
     sizes = {r[0]: r[1] for r in df.groupBy(q(by)).agg(F.count(F.lit(1))).collect()}  # at most 21 strata
     quota = {k: n * v // total for k, v in sizes.items()}
     rest = sorted(sizes, key=lambda k: (-(n * sizes[k] % total), str(k)))

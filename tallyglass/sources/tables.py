@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.exprs import columns_of, finite, q
+from ..functions.quantiles import smallest
 
 FORMATS = ("csv", "parquet", "json", "orc")
 SAMPLE_SEED = 42  # fixed value: default seed of the sampled read
@@ -62,11 +63,11 @@ def known_columns(df: DataFrame, cols: list[str] | None) -> list[str]:
 
 def read_sample(df: DataFrame, columns: list[str] | None = None, n: int | None = None,
                 seed: int = SAMPLE_SEED, key: list[str] | None = None) -> DataFrame:
-    """Projected, JSON-safe rows; ``n`` reproducible random rows ordered by a keyed hash."""
+    """Projected, JSON-safe rows; ``n`` reproducible random rows, those with the smallest keyed hash."""
     cols = known_columns(df, columns)
     if n is not None:
         order = F.xxhash64(*[q(c) for c in (key or df.columns)], F.lit(seed))
-        df = df.orderBy(order, *[q(c) for c in (key or [])]).limit(n)
+        df = smallest(df, order, n, [q(c) for c in (key or [])])
     return iso_times(clean_num(df.select(*[q(c) for c in cols])))
 
 
