@@ -6,12 +6,15 @@ one run (or one very long text), not its partition.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
+SLICE_ROWS = 1_000
 U = np.uint64
 
 #: Byte classes: white space as in the contracts, letters A-Z folded to a-z.
@@ -52,6 +55,29 @@ def _power(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
+def lean(run):
+    """A function over Arrow batches that sees them in slices of ``SLICE_ROWS`` rows, so its copies are small, and gives the
+    memory it freed back to the system when its task ends: Spark keeps the worker process for other tasks, which
+    share the executor's memory."""
+
+    def sliced(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield batch.slice(at, SLICE_ROWS)
+
+    @functools.wraps(run)
+    def over(batches):
+        try:
+            yield from run(sliced(batches))
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return over
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one large_string array with nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):

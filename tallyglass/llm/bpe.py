@@ -33,7 +33,7 @@ from .rows import extend
 
 PATH = "/opt/tokenizers/word_bpe_49k.json"
 #: Entries a worker keeps of words already encoded and of arcs already decided; beyond it starts anew.
-MEMO = 300_000
+MEMO = 100_000
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 FINAL = 256
 
@@ -131,7 +131,7 @@ class Automaton:
         key = a << 20 | b
         got = self.allowed.get(key)
         if got is None:
-            if len(self.allowed) > 4 * MEMO:
+            if len(self.allowed) > 2 * MEMO:
                 self.allowed.clear()
             got = self.allowed[key] = self._replay(a, b)
         return got

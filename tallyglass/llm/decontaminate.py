@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import q
 from ..functions.store import materialise
-from .arrays import ALNUM, Members, runs, shingles, texts, word_hashes, words
+from .arrays import ALNUM, Members, lean, runs, shingles, texts, word_hashes, words
 from .rows import without
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -105,7 +105,7 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     for b in range(blocks):
         part = few.filter(F.col("b") == b).select("k", "t").collect()  # at most block_shingles shingles
         held = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in part], [r[1] for r in part], threshold))
-        passes.append(base.mapInArrow(_search(held, schema), schema))
+        passes.append(base.mapInArrow(lean(_search(held, schema)), schema))
     found = reduce(DataFrame.unionAll, passes)
     return found.select(F.col("doc").alias(key), F.col("item").alias(item_key), "n_shingles", "n_found",
                         (F.col("n_found") / F.col("n_shingles")).alias("containment"))

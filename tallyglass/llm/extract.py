@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import q
-from .arrays import SPACE, runs, texts, word_hashes, words
+from .arrays import SPACE, lean, runs, texts, word_hashes, words
 
 RUN, COVERED, TEMPLATE_PAGES, TEMPLATE_SHARE = 8, 0.8, 8, 0.9
 SHARD = 8_000_000
@@ -269,7 +269,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     base = base.join(F.broadcast(large) if few else large, F.col("host") == F.col("large"), "left").select(
         "page", "url", "host", F.when(F.col("shards").isNull(), 0).otherwise(F.pmod(F.xxhash64("page", "url"), F.col("shards"))).cast("int").alias("shard"), "html")
     kind, text = base.schema["page"].dataType.simpleString(), base.schema["url"].dataType.simpleString()
-    packed = base.mapInArrow(_pack, f"host string, shard int, pages array<{kind}>, urls array<{text}>, size long, data binary")
+    packed = base.mapInArrow(lean(_pack), f"host string, shard int, pages array<{kind}>, urls array<{text}>, size long, data binary")
     return packed.groupBy("host", "shard").applyInPandas(_unpack, f"page {kind}, url {text}, text string").select(F.col("page").alias(key), F.col("url").alias(url), "text")
 
 

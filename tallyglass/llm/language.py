@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.exprs import q
-from .arrays import ALNUM, runs, texts
+from .arrays import ALNUM, lean, runs, texts
 from .rows import extend
 
 LONGEST, SLOTS, LANDMARKS, SAMPLE, RIDGE = 4, 1 << 15, 256, 8_000, 1e-3
@@ -93,7 +93,7 @@ def learn(docs: DataFrame, key: str, text: str, lang: str, condition, sample: in
     def kind(df):
         return df.schema["k"].dataType.simpleString()
 
-    got = _spread(rows, counts, landmarks).mapInArrow(bits, f"k {kind(rows)}, x binary").collect()
+    got = _spread(rows, counts, landmarks).mapInArrow(lean(bits), f"k {kind(rows)}, x binary").collect()
     chosen = np.unique(np.array([np.frombuffer(r["x"], np.uint8) for r in got], np.uint8).reshape(len(got), -1), axis=0)
     marks = np.unpackbits(chosen, axis=1).astype(np.float32)
     marks = marks[marks.any(axis=1)]
@@ -112,7 +112,7 @@ def learn(docs: DataFrame, key: str, text: str, lang: str, condition, sample: in
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), batch.column(2).slice(at, len(x)),
                                                   pa.array([r.tobytes() for r in f.astype(np.float32)], pa.binary())], ["k", "lang", "f"])
 
-    got = _spread(rows, counts, sample).mapInArrow(features, f"k {kind(rows)}, lang string, f binary").toPandas().sort_values(["k", "f"])
+    got = _spread(rows, counts, sample).mapInArrow(lean(features), f"k {kind(rows)}, lang string, f binary").toPandas().sort_values(["k", "f"])
     if not len(got):
         return [], np.zeros((SLOTS, 0), np.float32), np.zeros(0)
     f = np.stack([np.frombuffer(b, np.float32) for b in got["f"]]).astype(np.float64)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.exprs import q
 from ..functions.store import materialise
-from .arrays import U, mix
+from .arrays import U, lean, mix
 from .graph import components
 from .ngram_join import _forest
 
@@ -247,9 +247,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     """One row per row of ``df``: key, ``n_links``, ``component_id``, ``kept``."""
     base = df.select(q(key).alias("id"), q(vector).cast(T.ArrayType(T.DoubleType())).alias("v"))
     kind = base.schema["id"].dataType.simpleString()
-    rows = materialise(base.mapInArrow(_prepare, f"id {kind}, node long, vector binary"), "vectors")
+    rows = materialise(base.mapInArrow(lean(_prepare), f"id {kind}, node long, vector binary"), "vectors")
     nodes = materialise(rows.filter("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "vector-nodes")
-    places = materialise(nodes.select("node", "vector").mapInArrow(_place(tables, probes), "cell long, node long, home boolean"), "cells")
+    places = materialise(nodes.select("node", "vector").mapInArrow(lean(_place(tables, probes)), "cell long, node long, home boolean"), "cells")
     cells = (places.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("home").alias("home"))
              .filter("home and lo <> hi").select("cell", "n"))
     full = materialise(places.join(cells, "cell"), "shared-cells")
@@ -259,7 +259,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     pairs = x.join(y, "cell").filter("a < b and (home_a or home_b)").select("cell", "a", "b")
     for s in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(s), F.col("vector").alias(f"vector_{s}"), F.col("copies").alias(f"copies_{s}")), s)
-    near = pairs.select("cell", "a", "b", "copies_a", "copies_b", "vector_a", "vector_b").mapInArrow(_verify(threshold, tables, probes), "a long, b long, links long")
+    near = pairs.select("cell", "a", "b", "copies_a", "copies_b", "vector_a", "vector_b").mapInArrow(lean(_verify(threshold, tables, probes)), "a long, b long, links long")
     # cells of many members: blocks
     dealt = (full.filter(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import q
-from .arrays import ALNUM, Members, U, runs, shingles, texts, word_hashes, words
+from .arrays import ALNUM, Members, U, lean, runs, shingles, texts, word_hashes, words
 
 KGRAM, WINDOW, BAND, COVERAGE = 3, 4, 8, 0.8
 
@@ -178,7 +178,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
                                                   pa.array([a / b for a, b in zip(n, size)]), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(notice)],
                                                  ["k", "license", "matched", "n_words", "coverage", "first", "last", "notice"])
 
-    return base.mapInArrow(run, f"k {kind}, license string, matched long, n_words long, coverage double, first long, last long, notice string").withColumnRenamed("k", key)
+    return base.mapInArrow(lean(run), f"k {kind}, license string, matched long, n_words long, coverage double, first long, last long, notice string").withColumnRenamed("k", key)
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

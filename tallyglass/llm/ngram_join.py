@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exprs import q
 from ..functions.store import materialise
-from .arrays import SPACE, U, mix, runs, shingles, texts, word_hashes, words
+from .arrays import SPACE, U, lean, mix, runs, shingles, texts, word_hashes, words
 from .graph import components
 from .rows import without
 
@@ -67,7 +67,7 @@ def _nodes(width: int):
         low, rows = [], 0
 
         def heavy():
-            keys, n = np.unique(np.concatenate(low), return_counts=True) if low else (np.zeros(0, U), np.zeros(0, int))
+            keys, n = np.unique(np.concatenate(low), return_counts=True)
             keep = n * HOT_SHARE * 2 > max(rows, 64)
             return keys[keep], n[keep]
 
@@ -87,12 +87,13 @@ def _nodes(width: int):
                     low.append(s[:np.searchsorted(s, U(LOW))])
                     rows += 1
                     size += len(low[-1])
-                if size > 4_000_000:
+                if size > 1_500_000:
                     yield batch_of(*heavy())
                     low, rows, size = [], 0, 0
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, mask=sizes == 0), pa.array(sizes), none, none], ["doc", "node", "n", "token", "hits"])
-        yield batch_of(*heavy())
+        if low:
+            yield batch_of(*heavy())
 
     return run
 
@@ -284,13 +285,13 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     base = docs.select(q(key).alias("doc"), q(text).alias("t"))
     kind = base.schema["doc"].dataType.simpleString()
     spark = docs.sparkSession
-    first = materialise(base.mapInArrow(_nodes(width), f"doc {kind}, node long, n long, token long, hits long"), "nodes")
+    first = materialise(base.mapInArrow(lean(_nodes(width)), f"doc {kind}, node long, n long, token long, hits long"), "nodes")
     rows = first.filter("token is null").select("doc", "node", "n")
     total = rows.filter("node is not null").count()
     # at most 100 times the mean number of low shingles: held by more than a fiftieth of the documents
     hot = first.filter("token is not null").groupBy("token").agg(F.sum("hits").alias("hits")).filter(F.col("hits") * HOT_SHARE > total).select("token").toArrow().column(0).to_numpy()
     held = spark.sparkContext.broadcast(np.sort(hot.view(U)))
-    tokens = base.select("t").mapInArrow(_tokens(held, width, percent), "token long, node long, tag int")
+    tokens = base.select("t").mapInArrow(lean(_tokens(held, width, percent)), "token long, node long, tag int")
     by = Window.partitionBy("token")
     shared = tokens.select("*", F.count(F.lit(1)).over(by).alias("df"), F.min("node").over(by).alias("lo"), F.max("node").over(by).alias("hi")).filter("lo <> hi")
     shared = shared.groupBy("node", "tag", "token").agg(F.max("df").alias("df"))
@@ -307,7 +308,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     owner = rows.groupBy("node").agg(F.min("doc").alias("doc")).join(left, "node", "left_semi").select(F.col("doc").alias("own")).distinct()
     few = owner.count() <= broadcast_ids
     kept = base.join(F.broadcast(owner) if few else owner, base["doc"].eqNullSafe(owner["own"]), "left_semi").select("t")
-    sets = kept.mapInArrow(_sketches(width, percent), "node long, n long, second array<int>, third array<int>, map array<long>, shingles array<long>")
+    sets = kept.mapInArrow(lean(_sketches(width, percent)), "node long, n long, second array<int>, third array<int>, map array<long>, shingles array<long>")
     sets = materialise(sets.dropDuplicates(["node"]), "sets")
     # small groups: pairs, filters of orders two and three, bounds, verification
     tight = places.filter(F.col("members") <= small)

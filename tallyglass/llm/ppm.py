@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import q
 from ..functions.store import materialise
-from .arrays import FOLD, SPACE, Members, U, mix, runs, texts, word_hashes, words
+from .arrays import FOLD, SPACE, Members, U, lean, mix, runs, texts, word_hashes, words
 
 ORDER = 5
 SHARD, FREQUENT = 1_500_000, 2_000_000
@@ -243,7 +243,7 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", shard
     spark = docs.sparkSession
     context = spark.sparkContext
     base = docs.select(q(key).alias("k"), q(text).alias("t"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    counts = materialise(base.filter("learn").select("t").mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm")
+    counts = materialise(base.filter("learn").select("t").mapInArrow(lean(_count), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm")
     of = {r["kind"]: (r["n"], r["kinds"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()}
     tokens, vocabulary = of.get(WORD, (0, 0))
     n_grams = of.get(GRAM, (0, 0))[1]
@@ -263,7 +263,7 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", shard
         at = F.pmod((F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF) * 40503).bitwiseAND(0xFFFF), F.lit(shards))
         part = _collect(trie_rows.filter(at == s), "key", "n")
         trie = context.broadcast((part[0].view(U), part[1], low[0].view(U), low[1]))
-        passes.append(hashed.mapInArrow(_scored(trie, held if s == 0 else None, s, shards, tokens, vocabulary, least), schema))
+        passes.append(hashed.mapInArrow(lean(_scored(trie, held if s == 0 else None, s, shards, tokens, vocabulary, least)), schema))
     scored = materialise(reduce(DataFrame.unionAll, passes), "ppm-scored")
     rare = scored.select("k", "h", F.explode("rare").alias("key")).join(tokens_table.select("key", "n"), "key", "left").groupBy("k", "h").agg(
         F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("base"))

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.exprs import q
-from .arrays import ALNUM, SPACE, U, mix, runs, texts, word_hashes, words
+from .arrays import ALNUM, SPACE, U, lean, mix, runs, texts, word_hashes, words
 from .rows import extend
 
 BUCKETS, DIMS, NONZERO, WINDOW = 1 << 14, 64, 4, 2
 POOLED = 2 * DIMS + 2
 SAMPLE = 20_000
 HIDDEN, EPOCHS = 32, 40
-RUN = 1 << 19
+RUN = 1 << 18
 SIGN = ~ALNUM & ~SPACE
 
 
@@ -77,7 +77,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
             rows = used[at:at + 2048]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *[pa.array(np.ascontiguousarray(table[rows, i])) for i in range(DIMS)]], ["b", *names])
 
-    parts = docs.select(q(text)).mapInArrow(run, "b int, " + ", ".join(f"{n} long" for n in names))
+    parts = docs.select(q(text)).mapInArrow(lean(run), "b int, " + ", ".join(f"{n} long" for n in names))
     got = parts.groupBy("b").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # BUCKETS rows at most
     table = np.zeros((BUCKETS, DIMS))
     if got.num_rows:
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, key: str = "doc
                                                   pa.array([r.tobytes() for r in x], pa.binary())], ["k", "y", "x"])
 
     kind = picked.schema["k"].dataType.simpleString()
-    got = picked.select("k", "t", F.col("y").cast("int").alias("y")).mapInArrow(run, f"k {kind}, y int, x binary").toPandas().sort_values(["k", "x"])
+    got = picked.select("k", "t", F.col("y").cast("int").alias("y")).mapInArrow(lean(run), f"k {kind}, y int, x binary").toPandas().sort_values(["k", "x"])
     x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]]).astype(np.float64) if len(got) else np.zeros((0, POOLED))
     return Network(x, got["y"].to_numpy(np.float64))
 

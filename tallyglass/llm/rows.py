@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.exprs import q
+from .arrays import lean
 
 BROADCAST_KEYS = 2_000_000
 
@@ -35,5 +36,5 @@ def extend(df: DataFrame, run, fields: list[T.StructField], hidden: dict | None
             for at, arrays in work(batch, place):
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, len(arrays[0])) for i in range(len(kept))], *arrays], schema.names)
 
-    out = base.mapInArrow(over, schema)
+    out = base.mapInArrow(lean(over), schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, kept)], *[F.col(n).alias(f.name) for n, f in zip(given, fields)])
