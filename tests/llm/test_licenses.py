@@ -77,3 +77,38 @@ def test_any_long_run_of_a_template_is_hit(n):
     run = licenses.KGRAM + licenses.WINDOW - 1
     for at in range(max(1, n - run + 1)):
         assert any(at <= p <= at + run - licenses.KGRAM for p in places)
+
+
+def test_every_kind_of_notice_in_the_given_documents(spark, sf):
+    kinds = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 notice", "All rights reserved.": "All rights reserved", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 notice",
+             "Released under the MIT License.": "MIT notice", "Licensed under the Apache License, Version 2.0.": "Apache-2.0 notice"}
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    want = sorted((r["doc_id"], kinds[line]) for r in docs.select("doc_id", "text").collect() for line in (r["text"] or "").split("\n") if line in kinds)
+    assert {k for _, k in want} == set(kinds.values())
+    assert sorted((r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()) == want
+
+
+def test_every_template_is_found_as_itself(spark):
+    rng = random.Random(8)
+    names = sorted(licenses.TEMPLATES)
+    texts = [f"{sentence(rng, 'en', 12)}\n{licenses.TEMPLATES[n]}\n{sentence(rng, 'en', 12)}" for n in names]
+    got = [(names[r["doc_id"]], r["license"], r["coverage"]) for r in licenses.scan(make_docs(spark, texts)).collect()]
+    assert sorted(got) == [(n, n, 1.0) for n in names]
+
+
+def test_an_edited_whole_text_is_not_its_opening(spark):
+    edited = {}
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "Apache-2.0", "AGPL-3.0"):
+        parts = licenses.TEMPLATES[name].split()
+        parts[len(parts) * 9 // 10] = "changed"
+        edited[name] = " ".join(parts)
+    got = licenses.scan(make_docs(spark, list(edited.values()))).collect()
+    assert sorted((r["doc_id"], r["license"], r["n_words"] - r["matched"] <= 2) for r in got) == [(i, n, True) for i, n in enumerate(edited)]
+
+
+def test_the_word_bound_never_cuts_a_match():
+    rng = random.Random(9)
+    for _ in range(200):
+        template = np.array([rng.randint(0, 5) for _ in range(rng.randint(1, 10))], U)
+        doc = np.array([rng.randint(0, 5) for _ in range(rng.randint(0, 18))], U)
+        assert licenses.reach(np.unique(template, return_counts=True), doc) >= licenses.align(template, doc, -25, 40)[0]
