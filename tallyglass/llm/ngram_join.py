@@ -35,6 +35,7 @@ from .graph import components
 from .rows import without
 
 WIDTH, PERCENT = 4, 85
+STAGE_WIDTH, STAGE_PERCENT = 5, 80  # near copies of the pipeline
 LOW = 1 << 62  # a quarter of the hashes
 HOT_SHARE = 50
 SMALL, BLOCK_ROWS, BLOCK_WEIGHT = 256, 1024, 1_000_000
@@ -355,7 +356,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component the document with the smallest id; rows that repeat an id and its text stay once."""
-    found = materialise(join_components(docs), "components")
+    found = materialise(join_components(docs, width=STAGE_WIDTH, percent=STAGE_PERCENT), "components")
     kept = without(docs, "doc_id", found.filter("component_id <> doc_id").select("doc_id"))
     again = materialise(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     if not again.limit(1).count():

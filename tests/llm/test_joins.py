@@ -145,3 +145,23 @@ def test_forest_labels():
     a, b = np.array([0, 1, 5, 7]), np.array([1, 2, 6, 5])
     assert ngram_join._forest(a, b, 9).tolist() == [0, 0, 0, 3, 4, 5, 5, 5, 8]
     assert pd.Series(ngram_join._forest(a[:0], b[:0], 3)).tolist() == [0, 1, 2]
+
+
+def _brute_stage(rows, width=5, percent=80):
+    sets = []
+    for i, t in rows:
+        parts = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets.append((i, {tuple(parts[k:k + width]) for k in range(max(1, len(parts) - width + 1))} if parts else set()))
+    linked = [(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if s and t and 100 * len(s & t) >= percent * len(s | t)]
+    return set(_components({i for i, _ in rows}, linked).values())
+
+
+def test_stage_links_five_word_shingles_at_four_fifths(spark, corpus):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for changed in ((20, 60, 100, 140), (20, 60, 100, 140, 180), range(10, 190, 20)):
+        texts.append(" ".join(f"x{len(texts)}y{i}" if i in changed else w for i, w in enumerate(base)))
+    got = ngram_join.stage(spark, make_docs(spark, texts), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(_brute_stage(list(enumerate(texts)))) == [0, 2, 3]
+    docs, rows = corpus
+    assert sorted(r["doc_id"] for r in ngram_join.stage(spark, docs, "").collect()) == sorted(_brute_stage([(i, t) for i, t, _ in rows]))
