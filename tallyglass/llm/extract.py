@@ -6,18 +6,20 @@ token streams of a host's pages are concatenated and their suffixes sorted (pref
 decides what repeats); runs of RUN tokens or more that stand on several distinct pages cover boilerplate:
 
 * outside the article a block goes when it is marked out, when at least half of it is covered by runs found on two pages and
-  a tenth of the host's pages, or when the page has an article;
+  a tenth of the host's pages, ``OUTSIDE_PAGES`` at most, or when the page has an article;
 * inside the article a block goes when at least ``COVERED`` of it is covered by runs found on ``TEMPLATE_PAGES`` pages and
   ``TEMPLATE_SHARE`` of the host's pages.  Passages that articles merely share stay.
 
-Repetition never takes more than half of what the page would keep otherwise: such a page is a copy, not a template.
+Where repetition would take more than half of what the page would keep otherwise, only blocks covered by runs on
+``TEMPLATE_PAGES`` pages go, and none where nothing would be left: such a page is a copy, not a template.
 
 Character references are decoded, white space in a block becomes one blank, blocks are joined by an empty line.  Null or
 empty pages have an empty text, pages without a url are one host.  Repeated rows are separate pages.  Other columns are
 ignored.
 
 Scale.  Pages travel once, as compressed streams.  A host of more than ``SHARD`` characters is cut into shards by a hash of
-the page, each sorted on its own: what repeats on a share of a host's pages repeats in every shard, so no host needs one task.
+the page, each sorted on its own; the pages of each run are summed over the shards of the host by a shuffle, so no host needs
+one task and the result does not depend on the shards.
 """
 
 from __future__ import annotations
@@ -31,9 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import q
-from .arrays import SPACE, lean, runs, texts, word_hashes, words
+from ..functions.store import materialise
+from .arrays import SPACE, U, lean, runs, shingles, texts, word_hashes, words
 
 RUN, COVERED, TEMPLATE_PAGES, TEMPLATE_SHARE = 8, 0.8, 8, 0.9
+OUTSIDE_SHARE, OUTSIDE_PAGES = 0.1, 5
+HASH_BITS = 44  # of a run, where shards are summed
 SHARD = 8_000_000
 BROADCAST_HOSTS = 500_000
 ARTICLE, OUTSIDE, MARKED = "a", "o", "m"
@@ -147,11 +152,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def repeated(hashes: np.ndarray, page: np.ndarray, least) -> np.ndarray:
-    """Which tokens lie in a run of RUN tokens that stands on at least ``least`` distinct pages.
+def standing(hashes: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, pages, first): the tokens at which a run of RUN tokens of one page begins, the number of distinct pages it
+    stands on, and which of them are the first of their run.
 
     Ranks of suffixes by prefix doubling: after k rounds equal ranks mean equal first 2^k tokens of one page."""
-    covered = np.zeros(len(hashes), bool)
     rank = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
     place, depth = np.arange(len(hashes)), 1
     while depth < RUN:
@@ -163,51 +168,97 @@ def repeated(hashes: np.ndarray, page: np.ndarray, least) -> np.ndarray:
         new[place] = np.unique(pair, return_inverse=True)[1] if len(pair) else 0
         rank, depth = new, depth + step
     if not len(place):
-        return covered
+        return place, place, np.zeros(0, bool)
     order = np.lexsort((page[place], rank[place]))  # the suffix array, to this depth, pages in order
     r, p = rank[place][order], page[place][order]
     starts = np.flatnonzero(np.diff(r, prepend=-1))
     fresh = np.ones(len(r), np.int64)
     fresh[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
     pages = np.add.reduceat(fresh, starts)
-    common = np.zeros(len(hashes) + 1, np.int64)
-    begins = place[order][np.repeat(pages >= least, np.diff(np.append(starts, len(r))))]
+    first = np.zeros(len(r), bool)
+    first[starts] = True
+    return place[order], np.repeat(pages, np.diff(np.append(starts, len(r)))), first
+
+
+def covered(begins: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` tokens lie in one of the runs that begin there."""
+    common = np.zeros(size + 1, np.int64)
     np.add.at(common, begins, 1)
     np.add.at(common, begins + RUN, -1)
     return np.cumsum(common[:-1]) > 0
 
 
-def choose(pages: list[list[tuple[str, str]]]) -> list[str]:
-    """Main text of every page of one host (or shard of it)."""
+def _limits(pages: int) -> tuple[int, int]:
+    """Pages on which a run outside and inside of articles must stand."""
+    return min(OUTSIDE_PAGES, max(2, int(np.ceil(OUTSIDE_SHARE * pages)))), max(TEMPLATE_PAGES, int(np.ceil(TEMPLATE_SHARE * pages)))
+
+
+def _run_hashes(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The upper ``HASH_BITS`` of the hashes of the runs."""
+    if not len(begins):
+        return np.zeros(0, np.int64)
+    return (shingles(hashes, np.array([0, len(hashes)]), RUN, whole_short=False)[0][begins] >> U(64 - HASH_BITS)).view(np.int64)
+
+
+def _tokens(pages: list[list[tuple[str, str]]]):
+    """Blocks as one array; the hashes of their tokens; the number of tokens of each block; the page of each block."""
     flat = pa.array([t for p in pages for _, t in p], pa.large_string())
-    kinds = np.array([k for p in pages for k, _ in p], object)
     page_of = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
     hashes, size = [], []
     for _, _, raw, offsets in runs(flat):
         start, end, first = words(raw, offsets, ~SPACE)
         hashes.append(word_hashes(raw, start, end, fold=False))
         size.append(np.diff(first))
-    if not hashes:
+    return flat, np.concatenate([np.zeros(0, U), *hashes]), np.concatenate([np.zeros(0, np.int64), *size]), page_of
+
+
+def shard_runs(pages: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, distinct pages) of every run of a shard."""
+    _, hashes, size, page_of = _tokens(pages)
+    begins, counts, first = standing(hashes, np.repeat(page_of, size))
+    return _run_hashes(hashes, begins[first]), counts[first]
+
+
+def choose(pages: list[list[tuple[str, str]]], total: int | None = None, common: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
+    """Main text of every page of one host; of one of its shards, if ``total`` pages of the host and ``common``, the sorted hashes
+    and the pages of the runs found on enough of them, are given."""
+    flat, hashes, size, page_of = _tokens(pages)
+    if not len(size):
         return [""] * len(pages)
-    hashes, size = np.concatenate(hashes), np.concatenate(size)
+    kinds = np.array([k for p in pages for k, _ in p], object)
     page = np.repeat(page_of, size)
     owner = np.repeat(np.arange(len(size)), size)
+    if common is None:
+        begins, counts, _ = standing(hashes, page)
+    else:
+        begins = np.arange(max(len(hashes) - RUN + 1, 0))
+        begins = begins[page[begins] == page[begins + RUN - 1]]
+        known, times = common
+        counts = np.zeros(len(begins), np.int64)
+        if len(known) and len(begins):
+            value = _run_hashes(hashes, begins)
+            at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+            counts = np.where(known[at] == value, times[at], 0)
 
     def share(least):
-        return np.bincount(owner, repeated(hashes, page, least), len(size)) / np.maximum(size, 1)
+        return np.bincount(owner, covered(begins[counts >= least], len(hashes)), len(size)) / np.maximum(size, 1)
 
     article, outside = kinds == ARTICLE, kinds == OUTSIDE
     has_article = np.zeros(len(pages), bool)
     has_article[page_of[article]] = True
     base = article | (outside & ~has_article[page_of])
-    gone = np.zeros(len(size), bool)
+    few, most = _limits(len(pages) if total is None else total)
+    gone, template = np.zeros(len(size), bool), np.zeros(len(size), bool)
     if outside.any():
-        gone |= outside & (share(max(2, int(np.ceil(0.1 * len(pages))))) >= 0.5)
-    if len(pages) >= TEMPLATE_PAGES:
-        gone |= article & (share(max(TEMPLATE_PAGES, int(np.ceil(TEMPLATE_SHARE * len(pages))))) >= COVERED)
+        gone |= outside & (share(few) >= 0.5)
+        template |= outside & (share(max(few, TEMPLATE_PAGES)) >= 0.5)
+    inside = article & (share(most) >= COVERED)
+    gone, template = gone | inside, template | inside
+    held = np.bincount(page_of, size * base, len(pages))
+    lost = np.bincount(page_of, size * (gone & base), len(pages))
+    gone = np.where((lost * 2 > held)[page_of], template, gone)
     lost = np.bincount(page_of, size * (gone & base), len(pages))
-    copy = lost * 2 > np.bincount(page_of, size * base, len(pages))
-    keep = base & ~(gone & ~copy[page_of])
+    keep = base & ~(gone & (lost < held)[page_of])
     out: list[list[str]] = [[] for _ in pages]
     strings = flat.to_pylist()
     for i in np.flatnonzero(keep).tolist():
@@ -249,7 +300,7 @@ def _pack(batches):
                                               pa.array([r[3] for r in ready], pa.int64()), pa.array([r[4] for r in ready], pa.binary())], ["host", "shard", "pages", "urls", "size", "data"])
 
 
-def _unpack(pdf: pd.DataFrame) -> pd.DataFrame:
+def _unpacked(pdf: pd.DataFrame):
     codec = pa.Codec("zstd")
     ids, urls, pages = [], [], []
     for i, u, n, data in zip(pdf["pages"], pdf["urls"], pdf["size"], pdf["data"]):
@@ -257,20 +308,83 @@ def _unpack(pdf: pd.DataFrame) -> pd.DataFrame:
         urls.extend(u)
         body = codec.decompress(data, int(n), asbytes=True).decode("utf-8", "surrogatepass") if n else ""
         pages.extend([(b[0], b[1:]) for b in p.split("\x1d") if b] for p in body.split("\x1e"))
+    return ids, urls, pages
+
+
+def _unpack(pdf: pd.DataFrame) -> pd.DataFrame:
+    ids, urls, pages = _unpacked(pdf)
     return pd.DataFrame({"page": ids, "url": urls, "text": choose(pages)})
 
 
+def _squeeze(run: np.ndarray, pages: np.ndarray) -> bytes:
+    """Sorted hashes as differences, and page numbers, byte plane after byte plane, compressed."""
+    step = np.diff(run, prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T
+    return pa.Codec("zstd").compress(step.tobytes() + pages.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def _unsqueeze(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 10 * n, asbytes=True), np.uint8).reshape(10, n)
+    step = np.zeros((n, 8), np.uint8)
+    step[:, :6] = planes[:6].T
+    return np.cumsum(step.view("<u8").ravel().astype(np.int64)), np.ascontiguousarray(planes[6:].T).view("<u4").ravel().astype(np.int64)
+
+
+def _count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The runs of a shard in buckets by their hash, one for two shards of the host."""
+    run, pages = shard_runs(_unpacked(pdf)[2])
+    order = np.argsort(run)
+    run, pages = run[order], pages[order]
+    buckets = min(-(-int(pdf["shards"].iloc[0]) // 2), 1 << 16)
+    cuts = np.searchsorted((run * buckets) >> HASH_BITS, np.arange(buckets + 1))
+    rows = [(key[0], i, key[1], int(pdf["total"].iloc[0]), int(b - a), _squeeze(run[a:b], pages[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    return pd.DataFrame(rows, columns=["owner", "bucket", "part", "total", "n", "data"])
+
+
+def _sum(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The runs of a bucket that stand on enough pages of the host, for each shard that holds them."""
+    run, pages = (np.concatenate(x) for x in zip(*[_unsqueeze(d, int(n)) for d, n in zip(pdf["data"], pdf["n"])]))
+    part = np.repeat(pdf["part"].to_numpy(), pdf["n"].to_numpy())
+    total = int(pdf["total"].iloc[0])
+    values, at = np.unique(run, return_inverse=True)
+    count = np.bincount(at, pages, len(values)).astype(np.int64)[at]
+    keep = count >= _limits(total)[0]
+    return pd.DataFrame({"owner": key[0], "part": part[keep], "run": run[keep], "count": count[keep], "total": total})
+
+
+def _unpack_shard(pdf: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
+    ids, urls, pages = _unpacked(pdf)
+    common = common.sort_values("run")
+    total = int(common["total"].iloc[0]) if len(common) else len(pages)
+    return pd.DataFrame({"page": ids, "url": urls, "text": choose(pages, total, (common["run"].to_numpy(np.int64), common["count"].to_numpy(np.int64)))})
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", shard: int = SHARD) -> DataFrame:
     """One row per row of ``pages``: key, url and ``text``."""
     host = F.coalesce(F.regexp_extract(F.lower(q(url)), r"^[a-z][a-z0-9+.\-]*://([^/?#]*)", 1), F.lit(""))
     base = pages.select(q(key).alias("page"), q(url).alias("url"), host.alias("host"), q(html).alias("html"))
-    large = base.groupBy("host").agg(F.sum(F.length("html")).alias("size")).filter(F.col("size") > shard).select(F.col("host").alias("large"), F.ceil(F.col("size") / shard).cast("int").alias("shards"))
-    few = large.count() <= BROADCAST_HOSTS
-    base = base.join(F.broadcast(large) if few else large, F.col("host") == F.col("large"), "left").select(
-        "page", "url", "host", F.when(F.col("shards").isNull(), 0).otherwise(F.pmod(F.xxhash64("page", "url"), F.col("shards"))).cast("int").alias("shard"), "html")
+    large = base.groupBy("host").agg(F.sum(F.length("html")).alias("size"), F.count(F.lit(1)).alias("total")).filter(F.col("size") > shard).select(
+        F.col("host").alias("large"), F.ceil(F.col("size") / shard).cast("int").alias("shards"), "total")
+    large = materialise(large, "hosts")
+    hosts = large.count()
+    few = hosts <= BROADCAST_HOSTS
+    side = F.broadcast(large) if few else large
+    base = base.join(side.drop("total"), F.col("host") == F.col("large"), "left").select(
+        "page", "url", "host", F.when(F.col("shards").isNull(), 0).otherwise(F.pmod(F.xxhash64("page", "url"), F.col("shards"))).cast("int").alias("shard"), "html", "shards")
     kind, text = base.schema["page"].dataType.simpleString(), base.schema["url"].dataType.simpleString()
-    packed = base.mapInArrow(lean(_pack), f"host string, shard int, pages array<{kind}>, urls array<{text}>, size long, data binary")
-    return packed.groupBy("host", "shard").applyInPandas(_unpack, f"page {kind}, url {text}, text string").select(F.col("page").alias(key), F.col("url").alias(url), "text")
+    out = f"page {kind}, url {text}, text string"
+
+    def packed(rows):
+        return rows.drop("shards").mapInArrow(lean(_pack), f"host string, shard int, pages array<{kind}>, urls array<{text}>, size long, data binary")
+
+    whole = packed(base.filter("shards is null")).groupBy("host", "shard").applyInPandas(_unpack, out)
+    if hosts:
+        side = side.select(F.xxhash64("large").alias("of"), "shards", "total")
+        cut = packed(base.filter("shards is not null")).withColumn("owner", F.xxhash64("host")).withColumnRenamed("shard", "part").drop("host")
+        cut = cut.join(F.broadcast(side) if few else side, F.col("owner") == F.col("of")).drop("of")
+        counts = cut.groupBy("owner", "part").applyInPandas(_count, "owner long, bucket int, part int, total long, n long, data binary")
+        common = counts.groupBy("owner", "bucket").applyInPandas(_sum, "owner long, part int, run long, count long, total long")
+        whole = whole.unionAll(cut.groupBy("owner", "part").cogroup(common.groupBy("owner", "part")).applyInPandas(_unpack_shard, out))
+    return whole.select(F.col("page").alias(key), F.col("url").alias(url), "text")
 
 
 def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,20 @@ def test_table(spark, shard):
     want = [(i, u, f"text {i} é" if i < 20 else {20: "no url", 23: ("long text " * 50_000).strip()}.get(i, "")) for i, u, *_ in rows]
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
     assert extract.main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shard", [extract.SHARD, 20_000])
+def test_a_block_on_few_pages_of_a_large_host_goes(spark, shard):
+    own = [" ".join(f"own{i}x{k}" for k in range(40)) for i in range(200)]
+    section = "<div>Section pages about the garden and the kitchen and all that belongs to them</div>"
+    pair = " ".join(f"two{k}" for k in range(12))
+    rows = [(i, f"https://big.example.org/{i}", f"{section if i % 16 == 0 else ''}<div>{own[i]}</div>{f'<p>{pair}</p>' if i in (5, 6) else ''}") for i in range(200)]
+    got = extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard=shard).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: own[i] + (f"\n\n{pair}" if i in (5, 6) else "") for i in range(200)}
+
+
+def test_a_long_banner_on_every_page_goes_and_whole_copies_stay():
+    banner = " ".join(f"banner{k}" for k in range(40))
+    pages = [f"<div>{banner}</div><p>page{i} is short and stands alone</p>" for i in range(10)]
+    assert extract.choose([extract.blocks(p) for p in pages]) == [f"page{i} is short and stands alone" for i in range(10)]
+    assert extract.choose([extract.blocks(f"<div>{banner}</div><p>the same</p>")] * 10) == [f"{banner}\n\nthe same"] * 10
