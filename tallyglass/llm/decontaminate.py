@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.exprs import q
 from ..functions.store import materialise
 from .arrays import ALNUM, Members, lean, runs, shingles, texts, word_hashes, words
-from .rows import without
+from .rows import text_hash, without
 
 WIDTH, THRESHOLD = 5, 0.8
 BLOCK_SHINGLES = 2_000_000
@@ -93,25 +93,29 @@ def _blocks(items: DataFrame, item_key: str, text: str, limit: int):
     return F.pmod(F.xxhash64(q(item_key)), F.lit(max(1, math.ceil(total / limit)))), max(1, math.ceil(total / limit))
 
 
-def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-              item_text: str = "text", threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row per contained pair: the keys, ``n_shingles`` of the item, ``n_found`` of them in the document and
-    ``containment``."""
+def _contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
+               item_text: str = "text", threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row per contained pair: doc, hash of its text, item, n_shingles, n_found."""
     block, blocks = _blocks(items, item_key, item_text, block_shingles)
     few = items.select(q(item_key).alias("k"), q(item_text).alias("t"), block.alias("b"))
-    base = docs.select(q(key).alias("doc"), q(text).alias("t"))
-    schema = f"doc {base.schema['doc'].dataType.simpleString()}, item {few.schema['k'].dataType.simpleString()}, n_shingles long, n_found long"
+    base = docs.select(q(key).alias("doc"), q(text).alias("t"), text_hash(text).alias("hash"))
+    schema = f"doc {base.schema['doc'].dataType.simpleString()}, hash long, item {few.schema['k'].dataType.simpleString()}, n_shingles long, n_found long"
     passes = []
     for b in range(blocks):
         part = few.filter(F.col("b") == b).select("k", "t").collect()  # at most block_shingles shingles
         held = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in part], [r[1] for r in part], threshold))
-        passes.append(base.mapInArrow(lean(_search(held, schema)), schema))
-    found = reduce(DataFrame.unionAll, passes)
-    return found.select(F.col("doc").alias(key), F.col("item").alias(item_key), "n_shingles", "n_found",
-                        (F.col("n_found") / F.col("n_shingles")).alias("containment"))
+        passes.append(base.mapInArrow(lean(_search(held)), schema))
+    return reduce(DataFrame.unionAll, passes)
+
+
+def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", **options) -> DataFrame:
+    """One row per contained pair: the keys, ``n_shingles`` of the item, ``n_found`` of them in the document and
+    ``containment``."""
+    return _contained(docs, items, key, text, item_key, **options).select(
+        F.col("doc").alias(key), F.col("item").alias(item_key), "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
-def _search(held, schema):
+def _search(held):
     def run(batches):
         items: Items = held.value
         widths = sorted(set(items.width))
@@ -144,16 +148,16 @@ def _search(held, schema):
                             out.append((at + i, items.ids[c], len(items.sets[c]), n))
             if out:
                 where, ids, sizes, counts = zip(*out)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), pa.array(ids), pa.array(sizes, pa.int64()),
-                                                  pa.array(counts, pa.int64())], ["doc", "item", "n_shingles", "n_found"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(where, pa.int64())) for c in (0, 2)], pa.array(ids), pa.array(sizes, pa.int64()),
+                                                  pa.array(counts, pa.int64())], ["doc", "hash", "item", "n_shingles", "n_found"])
 
     return run
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents that contain no item."""
-    dirty = materialise(contained(docs, items, key, **options).select(key).distinct(), "dirty")
-    return without(docs, key, dirty)
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents that contain no item.  A row goes by its key and text, so other rows of its key stay."""
+    dirty = materialise(_contained(docs, items, key, text, **options).select("doc", "hash").distinct(), "dirty")
+    return without(docs, {"doc": q(key), "hash": text_hash(text)}, dirty)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from ..functions.exprs import q
 from ..functions.store import materialise
 from .arrays import SPACE, U, lean, mix, runs, shingles, texts, word_hashes, words
 from .graph import components
-from .rows import without
+from .rows import text_hash, without
 
 WIDTH, PERCENT = 4, 85
 STAGE_WIDTH, STAGE_PERCENT = 5, 80  # near copies of the pipeline
@@ -74,8 +74,8 @@ def _nodes(width: int):
 
         def batch_of(keys, n):
             k = len(keys)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))],
-                                              ["doc", "node", "n", "token", "hits"])
+            return pa.RecordBatch.from_arrays([pa.nulls(k, key_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))],
+                                              ["doc", "node", "n", "hash", "token", "hits"])
 
         key_type, size = pa.int64(), 0
         for batch in batches:
@@ -92,7 +92,7 @@ def _nodes(width: int):
                     yield batch_of(*heavy())
                     low, rows, size = [], 0, 0
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, mask=sizes == 0), pa.array(sizes), none, none], ["doc", "node", "n", "token", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, mask=sizes == 0), pa.array(sizes), batch.column(2), none, none], ["doc", "node", "n", "hash", "token", "hits"])
         if low:
             yield batch_of(*heavy())
 
@@ -282,12 +282,12 @@ def _compare(percent: int):
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, small: int = SMALL,
           broadcast_ids: int = BROADCAST_IDS) -> tuple[DataFrame, DataFrame]:
-    """(rows, edges): doc, node and set size of every row; enough linked pairs of nodes to connect all that are linked."""
-    base = docs.select(q(key).alias("doc"), q(text).alias("t"))
+    """(rows, edges): doc, hash of the text, node and set size of every row; enough linked pairs of nodes to connect all that are linked."""
+    base = docs.select(q(key).alias("doc"), q(text).alias("t"), text_hash(text).alias("hash"))
     kind = base.schema["doc"].dataType.simpleString()
     spark = docs.sparkSession
-    first = materialise(base.mapInArrow(lean(_nodes(width)), f"doc {kind}, node long, n long, token long, hits long"), "nodes")
-    rows = first.filter("token is null").select("doc", "node", "n")
+    first = materialise(base.mapInArrow(lean(_nodes(width)), f"doc {kind}, node long, n long, hash long, token long, hits long"), "nodes")
+    rows = first.filter("token is null").select("doc", "hash", "node", "n")
     total = rows.filter("node is not null").count()
     # at most 100 times the mean number of low shingles: held by more than a fiftieth of the documents
     hot = first.filter("token is not null").groupBy("token").agg(F.sum("hits").alias("hits")).filter(F.col("hits") * HOT_SHARE > total).select("token").toArrow().column(0).to_numpy()
@@ -339,15 +339,19 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     return rows, found
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row per row of ``docs``: key, ``n_shingles``, ``component_id``."""
+def _joined(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
+    """doc, hash, n, root and component of every row; root is null for empty sets."""
     rows, edges = links(docs, key, text, **options)
     roots = components(edges).select(F.col("node").alias("linked"), "root")
     least = rows.filter("node is not null").groupBy("node").agg(F.min("doc").alias("doc"))
     of = least.join(roots, least["node"] == roots["linked"], "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
-    named = of.join(of.groupBy("root").agg(F.min("doc").alias("component")), "root").select(F.col("node").alias("of"), "component")
-    out = rows.join(named, rows["node"] == named["of"], "left")
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    named = of.join(of.groupBy("root").agg(F.min("doc").alias("component")), "root").select(F.col("node").alias("of"), "root", "component")
+    return rows.join(named, rows["node"] == named["of"], "left").select("doc", "hash", "n", "root", F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"))
+
+
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: key, ``n_shingles``, ``component_id``."""
+    return _joined(docs, key, text, **options).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,11 +359,18 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component the document with the smallest id; rows that repeat an id and its text stay once."""
-    found = materialise(join_components(docs, width=STAGE_WIDTH, percent=STAGE_PERCENT), "components")
-    kept = without(docs, "doc_id", found.filter("component_id <> doc_id").select("doc_id"))
-    again = materialise(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    """Of every component the row with the smallest id (nulls last), of its rows of that id the one with the smallest hash of its text;
+    empty sets are linked with nothing and stay.  Rows that repeat an id and its text stay once."""
+    found = materialise(_joined(docs, "doc_id", "text", width=STAGE_WIDTH, percent=STAGE_PERCENT), "components")
+    heads = found.filter(F.col("root").isNotNull() & F.col("doc").eqNullSafe(F.col("component")))
+    best = heads.groupBy(F.col("root").alias("of")).agg(F.min("hash").alias("best"))
+    others = heads.join(best, (F.col("root") == F.col("of")) & (F.col("hash") != F.col("best")))
+    gone = found.filter(F.col("root").isNotNull() & ~F.col("doc").eqNullSafe(F.col("component"))).select("doc", "hash").unionAll(others.select("doc", "hash"))
+    names = {"doc": F.col("doc_id"), "hash": text_hash()}
+    kept = without(docs, names, gone)
+    again = materialise(found.groupBy("doc", "hash").count().filter("count > 1").select("doc", "hash"), "repeated")
     if not again.limit(1).count():
         return kept
-    repeated = kept.join(again.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return without(kept, "doc_id", again).unionByName(repeated)
+    side = again.toDF("_id", "_hash")
+    repeated = kept.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(kept, names, again).unionByName(repeated)

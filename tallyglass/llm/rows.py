@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -11,12 +13,18 @@ from .arrays import lean
 BROADCAST_KEYS = 2_000_000
 
 
-def without(df: DataFrame, key: str, keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is not in the one column of ``keys`` (a written table).  Up to ``limit`` keys, counted here, are
-    broadcast, so the rows stay where they are; more are joined by shuffle."""
-    gone = keys.select(F.col(keys.columns[0]).alias("_gone")).distinct()
+def text_hash(text: str = "text"):
+    """64-bit hash of a text; with the key it names a row, as keys may repeat."""
+    return F.xxhash64(q(text))
+
+
+def without(df: DataFrame, keys: dict, gone: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` (name -> expression) are not among the columns of these names of ``gone`` (a written table), nulls
+    equal.  Up to ``limit`` keys, counted here, are broadcast, so the rows stay where they are; more are joined by shuffle."""
+    gone = gone.select(*[q(k).alias(f"_gone{i}") for i, k in enumerate(keys)]).distinct()
     side = F.broadcast(gone) if gone.count() <= limit else gone
-    return df.join(side, q(key).eqNullSafe(side["_gone"]), "left_anti")
+    same = [e.eqNullSafe(side[f"_gone{i}"]) for i, e in enumerate(keys.values())]
+    return df.join(side, reduce(lambda a, b: a & b, same), "left_anti")
 
 
 def extend(df: DataFrame, run, fields: list[T.StructField], hidden: dict | None = None) -> DataFrame:

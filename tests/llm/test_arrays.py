@@ -5,7 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from tallyglass.llm.arrays import ALNUM, SPACE, Members, U, runs, shingles, texts, word_hashes, words
-from tallyglass.llm.extract import repeated
+from tallyglass.llm.extract import RUN, covered, standing
 
 
 @settings(max_examples=60, deadline=None)
@@ -48,22 +48,24 @@ def test_members_find_exactly():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 3), max_size=30), min_size=1, max_size=6), st.integers(2, 3))
-def test_repeated_runs_against_brute_force(pages, least):
-    from tallyglass.llm.extract import RUN
-
+@given(st.lists(st.lists(st.integers(0, 1), max_size=3 * RUN), min_size=1, max_size=6), st.integers(2, 3))
+def test_standing_and_covered_against_brute_force(pages, least):
     hashes = np.array([x for p in pages for x in p], U)
     page = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
     grams = {}
     for i, p in enumerate(pages):
         for k in range(len(p) - RUN + 1):
             grams.setdefault(tuple(p[k:k + RUN]), set()).add(i)
-    expected = []
+    begins, counts, first = standing(hashes, page)
+    offset = np.concatenate([[0], np.cumsum([len(p) for p in pages])])
+    expected = {int(offset[i]) + k: len(grams[tuple(p[k:k + RUN])]) for i, p in enumerate(pages) for k in range(len(p) - RUN + 1)}
+    assert dict(zip(begins.tolist(), counts.tolist())) == expected
+    assert int(first.sum()) == len(grams)
+    inside = []
     for p in pages:
-        covered = [False] * len(p)
+        own = [False] * len(p)
         for k in range(len(p) - RUN + 1):
             if len(grams[tuple(p[k:k + RUN])]) >= least:
-                covered[k:k + RUN] = [True] * RUN
-        expected += covered
-    got = repeated(hashes, page, least) if len(hashes) else np.zeros(0, bool)
-    assert got.tolist() == expected
+                own[k:k + RUN] = [True] * RUN
+        inside += own
+    assert covered(begins[counts >= least], len(hashes)).tolist() == inside

@@ -46,3 +46,10 @@ def test_empty_sides_and_clean(spark, corpus, nothing):
     assert left.columns == docs.columns
     dirty = {r[0] for r in _brute([(i, t) for i, t, _ in rows], [(1, rows[0][1])])}
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, _, _ in rows if i not in dirty)
+
+
+def test_clean_removes_rows_not_keys(spark):
+    item, other = (" ".join(f"{x}{i}" for i in range(30)) for x in "io")
+    rows = [(1, "before " + item), (5, item), (5, other), (None, item), (None, other), (6, None)]
+    left = d.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted((tuple(r) for r in left.collect()), key=str) == sorted([(5, other), (None, other), (6, None)], key=str)

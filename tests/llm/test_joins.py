@@ -69,8 +69,19 @@ def test_stage_keeps_one_of_each_group(spark, corpus):
     docs, rows = corpus
     left = ngram_join.stage(spark, docs, "")
     assert left.columns == docs.columns
-    expected = {c for _, _, c in _brute_join([(i, t) for i, t, _ in rows])}
-    assert sorted(r["doc_id"] for r in left.collect()) == sorted(expected)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(_brute_stage([(i, t) for i, t, _ in rows]))
+
+
+def test_stage_keeps_rows_that_share_a_key_with_a_copy(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = b.replace("b59", "other")
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, near), (7, c), (7, c), (8, None), (8, None), (9, c.upper())]
+    docs = make_docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    left = sorted(((r["doc_id"], r["text"]) for r in ngram_join.stage(spark, docs, "").collect()), key=str)
+    assert left == sorted([(1, a), (5, b), (7, c), (8, None)], key=str)
+    twice = make_docs(spark, [b, near, near], ids=[5, 5, 6])
+    left = ngram_join.stage(spark, twice, "").collect()
+    assert [r["doc_id"] for r in left] == [5] and left[0]["text"] in (b, near)
 
 
 def test_components_of_chains_stars_and_loops(spark):
