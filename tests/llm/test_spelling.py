@@ -78,7 +78,6 @@ def test_variants_against_brute_force(spark, split, edits):
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     expected = _brute(_words(rows, edits))
     assert sorted(tuple(r) for r in got.collect()) == expected
-    assert any(r[1] and r[1] != r[2] for r in expected) or not edits
     assert any(r[1] for r in expected)
 
 
