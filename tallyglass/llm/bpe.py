@@ -10,20 +10,25 @@ others.  It begins with one state and a loop per base symbol; each merge ``u v -
 So the state after a token is given by the token, and whether the arc ``a`` then ``b`` exists follows from
 replaying the gadgets that made ``a`` and ``b``, newest first.  Rows of this 49k x 49k arc table are filled on
 first use; the automaton that reads the characters (all tokens, with suffix arcs) is a second transition table.
-Reading a word keeps, for every prefix, the one last token whose arc exists; walking back gives the word's path.
-Decoding emits the arc labels.
+Reading keeps, for every prefix of a word, the one last token whose arc exists; walking back gives the word's path.  The new
+words of a batch are read together, a symbol of all of them at a time, by look-ups in arrays.  Decoding emits the arc labels.
+Words met before are looked up with their ids, decimal ids and labels, so a repeated word costs one look-up, and digests are taken
+beside the ids.
 
-Null texts count as empty; empty texts have no ids.  Columns ``ids`` and ``decoded`` are replaced if the table
+Null texts count as empty; empty texts have no ids.  Columns of the names that are added are replaced if the table
 has them already.  Rows never depend on each other: no shuffle, and repeated rows, ties and skew cost nothing extra.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import unicodedata
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -31,9 +36,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .arrays import runs, texts
 from .rows import extend
 
-PATH = "/opt/tokenizers/word_bpe_49k.json"
-#: Entries a worker keeps of words already encoded and of arcs already decided; beyond it starts anew.
+PATH = public_tokenizers.path("word_bpe_49k.json")
+#: Entries of a generation: a worker keeps two of them of words already encoded.
 MEMO = 100_000
+#: Words of up to so many bytes are read together, so many at a time.
+TOGETHER, SLICE = 64, 20_000
+#: Lower-case texts of these characters only are in normal form, and the standard library's patterns agree on them with the vocabulary's library.
+LATIN = "a-zß-öø-ÿĀ-ſ"
+PLAIN = re.compile(f"[\x00-\x7f{LATIN}–—’“”«»¿¡…]*")
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 FINAL = 256
 
@@ -56,6 +66,29 @@ def _byte_names() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Memo:
+    """The entries asked for lately: two generations, so that frequent ones survive when room is made.  ``make`` gives the entries of a list of keys."""
+
+    def __init__(self, make, size: int = MEMO):
+        self.make, self.size, self.young, self.old = make, size, {}, {}
+
+    def __call__(self, keys: list) -> list:
+        out = list(map(self.young.get, keys))
+        if None not in out:
+            return out
+        holes = [i for i, e in enumerate(out) if e is None]
+        missing = dict.fromkeys([keys[i] for i in holes])
+        found = dict(zip(missing, map(self.old.get, missing)))
+        new = [k for k, e in found.items() if e is None]
+        found.update(zip(new, self.make(new)))
+        if len(self.young) + len(found) > self.size:
+            self.old, self.young = self.young, {}
+        self.young.update(found)
+        for i in holes:
+            out[i] = found[keys[i]]
+        return out
+
+
 class Automaton:
     def __init__(self, spec: str):
         t = json.loads(spec)
@@ -66,6 +99,7 @@ class Automaton:
         self.special = {a["content"]: a["id"] for a in t["added_tokens"]}
         self.labels.update({i: s for s, i in self.special.items()})
         pattern = next(p["pattern"]["Regex"] for p in t["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.plain = re.compile(pattern.replace("\\p{L}", LATIN).replace("\\p{N}", "0-9").replace("\\s", WHITE))
         pattern = pattern.replace("\\s", WHITE)
         self.piece = regex.compile(pattern)
         newer = [tuple(int(x, 16) for x in r.split("-")) for r in NEWER.split()]
@@ -87,7 +121,7 @@ class Automaton:
         # the reading automaton: a state per prefix of a token, arcs by symbol, longest known suffix on a miss
         self.arcs: dict[int, int] = {}
         self.ends: list[tuple[tuple[int, int], ...]] = [()]
-        self.back = [0]
+        self.back, self.depth = [0], [0]
         own = {0: None}
         tree: list[list[int]] = [[]]
         for s, i in vocab.items():
@@ -105,6 +139,7 @@ class Automaton:
                     tree[at].append(x)
                     tree.append([])
                     self.back.append(0)
+                    self.depth.append(self.depth[at] + 1)
                     self.ends.append(())
                 at = to
             own[at] = (i, len(symbols))
@@ -122,21 +157,102 @@ class Automaton:
                     self.ends[to] = ((own[to],) if own.get(to) else ()) + self.ends[back]
                     below.append(to)
             level = below
-        self.allowed: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.text_memo: dict[str, str] = {}
-
-    def arc(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a."""
-        key = a << 20 | b
-        got = self.allowed.get(key)
-        if got is None:
-            if len(self.allowed) > 2 * MEMO:
-                self.allowed.clear()
-            got = self.allowed[key] = self._replay(a, b)
-        return got
+        self.decimals = {i: str(i) for i in self.labels}
+        self.known = Memo(self._entries)
+        self._tables(len(self.labels))
+
+    def _tables(self, size: int) -> None:
+        """The automata as arrays: merges by pair, parts of tokens, arcs by state and symbol, tokens that end in a state, longest first."""
+        self.pairs = np.array(sorted(self.pair), np.int64)
+        self.ranks = np.array([self.pair[k] for k in self.pairs.tolist()], np.int32)
+        self.made, self.left, self.right = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(size, np.int32)
+        for token, k in self.order.items():
+            self.made[token], (self.left[token], self.right[token]) = k, self.parts[token]
+        self.keys = np.array(sorted(self.arcs), np.int64)
+        self.targets = np.array([self.arcs[k] for k in self.keys.tolist()], np.int32)
+        state, symbol = self.keys >> 9, self.keys & 511
+        self.bits = np.zeros((len(self.back), 8), np.uint64)
+        np.bitwise_or.at(self.bits, (state, symbol >> 6), np.uint64(1) << (symbol & 63).astype(np.uint64))
+        self.offset = np.searchsorted(self.keys, (np.arange(len(self.back))[:, None] << 9) + (np.arange(8) << 6)).astype(np.int32)
+        self.behind = np.array(self.back, np.int32)
+        self.begin = np.concatenate([[0], np.cumsum([len(e) for e in self.ends])])
+        self.token, self.length = (np.array([e[i] for own in self.ends for e in own], np.int32) for i in (0, 1))
+
+    def _next(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out, open_ = np.zeros(len(at), np.int32), np.arange(len(at))
+        while len(open_):
+            place = self._place(at, x)
+            hit = place >= 0
+            out[open_[hit]] = place[hit]
+            more = ~hit & (at > 0)
+            open_, at, x = open_[more], self.behind[at[more]], x[more]
+        return out
+
+    def _place(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The state behind the arc ``x`` of each state, -1 without one: symbols of a state are looked up in its own row of bits."""
+        word, bit = x >> 6, (x & 63).astype(np.uint64)
+        bits = self.bits[at, word]
+        before = np.bitwise_count(bits & ((np.uint64(1) << bit) - np.uint64(1)))
+        return np.where((bits >> bit) & np.uint64(1), self.targets[np.minimum(self.offset[at, word] + before, len(self.targets) - 1)], -1)
+
+    def _may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``_replay`` of many pairs at once."""
+        pair, back = np.unique(a.astype(np.int64) << 20 | b, return_inverse=True)
+        a, b, out, open_ = pair >> 20, pair & 0xFFFFF, np.ones(len(pair), bool), np.arange(len(pair))
+        when = np.full(len(pair), len(self.order), np.int64)
+        while len(open_):
+            key = a << 20 | b
+            place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            gone = (self.pairs[place] == key) & (self.ranks[place] < when)
+            out[open_[gone]] = False
+            of_a, of_b = self.made[a], self.made[b]
+            go = ~gone & ((of_a >= 0) | (of_b >= 0))
+            a, b, of_a, of_b, when, open_ = a[go], b[go], of_a[go], of_b[go], when[go], open_[go]
+            first, same = of_a >= of_b, a == b
+            when = np.minimum(when, np.where(first, of_a, of_b + 1))
+            a, b = np.where(first, self.right[a], a), np.where(first & ~same, b, np.where(first, self.left[a], self.left[b]))
+        return out[back]
+
+    def _read_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """``_read`` of many words, symbol after symbol of all of them."""
+        size = np.array([len(w) for w in words])
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        symbols = np.frombuffer(b"".join([words[i] for i in order.tolist()]), np.uint8).astype(np.int16)
+        start = np.cumsum(size) - size
+        symbols[start + size - 1] += FINAL
+        last, took = np.full((len(words), size[0] + 1), -1, np.int32), np.zeros((len(words), size[0] + 1), np.int32)
+        at = np.zeros(len(words), np.int32)
+        for i in range(size[0]):
+            live = int(np.searchsorted(-size, -i))  # words of more than i symbols
+            at = self._next(at[:live], symbols[start[:live] + i])
+            open_, place = np.arange(live), self.begin[at]
+            while len(open_):
+                if (place[open_] >= self.begin[at[open_] + 1]).any():
+                    raise ValueError("no path for a word")
+                token, length = self.token[place[open_]], self.length[place[open_]]
+                before = last[open_, i + 1 - length]
+                good = before < 0
+                if not good.all():
+                    good[~good] = self._may_follow(before[~good], token[~good])
+                last[open_[good], i + 1], took[open_[good], i + 1] = token[good], length[good]
+                open_ = open_[~good]
+                place[open_] += 1
+        out: list = [None] * len(words)
+        where, rest, columns = np.arange(len(words)), size.copy(), []
+        while len(where):
+            column = np.full(len(words), -1, np.int32)
+            column[where] = last[where, rest]
+            columns.append(column)
+            rest = rest - took[where, rest]
+            where, rest = where[rest > 0], rest[rest > 0]
+        tokens = np.array(columns[::-1]).T
+        for i, ids in zip(order.tolist(), tokens.tolist()):
+            out[i] = tuple(ids[ids.count(-1):])
+        return out
 
     def _replay(self, a: int, b: int) -> bool:
+        """Whether token b may follow token a."""
         when = len(self.order)  # gadgets before this one have been added
         while True:
             removed = self.pair.get(a << 20 | b)
@@ -155,15 +271,6 @@ class Automaton:
                 when = min(when, made_b + 1)
                 b = self.parts[b][0]
 
-    def word(self, piece: str) -> tuple[int, ...]:
-        got = self.memo.get(piece)
-        if got is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-                self.text_memo.clear()
-            got = self.memo[piece] = self._read(piece.encode())
-        return got
-
     def _read(self, data: bytes) -> tuple[int, ...]:
         arcs, back, ends = self.arcs, self.back, self.ends
         n = len(data)
@@ -176,7 +283,7 @@ class Automaton:
             at = to or 0
             for token, size in ends[at]:
                 j = i + 1 - size
-                if j == 0 or self.arc(last[j], token):
+                if j == 0 or self._replay(last[j], token):
                     last[i + 1], start[i + 1] = token, j
                     break
             else:
@@ -189,22 +296,45 @@ class Automaton:
 
     def pieces(self, text: str) -> list[str]:
         """Normalised text cut into words, as the vocabulary file says."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-            if max(text) >= self.first_newer and self.newer.search(text):
-                return self.piece_newer.findall(text)
-        else:
-            text = text.lower()
+        folded = text.lower()
+        if PLAIN.fullmatch(folded):
+            return self.plain.findall(folded)
+        text = unicodedata.normalize("NFC", text)
+        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        if max(text) >= self.first_newer and self.newer.search(text):
+            return self.piece_newer.findall(text)
         return self.piece.findall(text)
 
-    def encode(self, text: str) -> list[int]:
+    def _entries(self, pieces: list[str]) -> list[tuple[tuple[int, ...], str, str]]:
+        ids: dict[str, tuple[int, ...]] = {p: (self.special[p],) for p in pieces if p in self.special}
+        brief = [(p, w) for p in pieces if p not in ids and len(w := p.encode()) <= TOGETHER]
+        for at in range(0, len(brief), SLICE):
+            part = brief[at:at + SLICE]
+            ids.update(zip([p for p, _ in part], self._read_many([w for _, w in part])))
+        label, decimal = self.labels.__getitem__, self.decimals.__getitem__
+        out = [ids[p] if p in ids else self._read(p.encode()) for p in pieces]
+        return [(x, decimal(x[0]), label(x[0])) if len(x) == 1 else (x, " ".join(map(decimal, x)), " ".join(map(label, x))) for x in out]
+
+    def cut_up(self, text: str) -> list[str]:
+        """The pieces of a text in order; a special token is a piece."""
         if self.cut and "<" in text:
-            out: list[int] = []
-            for k, part in enumerate(self.cut.split(text)):
-                out.extend([self.special[part]] if k % 2 else chain.from_iterable(map(self.word, self.pieces(part))))
-            return out
-        return list(chain.from_iterable(map(self.word, self.pieces(text))))
+            parts = self.cut.split(text)
+            if len(parts) > 1:
+                return list(chain.from_iterable([part] if k % 2 else self.pieces(part) for k, part in enumerate(parts)))
+        return self.pieces(text)
+
+    def words(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str, str]]]:
+        """(ids, ids in decimals, labels) of the pieces of each text, in order."""
+        pieces = [self.cut_up(t) for t in texts]
+        found = self.known(list(chain.from_iterable(pieces)))
+        out, at = [], 0
+        for p in pieces:
+            out.append(found[at:at + len(p)])
+            at += len(p)
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return [i for ids, _, _ in self.words([text])[0] for i in ids]
 
     def decode(self, ids) -> str:
         """The labels of the path, joined as a vocabulary without a decoder does."""
@@ -223,8 +353,16 @@ def compiled(spec: str) -> Automaton:
     return _compiled[key]
 
 
-def encode(df: DataFrame, path: str = PATH, text: str = "text") -> DataFrame:
-    """``df`` with ``ids`` array<int> and ``decoded`` string of every whole text.
+#: What ``encode`` can add to a table.
+ADDED = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+
+
+def _digest(parts: list[str]) -> str:
+    return hashlib.sha256(" ".join(parts).encode()).hexdigest()
+
+
+def encode(df: DataFrame, path: str = PATH, text: str = "text", columns: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``df`` with the ``columns`` (of ``ADDED``) of every whole text: ids, their labels, how many ids, and the SHA-256 of the decimal ids and of the labels.
 
     ``path``: vocabulary file, read by the driver (its size is that of the vocabulary, not of the data)."""
     with open(path, encoding="utf-8") as f:
@@ -232,33 +370,38 @@ def encode(df: DataFrame, path: str = PATH, text: str = "text") -> DataFrame:
 
     def run():
         a = compiled(spec.value)
-        labels = a.labels.__getitem__
+
+        def ids(rows):
+            flat = np.fromiter(chain.from_iterable([e[0] for r in rows for e in r]), np.int32)
+            size = [sum([len(e[0]) for e in r]) for r in rows]
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
+
+        make = {
+            "ids": ids,
+            "decoded": lambda rows: pa.array([" ".join([e[2] for e in r]) for r in rows], pa.string()),
+            "n_tokens": lambda rows: pa.array([sum([len(e[0]) for e in r]) for r in rows], pa.int64()),
+            "ids_sha256": lambda rows: pa.array([_digest([e[1] for e in r]) for r in rows], pa.string()),
+            "decoded_sha256": lambda rows: pa.array([_digest([e[2] for e in r]) for r in rows], pa.string()),
+        }
 
         def work(batch, place):
             column = texts(batch.column(place[text]))
             for at, end, _, _ in runs(column, 1 << 20):
-                ids = [a.encode(t.as_py()) for t in column.slice(at, end - at)]
-                flat = np.fromiter(chain.from_iterable(ids), np.int32)
-                where = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield at, [pa.ListArray.from_arrays(pa.array(where), pa.array(flat)), pa.array([" ".join(map(labels, x)) for x in ids], pa.string())]
+                rows = a.words(column.slice(at, end - at).to_pylist())
+                yield at, [make[c](rows) for c in columns]
 
         return work
 
-    return extend(df, run, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return extend(df, run, [T.StructField(c, ADDED[c]) for c in columns])
 
 
-def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    return encoded.select(F.col(key), F.size("ids").cast("long").alias("n_tokens"),
-                          F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-                          F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), columns=DIGESTS).select("doc_id", *DIGESTS)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Key, language, source and the ids of every document, with their digests."""
-    done = encode(docs)
-    return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs.select("doc_id", "lang", "source", "text"), columns=("ids", *DIGESTS)).drop("text")
