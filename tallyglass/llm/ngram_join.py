@@ -10,15 +10,16 @@ shingles under any fixed order of all shingles, so candidates have to share one
 2. Orders two and three are two other hashes; pairs from order one must share a prefix shingle under both.
 
 What is left must pass a length and a bit-map bound (both exact) and is verified on the whole sets.  Documents of equal
-sets are one node (64-bit set fingerprint), so copies cost nothing.  Shingles shared by more than ``SMALL`` nodes in
-prefixes are joined in blocks of bounded weight: a task compares two blocks, owns only the pairs that share no earlier
-prefix shingle, filters, verifies, and returns a spanning forest of the links instead of the links.
+sets are one node (64-bit set fingerprint), so copies cost nothing.  Of shingles shared by more than ``SMALL`` nodes in prefixes the
+near copies are connected first, in blocks that share a few leaders, each set being sent once; then only pairs that are not
+connected yet are compared, by bit maps, and verified like the others.
 
 ``doc_id`` may repeat: rows are nodes by their text; ``component_id`` is the smallest id reachable (nulls last; the own id for empty sets).
 Extra columns are ignored.
 
 Scale.  Texts are scanned three times and never shuffled while the surviving nodes' ids fit ``BROADCAST_IDS`` (their count is
-checked; beyond it the third scan joins by shuffle).  The largest shuffle holds a quarter of the shingle hashes.
+checked; beyond it the third scan joins by shuffle).  The largest shuffle holds a quarter of the shingle hashes; a hot shingle adds its members'
+sets once, and their bit maps once per ``MAP_ROWS`` members that are outside its largest component.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ WIDTH, PERCENT = 4, 85
 STAGE_WIDTH, STAGE_PERCENT = 5, 80  # near copies of the pipeline
 LOW = 1 << 62  # a quarter of the hashes
 HOT_SHARE = 50
-SMALL, BLOCK_ROWS, BLOCK_WEIGHT = 256, 1024, 1_000_000
+SMALL, BLOCK_ROWS, LEADERS, MAP_ROWS = 256, 512, 16, 2048
 BROADCAST_IDS = 2_000_000
 MAP_WORDS = 32  # 2,048 bits
 
@@ -217,14 +218,6 @@ def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(begin - before, count) + np.arange(int(count.sum()))
 
 
-def _common(rows: list[np.ndarray], other: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Number of common values of the pairs (rows[i], other[j])."""
-    if len(i) <= 1_000:
-        return np.array([len(np.intersect1d(rows[x], other[y])) for x, y in zip(i, j)], np.int64)
-    (p, i), (q_, j) = (np.unique(k, return_inverse=True) for k in (i, j))
-    return _share([rows[x] for x in p], [other[y] for y in q_])[i, j].astype(np.int64)
-
-
 def _forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     """Label of each of ``size`` members: the smallest member reachable over the pairs."""
     label = np.arange(size)
@@ -242,44 +235,87 @@ def _forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     return label
 
 
-def _compare(percent: int):
-    """Links between two blocks of one hot shingle (or inside one), as a spanning forest."""
+def _linked(percent: int):
+    """Links inside one block of a hot shingle, its leaders with it, as a spanning forest."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        token, lo, hi = key
-        left = pdf[pdf["block"] == lo].reset_index(drop=True)
-        right = left if lo == hi else pdf[pdf["block"] == hi].reset_index(drop=True)
-        empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        if not len(left) or not len(right):
-            return empty
-        n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-        live = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-        if lo == hi:
-            live &= np.arange(len(left))[:, None] < np.arange(len(left))[None, :]
-        earlier = [[x[:np.searchsorted(x, token)] for x in (np.sort(np.asarray(v)) for v in side["prefix"])] for side in (left, right)]
-        if live.any() and any(map(len, earlier[0])) and any(map(len, earlier[1])):
-            live &= _share(*earlier) == 0
-        i, j = np.nonzero(live)
-        sets = [[np.asarray(v).view(U) for v in side["shingles"]] for side in (left, right)]
-        for seed in (2, 3):
-            if len(i):
-                prefix = [dict.fromkeys(k.tolist()) for k in (i, j)]
-                prefix = [[_order(side[k], seed, percent) if k in used else np.zeros(0, np.int32) for k in range(len(side))] for side, used in zip(sets, prefix)]
-                share = _common(*prefix, i, j) > 0
-                i, j = i[share], j[share]
-        if not len(i):
-            return empty
-        common = _common(*sets, i, j)
-        linked = 100 * common >= percent * (n[i, 0] + m[0, j] - common)
-        i, j = i[linked], j[linked]
-        names = left["node"].to_numpy() if lo == hi else np.concatenate([left["node"].to_numpy(), right["node"].to_numpy()])
-        label = _forest(i, j if lo == hi else j + len(left), len(names))
+        n, nodes = pdf["n"].to_numpy(), pdf["node"].to_numpy()
+        sets = [np.asarray(v).view(U) for v in pdf["shingles"]]
+        common = np.triu(_share(sets, sets), 1).astype(np.int64)
+        i, j = np.nonzero(common)
+        common = common[i, j]
+        linked = 100 * common >= percent * (n[i] + n[j] - common)
+        label = _forest(i[linked], j[linked], len(nodes))
         moved = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"a": names[moved], "b": names[label[moved]]})
+        return pd.DataFrame({"a": nodes[moved], "b": nodes[label[moved]]})
 
     return run
 
 
+def _apart(percent: int):
+    """Pairs of two blocks of a hot shingle (or of one) that are not connected yet and may link by their sizes and bit maps."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, lo, hi = key
+        sides = []
+        for block in (lo, hi):
+            own = pdf[pdf["block"] == block]
+            bits = np.unpackbits(np.concatenate([*own["map"], np.zeros(0, np.int64)]).astype(np.int64).view(np.uint8)).reshape(len(own), -1).astype(np.float32)
+            sides.append((own["node"].to_numpy(), own["n"].to_numpy(), own["root"].to_numpy(), bits, bits.sum(1)))
+        (a, n, r, x, p), (b, m, t, y, o) = sides
+        differing = p[:, None] + o[None, :] - 2 * (x @ y.T)
+        most = np.floor((n[:, None] + m[None, :]) * ((100 - percent) / (100 + percent)) + 1e-9)
+        i, j = np.nonzero((differing <= most) & (r[:, None] != t[None, :]) & (100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])))
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])}).drop_duplicates()
+
+    return run
+
+
+def _pairs_that_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of distinct ``pairs`` (a, b) of nodes those that link: filters of orders two and three, bounds, then the whole sets."""
+    sketch = sets.drop("shingles")
+    x, y = (sketch.select(*[F.col(c).alias(f"{s}_{c}") for c in sketch.columns]) for s in "xy")
+    most = F.floor((F.col("x_n") + F.col("y_n")) * F.lit(100 - percent) / F.lit(100 + percent) + 1e-9)  # of the symmetric difference
+    differing = F.aggregate(F.zip_with("x_map", "y_map", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    candidates = (pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
+                  .filter((100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third"))
+                  .filter(differing <= most).select("a", "b"))
+    candidates = materialise(candidates, "candidates")
+    x, y = (sets.select(F.col("node").alias(f"{s}_node"), F.col("n").alias(f"{s}_n"), F.col("shingles").alias(f"{s}_s")) for s in "xy")
+    common = F.size(F.array_intersect("x_s", "y_s"))
+    return candidates.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node")).filter(
+        100 * common >= percent * (F.col("x_n") + F.col("y_n") - common)).select("a", "b")
+
+
+def _hot_links(wide: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Enough links between the nodes of hot shingles, ``wide`` (token, node), to connect all that are linked, beside the links ``known`` (written).
+
+    First every node goes, with its set, to one block of its smallest hot shingle; a few leaders go to all blocks of theirs.  That connects
+    most of each group of near copies.  Of every shingle then only pairs that are not connected yet are compared, by sizes and bit maps:
+    nodes outside its largest component against all; what may link is verified like any other pair."""
+    first = wide.groupBy("node").agg(F.min("token").alias("token"))
+    size = first.groupBy(F.col("token").alias("of")).agg(F.count(F.lit(1)).alias("c"))
+    place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = first.join(size, F.col("token") == F.col("of")).withColumn("blocks", F.ceil(F.col("c") / BLOCK_ROWS).cast("int"))
+    lead = F.pmod(F.xxhash64("node", "token"), F.col("c")) < LEADERS
+    dealt = dealt.select("token", "node", F.explode(F.when(lead, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(place))).alias("block"))
+    near = dealt.join(sets.select("node", "n", "shingles"), "node").groupBy("token", "block").applyInPandas(_linked(percent), "a long, b long")
+    near = materialise(near, "hot-links")
+    roots = materialise(components(known.unionAll(near)), "roots").select(F.col("node").alias("of"), "root")
+    named = materialise(wide.join(roots, wide["node"] == roots["of"], "left").select("token", "node", F.coalesce("root", "node").alias("root")), "hot-roots")
+    parts = named.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+    parts = parts.groupBy(F.col("token").alias("of")).agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("c")).filter(F.col("all") > F.col("c"))
+    sides = named.join(parts, F.col("token") == F.col("of")).withColumn("others", F.ceil((F.col("all") - F.col("c")) / MAP_ROWS).cast("int"))
+    blocks = F.col("others") + F.ceil(F.col("c") / MAP_ROWS).cast("int")
+    inside = F.col("root") == F.col("main")
+    own = F.when(inside, F.col("others") + F.pmod(F.xxhash64("node"), blocks - F.col("others"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    met = F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(blocks) - 1)
+    tasks = sides.select("token", "node", "root", own.alias("block"), F.explode(met).alias("other")).select(
+        "token", "node", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    pairs = tasks.join(sets.select("node", "n", "map"), "node").groupBy("token", "lo", "hi").applyInPandas(_apart(percent), "a long, b long")
+    return near.unionAll(_pairs_that_link(materialise(pairs.distinct(), "hot-pairs"), sets, percent))
+
+
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, small: int = SMALL,
           broadcast_ids: int = BROADCAST_IDS) -> tuple[DataFrame, DataFrame]:
     """(rows, edges): doc, hash of the text, node and set size of every row; enough linked pairs of nodes to connect all that are linked."""
@@ -311,31 +347,14 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     kept = base.join(F.broadcast(owner) if few else owner, base["doc"].eqNullSafe(owner["own"]), "left_semi").select("t")
     sets = kept.mapInArrow(lean(_sketches(width, percent)), "node long, n long, second array<int>, third array<int>, map array<long>, shingles array<long>")
     sets = materialise(sets.dropDuplicates(["node"]), "sets")
-    # small groups: pairs, filters of orders two and three, bounds, verification
-    tight = places.filter(F.col("members") <= small)
-    a, b = tight.select("token", F.col("node").alias("a")), tight.select("token", F.col("node").alias("b"))
-    pairs = a.join(b, "token").filter("a < b").select("a", "b").distinct()
-    sketch = sets.drop("shingles")
-    x, y = (sketch.select(*[F.col(c).alias(f"{s}_{c}") for c in sketch.columns]) for s in "xy")
-    most = F.floor((F.col("x_n") + F.col("y_n")) * F.lit(100 - percent) / F.lit(100 + percent) + 1e-9)  # of the symmetric difference
-    differing = F.aggregate(F.zip_with("x_map", "y_map", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    candidates = (pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
-                  .filter((100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third"))
-                  .filter(differing <= most).select("a", "b"))
-    candidates = materialise(candidates, "candidates")
-    x, y = (sets.select(F.col("node").alias(f"{s}_node"), F.col("n").alias(f"{s}_n"), F.col("shingles").alias(f"{s}_s")) for s in "xy")
-    common = F.size(F.array_intersect("x_s", "y_s"))
-    found = candidates.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node")).filter(
-        100 * common >= percent * (F.col("x_n") + F.col("y_n") - common)).select("a", "b")
-    # large groups: blocks
-    wide = places.filter(F.col("members") > small)
+    tight = places.filter(F.col("members") <= small).join(sets.select("node", "n"), "node")
+    a, b = tight.select("token", F.col("node").alias("a"), F.col("n").alias("na")), tight.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
+    pairs = a.join(b, "token").filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+    found = _pairs_that_link(pairs, sets, percent)
+    wide = places.filter(F.col("members") > small).select("token", "node")
     if wide.limit(1).count():
-        full = wide.join(sets.select("node", "n", "shingles"), "node").join(prefixes, "node")
-        weight = wide.join(sets.select("node", "n"), "node").groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
-        blocks = weight.select("token", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_WEIGHT)).cast("int").alias("blocks"))
-        dealt = full.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "prefix", "shingles")
-        found = found.unionAll(dealt.groupBy("token", "lo", "hi").applyInPandas(_compare(percent), "a long, b long"))
+        found = materialise(found, "links")
+        found = found.unionAll(_hot_links(wide, sets, found, percent))
     return rows, found
 
 

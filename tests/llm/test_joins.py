@@ -44,7 +44,8 @@ def test_join_against_brute_force(spark, corpus, options):
     assert sorted(tuple(r) for r in got.collect()) == _brute_join([(i, t) for i, t, _ in rows])
 
 
-def test_join_of_a_tight_group(spark, monkeypatch):
+@pytest.mark.parametrize("leaders", [16, 0])
+def test_join_of_a_tight_group(spark, monkeypatch, leaders):
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(60)]
     texts = []
@@ -55,6 +56,8 @@ def test_join_of_a_tight_group(spark, monkeypatch):
         texts.append(" ".join(own))
     texts += [" ".join(base)] * 30
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "MAP_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
     got = ngram_join.join_components(make_docs(spark, texts), small=10).collect()
     assert sorted(tuple(r) for r in got) == _brute_join(list(enumerate(texts)))
 
