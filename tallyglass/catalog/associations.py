@@ -166,6 +166,31 @@ def _(t):
     return rounded(assoc.nonlinear_pairs(bent(t)))
 
 
-@query("corr_mi_knn")
+BENT = ["user_id", "value", "bend"]
+
+
+def _near_sql(i, j):
+    """Rows of a pair with the third smallest of the larger axis distances to all others."""
+    return f"""SELECT '{BENT[i]}' AS col_a, '{BENT[j]}' AS col_b, a.i, a.x{i} AS u, a.x{j} AS v, min(greatest(abs(a.x{i} - b.x{i}), abs(a.x{j} - b.x{j})), 3)[3] AS eps
+ FROM g a JOIN g b ON a.i <> b.i GROUP BY ALL"""
+
+
+def _axis_sql(v):
+    return f"count(*) OVER (PARTITION BY col_a, col_b ORDER BY {v} RANGE BETWEEN greatest(eps - 1, 0) PRECEDING AND greatest(eps - 1, 0) FOLLOWING) - 1"
+
+
+#: Every distance of every pair; digamma from harmonic numbers.
+_KNN_SQL = f"""WITH e AS (SELECT user_id::DOUBLE AS c0, value AS c1, power(user_id - 74.5, 2) AS c2 FROM events),
+s AS (SELECT {", ".join(f"avg(c{i}) AS m{i}, stddev_pop(c{i}) AS s{i}" for i in range(3))} FROM e),
+g AS (SELECT row_number() OVER () AS i, {", ".join(f"round((c{i} - m{i}) / s{i} * 1073741824)::BIGINT AS x{i}" for i in range(3))} FROM e, s),
+k AS ({" UNION ALL ".join(_near_sql(i, j) for i, j in ((0, 1), (0, 2), (1, 2)))}),
+r AS (SELECT col_a, col_b, eps, {_axis_sql("u")} AS nu, {_axis_sql("v")} AS nv FROM k),
+h AS (SELECT range AS i, sum(CASE WHEN range = 0 THEN -0.57721566490153286 ELSE 1.0 / range END) OVER (ORDER BY range) AS psi FROM range(0, (SELECT count(*) FROM events))),
+m AS (SELECT col_a, col_b, greatest(0, (SELECT psi FROM h WHERE i = 2) + (SELECT max(psi) FROM h) - avg(a.psi + b.psi)) AS mi
+ FROM r JOIN h a ON a.i = CASE WHEN eps = 0 THEN 0 ELSE nu END JOIN h b ON b.i = CASE WHEN eps = 0 THEN 0 ELSE nv END GROUP BY col_a, col_b)
+SELECT col_a, col_b, round(mi / (SELECT max(mi) FROM m), 6) AS mi FROM m"""
+
+
+@query("corr_mi_knn", _KNN_SQL)
 def _(t):
     return rounded(assoc.mi_matrix(bent(t), method="knn"))

@@ -35,15 +35,19 @@ def ks_sql(c):
   SELECT v, sum(a) AS a, sum(b) AS b FROM (SELECT {c} AS v, 1 AS a, 0 AS b FROM a WHERE {c} IS NOT NULL UNION ALL SELECT {c}, 0, 1 FROM b WHERE {c} IS NOT NULL) GROUP BY v))"""
 
 
+#: Survival functions by their series: of the limit law of the distance, and of the chi-square distribution (half of the statistic, half of the degrees).
+KS_P = "least(1, greatest(0, list_sum(list_transform(range(1, 1001), lambda k: 2 * power(-1, k - 1) * exp(-2 * k * k * power(statistic, 2) * (n_ref * n_cur * 1.0 / (n_ref + n_cur)))))))"
+CHI_P = """CASE WHEN statistic <= 0 THEN 1 WHEN statistic > 1000 THEN 0 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 1500),
+ lambda k: exp(-statistic / 2 + (dof / 2 + k) * ln(statistic / 2) - lgamma(dof / 2 + k + 1))))) END"""
 KS = "ks AS (" + " UNION ALL ".join(ks_sql(c) for c in NUMERIC) + ")"
 
 
 @query("drift_ks", f"WITH {SIDES}, {KS}, m AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", (SELECT avg({c}) FROM a) AS ma, (SELECT avg({c}) FROM b) AS mb, (SELECT stddev({c}) FROM a) AS sa, (SELECT stddev({c}) FROM b) AS sb"
-    for c in NUMERIC) + """) SELECT "column", n_ref, n_cur, round(statistic, 6) AS statistic, statistic * sqrt(n_ref * n_cur * 1.0 / (n_ref + n_cur)) > 1.3580986 AS drift,
+    for c in NUMERIC) + """) SELECT "column", n_ref, n_cur, round(statistic, 6) AS statistic, round(""" + KS_P + """, 5) AS p_value, statistic * sqrt(n_ref * n_cur * 1.0 / (n_ref + n_cur)) > 1.3580986 AS drift,
  round(ma, 5) AS mean_ref, round(mb, 5) AS mean_cur, round(sa, 5) AS std_ref, round(sb, 5) AS std_cur FROM ks JOIN m USING ("column")""")
 def _(t):
-    return rounded(dr.ks(*halves(t)).drop("p_value"), 5, statistic=6)
+    return rounded(dr.ks(*halves(t)), 5, statistic=6)
 
 
 def chi_sql(cell, c, null=None, raw=None):
@@ -59,9 +63,9 @@ _CHI = "chi AS (" + " UNION ALL ".join(chi_sql(c, c) for c in TEXTS) + ")"
 _CRIT = "CASE dof WHEN 1 THEN 3.841459 WHEN 2 THEN 5.991465 WHEN 9 THEN 16.918978 END"
 
 
-@query("drift_chi2", f"WITH {SIDES}, {_CHI} SELECT \"column\", n_ref, n_cur, n_categories, dof, round(statistic, 6) AS statistic, statistic > {_CRIT} AS drift FROM chi")
+@query("drift_chi2", f"WITH {SIDES}, {_CHI} SELECT \"column\", n_ref, n_cur, n_categories, dof, round(statistic, 6) AS statistic, round({CHI_P}, 6) AS p_value, statistic > {_CRIT} AS drift FROM chi")
 def _(t):
-    return rounded(dr.chi_square(*halves(t)).drop("p_value"))
+    return rounded(dr.chi_square(*halves(t)))
 
 
 def _chi_num(c):
@@ -71,9 +75,9 @@ def _chi_num(c):
 
 
 @query("drift_chi2_num", f"WITH {SIDES}, chi AS (" + " UNION ALL ".join(_chi_num(c) for c in ("l_quantity", "l_extendedprice")) +
-       f") SELECT \"column\", n_ref, n_cur, n_categories, dof, round(statistic, 4) AS statistic, statistic > {_CRIT} AS drift FROM chi")
+       f") SELECT \"column\", n_ref, n_cur, n_categories, dof, round(statistic, 4) AS statistic, round({CHI_P}, 4) AS p_value, statistic > {_CRIT} AS drift FROM chi")
 def _(t):
-    return rounded(dr.chi_square(*halves(t), cols=["l_quantity", "l_extendedprice"]).drop("p_value"), 4)
+    return rounded(dr.chi_square(*halves(t), cols=["l_quantity", "l_extendedprice"]), 4)
 
 
 def _psi_sql(c):
@@ -94,13 +98,13 @@ def _(t):
     return rounded(dr.psi(*halves(t)))
 
 
-@query("drift_all", f"""WITH {SIDES}, {KS}, {_CHI}, {_PSI} SELECT 'ks' AS method, "column", round(statistic, 6) AS statistic, CAST(NULL AS INTEGER) AS dof, n_ref, n_cur,
+@query("drift_all", f"""WITH {SIDES}, {KS}, {_CHI}, {_PSI} SELECT 'ks' AS method, "column", round(statistic, 6) AS statistic, round({KS_P}, 6) AS p_value, CAST(NULL AS INTEGER) AS dof, n_ref, n_cur,
  statistic * sqrt(n_ref * n_cur * 1.0 / (n_ref + n_cur)) > 1.3580986 AS drift, CAST(NULL AS VARCHAR) AS level, CAST(NULL AS VARCHAR) AS error FROM ks
- UNION ALL SELECT 'chi_square', "column", round(statistic, 6), dof, n_ref, n_cur, statistic > {_CRIT}, NULL, NULL FROM chi
- UNION ALL SELECT 'psi', "column", round(psi, 6), NULL, (SELECT count(*) FROM a), (SELECT count(*) FROM b), psi >= 0.2,
+ UNION ALL SELECT 'chi_square', "column", round(statistic, 6), round({CHI_P}, 6), dof, n_ref, n_cur, statistic > {_CRIT}, NULL, NULL FROM chi
+ UNION ALL SELECT 'psi', "column", round(psi, 6), NULL, NULL, (SELECT count(*) FROM a), (SELECT count(*) FROM b), psi >= 0.2,
  CASE WHEN psi < 0.1 THEN 'none' WHEN psi < 0.2 THEN 'moderate' ELSE 'significant' END, NULL FROM psi""")
 def _(t):
-    return rounded(dr.analyze(*halves(t), methods=["ks", "chi_square", "psi"]).drop("p_value"))
+    return rounded(dr.analyze(*halves(t), methods=["ks", "chi_square", "psi"]))
 
 
 @query("drift_by_method", f"""WITH {SIDES}, {KS}, {_PSI}, d AS (SELECT 'ks' AS method, "column", statistic * sqrt(n_ref * n_cur * 1.0 / (n_ref + n_cur)) > 1.3580986 AS drift FROM ks
@@ -122,18 +126,18 @@ def _(t):
     return rounded(dr.compare_columns(*halves(t)), 4)
 
 
-@query("cmp_drift_flags", f"WITH {SIDES}, {KS} SELECT \"column\", round(statistic, 6) AS statistic, statistic > 0.2 AS drift FROM ks WHERE \"column\" <> 'l_quantity'")
+@query("cmp_drift_flags", f"WITH {SIDES}, {KS} SELECT \"column\", round(statistic, 6) AS statistic, round({KS_P}, 6) AS p_value, statistic > 0.2 AS drift FROM ks WHERE \"column\" <> 'l_quantity'")
 def _(t):
-    return rounded(dr.drift_flags(*halves(t), skip=["l_quantity"]).drop("p_value"))
+    return rounded(dr.drift_flags(*halves(t), skip=["l_quantity"]))
 
 
 SIMILAR = f"""WITH {SIDES}, {KS}, chi AS (""" + " UNION ALL ".join(chi_sql(f"coalesce({c}, '___NA___')", c, null=True) for c in TEXTS) + ")"
 
 
-@query("cmp_similarity", SIMILAR + """ SELECT "column", 'numeric' AS type, round(statistic, 6) AS statistic FROM ks
- UNION ALL SELECT "column", 'categorical', round(statistic, 6) FROM chi""")
+@query("cmp_similarity", SIMILAR + """ SELECT "column", 'numeric' AS type, round(statistic, 6) AS statistic, round(""" + KS_P + """, 6) AS p_value FROM ks
+ UNION ALL SELECT "column", 'categorical', round(statistic, 6), round(""" + CHI_P + """, 6) FROM chi""")
 def _(t):
-    return rounded(dr.similarity(*halves(t)).drop("p_value"))
+    return rounded(dr.similarity(*halves(t)))
 
 
 @query("cmp_hist", f"""WITH {SIDES}, u AS (SELECT l_extendedprice AS x, 'real' AS source FROM a UNION ALL SELECT l_extendedprice, 'synthetic' FROM b),

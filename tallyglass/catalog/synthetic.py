@@ -60,6 +60,24 @@ def _(t):
     return orphans.unionByName(repeated).unionByName(parents.agg(F.lit("parents").alias("check"), F.count(F.lit(1)).alias("n")))
 
 
+@query("syn_multi_between", """SELECT 'price' AS "column", true AS depends, true AS near UNION ALL SELECT 'noise', false, true""")
+def _(t):
+    """Share of a child column's variance between parents, drawn against real."""
+    def share(df):
+        out = {}
+        for c in ("price", "noise"):
+            per = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg(c).alias("m"), F.var_pop(c).alias("v"))
+            r = per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(F.col("n") * F.col("v")).alias("inside")).first()
+            whole = df.agg(F.var_pop(c)).first()[0]
+            out[c] = 1 - r["inside"] / (r["n"] - r["g"]) / whole  # unbiased for parents of few rows
+        return out
+
+    orders = t.orders.selectExpr("o_orderkey", "o_custkey", "o_totalprice * (1 + o_custkey % 5) AS price", "double(pmod(xxhash64(o_orderkey), 1000)) AS noise")
+    made = MultiTable.fit({"customer": people(t), "orders": orders}, {"orders": ("o_custkey", "customer", "c_custkey")}, {"customer": "c_custkey", "orders": "o_orderkey"}).sample()
+    real, drawn = share(orders.withColumnRenamed("o_custkey", "k")), share(made["orders"].withColumnRenamed("o_custkey", "k"))
+    return records(t.spark, [(c, real[c] > 0.2, abs(real[c] - drawn[c]) < 0.1) for c in real], "column string, depends boolean, near boolean")
+
+
 @query("syn_repair", """SELECT CAST(l_quantity AS BIGINT) AS l_quantity, CASE WHEN l_discount > 0.09 THEN NULL ELSE l_discount END AS l_discount, l_linenumber FROM lineitem""")
 def _(t):
     d = t.lineitem.selectExpr("l_quantity", "CASE WHEN l_discount > 0.09 THEN double('Infinity') ELSE l_discount END AS l_discount", "l_linenumber")

@@ -178,3 +178,27 @@ _BY = f"""h AS (SELECT event_type AS series, date_trunc('day', ts) AS time, avg(
 def _(t):
     return rounded(stamped(ts.ts_outliers(ts.resample(t.events, "ts", "value", "D", series_key="event_type"), "time", "value",
                                           freq="D", series_key="event_type")))
+
+
+def _robust_sql(rounds, period):
+    """Rounds of local lines, phase means and bisquare weights, every sum over a self-join."""
+    k = f"power(1 - power(abs(b.idx - a.idx) / {period + 1}.0, 3), 3)"
+    ctes = ["o AS (SELECT row_number() OVER (ORDER BY time) - 1 AS idx, time, value FROM (SELECT date_trunc('hour', ts) AS time, avg(value) AS value FROM events GROUP BY 1))",
+            "x0 AS (SELECT idx, time, value, 0.0::DOUBLE AS seasonal, 1.0::DOUBLE AS w FROM o)"]
+    for r in range(1, rounds + 1):
+        p = f"x{r - 1}"
+        ctes += [f"""s{r} AS (SELECT a.idx, a.time, a.value, a.w, sum({k} * b.w) AS s0, sum({k} * b.w * (b.idx - a.idx)) AS s1, sum({k} * b.w * power(b.idx - a.idx, 2)) AS s2,
+ sum({k} * b.w * (b.value - b.seasonal)) AS t0, sum({k} * b.w * (b.idx - a.idx) * (b.value - b.seasonal)) AS t1 FROM {p} a JOIN {p} b ON b.idx BETWEEN a.idx - {period} AND a.idx + {period} GROUP BY ALL)""",
+                 f"l{r} AS (SELECT idx, time, value, w, (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) AS trend FROM s{r})",
+                 f"h{r} AS (SELECT ph, s - avg(s) OVER () AS seasonal FROM (SELECT idx % {period} AS ph, sum(w * (value - trend)) / sum(w) AS s FROM l{r} GROUP BY 1))",
+                 f"d{r} AS (SELECT idx, time, value, trend, seasonal, value - trend - seasonal AS residual FROM l{r} JOIN h{r} ON idx % {period} = ph)",
+                 f"""x{r} AS (SELECT *, CASE WHEN abs(residual) < 6 * m THEN power(1 - power(residual / (6 * m), 2), 2) ELSE 0 END AS w
+ FROM d{r}, (SELECT quantile_cont(abs(residual), 0.5) AS m FROM d{r}))"""]
+    return ", ".join(ctes)
+
+
+@query("out_ts_robust", f"""WITH {_robust_sql(2, 24)}, z AS (SELECT *, (residual - avg(residual) OVER ()) / stddev(residual) OVER () AS z FROM x2)
+ SELECT idx, {_stamp('time')} AS time, round(value, 6) AS observed, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(residual, 6) AS residual, round(w, 6) AS weight,
+ round(z, 6) AS z, abs(z) > 3 AS outlier FROM z""")
+def _(t):
+    return rounded(stamped(ts.ts_outliers(hourly(t), "time", "value", freq="H", robust=True)))

@@ -1,122 +1,136 @@
 """Exact linear-interpolated quantiles without sorting or gathering a column.
 
-The first scan counts, takes the range and brackets every wanted order statistic with a sketch; the second counts
-the values below and inside each bracket; then only the distinct values inside brackets are shuffled.  Brackets
-that still hold too many distinct values are narrowed again, so the work stays a few scans and a shuffle
-of a tiny share of the rows, for any number of rows and columns.
+The first scan counts, takes the ends and one mergeable sketch per column, which brackets every wanted order statistic.  The
+second counts what lies between the brackets and every distinct value inside them, all columns at once; running counts of the
+brackets that hold a wanted rank then give the values.  Brackets hold a small share of the rows, cut into pieces of bounded
+size, so two scans and a shuffle of a small share serve any number of rows and columns.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .exprs import collect_stats
 
-SKETCH_ACCURACY = 10_000
+#: Sketch size, and three times its rank error at that size (about 2.4 / SKETCH ** 0.94).
+SKETCH, SKETCH_ERROR = 8192, 0.0015
+#: Columns of up to so many values are one bracket.
+SMALL_COLUMN = 5_000
 BRACKET_VALUES = 50_000
 
 
 def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], bracket_values: int = BRACKET_VALUES) -> dict[str, list[float | None]]:
-    """``wanted`` maps a name to (double column, probabilities)."""
-    return _bracketed(df, wanted, bracket_values) if wanted else {}
-
-
-def _position(n: int, p: float) -> float:
-    h = (n - 1) * p
-    return float(round(h)) if abs(h - round(h)) < 1e-9 * max(1.0, h) else h
-
-
-def _bracketed(df, wanted, bracket_values):
-    eps = 2.0 / SKETCH_ACCURACY
+    """``wanted`` maps a name to (double column, probabilities).  ``bracket_values``: about so many values are ordered together."""
+    if not wanted:
+        return {}
     first = {}
     for name, (x, ps) in wanted.items():
-        first[name, "n"] = F.count(x)
-        first[name, "lo"] = F.min(x)
-        first[name, "hi"] = F.max(x)
-        if ps:
-            near = [max(0.0, min(1.0, p + e)) for p in ps for e in (-eps, eps)]
-            first[name, "cuts"] = F.percentile_approx(x, F.array(*[F.lit(v) for v in near]), F.lit(SKETCH_ACCURACY))
+        first[name, "n"], first[name, "lo"], first[name, "hi"] = F.count(x), F.min(x), F.max(x)
+        if any(0 < p < 1 for p in ps):
+            near = sorted({min(1.0, max(0.0, p + e)) for p in ps for e in (-SKETCH_ERROR, SKETCH_ERROR)})
+            sketch = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(x, F.lit(SKETCH)), F.array(*[F.lit(v) for v in near]))
+            first[name, "cuts"] = F.when(F.count(x) > 0, F.map_from_arrays(F.array(*[F.lit(v) for v in near]), sketch))
     base = collect_stats(df, first)
-    # One target per order statistic: 0-based rank among the non-null values.
-    open_, cuts = {}, {}
+    known: dict[tuple[str, int], float] = {}
+    open_: dict[str, dict[int, tuple[float, float]]] = {}
     for name, (_, ps) in wanted.items():
-        n = base[name, "n"]
-        for i, p in enumerate(ps if n else ()):
+        n, lo, hi = (base[name, k] for k in ("n", "lo", "hi"))
+        for p in ps if n else ():
             h = _position(n, p)
             for r in {math.floor(h), math.ceil(h)}:
-                open_[name, r] = (base[name, "lo"], base[name, "hi"])
-                cuts[name, r] = tuple(base[name, "cuts"][2 * i:2 * i + 2])
-    below = {t: 0 for t in open_}
-    inside = {t: base[t[0], "n"] for t in open_}
-    found: dict[tuple[str, int], float] = {}
-    ready: dict[tuple[str, int], tuple[float, float]] = {}
-    under: dict[tuple[str, int], int] = {}
-    while open_:
-        counts = {}
-        for t in open_:
-            x, (a, b) = wanted[t[0]][0], cuts[t]
-            counts[t, "below"] = F.count_if(x < F.lit(a))
-            counts[t, "in"] = F.count_if(x.between(F.lit(a), F.lit(b)))
-            counts[t, "top"] = F.count_if(x == F.lit(b))
-            counts[t, "distinct"] = F.approx_count_distinct(F.when(x.between(F.lit(a), F.lit(b)), x))
-        seen = collect_stats(df, counts)
-        nxt = {}
-        for t, (lo, hi) in open_.items():
-            (a, b), lt, inn = cuts[t], seen[t, "below"], seen[t, "in"]
-            if not lt <= t[1] < lt + inn:
-                # The sketch missed: keep the side that must hold the rank and solve it exactly.
-                ready[t], under[t] = ((lo, a), below[t]) if t[1] < lt else ((b, hi), lt + inn - seen[t, "top"])
-            elif a == b:
-                found[t] = a
-            elif seen[t, "distinct"] <= bracket_values or (a, b) == (lo, hi):
-                ready[t], under[t] = (a, b), lt
-            else:
-                nxt[t] = (a, b)
-                below[t], inside[t] = lt, inn
-        open_, sketch = nxt, {}
-        for t, (lo, hi) in open_.items():
-            x = wanted[t[0]][0]
-            pos = (t[1] - below[t]) / max(inside[t] - 1, 1)
-            cut = F.when(x.between(F.lit(lo), F.lit(hi)), x)
-            sketch[t] = F.percentile_approx(cut, F.array(F.lit(max(0.0, pos - eps)), F.lit(min(1.0, pos + eps))), F.lit(SKETCH_ACCURACY))
-        cuts = {t: tuple(c) for t, c in collect_stats(df, sketch).items()} if sketch else {}
-    found.update(_pick(df, wanted, ready, under))
+                if r in (0, n - 1) or lo == hi:
+                    known[name, r] = lo if r == 0 else hi
+                elif n <= SMALL_COLUMN:
+                    open_.setdefault(name, {})[r] = (lo, hi)
+                else:
+                    cuts = base[name, "cuts"]
+                    open_.setdefault(name, {})[r] = tuple(cuts[min(1.0, max(0.0, p + e))] for e in (-SKETCH_ERROR, SKETCH_ERROR))
+    known.update(_solve(df, {name: wanted[name][0] for name in open_}, open_, {name: base[name, "n"] for name in open_}, bracket_values))
     out = {}
     for name, (_, ps) in wanted.items():
-        n = base[name, "n"]
-        vals = []
+        n, out[name] = base[name, "n"], []
         for p in ps:
             if not n:
-                vals.append(None)
+                out[name].append(None)
                 continue
             h = _position(n, p)
-            a, b = found[name, math.floor(h)], found[name, math.ceil(h)]
-            vals.append(a + (b - a) * (h - math.floor(h)))
-        out[name] = vals
+            a, b = known[name, math.floor(h)], known[name, math.ceil(h)]
+            out[name].append(a + (b - a) * (h - math.floor(h)))
     return out
 
 
-def _pick(df, wanted, ready, lows):
-    """Order statistics inside their brackets, by distributed cumulative counts; ``lows`` counts the values below each."""
-    from .ordered import running_totals
+def _position(n: int, p: float) -> float:
+    h = (n - 1) * p
+    return float(round(h)) if abs(h - round(h)) < 1e-9 * max(1.0, h) else h
+
+
+def _merged(brackets) -> list[tuple[float, float]]:
+    """Disjoint closed intervals in order."""
+    out: list[tuple[float, float]] = []
+    for a, b in sorted(brackets):
+        if out and a <= math.nextafter(out[-1][1], math.inf):
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _search(x: Column, edges: list[float], lo: int, hi: int) -> Column:
+    """Number of ``edges`` that are at most ``x``, between lo and hi, as nested comparisons."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(x < F.lit(edges[mid]), _search(x, edges, lo, mid)).otherwise(_search(x, edges, mid + 1, hi))
+
 
-    if not ready:
+def _solve(df: DataFrame, columns: dict[str, Column], open_: dict[str, dict[int, tuple[float, float]]], sizes: dict[str, int], per_piece: int) -> dict[tuple[str, int], float]:
+    """Values at the ranks of ``open_`` (name -> rank -> bracket), from one scan."""
+    if not columns:
         return {}
-    targets = list(ready)
-    cands = F.filter(F.array(*[
-        F.when(wanted[t[0]][0].between(F.lit(ready[t][0]), F.lit(ready[t][1])),
-               F.struct(F.lit(i).alias("target"), wanted[t[0]][0].alias("value")))
-        for i, t in enumerate(targets)]), lambda s: s.isNotNull())
-    freq = (df.select(F.explode(cands).alias("c")).groupBy("c.target", "c.value").agg(F.count(F.lit(1)).alias("n")))
-    cum = running_totals(freq, "value", ["n"], group=["target"], rows=None)
-    hit = None
-    for i, t in enumerate(targets):
-        r = t[1] - lows[t]
-        one = (F.col("target") == i) & (F.col("cum_n") > r) & (F.col("cum_n") - F.col("n") <= r)
-        hit = one if hit is None else hit | one
-    return {targets[r["target"]]: r["value"] for r in cum.filter(hit).select("target", "value").collect()}
+    names, parts = list(columns), []
+    flat = df.select(*[columns[c].alias(f"x{i}") for i, c in enumerate(names)])
+    intervals = [_merged(open_[c].values()) for c in names]
+    places = []
+    for i, own in enumerate(intervals):
+        edges = [e for a, b in own for e in (a, math.nextafter(b, math.inf))]
+        places.append(F.when(F.col(f"x{i}").isNotNull(), _search(F.col(f"x{i}"), edges, 0, len(edges))).alias(f"b{i}"))
+    flat = flat.select("*", *places)
+    for i, c in enumerate(names):
+        x, b = F.col(f"x{i}"), F.col(f"b{i}")
+        pieces = max(1, math.ceil(2 * SKETCH_ERROR * sizes[c] / per_piece)) if sizes[c] > SMALL_COLUMN else max(1, math.ceil(sizes[c] / per_piece))
+        piece = F.lit(0)
+        if pieces > 1:  # equal widths of the bracket
+            low, high = (F.element_at(F.array(*[F.lit(v[k]) for v in intervals[i]]), F.shiftright(b + 1, 1)) for k in (0, 1))
+            piece = F.when(b % 2 == 1, F.least(F.floor((x - low) / F.greatest(high - low, F.lit(5e-324)) * pieces), F.lit(pieces - 1))).otherwise(0).cast("int")
+        parts.append(F.struct(F.lit(i).alias("c"), b.alias("b"), piece.alias("s"), F.when(b % 2 == 1, x).alias("v")))
+    freq = flat.select(F.inline(F.array(*parts))).filter("b is not null").groupBy("c", "b", "s", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranks = df.sparkSession.createDataFrame([(i, r) for i, c in enumerate(names) for r in open_[c]], "rc int, rank long")
+    before = Window.partitionBy("c").orderBy("b", "s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = freq.groupBy("c", "b", "s").agg(F.sum("n").alias("t")).withColumn("off", F.coalesce(F.sum("t").over(before), F.lit(0)))
+    hold = sums.join(F.broadcast(ranks), (F.col("c") == F.col("rc")) & F.col("rank").between(F.col("off"), F.col("off") + F.col("t") - 1))
+    hold = hold.groupBy(F.col("c").alias("hc"), F.col("b").alias("hb"), F.col("s").alias("hs"), "off", "t").agg(F.collect_list("rank").alias("ranks"))  # at most the wanted ranks
+    held = freq.join(F.broadcast(hold), (F.col("c") == F.col("hc")) & (F.col("b") == F.col("hb")) & (F.col("s") == F.col("hs")))
+    upto = F.col("off") + F.sum("n").over(Window.partitionBy("c", "b", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = held.withColumn("upto", upto).withColumn("rank", F.explode("ranks")).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    found, again, name_of = {}, {}, {}
+    for r in hit.select("c", "b", "v", "rank", "off", "t").collect():
+        c, rank = names[r["c"]], r["rank"]
+        if r["b"] % 2:
+            found[c, rank] = r["v"]
+            continue
+        # the sketch missed: the rank lies between two brackets, and is looked for among the values there
+        own, k = intervals[r["c"]], r["b"] // 2
+        x = columns[c]
+        left = x > F.lit(own[k - 1][1]) if k else F.lit(True)
+        right = x < F.lit(own[k][0]) if k < len(own) else F.lit(True)
+        key = f"{len(again)}"
+        again[key] = (F.when(left & right, x), [(rank - r["off"]) / max(r["t"] - 1, 1)])
+        name_of[key] = (c, rank)
+    for key, values in quantiles(df, again, per_piece).items():
+        found[name_of[key]] = values[0]
+    return found
 
 
 def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, list[int]]]) -> dict[str, list[float | None]]:

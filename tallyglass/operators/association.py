@@ -9,10 +9,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.exprs import collect_stats, columns_of, num, q, ratio, records, resolve, spread, tidy
+from ..functions.exprs import cells, collect_stats, columns_of, num, q, ratio, records, resolve, spread, tidy
 from ..functions.keyed import attach, long_counts
 from ..functions.ordered import isolate, running_totals, with_range
 from ..functions.quantiles import quantiles
+from ..functions.special import digamma
 from ..functions.store import materialise
 
 # fixed values: association settings
@@ -22,7 +23,8 @@ STRONG = 0.8
 TOP_PAIRS = 10
 MI_BINS = 10
 NONLINEAR_MI, NONLINEAR_R = 0.3, 0.3
-KNN_ROWS, KNN_NEIGHBOURS = 5_000, 3
+KNN_NEIGHBOURS = 3
+KNN_GRID = 1 << 30  # steps of a standard deviation: distances and ranges are whole numbers
 MIN_MI_ROWS = 10
 KENDALL_BLOCK_ROWS = 500_000
 KENDALL_RANGES = 1_000  # the range contingency table has at most this many rows and columns
@@ -295,7 +297,7 @@ def mi_matrix(df: DataFrame, cols=None, bins: int = MI_BINS, normalize: bool = T
     """Mutual information (nats) of numeric pairs.
 
     ``binned``: quantile bins, all rows, one shuffle of at most bins^2 cells per pair.
-    ``knn``: nearest-neighbour estimator (k = 3) on at most 5,000 complete rows."""
+    ``knn``: nearest-neighbour estimator (k = 3, largest axis distance) on all complete rows."""
     cols = resolve(df, cols, "numeric")
     if len(cols) < 2:
         raise ValueError("at least two numeric columns are needed")
@@ -331,45 +333,62 @@ def _binned_mi(df, cols, pairs, bins):
     return t.groupBy("col_a", "col_b").agg(F.greatest(mi, F.lit(0.0)).alias("mi"))
 
 
-def _ksg(pdf):
-    """Nearest-neighbour mutual information of the columns x, y (max norm, k neighbours)."""
-    import numpy as np
+def _digamma_next(n):
+    """digamma(n + 1) of a whole number from 0, as a column."""
+    small = [digamma(i + 1.0) for i in range(5)]
+    x = (n + 1).cast("double")
+    f = 1 / (x * x)
+    large = F.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
+    return F.when(n < len(small), F.element_at(F.array(*[F.lit(v) for v in small]), F.least(n, F.lit(len(small) - 1)).cast("int") + 1)).otherwise(large)
 
-    from ..functions.special import digamma
-
-    z = pdf[["x", "y"]].to_numpy(float)
-    sd = z.std(0)
-    z = (z - z.mean(0)) / np.where(sd > 0, sd, 1)
-    n, k, acc = len(z), KNN_NEIGHBOURS, 0.0
-    sx, sy = np.sort(z[:, 0]), np.sort(z[:, 1])
-    psi = {}
-    for i in range(0, n, 512):
-        part = z[i: i + 512]
-        d = np.maximum(abs(part[:, :1] - z[:, 0]), abs(part[:, 1:] - z[:, 1]))
-        eps = np.partition(d, k, axis=1)[:, k]
-        for v, s in ((part[:, 0], sx), (part[:, 1], sy)):
-            inside = np.searchsorted(s, v + eps, "left") - np.searchsorted(s, v - eps, "right")
-            for c in np.maximum(inside - 1, 0):
-                acc += psi.setdefault(c, digamma(c + 1.0))
-    return max(0.0, digamma(float(k)) + digamma(float(n)) - acc / n)
 
+def _within(points: DataFrame, counts: DataFrame) -> DataFrame:
+    """(pair, id, column, inside): how many rows are nearer than ``eps`` to ``value`` along ``column``, itself included.
 
-def _knn_mi(df, cols, pairs):
-    import pandas as pd
+    ``points``: pair, id, column, value, eps; ``counts``: column, value, n; whole numbers.  The ends of all ranges are put among the
+    values as values of count 0; one running total over ranges of the order answers them."""
+    ends = F.array(F.struct((F.col("value") + F.col("eps") - 1).alias("end"), F.lit(1).alias("sign")), F.struct((F.col("value") - F.col("eps")).alias("end"), F.lit(-1).alias("sign")))
+    asked = points.select("pair", "id", "column", F.inline(ends))
+    both = counts.unionByName(asked.select("column", F.col("end").alias("value"), F.lit(0).cast("long").alias("n")))
+    freq = materialise(both.groupBy("column", "value").agg(F.sum("n").alias("n")), "range-ends")
+    upto = running_totals(freq, "value", ["n"], group=["column"]).select(F.col("column").alias("_c"), F.col("value").alias("_v"), "cum_n")
+    found = asked.join(upto, (F.col("column") == F.col("_c")) & (F.col("end") == F.col("_v")))
+    return found.groupBy("pair", "id", "column").agg(F.sum(F.col("sign") * F.col("cum_n")).alias("inside"))
 
-    x = df.select(*[num(df, c).alias(c) for c in cols]).dropna()
-    # The estimator is defined on a bounded random sample of the complete rows.
-    sample = x.orderBy(F.xxhash64(*[q(c) for c in cols], F.lit(42)), *[q(c) for c in cols]).limit(KNN_ROWS)
-    cells = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), q(a).alias("x"), q(b).alias("y"))
-                      for a, b in pairs])
 
-    def pair(key, pdf):
-        if len(pdf) < MIN_MI_ROWS:
-            raise ValueError(f"at least {MIN_MI_ROWS} complete rows are needed")
-        return pd.DataFrame({"col_a": [key[0]], "col_b": [key[1]], "mi": [_ksg(pdf)]})
-
-    return sample.select(F.inline(cells)).groupBy("col_a", "col_b").applyInPandas(
-        pair, "col_a string, col_b string, mi double")
+def _knn_mi(df, cols, pairs):
+    """k-nearest-neighbour estimator: digamma(k) + digamma(n) - mean(digamma(n_x + 1) + digamma(n_y + 1)), where n_x and n_y count the rows
+    that are nearer on one axis than the k-th neighbour of a row is on its farther axis.  Values are rounded to ``KNN_GRID`` steps of a
+    standard deviation, so equal distances stay equal; rows that repeat are one point with a weight."""
+    from .neighbours import neighbours
+
+    x = df.select(*[num(df, c).alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
+    s = collect_stats(x, {"n": F.count(F.lit(1)), **{(i, k): f(f"x{i}") for i in range(len(cols)) for k, f in (("m", F.avg), ("s", F.stddev_pop))}})
+    n = s["n"]
+    if n < MIN_MI_ROWS:
+        raise ValueError(f"at least {MIN_MI_ROWS} complete rows are needed")
+    steps = [F.round((F.col(f"x{i}") - F.lit(s[i, "m"])) / F.lit(s[i, "s"] or 1.0) * KNN_GRID).cast("long").alias(f"x{i}") for i in range(len(cols))]
+    grid = materialise(x.select(*steps), "grid")
+    place, asked = {c: i for i, c in enumerate(cols)}, None
+    for k, (a, b) in enumerate(pairs):
+        u, v = (F.col(f"x{place[c]}") for c in (a, b))
+        points = materialise(grid.groupBy(F.array(u, v).alias("at")).agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn("id", F.monotonically_increasing_id())
+                             .withColumn("p", F.col("at").cast("array<double>")), "points")
+        near = neighbours(points.select("id", "p", "w"), points.select("id", "p", (F.col("w") - 1).alias("self")), KNN_NEIGHBOURS, same=True, norm="max")
+        reach = near.groupBy(F.col("id").alias("of")).agg(F.max("kdist").cast("long").alias("eps"))
+        # a point with more than k copies has no neighbours listed: its distance is 0
+        known = points.join(reach, F.col("id") == F.col("of"), "left").withColumn("eps", F.coalesce("eps", F.lit(0).cast("long")))
+        axes = F.array(*[F.struct(F.lit(place[c]).alias("column"), F.element_at("at", i + 1).alias("value")) for i, c in enumerate((a, b))])
+        part = known.select(F.lit(k).alias("pair"), "id", "w", "eps", F.inline(axes))
+        asked = part if asked is None else asked.unionByName(part)
+    asked = materialise(asked, "ranges")
+    counts = cells(grid, {i: F.col(f"x{i}") for i in range(len(cols))}).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    inside = _within(asked.select("pair", "id", "column", "value", "eps"), counts)
+    weighed = inside.join(asked.select("pair", "id", "column", "w"), ["pair", "id", "column"])
+    total = weighed.groupBy("pair").agg(F.sum(F.col("w") * _digamma_next(F.greatest(F.col("inside") - 1, F.lit(0)))).alias("t"))
+    names = records(df.sparkSession, [(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, col_a string, col_b string")
+    mi = F.greatest(F.lit(digamma(float(KNN_NEIGHBOURS)) + digamma(float(n))) - F.col("t") / n, F.lit(0.0))
+    return total.join(F.broadcast(names), "pair").select("col_a", "col_b", mi.alias("mi"))
 
 
 def top_mi(df: DataFrame, k: int = TOP_PAIRS, **kw) -> DataFrame:

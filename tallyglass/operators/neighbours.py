@@ -67,7 +67,7 @@ class Boxes:
             stack += [(self.left[node], rows[low]), (self.right[node], rows[~low])]
         return out
 
-    def reached(self, x: np.ndarray, radius: np.ndarray):
+    def reached(self, x: np.ndarray, radius: np.ndarray, norm: str = "euclid"):
         """(row, box) pairs of boxes no farther than the radius."""
         rows_out, box_out = [], []
         gap0 = np.zeros_like(x)
@@ -85,7 +85,7 @@ class Boxes:
             for child, miss in ((self.left[node], np.maximum(side, 0)), (self.right[node], np.maximum(-side, 0))):
                 g = gap.copy()
                 g[:, d] = np.maximum(g[:, d], miss)
-                near = np.sqrt((g * g).sum(1)) <= radius[rows] + 1e-9
+                near = (g.max(1) if norm == "max" else np.sqrt((g * g).sum(1))) <= radius[rows] + 1e-9
                 stack.append((child, rows[near], g[near]))
         return np.concatenate(rows_out), np.concatenate(box_out)
 
@@ -104,7 +104,7 @@ def _layout(data: DataFrame, n: int) -> Boxes:
     return Boxes(_matrix(sample["p"]), boxes) if len(sample) else Boxes(np.zeros((1, 1)), 1)
 
 
-def _placed(df: DataFrame, layout: Boxes, radius: bool) -> DataFrame:
+def _placed(df: DataFrame, layout: Boxes, radius: bool, norm: str = "euclid") -> DataFrame:
     """Rows with the box they live in, or one copy for every box within their radius."""
     def run(batches):
         for pdf in batches:
@@ -112,7 +112,7 @@ def _placed(df: DataFrame, layout: Boxes, radius: bool) -> DataFrame:
                 continue
             x = _matrix(pdf["p"])
             if radius:
-                rows, box = layout.reached(x, pdf["r"].to_numpy(float))
+                rows, box = layout.reached(x, pdf["r"].to_numpy(float), norm)
                 out = pdf.iloc[rows].copy()
             else:
                 out, box = pdf.copy(), layout.home(x)
@@ -146,7 +146,7 @@ def _near(d: np.ndarray, w: np.ndarray, own: np.ndarray, k: int):
     return r, c, dist, kd
 
 
-def _meet(data: DataFrame, queries: DataFrame, k: int, same: bool, bound: bool, boxes: int) -> DataFrame:
+def _meet(data: DataFrame, queries: DataFrame, k: int, same: bool, bound: bool, boxes: int, norm: str) -> DataFrame:
     """Meets every query with the points of its box.  ``bound`` yields (id, r); otherwise the neighbours
     (id, self, nid, d, w[, v]) within r.  Crowded boxes are split into chunks of queries."""
     import pandas as pd
@@ -173,8 +173,9 @@ def _meet(data: DataFrame, queries: DataFrame, k: int, same: bool, bound: bool,
                 s = slice(i, i + step)
                 d = np.zeros((len(a[s]), len(b)))
                 for j in range(a.shape[1]):
-                    d += (a[s, j][:, None] - b[:, j]) ** 2
-                d = np.round(np.sqrt(d), DISTANCE_DECIMALS)
+                    gap = a[s, j][:, None] - b[:, j]
+                    d = np.maximum(d, np.abs(gap)) if norm == "max" else d + gap ** 2
+                d = np.round(d if norm == "max" else np.sqrt(d), DISTANCE_DECIMALS)
                 if same:
                     d[qid[s][:, None] == pid] = np.inf
                 r, c, dist, kd = _near(d, w, own[s], k)
@@ -194,19 +195,19 @@ def _meet(data: DataFrame, queries: DataFrame, k: int, same: bool, bound: bool,
         block, ", ".join(f"{c} {types.get(c, 'double')}" for c in cols))
 
 
-def neighbours(data: DataFrame, queries: DataFrame, k: int, same: bool) -> DataFrame:
+def neighbours(data: DataFrame, queries: DataFrame, k: int, same: bool, norm: str = "euclid") -> DataFrame:
     """(id, self, nid, d, w[, v], kdist): all points within the k-distance of every query point.
 
     ``data``: id, p array<double>, w (copies)[, v]; ``queries``: id, p, self (own further copies).  Both must be
-    written tables, so their ids are stable.  ``same`` leaves out the data point with the id of the query."""
+    written tables, so their ids are stable.  ``same`` leaves out the data point with the id of the query.  ``norm``: euclid or max."""
     layout = _layout(data, data.count())
     asked = queries.withColumn("r", F.lit(float("inf")))
     home = _placed(data, layout, False)
     if layout.count > 1:
         home = materialise(home, "boxes")
-        first = _meet(home, _placed(asked, layout, False), k, same, True, layout.count)
+        first = _meet(home, _placed(asked, layout, False), k, same, True, layout.count, norm)
         asked = queries.join(first, "id", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
-    got = _meet(home, _placed(asked, layout, layout.count > 1), k, same, False, layout.count)
+    got = _meet(home, _placed(asked, layout, layout.count > 1, norm), k, same, False, layout.count, norm)
     # candidates of a query are few: at most the k nearest (with ties) of each box it visited
     w = Window.partitionBy("id").orderBy("d").rangeBetween(Window.unboundedPreceding, 0)
     ranked = got.withColumn("_cum", F.col("self") + F.sum("w").over(w))

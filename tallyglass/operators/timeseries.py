@@ -27,6 +27,7 @@ NORMAL_95 = 1.959963984540054
 ORDER_Z = 1.96
 MIN_OUTLIER_ROWS = 20
 RESIDUAL_Z = 3.0
+ROBUST_ROUNDS = 2
 STRENGTH_BANDS = (0.7, 0.4)
 # seasonal period by frequency code
 PERIODS = {"D": 7, "B": 5, "W": 52, "M": 12, "MS": 12, "Q": 4, "Y": 1, "H": 24, "T": 60, "S": 60, "L": 1000, "U": 1000}
@@ -321,6 +322,66 @@ def decompose(df: DataFrame, time: str, value: str, period: int, model: str = "a
     return out if series_key else out.drop("series")
 
 
+def _local_lines(reach: int):
+    """Per block: the value at each point of the line fitted to the ``reach`` points on both sides, by tricube weights times the
+    robustness weights ``w``; where those leave nothing, by tricube weights alone."""
+    import numpy as np
+
+    step = np.arange(-reach, reach + 1)
+    kernel = (1 - (np.abs(step) / (reach + 1.0)) ** 3) ** 3
+
+    def sums(values, power):
+        return np.convolve(values, (kernel * step ** power)[::-1], "full")[reach:reach + len(values)]
+
+    def fit(y, w):
+        s0, s1, s2 = (sums(w, p) for p in range(3))
+        t0, t1 = (sums(w * y, p) for p in range(2))
+        det = s0 * s2 - s1 * s1
+        with np.errstate(all="ignore"):
+            return np.where(det > 1e-9 * s0 * s0, (s2 * t0 - s1 * t1) / det, np.where(s0 > 1e-9, t0 / s0, np.nan))
+
+    def run(pdf):
+        pdf = pdf.sort_values("idx")
+        y, w = pdf["flat"].to_numpy(float), pdf["w"].to_numpy(float)
+        robust, plain = fit(y, w), fit(y, np.ones(len(y)))
+        pdf["trend"] = np.where(np.isnan(robust), plain, robust)
+        return pdf[pdf["_own"]].drop(columns=["_block", "_own", "flat"])
+
+    return run
+
+
+def decompose_robust(df: DataFrame, time: str, value: str, period: int, rounds: int = ROBUST_ROUNDS, series_key: str | None = None,
+                     tie: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(series, idx, time, observed, trend, seasonal, residual, weight): additive, by ``rounds`` of local regression.
+
+    In every round the trend is a local line over ``period`` points on both sides of the value less its seasonal part, the seasonal
+    part the weighted mean per phase of the value less its trend, centred; then a point gets the bisquare weight of its residual over
+    six times the median absolute residual of the series.  So single spikes bend neither the trend nor the season.  Blocks carry
+    the neighbours they need; series shorter than two periods are left out."""
+    if period < 2 or rounds < 1:
+        raise ValueError("period must be at least 2 and rounds at least 1")
+    s = materialise(series(df, time, value, series_key, tie).select("series", "idx", "time", "value"), "series")
+    sizes = s.groupBy("series").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2 * period)
+    now = _beside(s, sizes, ["series"], series_key).drop("n").withColumn("seasonal", F.lit(0.0)).withColumn("w", F.lit(1.0))
+    for _ in range(rounds):
+        near = blocks(now.drop("trend", "residual"), period, period, block=block).withColumn("flat", F.col("value") - F.col("seasonal"))
+        kept = [f for f in near.schema.fields if f.name not in ("_block", "_own", "flat")]
+        schema = T.StructType([*kept, T.StructField("trend", T.DoubleType())])
+        t = near.groupBy("series", "_block").applyInPandas(_local_lines(period), schema).drop("seasonal").withColumn("_phase", F.col("idx") % period)
+        t = materialise(t, "local")
+        phases = t.groupBy("series", "_phase").agg(F.coalesce(ratio(F.sum(F.col("w") * (F.col("value") - F.col("trend"))), F.sum("w")), F.lit(0.0)).alias("_s"))
+        middle = phases.groupBy("series").agg(F.avg("_s").alias("_m"))
+        phases = phases.join(middle, "series").select("series", "_phase", (F.col("_s") - F.col("_m")).alias("seasonal"))
+        now = _beside(t, phases, ["series", "_phase"], series_key).drop("_phase").withColumn("residual", F.col("value") - F.col("trend") - F.col("seasonal"))
+        now = materialise(now, "round")
+        scale = grouped_quantiles(now.withColumn("_a", F.abs("residual")), "series", "_a", {"_mid": 0.5}).select("series", "_mid")
+        u = ratio(F.col("residual"), 6 * F.col("_mid"))
+        bisquare = F.when(F.col("_mid") == 0, F.lit(1.0)).when(F.abs(u) < 1, F.pow(1 - u * u, F.lit(2.0))).otherwise(F.lit(0.0))
+        now = _beside(now, scale, ["series"], series_key).withColumn("w", bisquare).drop("_mid")
+    out = now.select("series", "idx", "time", F.col("value").alias("observed"), "trend", "seasonal", "residual", F.col("w").alias("weight"))
+    return out if series_key else out.drop("series")
+
+
 def strength(parts: DataFrame) -> DataFrame:
     """Trend and seasonal strength max(0, 1 - var(residual) / var(observed - component)), with bands."""
     by = ["series"] if "series" in parts.columns else []
@@ -334,8 +395,8 @@ def strength(parts: DataFrame) -> DataFrame:
 
 
 def ts_outliers(df: DataFrame, time: str, value: str, freq: str | None = None, period: int | None = None,
-                series_key: str | None = None, limit: float = RESIDUAL_Z, tie: str | None = None) -> DataFrame:
-    """Decomposition residuals with their z-score flag.  Without ``freq`` an irregular series is first
+                series_key: str | None = None, limit: float = RESIDUAL_Z, tie: str | None = None, robust: bool = False) -> DataFrame:
+    """Decomposition residuals with their z-score flag; ``robust``: those of local regression.  Without ``freq`` an irregular series is first
     averaged on the grid its median gap suggests."""
     rows, t, v = df, time, value
     if freq is None:
@@ -357,7 +418,7 @@ def ts_outliers(df: DataFrame, time: str, value: str, freq: str | None = None, p
     period = period or period_of(freq)
     if n[0] < 2 * period:
         period = max(7, n[0] // 3)
-    parts = materialise(decompose(rows, t, v, period, series_key=series_key, tie=tie if rows is df else None), "parts")
+    parts = materialise((decompose_robust if robust else decompose)(rows, t, v, period, series_key=series_key, tie=tie if rows is df else None), "parts")
     keyed = parts if series_key else parts.withColumn("series", F.lit(0))
     stats = keyed.groupBy("series").agg(F.avg("residual").alias("_m"), F.stddev("residual").alias("_s"))
     out = _beside(keyed, stats, ["series"], series_key).withColumn("z", ratio(F.col("residual") - F.col("_m"), F.col("_s"))).withColumn(

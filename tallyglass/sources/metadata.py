@@ -59,8 +59,9 @@ def detect_relationships(tables: dict[str, DataFrame], key_suffix: str | None =
 
     Whole numbers and texts are candidates.  ``same_name``: names must agree after their table prefix (``o_custkey`` /
     ``c_custkey``); without it any name may refer to any other, and small numbers will.  ``key_suffix`` limits the names further.  One aggregate per table gives range, approximate distinct count and kind, which rule out
-    most pairs (a child's range lies within the parent's, its distinct count is not larger); the parent must be unique;
-    each pair that is left is a distinct plus a left-anti join."""
+    most pairs (a child's range lies within the parent's, its distinct count is not larger).  The columns that are left are inverted: one shuffle
+    of all tables finds for every value the columns that hold it; a child is included if all its values occur with the
+    parent, and a parent is unique if no value repeats there."""
     spark = next(iter(tables.values())).sparkSession
 
     def stem(c):
@@ -90,28 +91,26 @@ def detect_relationships(tables: dict[str, DataFrame], key_suffix: str | None =
         return lo <= low and high <= hi and kinds <= 1.1 * distinct
 
     pairs = [(parent, p, child, c) for parent in tables for p in cols[parent] for child in tables for c in cols[child] if possible(parent, p, child, c)]
-    unique = {}
+    schema = "parent_table string, parent_column string, child_table string, child_column string"
+    if not pairs:
+        return records(spark, [], schema)
+    used = sorted({x for parent, p, child, c in pairs for x in ((parent, p), (child, c))})
+    number = {x: i for i, x in enumerate(used)}
+    parts = []
     for t, df in tables.items():
-        mine = sorted({p for parent, p, _, _ in pairs if parent == t})
-        if mine:
-            got = collect_stats(df, {c: F.count_distinct(q(c)) for c in mine})
-            unique[t] = {c for c in mine if got[c] == stats[t, c][0]}
-    checks = []
+        own = [c for c in cols[t] if (t, c) in number]
+        if own:
+            parts.append(df.select(F.inline(F.array(*[F.struct(F.lit(number[t, c]).alias("c"), q(c).cast("string").alias("k")) for c in own]))))
+    values = reduce(DataFrame.unionByName, parts).filter(F.col("k").isNotNull())
+    held = values.groupBy("k").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(len(used))])
+    each = F.filter(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"n{i}").alias("n")) for i in range(len(used))]), lambda s: s["n"] > 0)
+    both = held.select(each.alias("s")).select("s", F.explode("s").alias("child")).select("child", F.explode("s").alias("parent"))
+    together = {(r["p"], r["c"]): (r["values"], r["most"]) for r in both.groupBy(F.col("parent.c").alias("p"), F.col("child.c").alias("c")).agg(
+        F.count(F.lit(1)).alias("values"), F.max("parent.n").alias("most")).collect()}  # at most the square of the columns
+    found = set()
     for parent, p, child, c in pairs:
-        if p not in unique.get(parent, ()):
-            continue
-        keys = tables[parent].select(q(p).cast("string").alias("k"))
-        orphans = (tables[child].select(q(c).cast("string").alias("k")).filter(F.col("k").isNotNull()).distinct()
-                   .join(keys, "k", "left_anti").agg(F.count(F.lit(1)).alias("n_orphans")))
-        checks.append(orphans.select(F.lit(parent).alias("parent_table"), F.lit(p).alias("parent_column"),
-                                     F.lit(child).alias("child_table"), F.lit(c).alias("child_column"), "n_orphans"))
-    schema = "parent_table string, parent_column string, child_table string, child_column string, n_orphans bigint"
-    if not checks:
-        return records(spark, [], schema)
-    found = reduce(DataFrame.unionByName, checks).filter("n_orphans = 0").drop("n_orphans")
-    # two equal unique columns include each other: keep one direction (the table is as small as the schema)
-    back = found.select(F.col("parent_table").alias("_ct"), F.col("parent_column").alias("_cc"),
-                        F.col("child_table").alias("_pt"), F.col("child_column").alias("_pc"))
-    mirrored = ((F.col("parent_table") == F.col("_pt")) & (F.col("parent_column") == F.col("_pc")) & (F.col("child_table") == F.col("_ct"))
-                & (F.col("child_column") == F.col("_cc")) & (F.struct("parent_table", "parent_column") > F.struct("child_table", "child_column")))
-    return found.join(back, mirrored, "left_anti")
+        x, y = number[parent, p], number[child, c]
+        if together[x, x][1] == 1 and together.get((x, y), (0, 0))[0] == together[y, y][0]:
+            found.add((parent, p, child, c))
+    # two equal unique columns include each other: keep one direction
+    return records(spark, sorted(f for f in found if not ((f[2], f[3], f[0], f[1]) in found and f[:2] > f[2:])), schema)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.exprs import q
+from ..functions.exprs import collect_stats, q
+from ..functions.keyed import attach
+from ..functions.store import materialise
 from ..operators.association import pearson
 from .marginals import Marginal, as_model, fit_marginals, model_schema, restore, seeds
 
@@ -27,16 +29,7 @@ class GaussianCopula:
         live = [m for m in marginals if m.kind != "id"]
         corr = np.eye(len(live))
         if len(live) > 1:
-            names = [m.name for m in live]
-            model = df.select(*[as_model(df, m.name, m.kind).alias(m.name) for m in live])
-
-            def scores(batches):
-                import pandas as pd
-
-                for pdf in batches:
-                    yield pd.DataFrame({f"s{i}": m.score(pdf[m.name]) for i, m in enumerate(live)})
-
-            scored = model.mapInPandas(scores, ", ".join(f"s{i} double" for i in range(len(names))))
+            scored = cls(marginals, corr, df.sparkSession).scored(df)
             for r in pearson(scored).collect():  # column pairs
                 i, j = int(r["col_a"][1:]), int(r["col_b"][1:])
                 corr[i, j] = corr[j, i] = r["r"] or 0.0
@@ -46,19 +39,34 @@ class GaussianCopula:
         """The same columns without their dependence."""
         return GaussianCopula(self.marginals, np.eye(len(self.modelled)), self.spark)
 
-    def sample(self, n: int, seed: int = 42, first_id: int = 0, rows: DataFrame | None = None) -> DataFrame:
-        """``n`` rows, or one row per row of ``rows`` (which then keeps its columns)."""
+    def scored(self, df: DataFrame, carry: list | None = None) -> DataFrame:
+        """The columns ``carry`` and the normal scores s0, s1, ... of the modelled columns."""
+        live, carry = self.modelled, carry or []
+        model = df.select(*carry, *[as_model(df, m.name, m.kind).alias(f"x{i}") for i, m in enumerate(live)])
+        kept = model.schema.fields[:len(carry)]
+
+        def scores(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                yield pd.DataFrame({**{f.name: pdf[f.name] for f in kept}, **{f"s{i}": m.score(pdf[f"x{i}"]) for i, m in enumerate(live)}})
+
+        return model.mapInPandas(scores, T.StructType([*kept, *[T.StructField(f"s{i}", T.DoubleType()) for i in range(len(live))]]))
+
+    def sample(self, n: int, seed: int = 42, first_id: int = 0, rows: DataFrame | None = None, factor: np.ndarray | None = None, shift: list | None = None) -> DataFrame:
+        """``n`` rows, or one row per row of ``rows`` (which then keeps its columns).  ``factor`` and ``shift`` (a column per modelled
+        column) give other normal scores: shift + factor times independent normals."""
         live, carry = self.modelled, [] if rows is None else rows.columns
         if rows is None:
             base = seeds(self.spark, n, len(live), seed)
         else:
             base = rows.select("*", F.lit(0).cast("long").alias("row_id"), *[F.randn(seed + i).alias(f"g{i}") for i in range(len(live))])
-        z = []
+        z, factor = [], self.factor if factor is None else factor
         for i in range(len(live)):
-            total = F.lit(0.0)
+            total = F.lit(0.0) if shift is None else shift[i]
             for j in range(i + 1):
-                if self.factor[i, j]:
-                    total = total + F.lit(float(self.factor[i, j])) * F.col(f"g{j}")
+                if factor[i, j]:
+                    total = total + F.lit(float(factor[i, j])) * F.col(f"g{j}")
             z.append(total.alias(f"z{i}"))
         drawn = base.select(*[q(c) for c in carry], "row_id", *z, *[(F.rand(seed + 1000 + i) < F.lit(float(m.null_share))).alias(f"n{i}")
                                                                     for i, m in enumerate(live)])
@@ -93,30 +101,76 @@ def _factor(corr: np.ndarray) -> np.ndarray:
     return np.linalg.cholesky(fixed / d[:, None] / d[None, :])
 
 
+class Family:
+    """How the rows of a child table hang on their parent: shares of the parents' mean scores to keep, their centre, and the factor of
+    what rows of one parent vary by."""
+
+    def __init__(self, columns: list[str], keep: np.ndarray, centre: np.ndarray, factor: np.ndarray, most: int):
+        self.columns, self.keep, self.centre, self.factor, self.most = columns, keep, centre, factor, most
+
+    @staticmethod
+    def moments(child: str, fk: str, df: DataFrame, model: GaussianCopula) -> tuple["Family", DataFrame]:
+        """The family and (_k, number of children, mean score per column) of every parent with children."""
+        k = len(model.modelled)
+        names = [f"__{child}_{i}" for i in range(k)]
+        scored = materialise(model.scored(df.filter(q(fk).isNotNull()), [q(fk).alias("_k")]), "scores")
+        per = materialise(scored.groupBy("_k").agg(F.count(F.lit(1)).alias(f"__{child}_n"), *[F.avg(f"s{i}").alias(names[i]) for i in range(k)]), "moments")
+        n = F.col(f"__{child}_n")
+        s = collect_stats(per, {"parents": F.count(F.lit(1)), "rows": F.sum(n), "most": F.max(n), "noise": F.avg(1 / n),
+                                **{(i, m): f(names[i]) for i in range(k) for m, f in (("centre", F.avg), ("var", F.var_pop))}})
+        inside = np.zeros((k, k))
+        if k and s["rows"]:
+            apart = attach(scored, per, ["_k"], n_keys=s["parents"]).select(*[(F.col(f"s{i}") - F.col(names[i])).alias(f"d{i}") for i in range(k)])
+            cov = collect_stats(apart, {(i, j): F.avg(F.col(f"d{i}") * F.col(f"d{j}")) for i in range(k) for j in range(i + 1)})
+            for (i, j), v in cov.items():
+                inside[i, j] = inside[j, i] = (v or 0.0) * s["rows"] / max(s["rows"] - s["parents"], 1)
+        # the mean of few rows varies more than what the parent stands for
+        keep = np.array([np.sqrt(max(0.0, 1 - inside[i, i] * s["noise"] / s[i, "var"])) if s[i, "var"] else 0.0 for i in range(k)])
+        centre = np.array([s[i, "centre"] or 0.0 for i in range(k)])
+        spread = np.sqrt(np.maximum(np.diag(inside), 1e-12))
+        factor = spread[:, None] * _factor(inside / spread[:, None] / spread[None, :] * (1 - np.eye(k)) + np.eye(k)) if k else inside
+        return Family(names, keep, centre, factor, int(s["most"] or 0)), per
+
+    def shifts(self) -> list:
+        """Normal scores that a parent's generated mean scores stand for."""
+        return [F.coalesce((F.col(c) - F.lit(float(m))) * F.lit(float(b)), F.lit(0.0)) + F.lit(float(m)) for c, b, m in zip(self.columns, self.keep, self.centre)]
+
+
 class MultiTable:
-    """Parents, then children per parent.  ``links`` maps a child table to (child key, parent table, parent key)."""
+    """Parents, then children per parent.  ``links`` maps a child table to (child key, parent table, parent key).
+
+    Hierarchical: every parent row is extended by the number of its children and their mean normal scores, the parent's copula is fitted
+    on the extended row, and children are drawn around the generated means of their own parent, with the variation that rows of one
+    parent have.  Tables are fitted from the last children up, so grandchildren reach their grandparents."""
 
-    def __init__(self, models, counts, sizes, links, keys):
-        self.models, self.counts, self.sizes, self.links, self.keys = models, counts, sizes, links, keys
+    def __init__(self, models, families, sizes, links, keys, names):
+        self.models, self.families, self.sizes, self.links, self.keys, self.names = models, families, sizes, links, keys, names
 
     @classmethod
     def fit(cls, tables: dict[str, DataFrame], links: dict[str, tuple[str, str, str]], keys: dict[str, str]) -> "MultiTable":
         for child, (fk, parent, pk) in links.items():
             if fk not in tables[child].columns or keys.get(parent) != pk:
                 raise ValueError(f"bad link of {child}")
-        models, counts, sizes = {}, {}, {}
-        for name, df in tables.items():
-            ids = [keys[name]] if name in keys else []
-            fk = links[name][0] if name in links else None
-            models[name] = GaussianCopula.fit(df.drop(fk) if fk else df, ids)
-            sizes[name] = df.count()
-            if fk:
-                _, parent, pk = links[name]
-                per = df.groupBy(q(fk).alias("_k")).agg(F.count(F.lit(1)).alias("c"))
-                with_children = per.filter("_k IS NOT NULL").count()
-                table = per.agg(F.percentile_approx("c", F.array(*[F.lit(i / 200) for i in range(201)]), F.lit(10_000))).first()[0] or [0]
-                counts[name] = (with_children, [int(v) for v in table])
-        return cls(models, counts, sizes, links, keys)
+        whole, models, families, sizes = dict(tables), {}, {}, {}
+        pending = list(tables)
+        while pending:
+            ready = [t for t in pending if not any(links[c][1] == t for c in pending if c in links)]
+            if not ready:
+                raise ValueError("links form a cycle")
+            for t in ready:
+                pending.remove(t)
+                fk = links[t][0] if t in links else None
+                models[t] = GaussianCopula.fit(whole[t].drop(fk) if fk else whole[t], [keys[t]] if t in keys else [])
+                drawn = {c for child, f in families.items() if links[child][1] == t for c in f.columns}
+                for m in models[t].marginals:
+                    m.null_share = 0.0 if m.name in drawn else m.null_share  # a parent without children has none only because it has none
+                sizes[t] = whole[t].count()
+                if fk:
+                    _, parent, pk = links[t]
+                    families[t], per = Family.moments(t, fk, whole[t], models[t])
+                    wide = whole[parent].join(per, q(pk) == F.col("_k"), "left").drop("_k")
+                    whole[parent] = materialise(wide.withColumn(f"__{t}_n", F.coalesce(f"__{t}_n", F.lit(0).cast("long"))), "extended")
+        return cls(models, families, sizes, links, keys, {t: df.columns for t, df in tables.items()})
 
     def sample(self, scale: float = 1.0, seed: int = 42) -> dict[str, DataFrame]:
         """Referentially valid tables: every child key exists in its generated parent."""
@@ -124,10 +178,7 @@ class MultiTable:
         pending = list(self.models)
         step = 0
         while pending:
-            ready = [t for t in pending if t not in self.links or self.links[t][1] in out]
-            if not ready:
-                raise ValueError("links form a cycle")
-            for t in ready:
+            for t in [t for t in pending if t not in self.links or self.links[t][1] in out]:
                 step += 1
                 s = seed + 7_919 * step
                 if t not in self.links:
@@ -135,21 +186,17 @@ class MultiTable:
                 else:
                     out[t] = self._children(t, out[self.links[t][1]], s)
                 pending.remove(t)
-        return out
+        return {t: df.select(*[q(c) for c in self.names[t]]) for t, df in out.items()}
 
     def _children(self, t: str, parents: DataFrame, seed: int) -> DataFrame:
         fk, parent, pk = self.links[t]
-        with_children, table = self.counts[t]
-        share = with_children / max(self.sizes[parent], 1)
-        draw = F.xxhash64(q(pk), F.lit(seed)).cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)  # per key: stable on recompute
-        pos = F.least(F.floor(draw / F.lit(max(share, 1e-12)) * F.lit(len(table))), F.lit(len(table) - 1)).cast("int")
-        n = F.when(draw < F.lit(share), F.element_at(F.array(*[F.lit(v) for v in table]), pos + 1)).otherwise(F.lit(0))
-        rows = parents.select(q(pk).alias(fk), F.explode(F.sequence(F.lit(0), n)).alias("_i")).filter("_i > 0")
-        model = self.models[t]
-        made = model.sample(0, seed, rows=rows)
+        family, model = self.families[t], self.models[t]
+        count = F.greatest(F.coalesce(F.round(q(f"__{t}_n")), F.lit(0)), F.lit(0)).cast("int")
+        rows = parents.select(q(pk).alias(fk), *[q(c) for c in family.columns], F.explode(F.sequence(F.lit(0), count)).alias("_i")).filter("_i > 0")
+        made = model.sample(0, seed, rows=rows, factor=family.factor, shift=family.shifts())
         key = self.keys.get(t)
         if key:
             # child keys from parent key and position: unique and reproducible without a global order
             dtype = made.schema[key].dataType
-            made = made.withColumn(key, (q(fk).cast("long") * F.lit(max(table) + 1) + F.col("_i")).cast(dtype))
-        return made.drop("_i")
+            made = made.withColumn(key, (q(fk).cast("long") * F.lit(family.most + 1) + F.col("_i")).cast(dtype))
+        return made.drop("_i", *family.columns)

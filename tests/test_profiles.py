@@ -163,3 +163,24 @@ def test_suggested_features_follow_the_rules(spark):
     got = [(r["column"], r["feature"]) for r in suggest.suggest_features(df, None).orderBy("position").collect()]
     assert got[0] == ("x", "log") and ("t", "tfidf") in got and ("t", "encode") in got
     assert suggest.suggest_features(df, 5).count() == 5
+
+
+def test_robust_residuals_show_a_spike_that_hides_in_the_classical_ones(spark):
+    from tallyglass.operators import timeseries as ts
+
+    n, period = 120, 7
+    rows = []
+    for i in range(n):
+        v = 10 + 0.05 * i + [0, 1, 2, 3, 2, 1, 0][i % period] + 0.05 * ((i * 37) % 11 - 5)
+        rows.append((i, v + (3.0 if i in (50, 57, 64) else 0.0)))  # three spikes on one phase
+    df = spark.createDataFrame(rows, "i long, v double").withColumn("t", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, int(i), 0, 0, 0)"))
+    parts = {r["idx"]: r for r in ts.decompose_robust(df, "t", "v", period, rounds=4, block=20).collect()}
+    classical = {r["idx"]: r["residual"] for r in ts.decompose(df, "t", "v", period).collect()}
+    for i in (50, 57, 64):
+        assert parts[i]["weight"] == 0 and abs(parts[i]["residual"] - 3) < 0.4 < abs(classical[i] - 3)
+    assert max(abs(r["residual"]) for i, r in parts.items() if i not in (50, 57, 64)) < 0.6
+    whole = {r["idx"]: r["trend"] for r in ts.decompose_robust(df, "t", "v", period, rounds=4).collect()}
+    assert all(abs(whole[i] - r["trend"]) < 1e-9 for i, r in parts.items())
+    flat = df.withColumn("v", F.lit(1.0))
+    assert {(r["residual"], r["weight"]) for r in ts.decompose_robust(flat, "t", "v", period).select(F.round("residual", 9).alias("residual"), "weight").collect()} == {(0.0, 1.0)}
+    assert ts.decompose_robust(df.limit(3), "t", "v", period).count() == 0

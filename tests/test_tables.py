@@ -255,3 +255,27 @@ def test_foreign_keys_of_any_name(spark):
     named = metadata.detect_relationships({"parent": parent.withColumnRenamed("id", "p_customer_no"), "child": child.withColumnRenamed("customer_no", "c_customer_no")})
     assert [tuple(r) for r in named.collect()] == [("parent", "p_customer_no", "child", "c_customer_no")]
     assert metadata.detect_relationships({"parent": parent, "child": child}, key_suffix="key").count() == 0
+
+
+@pytest.mark.parametrize("boxes", [2_000, 15])
+def test_nearest_neighbour_information_against_brute_force(spark, monkeypatch, boxes):
+    from tallyglass.operators import association, neighbours
+    from tallyglass.functions.special import digamma
+
+    monkeypatch.setattr(neighbours, "BOX_POINTS", boxes)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=300)
+    rows = [(float(a), float(a * a + b), float(round(a)), None) for a, b in zip(x, rng.normal(size=300) / 5)] + [(0.0, 1.0, 2.0, None)] * 6
+    rows += [(None, 1.0, 1.0, None), (float("nan"), 1.0, 1.0, None)]
+    got = {(r["col_a"], r["col_b"]): r["mi"] for r in association.mi_matrix(spark.createDataFrame(rows, "a double, b double, c double, d double"), cols=["a", "b", "c"], method="knn", normalize=False).collect()}
+    z = np.array([r[:3] for r in rows[:306]])
+    z = np.round((z - z.mean(0)) / z.std(0) * (1 << 30))
+    n = len(z)
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        gaps = [np.abs(z[:, k][:, None] - z[:, k]) for k in (i, j)]
+        d = np.maximum(*gaps)
+        np.fill_diagonal(d, np.inf)
+        eps = np.sort(d, axis=1)[:, 2]
+        total = sum(digamma(max(int((g[r] < eps[r]).sum()) - 1, 0) + 1.0) for g in gaps for r in range(n))
+        want = max(0.0, digamma(3.0) + digamma(float(n)) - total / n)
+        assert got["abc"[i], "abc"[j]] == pytest.approx(want, abs=1e-8)
