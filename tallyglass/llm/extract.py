@@ -6,10 +6,14 @@ token streams of a host's pages are concatenated and their suffixes sorted (pref
 decides what repeats); runs of RUN tokens or more that stand on several distinct pages cover boilerplate:
 
 * outside the article a block goes when it is marked out, when at least half of it is covered by runs found on two pages and
-  a tenth of the host's pages, ``OUTSIDE_PAGES`` at most, or when the page has an article;
+  a tenth of the host's pages, ``OUTSIDE_PAGES`` at most, or when the page has an article, unless more than ``TEASER`` times the
+  words of its articles stand outside of them and do not repeat: then the articles are teasers, and all of it is kept;
 * inside the article a block goes when at least ``COVERED`` of it is covered by runs found on ``TEMPLATE_PAGES`` pages and
   ``TEMPLATE_SHARE`` of the host's pages.  Passages that articles merely share stay.
 
+Names mark out by whole parts ("site-header", "comment-list"); one that begins with such a part and goes on with other words ("share-price",
+"notice-of-motion") is only suspect: its blocks go where most of their text is links or where they repeat like blocks outside.
+
 Where repetition would take more than half of what the page would keep otherwise, only blocks covered by runs on
 ``TEMPLATE_PAGES`` pages go, and none where nothing would be left: such a page is a copy, not a template.
 
@@ -37,6 +41,7 @@ from ..functions.store import materialise
 from .arrays import SPACE, U, lean, runs, shingles, texts, word_hashes, words
 
 RUN, COVERED, TEMPLATE_PAGES, TEMPLATE_SHARE = 8, 0.8, 8, 0.9
+TEASER = 2  # times the words of the articles
 OUTSIDE_SHARE, OUTSIDE_PAGES = 0.1, 5
 HASH_BITS = 44  # of a run, where shards are summed
 SHARD = 8_000_000
@@ -55,51 +60,77 @@ HOLDS = set("article aside body center details dialog div dl fieldset figure foo
             "button canvas video audio map".split())
 OUT = set("aside button canvas dialog footer form head header menu nav select svg math object template video audio map fieldset datalist".split())
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
-NAMES = ("ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
-         "sidebar|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|comment|comments|commentlist|respond|disqus|share|sharing|social|"
-         "related|recommended|newsletter|subscribe|subscription|signup|login|search|toolbar|pagination|pager|widget|copyright|skip|hidden")
-MARKED_NAME = re.compile(rf"(?:(?:site|page|main|top|bottom|global|left|right|user|reader|post|blog|web|adv)[-_]?)?(?:{NAMES})(?:[-_].*|\d*)|.*[-_](?:{NAMES})", re.I)
+# Parts of class and id names.  A name marks its element out if a part of NAMES stands alone or last, or first before parts of FRAMES only.
+NAMES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
+            "sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments commentlist respond disqus share sharing social "
+            "related recommended newsletter subscribe subscription signup login search toolbar pagination pager widget copyright skip hidden".split())
+FRAMES = set("area article articles bar block body bottom box button buttons card cards close col column container content count entry feed field form group heading holder "
+             "icon icons inline inner input item items label left link links list main media message meta msg outer panel placeholder policy post posts preferences region reply right row "
+             "section settings slot space stories strip teaser teasers text thread title toggle top unit us wrap wrapper zone".split())
+#: Before "header" these name the head of the text itself.
+OWN = set("article content entry headline post story title".split())
 PLAIN_NAME = re.compile(r"(?:has|with|no|without|not|is)[-_].*", re.I)
+CLEAR, SUSPECT, OUTRIGHT = range(3)
+
+
+def _name(name: str) -> int:
+    """Whether a class or id marks its element out: OUTRIGHT, or SUSPECT if a part of NAMES comes first and other words follow."""
+    if PLAIN_NAME.fullmatch(name):
+        return CLEAR
+    parts = [p.rstrip("0123456789") or p for p in re.split("[-_]+", name.lower()) if p]
+    hits = [p in NAMES for p in parts]
+    if not any(hits) or parts[-1] == "header" and len(parts) > 1 and parts[-2] in OWN:
+        return CLEAR
+    rest = [p for p, hit in zip(parts, hits) if not hit]
+    if hits[-1] or hits[0] and all(p in FRAMES or p.isdigit() for p in rest):
+        return OUTRIGHT
+    return SUSPECT if hits[0] else CLEAR
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def _marked(tag: str, attributes: str) -> int:
     if tag in OUT:
-        return True
+        return OUTRIGHT
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return CLEAR
+    found = CLEAR
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if any(MARKED_NAME.fullmatch(c) and not PLAIN_NAME.fullmatch(c) for c in value.split()):
-                return True
+            found = max([found, *map(_name, value.split())])
         elif name == "role":
             if value.lower() in ROLES:
-                return True
+                return OUTRIGHT
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return OUTRIGHT
+    return found
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(ARTICLE, OUTSIDE or MARKED, text) of the blocks in page order."""
+    """(ARTICLE, OUTSIDE or MARKED, text) of the blocks in page order; the first two as capitals where a name is suspect."""
     out: list[tuple[str, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, marked out, article
-    marked = inside = 0
-    heading = False
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, marked out, suspect, article
+    marked = suspect = inside = linked = 0
+    heading = link = False
     at = 0
 
     def flush():
+        nonlocal linked
+        size = sum(map(len, held))
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
             kind = MARKED if marked and not (heading and inside and stack[-1][0] == "header" and marked == 1) else ARTICLE if inside else OUTSIDE
+            if suspect and kind != MARKED:
+                kind = MARKED if linked * 2 >= size else kind.upper()
             out.append((kind, text))
+        linked = 0
 
     def pop():
-        nonlocal marked, inside
-        _, m, a = stack.pop()
+        nonlocal marked, suspect, inside
+        _, m, s, a = stack.pop()
         marked -= m
+        suspect -= s
         inside -= a
 
     while True:
@@ -108,6 +139,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             held.append(page[at:])
             break
         held.append(page[at:found.start()])
+        linked += link * (found.start() - at)
         at = found.end()
         name = found[2] or found[5]
         if not name:
@@ -130,6 +162,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
             flush()
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = not closing
+        if tag == "a":
+            link = not closing
         if closing:
             if any(s[0] == tag for s in stack):
                 flush()
@@ -143,10 +177,12 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if tag in BLOCK and stack and stack[-1][0] in ("p", "li", "dt", "dd") and (tag == stack[-1][0] or stack[-1][0] == "p"):
             pop()  # the next block ends an open paragraph or item
         if m or tag in HOLDS:
+            m, s = m == OUTRIGHT, m == SUSPECT
             flush()
             a = tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes, re.I))
-            stack.append((tag, m, a))
+            stack.append((tag, m, s, a))
             marked += m
+            suspect += s
             inside += a
     flush()
     return out
@@ -243,17 +279,20 @@ def choose(pages: list[list[tuple[str, str]]], total: int | None = None, common:
     def share(least):
         return np.bincount(owner, covered(begins[counts >= least], len(hashes)), len(size)) / np.maximum(size, 1)
 
-    article, outside = kinds == ARTICLE, kinds == OUTSIDE
-    has_article = np.zeros(len(pages), bool)
-    has_article[page_of[article]] = True
-    base = article | (outside & ~has_article[page_of])
+    suspect = (kinds == ARTICLE.upper()) | (kinds == OUTSIDE.upper())
+    article, outside = (kinds == ARTICLE) | (kinds == ARTICLE.upper()), (kinds == OUTSIDE) | (kinds == OUTSIDE.upper())
     few, most = _limits(len(pages) if total is None else total)
     gone, template = np.zeros(len(size), bool), np.zeros(len(size), bool)
-    if outside.any():
-        gone |= outside & (share(few) >= 0.5)
-        template |= outside & (share(max(few, TEMPLATE_PAGES)) >= 0.5)
+    if outside.any() or suspect.any():
+        frame = outside | suspect
+        gone |= frame & (share(few) >= 0.5)
+        template |= frame & (share(max(few, TEMPLATE_PAGES)) >= 0.5)
     inside = article & (share(most) >= COVERED)
     gone, template = gone | inside, template | inside
+    # articles hold the text, unless more of what stands on this page alone is outside of them: then they are teasers
+    own = [np.bincount(page_of, size * (part & ~gone), len(pages)) for part in (article, outside)]
+    has_article = np.bincount(page_of, article, len(pages)) > 0
+    base = article | (outside & ~(has_article & (TEASER * own[0] >= own[1]))[page_of])
     held = np.bincount(page_of, size * base, len(pages))
     lost = np.bincount(page_of, size * (gone & base), len(pages))
     gone = np.where((lost * 2 > held)[page_of], template, gone)

@@ -17,6 +17,11 @@ def _page(body, head="<title>T</title><style>p{}</style><script>var a='<p>no</p>
     (_page("<article><p>a</p><form><p>mail</p><input></form><ul><li>i<li>j</ul></article><div>outside</div>"), "a\n\ni\n\nj"),
     (_page("<main><div hidden>h</div><div style='display: none'>s</div><p>x<!-- c --> y</p></main>"), "x y"),
     ("<article><p title='a>b'>quoted</p><p title='open>rest</p></article>", "quoted\n\nrest"),
+    ("<div id=main><p>one long paragraph</p><p>two long paragraph</p><p>three long one</p></div><article><p>Short teaser</p></article>", "one long paragraph\n\ntwo long paragraph\n\nthree long one\n\nShort teaser"),
+    ("<article><div class='share-price'><p>The price rose</p></div><div id=notice-of-motion>Moved</div><div class=comments-on-law>Law</div><p class=social-sciences>S</p><div class=search-results>R</div></article>",
+     "The price rose\n\nMoved\n\nLaw\n\nS\n\nR"),
+    ("<div class='post-header'><h1>Title</h1></div><p>text</p><div class='site-header'>Site</div><div class='comment-list'><p>c</p></div><div class=ad-slot-3>buy</div><div class=left_sidebar>s</div>", "Title\n\ntext"),
+    ("<article><p>a</p><div class='related-work-and-more'><a href=x>first link here</a> <a href=y>second link</a></div></article>", "a"),
     ("<article><p>cut off &am", "cut off &am"), ("<article><script>never closed <p>x", ""), ("<p>İ<script>a</SCRIPT >b</p>", "İ b"),
 ])
 def test_one_page(html, text):
