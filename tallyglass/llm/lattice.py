@@ -118,31 +118,45 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 
 
 def _prepare(batches):
-    """Row key, node (null where nothing links) and bytes of the vector in double precision."""
+    """Row key, node (null where nothing links) and bytes of the vector, in single precision where that is exact.  Rows of one length at once."""
     for batch in batches:
         column = batch.column(1)
-        nodes, vectors = [], []
-        for v in column:
-            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0 if v.is_valid and v.values.null_count == 0 else np.zeros(0)
-            if not len(x) or not np.isfinite(x).all() or not x.any():
-                nodes.append(None)
-                vectors.append(None)
-                continue
-            bits = x.view(U)
+        begin = column.offsets.to_numpy()[:-1].astype(np.int64)
+        size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), 0)
+        flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # a null component becomes not a number
+        nodes, known, vectors = np.zeros(len(size), np.int64), np.zeros(len(size), bool), np.full(len(size), None, object)
+        for n in np.unique(size[size > 0]).tolist():
+            where = np.flatnonzero(size == n)
+            x = flat[begin[where][:, None] + np.arange(n)]
+            good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+            where, x = where[good], np.ascontiguousarray(x[good])
+            known[where] = True
             with np.errstate(over="ignore"):
-                nodes.append(int(mix(np.array([(mix(bits + mix(np.arange(len(x), dtype=U), 51), 52)).sum() + U(len(x))], U), 53).view(np.int64)[0]))
+                nodes[where] = mix(mix(x.view(U) + mix(np.arange(n, dtype=U), 51), 52).sum(axis=1) + U(n), 53).view(np.int64)
             small = x.astype(np.float32)
-            vectors.append(b"\x04" + small.tobytes() if (small == x).all() else b"\x08" + x.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(vectors, pa.binary())], ["id", "node", "vector"])
+            exact = (small == x).all(axis=1)
+            for mark, matrix, rows in ((4, small, exact), (8, x, ~exact)):
+                body = np.ascontiguousarray(matrix[rows]).view(np.uint8).reshape(int(rows.sum()), n * matrix.itemsize)
+                marked = np.concatenate([np.full((len(body), 1), mark, np.uint8), body], axis=1)
+                vectors[where[rows]] = [v.tobytes() for v in marked]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, mask=~known), pa.array(vectors, pa.binary())], ["id", "node", "vector"])
 
 
 def _read(vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Unit vectors by length: (positions, matrix)."""
-    by: dict[int, list] = {}
-    arrays = [np.frombuffer(v, np.float32 if v[0] == 4 else np.float64, offset=1).astype(np.float64) for v in vectors]
-    for i, a in enumerate(arrays):
-        by.setdefault(len(a), []).append(i)
-    return {k: (np.array(i), _unit(np.stack([arrays[j] for j in i]))) for k, i in by.items()}
+    vectors, by = list(vectors), {}
+    for i, v in enumerate(vectors):
+        by.setdefault((v[0], len(v)), []).append(i)
+    parts: dict[int, list] = {}
+    for (mark, length), where in by.items():
+        body = np.frombuffer(b"".join([vectors[i] for i in where]), np.uint8).reshape(len(where), length)[:, 1:]
+        parts.setdefault((length - 1) // mark, []).append((np.array(where), np.ascontiguousarray(body).view(np.float32 if mark == 4 else np.float64).astype(np.float64)))
+    out = {}
+    for n, group in parts.items():
+        where, x = (np.concatenate(p) for p in zip(*group))
+        order = np.argsort(where)
+        out[n] = (where[order], _unit(x[order]))
+    return out
 
 
 def _place(tables: int, probes: int):
@@ -162,9 +176,9 @@ def _place(tables: int, probes: int):
     return run
 
 
-def _first_meeting(cell, home, visit, i, j) -> np.ndarray:
-    """Whether the pairs meet in ``cell`` (one, or one per pair) and in no earlier cell."""
-    mine, cell = np.zeros(len(i), bool), np.broadcast_to(cell, len(i))
+def _first_meeting(home, visit, i, j) -> np.ndarray:
+    """The first cell in which each pair meets."""
+    found = np.full(len(i), ~U(0))
     open_ = np.arange(len(i))
     for t in range(home[0].shape[1]):
         a, b = home[0][i[open_], t], home[1][j[open_], t]
@@ -173,11 +187,11 @@ def _first_meeting(cell, home, visit, i, j) -> np.ndarray:
         first = np.minimum(first, np.where((visit[0][i[open_], t] == b[:, None]).any(axis=1), b, none))
         first = np.minimum(first, np.where((visit[1][j[open_], t] == a[:, None]).any(axis=1), a, none))
         met = first != ~U(0)
-        mine[open_[met]] = first[met] == cell[open_[met]]
+        found[open_[met]] = first[met]
         open_ = open_[~met]
         if not len(open_):
             break
-    return mine
+    return found
 
 
 def _compare(threshold: float, tables: int, probes: int):
@@ -200,7 +214,7 @@ def _compare(threshold: float, tables: int, probes: int):
             own = hasher.cells(x)
             cells = [own, own if lo == hi else hasher.cells(y)]
             home, visit = [c[0] for c in cells], [c[1] for c in cells]
-            keep = np.concatenate([_first_meeting(np.array([cell]).view(U)[0], home, visit, i[k:k + 100_000], j[k:k + 100_000]) for k in range(0, len(i), 100_000)])
+            keep = np.concatenate([_first_meeting(home, visit, i[k:k + 100_000], j[k:k + 100_000]) for k in range(0, len(i), 100_000)]) == np.array([cell]).view(U)[0]
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
@@ -218,13 +232,13 @@ def _compare(threshold: float, tables: int, probes: int):
 
 
 def _verify(threshold: float, tables: int, probes: int):
-    """Pairs that met in a small cell: both directions of those that link and did not meet before."""
+    """Pairs that met in small cells, each once with those cells: both directions of those that link and met there first."""
 
     def run(batches):
         for batch in batches:
-            cell, a, b, more_a, more_b = (batch.column(k).to_numpy() for k in range(5))
-            left, right = batch.column(5).to_pylist(), batch.column(6).to_pylist()
-            for at in range(0, len(cell), 2000):
+            a, b, more_a, more_b = (batch.column(k).to_numpy() for k in range(4))
+            small, left, right = (batch.column(k).to_pylist() for k in range(4, 7))
+            for at in range(0, len(a), 2000):
                 part = slice(at, at + 2000)
                 ours, theirs = _read(left[part]), _read(right[part])
                 for size in ours.keys() & theirs.keys():
@@ -236,7 +250,8 @@ def _verify(threshold: float, tables: int, probes: int):
                     both, u, v = both[linked] + at, x[u[linked]], y[v[linked]]
                     hasher = _hasher(size, tables, probes)
                     cells, every = [hasher.cells(u), hasher.cells(v)], np.arange(len(both))
-                    both = both[_first_meeting(np.ascontiguousarray(cell[both]).view(U), [c[0] for c in cells], [c[1] for c in cells], every, every)]
+                    first = _first_meeting([c[0] for c in cells], [c[1] for c in cells], every, every).view(np.int64).tolist()
+                    both = both[[f in small[i] for f, i in zip(first, both.tolist())]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[both], b[both]])), pa.array(np.concatenate([b[both], a[both]])),
                                                       pa.array(np.concatenate([more_b[both], more_a[both]]))], ["a", "b", "links"])
 
@@ -256,10 +271,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     # cells of few members: their pairs, verified in batches
     few = full.filter(F.col("n") <= SMALL).select("cell", "node", "home")
     x, y = (few.select("cell", F.col("node").alias(s), F.col("home").alias(f"home_{s}")) for s in "ab")
-    pairs = x.join(y, "cell").filter("a < b and (home_a or home_b)").select("cell", "a", "b")
+    pairs = x.join(y, "cell").filter("a < b and (home_a or home_b)").groupBy("a", "b").agg(F.collect_set("cell").alias("cells"))  # at most the cells of a vector
     for s in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(s), F.col("vector").alias(f"vector_{s}"), F.col("copies").alias(f"copies_{s}")), s)
-    near = pairs.select("cell", "a", "b", "copies_a", "copies_b", "vector_a", "vector_b").mapInArrow(lean(_verify(threshold, tables, probes)), "a long, b long, links long")
+    near = pairs.select("a", "b", "copies_a", "copies_b", "cells", "vector_a", "vector_b").mapInArrow(lean(_verify(threshold, tables, probes)), "a long, b long, links long")
     # cells of many members: blocks
     dealt = (full.filter(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

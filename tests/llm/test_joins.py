@@ -140,6 +140,20 @@ def test_lattice_recall_and_counts(spark, tmp_path, monkeypatch, small, block):
     assert all(got[i]["n_links"] == 0 for i in range(663, 668)) and got[668]["n_links"] == 1
 
 
+def test_lattice_recall_by_cosine_at_the_size_of_the_table(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = np.repeat([0.9505, 0.96, 0.98], 300)[:, None] + rng.uniform(0, 0.005, (900, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate([*x, *(c * x + np.sqrt(1 - c * c) * z)])]
+    got = {r["vec_id"]: r["n_links"] for r in lattice.near_duplicates(_vectors(spark, rows, str(tmp_path / "v.parquet"))).collect()}
+    recall = [np.mean([got[i] > 0 for i in range(band, band + 300)]) for band in (0, 300, 600)]
+    assert recall[0] >= 0.93 and recall[1] >= 0.97 and recall[2] >= 0.99, recall
+
+
 def test_lattice_of_nothing(spark, tmp_path):
     assert lattice.near_duplicates(_vectors(spark, [], str(tmp_path / "e.parquet"))).count() == 0
 
