@@ -29,7 +29,7 @@ from ..functions.store import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, CEILING = (5, 2, 1), 3
 LEAST = 0.1
-BINS, ORDERED_ROWS = 1024, 100_000
+BINS, ORDERED_ROWS = 1024, 4_096
 BROADCAST_BYTES = 32 << 20
 
 
