@@ -19,12 +19,12 @@ def _col(name, text=None, table="events", dtype="double"):
 
 _EV = f"WITH e AS {HOLED} "
 _PROFILE_COLUMNS = _EV + " UNION ALL ".join(
-    _col(c, table="e", dtype=d) for c, d in (("event_id", "bigint"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double")))
+    _col(c, table="e", dtype=d) for c, d in (("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double")))
 
 
 @query("prof_columns", _PROFILE_COLUMNS)
 def _(t):
-    return prof.profile_columns(holed(t).drop("ts"))
+    return prof.profile_columns(holed(t))
 
 
 @query("prof_columns_wide", " UNION ALL ".join(

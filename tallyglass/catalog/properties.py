@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import isolation, neighbours as nb, remediation as rem, transforms as tf
-from ..operators.drift import drift_classifier
+from ..operators.drift import analyze, drift_classifier
 from ..plans import suggest
 from ..plans.recipe import Step, apply_recipe
 from ..synthesis import evaluate as ev
@@ -100,6 +100,17 @@ def _(t):
     return drift_classifier(both.filter(coin), both.filter(~coin)).select((F.col("auc") > 0.6).alias("drift"), F.col("auc").between(0.4, 0.6).alias("near_chance")).limit(1)
 
 
+@query("drift_classifier_shift", """SELECT 'l_extendedprice' AS strongest, true AS drift, true AS right_more_often, true AS agrees WHERE (SELECT count(*) FROM lineitem) > 0""")
+def _(t):
+    """A price that is tripled must be found, alone and among all methods."""
+    a, b = halves(t)
+    b = b.withColumn("l_extendedprice", F.col("l_extendedprice") * 3)
+    got = drift_classifier(a, b, trees=20)
+    every = analyze(a, b, methods=["ks", "classifier"])
+    flagged = every.filter("method = 'classifier'").agg(F.bool_and("drift").alias("agrees"))
+    return got.agg(F.max_by("column", "importance").alias("strongest"), F.bool_and("drift").alias("drift"), (F.max("accuracy") > 0.6).alias("right_more_often")).crossJoin(flagged)
+
+
 @query("sug_importance_fit", "SELECT true AS finds_the_cause, true AS sums_to_one WHERE (SELECT count(*) FROM part) > 0")
 def _(t):
     p = t.part.select("p_size", "p_retailprice", (F.col("p_size") > 25).cast("int").alias("large"))

@@ -43,7 +43,7 @@ UTILITY = f"""{_SHAPED}, s AS ({" UNION ALL ".join(_shape_row(c) for c in _NUM)}
 @query("sug_utility", f"""WITH {UTILITY} SELECT "column", transformation, round(confidence, 6) AS confidence, round(skew, 5) AS skew, round(kurtosis, 5) AS kurtosis, round(cv, 5) AS cv,
  round(outlier_pct, 6) AS outlier_pct, round(variance_rank, 6) AS variance_rank FROM u""")
 def _(t):
-    return rounded(suggest.suggest_utility(shaped(t), lognormal=False), 6, skew=5, kurtosis=5, cv=5)
+    return rounded(suggest.suggest_utility(shaped(t)), 6, skew=5, kurtosis=5, cv=5)
 
 
 @query("sug_utility_lognormal")
@@ -87,25 +87,25 @@ _CONFLICT = """, k AS (SELECT u."column", u.transformation AS utility, pv.transf
 
 @query("sug_conflicts", _BOTH + _CONFLICT + " SELECT * FROM k")
 def _(t):
-    return suggest.suggest_all(contacts(t), lognormal=False)["conflicts"]
+    return suggest.suggest_all(contacts(t))["conflicts"]
 
 
 @query("sug_nonconflict", _BOTH + """ SELECT "column", 'utility' AS side, transformation FROM u WHERE "column" NOT IN (SELECT "column" FROM pv)
  UNION ALL SELECT "column", 'privacy', transformation FROM pv WHERE "column" NOT IN (SELECT "column" FROM u)""")
 def _(t):
-    return suggest.suggest_all(contacts(t), lognormal=False)["remaining"]
+    return suggest.suggest_all(contacts(t))["remaining"]
 
 
 @query("sug_conflict_summary", _BOTH + _CONFLICT + """ SELECT count(*) AS total_conflicts, count(CASE WHEN severity = 'high' THEN 1 END) AS severity_high, count(CASE WHEN severity = 'medium' THEN 1 END) AS severity_medium,
  count(CASE WHEN severity = 'low' THEN 1 END) AS severity_low, count(CASE WHEN conflict_type = 'direct' THEN 1 END) AS type_direct, count(CASE WHEN conflict_type = 'indirect' THEN 1 END) AS type_indirect,
  coalesce(string_agg("column", ',' ORDER BY "column"), '') AS columns, coalesce(string_agg(CASE WHEN severity = 'high' THEN "column" END, ',' ORDER BY "column"), '') AS high_priority_columns FROM k""")
 def _(t):
-    return suggest.suggest_all(contacts(t), lognormal=False)["conflict_summary"]
+    return suggest.suggest_all(contacts(t))["conflict_summary"]
 
 
 @query("sug_all", _BOTH + _CONFLICT + " SELECT (SELECT count(*) FROM u) AS utility_suggestions, (SELECT count(*) FROM pv) AS privacy_suggestions, (SELECT count(*) FROM k) AS conflicts")
 def _(t):
-    return suggest.suggest_all(contacts(t), lognormal=False)["totals"]
+    return suggest.suggest_all(contacts(t))["totals"]
 
 
 _MAP = _BOTH.replace("WITH ", "WITH ") + """, m AS (SELECT cols.position, cols.c AS "column", CASE WHEN s.pii_types IS NOT NULL THEN CASE WHEN regexp_matches(s.pii_types, 'EMAIL|SSN|PHONE|CREDIT_CARD|IP_ADDRESS') THEN 'direct_identifier' ELSE 'sensitive' END

@@ -209,10 +209,10 @@ def _(t):
 
 
 # The p-value of two degrees of freedom is exp(-x / 2); the numeric part of the score is exact in SQL.
-@query("ev_scores", SIMILAR.replace("l_linestatus", "l_linestatus") + """, c AS (SELECT avg(least(1, exp(-statistic / 2) * 10)) AS c FROM chi WHERE "column" = 'l_returnflag'),
+@query("ev_scores", SIMILAR + """, c AS (SELECT avg(least(1, exp(-statistic / 2) * 10)) AS c FROM chi),
  f AS (SELECT (SELECT avg(greatest(0, 1 - statistic)) FROM ks) * 0.7 + c * 0.3 AS f FROM c), p AS (SELECT f, 0.85 + (1 - f) * 0.15 AS p FROM f), u AS (SELECT f, p, f * 0.8 + p * 0.2 AS u FROM p)
  SELECT round(f, 3) AS fidelity, round(p, 3) AS privacy, round(u, 3) AS utility, round(f * 0.9, 3) AS correlation, round(f, 3) AS distribution, CAST(0.8 AS DOUBLE) AS diversity,
  round(f * 0.35 + p * 0.20 + u * 0.25 + f * 0.09 + 0.08, 3) AS overall FROM u""")
 def _(t):
     a, b = halves(t)
-    return rounded(ev.similarity_scores(a.drop("l_linestatus"), b.drop("l_linestatus")), 3)
+    return rounded(ev.similarity_scores(a, b), 3)

@@ -19,6 +19,7 @@ KS_ALPHA = CHI_ALPHA = 0.05
 PSI_BINS, PSI_MODERATE, PSI_SIGNIFICANT = 10, 0.1, 0.2
 PSI_FLOOR = 1e-10
 AUC_LIMIT = 0.7
+FOREST_MB = 1024  # of node statistics a pass
 EFFECT_KS = 0.2
 MIN_VALUES = {"ks": 3, "chi_square": 5, "psi": 10}
 
@@ -235,18 +236,20 @@ def drift_classifier(ref: DataFrame, cur: DataFrame, cols=None, trees: int = 100
         raise ValueError("no common numeric columns")
     def side(df, label):
         return df.select(*[num(df, c).alias(c) for c in cols]).dropna().withColumn("label", F.lit(float(label)))
-    both = side(ref, 0).unionByName(side(cur, 1))
+    # Equal rows fall on the same side; ids make the split independent of partitioning.
+    part = F.pmod(F.xxhash64(*[q(c) for c in cols], "label", F.lit(seed)), F.lit(1000))
+    both = materialise(side(ref, 0).unionByName(side(cur, 1)).withColumn("_p", part), "classifier-rows")
     n = {r["label"]: r["n"] for r in both.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         raise ValueError("both tables need complete rows")
     total = sum(n.values())
     weight = F.when(F.col("label") == 0.0, total / (2.0 * n[0.0])).otherwise(total / (2.0 * n[1.0]))
-    # Equal rows fall on the same side; ids make the split independent of partitioning.
-    part = F.pmod(F.xxhash64(*[q(c) for c in cols], "label", F.lit(seed)), F.lit(1000))
-    rows = VectorAssembler(inputCols=cols, outputCol="features").transform(both.withColumn("weight", weight).withColumn("_p", part))
+    rows = VectorAssembler(inputCols=cols, outputCol="features").transform(both.withColumn("weight", weight)).select("features", "label", "weight", "_p")
     train, test = rows.filter("_p < 700"), rows.filter("_p >= 700")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed).fit(train)
-    scored = model.transform(test)
+    # many nodes a pass, and the node of every row kept between passes
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed, maxMemoryInMB=FOREST_MB, cacheNodeIds=True)
+    model = forest.fit(train)
+    scored = materialise(model.transform(test).select("label", "prediction", "rawPrediction"), "classifier-scores")
     auc = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(scored)
     acc = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     best = sorted(zip(model.featureImportances.toArray(), cols), reverse=True)[:top]

@@ -23,6 +23,10 @@ UTILITY_SCHEMA = ("column string, transformation string, confidence double, skew
                   "outlier_pct double, variance_rank double")
 
 
+# trainer settings
+FULL_DEPTH, FOREST_MB = 30, 1024
+
+
 def suggest_utility(df: DataFrame, cols=None, lognormal: bool = True) -> DataFrame:
     """First matching rule per numeric column, from one aggregate, one quantile pass and (optionally) a
     three-family fit."""
@@ -214,10 +218,10 @@ def suggest_features(df: DataFrame, max_suggestions: int | None = None, per_kind
     return records(df.sparkSession, [(i, c, f) for i, (c, f) in enumerate(rows)], "position int, column string, feature string")
 
 
-def feature_importance(df: DataFrame, target: str, trees: int = 30, top: int = 5, seed: int = 42, depth: int = 5,
+def feature_importance(df: DataFrame, target: str, trees: int = 30, top: int = 5, seed: int = 42, depth: int = FULL_DEPTH,
                        max_classes: int = 10, max_levels: int = 1_000) -> DataFrame:
     """(feature, importance): strongest one-hot encoded inputs of a random forest; a classifier when the
-    target has at most ten classes, else a regressor.  Text columns with more levels than ``max_levels``
+    target has at most ten classes, else a regressor.  Trees are grown in full, to the depth that the trainer allows.  Text columns with more levels than ``max_levels``
     are refused rather than cut."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
@@ -244,7 +248,7 @@ def feature_importance(df: DataFrame, target: str, trees: int = 30, top: int = 5
     if classify:
         stages.append(StringIndexer(inputCol="_target", outputCol="_label"))
         label = "_label"
-    model = (RandomForestClassifier if classify else RandomForestRegressor)(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
+    model = (RandomForestClassifier if classify else RandomForestRegressor)(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=FOREST_MB, cacheNodeIds=True)
     fitted = Pipeline(stages=[*stages, model]).fit(rows)
     names = list(numeric)
     if texts:
