@@ -1,7 +1,10 @@
 """Differentially private Bayesian-network synthesiser.
 
 Columns are discretised; the network is grown greedily by noisy mutual information and each conditional
-table gets Laplace noise on every cell of its full domain.  Half the budget goes to each part."""
+table gets Laplace noise on every cell of its full domain.  Half the budget goes to each part.
+
+Tables are sparse: occupied cells get their noise, and of the empty ones only those are made whose noise would pass a threshold.  How many
+these are is one binomial draw and which is a draw of cell numbers, so the full grid is never built."""
 
 from __future__ import annotations
 
@@ -11,13 +14,61 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.exprs import collect_stats, q
+from ..functions.exprs import collect_stats, q, records
 from ..functions.special import normal_cdf
 from .marginals import as_model, fit_marginals, model_schema, restore, seeds
 
 NUMERIC_BINS = 12
-MAX_CELLS = 50_000
-MAX_DOMAIN = 1_000
+#: Of a table: occupied cells, and empty cells that noise may fill.
+MAX_CELLS, NOISE_CELLS = 1_000_000, 50_000
+MAX_GRID = 1 << 62  # cell numbers are 64-bit
+JOINED_LEVELS = 200
+
+
+def noisy(cells: np.ndarray, counts: np.ndarray, grid: int, scale: float, rng, empties: int = NOISE_CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, noisy counts) above a threshold, of a grid of which ``cells`` are occupied; as if every cell had got Laplace noise.
+
+    The threshold is 0, or so high that about ``empties`` empty cells pass; noise above it is the threshold plus an exponential draw."""
+    empty = grid - len(cells)
+    limit = scale * max(0.0, math.log(max(empty, 1) / (2.0 * empties)))
+    passing = int(rng.binomial(empty, 0.5 * math.exp(-limit / scale))) if empty else 0
+    occupied, new = np.sort(cells), np.zeros(0, np.int64)
+    if 2 * passing > empty:  # a small grid: all its empty cells in a random order
+        new = rng.permutation(np.setdiff1d(np.arange(grid), occupied))[:passing]
+    while len(new) < passing:
+        drawn = rng.integers(0, grid, 2 * (passing - len(new)) + 16)
+        place = np.minimum(np.searchsorted(occupied, drawn), max(len(occupied) - 1, 0))
+        fresh = drawn[occupied[place] != drawn] if len(occupied) else drawn
+        new = np.concatenate([new, fresh])
+        new = new[np.sort(np.unique(new, return_index=True)[1])][:passing]
+    with_noise = counts + rng.laplace(0, scale, len(cells))
+    keep = with_noise > limit
+    return np.concatenate([cells[keep], new]), np.concatenate([with_noise[keep], limit + rng.exponential(scale, len(new))])
+
+
+class Table:
+    """Conditional distributions of a column: one per combination of its parents that has cells, one over all for the others."""
+
+    def __init__(self, cells: np.ndarray, counts: np.ndarray, size: int):
+        order = np.argsort(cells)
+        cells, counts = cells[order], counts[order]
+        rows, self.value = cells // size, (cells % size).astype(np.int64)
+        self.rows, start = np.unique(rows, return_index=True)
+        self.upto = np.concatenate([[0.0], np.cumsum(counts)])
+        self.start = np.append(start, len(cells))
+        whole = np.bincount(self.value, counts, size) if len(cells) else np.zeros(size)
+        self.whole = np.cumsum(whole / whole.sum() if whole.sum() > 0 else np.full(size, 1 / size))
+
+    def draw(self, row: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """A value for each combination ``row`` of the parents, by the uniform number ``u``."""
+        out = np.minimum(np.searchsorted(self.whole, u), len(self.whole) - 1)
+        if len(self.rows):
+            at = np.minimum(np.searchsorted(self.rows, row), len(self.rows) - 1)
+            known = self.rows[at] == row
+            lo, hi = self.start[at[known]], self.start[at[known] + 1]
+            point = self.upto[lo] + u[known] * (self.upto[hi] - self.upto[lo])
+            out[known] = self.value[np.clip(np.searchsorted(self.upto, point, "right") - 1, lo, hi - 1)]
+        return out
 
 
 class PrivBayes:
@@ -28,17 +79,14 @@ class PrivBayes:
     def fit(cls, df: DataFrame, epsilon: float = 1.0, degree: int = 2, bins: int = NUMERIC_BINS, ids: list[str] | None = None,
             bounds: dict[str, tuple[float, float]] | None = None, seed: int | None = None, max_cells: int = MAX_CELLS) -> "PrivBayes":
         """``bounds`` gives public ranges of numeric columns; without them the data range is used, which the
-        privacy budget does not cover.  Level lists are taken as public.  The noise comes from the system's entropy; a ``seed``
-        is for tests alone: whoever knows it can draw the noise again, so nothing is private.  A table of counts has
-        at most ``max_cells`` cells: columns that got fewer parents for it are listed in ``limited``."""
+        privacy budget does not cover.  Level lists are taken as public, and so is how many cells a table occupies.  The noise comes from
+        the system's entropy; a ``seed`` is for tests alone: whoever knows it can draw the noise again, so nothing is private.  Columns whose
+        tables would occupy more than ``max_cells`` cells get fewer parents and are listed in ``limited``."""
         if epsilon <= 0:
             raise ValueError("epsilon must be positive")
         rng = np.random.default_rng(seed)
         marginals = fit_marginals(df, ids, points=201)
         live = [m for m in marginals if m.kind != "id"]
-        crowded = [m.name for m in live if len(m.levels) > MAX_DOMAIN]
-        if crowded:
-            raise ValueError(f"more than {MAX_DOMAIN} levels, name them as ids: {crowded}")
         exprs, domains = {}, {}
         ends = collect_stats(df, {(m.name, k): f(as_model(df, m.name, "numeric")) for m in live if m.kind == "numeric"
                                   for k, f in (("lo", F.min), ("hi", F.max))})
@@ -51,7 +99,12 @@ class PrivBayes:
                 domains[m.name] = ("numeric", lo, width, bins + 1)
                 exprs[m.name] = F.when(x.isNull(), F.lit(bins)).otherwise(code)
             else:
-                code = F.create_map(*[F.lit(v) for i, l in enumerate(m.levels) for v in (l, i)])[x] if m.levels else F.lit(0)
+                if len(m.levels) > JOINED_LEVELS:
+                    side = records(df.sparkSession, list(zip(m.levels, range(len(m.levels)))), f"`_l{len(domains)}` string, `_c{len(domains)}` int")
+                    df = df.join(F.broadcast(side), x == F.col(f"_l{len(domains)}"), "left")  # levels are bounded
+                    code = F.col(f"_c{len(domains)}")
+                else:
+                    code = F.create_map(*[F.lit(v) for i, l in enumerate(m.levels) for v in (l, i)])[x] if m.levels else F.lit(0)
                 domains[m.name] = ("categorical", m.levels, None, len(m.levels) + 1)
                 exprs[m.name] = F.when(x.isNull(), F.lit(len(m.levels))).otherwise(code)
         coded = df.select(*[e.cast("int").alias(c) for c, e in exprs.items()])
@@ -69,10 +122,11 @@ class PrivBayes:
             for x in names:
                 if x in chosen:
                     continue
-                fits = [p for k in range(size, 0, -1) for p in combinations(chosen, k) if _cells(domains, (x, *p)) <= max_cells]
-                top = max((len(p) for p in fits), default=0)
-                cands += [(x, p) for p in fits if len(p) == top] or [(x, ())]
-            mi = _information(coded, cands, n)
+                cands += [(x, p) for k in range(size, 0, -1) for p in combinations(chosen, k) if _cells(domains, (x, *p)) <= MAX_GRID]
+                cands.append((x, ()))
+            mi, occupied = _information(coded, cands, n)
+            most = {x: max(len(p) for y, p in cands if y == x and (not p or occupied[x, p] <= max_cells)) for x in {c[0] for c in cands}}
+            cands = [(x, p) for x, p in cands if len(p) == most[x] and (not p or occupied[x, p] <= max_cells)]
             gumbel = [mi[c] * eps1 / (2 * steps * sens) + rng.gumbel() for c in cands]  # exponential mechanism
             order.append(cands[int(np.argmax(gumbel))])
             if len(order[-1][1]) < size:
@@ -81,12 +135,8 @@ class PrivBayes:
         tables = {}
         joint = _joints(coded, order, domains)
         for x, parents in order:
-            shape = tuple(domains[c][3] for c in (*parents, x))
-            grid = joint[x, parents] + rng.laplace(0, scale, shape)
-            grid = np.maximum(grid, 0.0).reshape(-1, shape[-1])
-            total = grid.sum(1, keepdims=True)
-            whole = grid.sum(0) / grid.sum() if grid.sum() > 0 else np.full(shape[-1], 1 / shape[-1])
-            tables[x] = np.cumsum(np.where(total > 0, grid / np.where(total > 0, total, 1), whole), axis=1)
+            cells, counts = noisy(*joint[x, parents], _cells(domains, (*parents, x)), scale, rng)
+            tables[x] = Table(cells, counts, domains[x][3])
         return cls(marginals, domains, order, tables, df.sparkSession, limited)
 
     def sample(self, n: int, seed: int = 42) -> DataFrame:
@@ -102,11 +152,10 @@ class PrivBayes:
                 codes, out = {}, {}
                 for i, (x, parents) in enumerate(order):
                     u = normal_cdf(pdf[f"g{2 * i}"].to_numpy())
-                    row = np.zeros(len(pdf), int)
+                    row = np.zeros(len(pdf), np.int64)
                     for p in parents:
                         row = row * domains[p][3] + codes[p]
-                    cdf = tables[x][row]
-                    codes[x] = np.minimum((u[:, None] > cdf).sum(1), domains[x][3] - 1)
+                    codes[x] = tables[x].draw(row, u)
                     what, a, width, size = domains[x]
                     if what == "numeric":
                         v = a + (codes[x] + normal_cdf(pdf[f"g{2 * i + 1}"].to_numpy())) * width
@@ -133,21 +182,25 @@ def _counts(coded: DataFrame, sets: list[tuple[str, ...]]):
     return coded.select(F.inline(arr)).groupBy("set", "cell").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _information(coded: DataFrame, cands, n: int) -> dict:
-    """Mutual information of each (column, parents) candidate."""
+def _information(coded: DataFrame, cands, n: int) -> tuple[dict, dict]:
+    """Mutual information and number of occupied cells of each (column, parents) candidate."""
     from pyspark.sql import Window
 
     t = _counts(coded, [(x, *p) for x, p in cands]).withColumn("x", F.col("cell")[0]).withColumn("y", F.slice("cell", 2, 64))
     t = t.withColumn("nx", F.sum("n").over(Window.partitionBy("set", "x"))).withColumn("ny", F.sum("n").over(Window.partitionBy("set", "y")))
     o = F.col("n").cast("double")
-    got = t.groupBy("set").agg(F.sum(o / n * F.log(o * n / (F.col("nx").cast("double") * F.col("ny")))).alias("mi")).collect()
-    mi = {r["set"]: r["mi"] for r in got}
-    return {c: (mi.get(i) or 0.0) if c[1] else 0.0 for i, c in enumerate(cands)}
+    got = t.groupBy("set").agg(F.sum(o / n * F.log(o * n / (F.col("nx").cast("double") * F.col("ny")))).alias("mi"), F.count(F.lit(1)).alias("cells")).collect()
+    mi, cells = {r["set"]: r["mi"] for r in got}, {r["set"]: r["cells"] for r in got}
+    return {c: (mi.get(i) or 0.0) if c[1] else 0.0 for i, c in enumerate(cands)}, {c: cells.get(i, 0) for i, c in enumerate(cands)}
 
 
 def _joints(coded: DataFrame, order, domains) -> dict:
-    """Joint counts over the full domain, axes (parents..., column)."""
-    out = {o: np.zeros(tuple(domains[c][3] for c in (*o[1], o[0]))) for o in order}
+    """(cell numbers, counts) of the occupied cells over the axes (parents..., column)."""
+    found: dict = {o: ([], []) for o in order}
     for r in _counts(coded, [(*p, x) for x, p in order]).collect():  # at most MAX_CELLS per set
-        out[order[r["set"]]][tuple(r["cell"])] = r["n"]
-    return out
+        o, number = order[r["set"]], 0
+        for c, v in zip((*o[1], o[0]), r["cell"]):
+            number = number * domains[c][3] + v
+        found[o][0].append(number)
+        found[o][1].append(r["n"])
+    return {o: (np.array(c, np.int64), np.array(v, float)) for o, (c, v) in found.items()}

@@ -12,7 +12,7 @@ from ..functions.sequences import as_number
 from ..functions.special import normal_cdf, normal_ppf_array
 
 TABLE_POINTS = 1_001
-MAX_LEVELS = 10_000
+MAX_LEVELS = 100_000
 
 
 @dataclass
@@ -77,7 +77,7 @@ def as_model(df: DataFrame, name: str, model: str):
 
 def fit_marginals(df: DataFrame, ids: list[str] | None = None, points: int = TABLE_POINTS) -> list[Marginal]:
     """Quantile tables of all numeric columns in one aggregate, level shares in one shuffle.  Text columns
-    with more than 10,000 levels must be named as ids."""
+    with more than ``MAX_LEVELS`` levels must be named as ids."""
     ids = set(ids or [])
     kinds = {c: model_kind(df, c, ids) for c in df.columns}
     stats = {"n": F.count(F.lit(1))}
@@ -101,7 +101,7 @@ def fit_marginals(df: DataFrame, ids: list[str] | None = None, points: int = TAB
     if texts:
         cells = F.array(*[F.struct(F.lit(c).alias("column"), as_model(df, c, "categorical").alias("value")) for c in texts])
         got = df.select(F.inline(cells)).filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        for r in got.collect():  # at most 10,000 levels per column
+        for r in got.collect():  # at most MAX_LEVELS per column
             levels[r["column"]].append((r["n"], r["value"]))
     out = []
     for c, k in kinds.items():

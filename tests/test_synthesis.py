@@ -139,3 +139,29 @@ def test_badges_and_scores(spark, real):
     good = sim.filter("column = 'none'")
     assert ev.quality_issues(good).first()["issue"] == "good"
     assert ev.quality_scores(good).first()["fidelity"] == 0.8
+
+
+def test_noise_of_empty_cells_follows_the_full_grid():
+    from tallyglass.synthesis.bayesnet import Table, noisy
+
+    rng = np.random.default_rng(3)
+    cells, counts = np.arange(0, 1000, 10), np.full(100, 50.0)
+    scale, grid = 4.0, 10 ** 9
+    got, values = noisy(cells, counts, grid, scale, rng, empties=5_000)
+    new = ~np.isin(got, cells)
+    limit = scale * np.log((grid - 100) / 10_000)
+    assert abs(new.sum() - 5_000) < 5 * np.sqrt(5_000) and len(set(got.tolist())) == len(got)
+    assert values.min() > limit and abs(values[new].mean() - limit - scale) < 0.3 and got[new].max() < grid
+    small, noise = noisy(np.array([3]), np.array([5.0]), 2_000, 1.0, rng)  # no threshold: half of the empty cells
+    assert abs(len(small) - 1_000) < 120 and abs(noise.mean() - 1.0) < 0.15 and len(noisy(np.zeros(0, np.int64), np.zeros(0), 4, 1.0, rng)[0]) <= 4
+    table = Table(np.array([0, 1, 6, 4]), np.array([1.0, 3.0, 2.0, 2.0]), 3)  # rows 0: values 0, 1; 1: value 1; 2: value 0
+    assert table.draw(np.array([0, 0, 1, 2, 9]), np.array([0.2, 0.9, 0.5, 0.5, 0.99])).tolist() == [0, 1, 1, 0, 1]
+
+
+def test_private_network_of_a_wide_column(spark):
+    wide = spark.range(30_000).select(F.concat(F.lit("v"), (F.col("id") % 20_000).cast("string")).alias("level"), (F.col("id") % 7).cast("string").alias("week"), (F.col("id") % 50).cast("double").alias("x"))
+    model = PrivBayes.fit(wide, epsilon=50.0, seed=1)
+    assert model.limited == []
+    made = model.sample(2_000)
+    assert made.count() == 2_000 and made.select("level").distinct().count() > 500
+    assert made.filter("level IS NOT NULL").join(wide.select("level").distinct(), "level", "left_anti").count() == 0
