@@ -208,3 +208,14 @@ _BOXCOX = "CASE WHEN g = 0 THEN ln(x) ELSE (power(x, g) - 1) / CASE WHEN g = 0 T
 def _(t):
     got, fit = rem.transform(t.events, "value", "boxcox")
     return rounded(got.select("event_id", F.lit(fit["lambda"]).alias("lambda"), "value_boxcox"), 5, **{"lambda": 6})
+
+
+#: Every pair of cuts of a column of few values, by the sum of squares within.
+_CUTS = """WITH v AS (SELECT l_quantity AS v, count(*) AS w FROM lineitem GROUP BY 1), c AS (SELECT a.v AS a, b.v AS b FROM v a, v b WHERE a.v < b.v AND b.v < (SELECT max(v) FROM v)),
+ g AS (SELECT a, b, CASE WHEN v <= a THEN 0 WHEN v <= b THEN 1 ELSE 2 END AS bin, sum(w) AS n, sum(w * v) AS s, sum(w * v * v) AS t FROM c, v GROUP BY ALL),
+ best AS (SELECT a, b FROM g GROUP BY a, b ORDER BY sum(t - s * s / n), a, b LIMIT 1)"""
+
+
+@query("rem_bin_kmeans_small", _CUTS + """ SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_quantity <= a THEN 0 WHEN l_quantity <= b THEN 1 ELSE 2 END AS l_quantity_binned FROM lineitem, best""")
+def _(t):
+    return rem.bin(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity", "kmeans", 3)

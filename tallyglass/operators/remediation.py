@@ -8,13 +8,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import collect_stats, num, q, ratio, resolve, tidy
+from ..functions.ordered import with_range
 from ..functions.quantiles import order_statistics, quantiles
+from ..functions.store import materialise
 from .outliers import IQR_FACTOR, iqr_fences
 
 # fixed values: defaults
 WINSOR_LIMITS = (0.05, 0.05)
 CAP_PERCENTILES = (1, 99)
 BINS = 5
+KMEANS_PIECES, KMEANS_ROUNDS = 4_096, 16
 LAMBDA_RANGE = (-2.0, 2.0)
 
 
@@ -122,18 +125,61 @@ def bin_edges(df: DataFrame, col: str, method: str = "quantile", n: int = BINS)
     raise ValueError(f"unknown method: {method}")
 
 
-def kmeans_edges(df: DataFrame, col: str, n: int = BINS, seed: int = 42) -> list[float]:
-    """Edges midway between the ordered centres of a 1-D k-means; equal values are weighted rows."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    values = df.select(num(df, col).alias("v")).dropna().groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    lo, hi, distinct = values.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+def _best_split(w, s, t, k: int) -> list[int]:
+    """Ends of the ``k`` runs of pieces (weight, sum, sum of squares) with the least sum of squares within runs: dynamic programme over
+    the number of pieces, whose best last cut never moves left."""
+    import numpy as np
+
+    w, s, t = (np.concatenate([[0.0], np.cumsum(x)]) for x in (w, s, t))
+
+    def cost(i, j):  # pieces i to j - 1
+        n = w[j] - w[i]
+        return (t[j] - t[i]) - np.divide((s[j] - s[i]) ** 2, n, out=np.zeros_like(n), where=n > 0)
+
+    m = len(w) - 1
+    best, cut = cost(np.zeros(m + 1, int), np.arange(m + 1)), []
+    for _ in range(1, k):
+        new, at, low = np.full(m + 1, np.inf), np.zeros(m + 1, int), 0
+        for j in range(1, m + 1):
+            i = np.arange(low, j)
+            total = best[i] + cost(i, np.full(len(i), j))
+            at[j] = low = int(i[total.argmin()])
+            new[j] = total.min()
+        best = new
+        cut.append(at)
+    ends = [m]
+    for at in reversed(cut):
+        ends.append(int(at[ends[-1]]))
+    return [e for e in ends[::-1] if e > 0]
+
+
+def kmeans_edges(df: DataFrame, col: str, n: int = BINS, pieces: int = KMEANS_PIECES) -> list[float]:
+    """Edges midway between the ordered centres of the 1-D k-means with the least sum of squares.
+
+    The optimum is a cut of the ordered values.  Up to ``pieces`` distinct values it is found exactly; beyond that the dynamic programme runs
+    over ranges of the values, and those next to its cuts are cut finer, until single values lie on both sides of every cut."""
+    x = df.select(num(df, col).alias("v")).dropna()
+    values = materialise(x.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("w")), "values")
+    lo, hi, distinct, middle = values.agg(F.min("v"), F.max("v"), F.count(F.lit(1)), F.sum(F.col("v") * F.col("w")) / F.sum("w")).first()
     if not distinct:
         return []
-    rows = VectorAssembler(inputCols=["v"], outputCol="features").transform(values)
-    model = KMeans(k=min(n, distinct), seed=seed, weightCol="w", maxIter=50).fit(rows)
-    centres = sorted(float(c[0]) for c in model.clusterCenters())
+    d, cuts = F.col("v") - F.lit(middle), None
+    if distinct > pieces:
+        cuts = sorted(set(values.agg(F.percentile_approx("v", F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), F.lit(10 * pieces))).first()[0]))
+    for _ in range(KMEANS_ROUNDS):
+        place = F.col("v") if cuts is None else F.col("range_id")
+        ranged = values if cuts is None else with_range(values, "v", cuts)
+        rows = ranged.groupBy(place.alias("r")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * d).alias("s"), F.sum(F.col("w") * d * d).alias("t"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        rows = sorted(rows.collect(), key=lambda r: r["lo"])  # at most a few times ``pieces`` rows
+        ends = _best_split(*[[r[c] for r in rows] for c in ("w", "s", "t")], min(n, len(rows)))
+        near = [(rows[e - 1], rows[e]) for e in ends[:-1]]
+        if all(a["lo"] == a["hi"] and b["lo"] == b["hi"] for a, b in near):
+            break
+        fine = max(8, pieces // (2 * len(near)))
+        cuts = sorted({*cuts, *(a["lo"] + (b["hi"] - a["lo"]) * i / fine for a, b in near for i in range(1, fine))})
+        cuts = [c for c in cuts if lo < c <= hi]
+    starts = [0, *ends[:-1]]
+    centres = [middle + sum(r["s"] for r in rows[i:j]) / sum(r["w"] for r in rows[i:j]) for i, j in zip(starts, ends)]
     return [lo, *[(a + b) / 2 for a, b in zip(centres, centres[1:])], hi]
 
 

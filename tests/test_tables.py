@@ -279,3 +279,20 @@ def test_nearest_neighbour_information_against_brute_force(spark, monkeypatch, b
         total = sum(digamma(max(int((g[r] < eps[r]).sum()) - 1, 0) + 1.0) for g in gaps for r in range(n))
         want = max(0.0, digamma(3.0) + digamma(float(n)) - total / n)
         assert got["abc"[i], "abc"[j]] == pytest.approx(want, abs=1e-8)
+
+
+@pytest.mark.parametrize("pieces", [4_096, 16])
+def test_kmeans_bins_have_the_least_sum_of_squares(spark, pieces):
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    x = np.round(np.concatenate([rng.normal(0, 1, 40), rng.normal(5, 1, 30), rng.normal(6.5, 0.3, 30)]), 2)
+    edges = rem.kmeans_edges(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double"), "v", 3, pieces)
+    order = np.sort(x)
+
+    def within(groups):
+        return sum(((g - g.mean()) ** 2).sum() for g in groups if len(g))
+
+    best = min(within(np.split(order, c)) for c in combinations(range(1, len(order)), 2))
+    assert within([order[(order > a) & (order <= b)] for a, b in zip([-np.inf, *edges[1:-1]], [*edges[1:-1], np.inf])]) == pytest.approx(best)
+    assert rem.kmeans_edges(spark.createDataFrame([(2.0,)] * 3, "v double"), "v", 3) == [2.0, 2.0]
