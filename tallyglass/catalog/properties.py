@@ -111,6 +111,17 @@ def _(t):
     return got.agg(F.max_by("column", "importance").alias("strongest"), F.bool_and("drift").alias("drift"), (F.max("accuracy") > 0.6).alias("right_more_often")).crossJoin(flagged)
 
 
+@query("ev_compare_valid", """SELECT 'broken' AS model, false AS fitted, false AS measured UNION ALL SELECT 'copula', true, true UNION ALL SELECT 'privbayes', true, true""")
+def _(t):
+    """Every model has a row; those that fit have all distances, finite and at least 0, the other none."""
+    def broken(df):
+        raise ValueError("a model that cannot be fitted")
+
+    got = ev.compare_models(people(t).drop("c_custkey"), {"copula": GaussianCopula.fit, "privbayes": PrivBayes.fit, "broken": broken})
+    valid = [F.coalesce((F.col(m) >= 0) & ~F.isnan(m) & (F.col(m) < float("inf")), F.lit(False)) for m in ev.METRICS]
+    return got.select("model", (F.col("status") == "success").alias("fitted"), F.forall(F.array(*valid), lambda v: v).alias("measured"))
+
+
 @query("sug_importance_fit", "SELECT true AS finds_the_cause, true AS sums_to_one WHERE (SELECT count(*) FROM part) > 0")
 def _(t):
     p = t.part.select("p_size", "p_retailprice", (F.col("p_size") > 25).cast("int").alias("large"))
