@@ -38,7 +38,7 @@ from .rows import extend
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 #: Entries of a generation: a worker keeps two of them of words already encoded.
-MEMO = 100_000
+MEMO = 30_000
 #: Words of up to so many bytes are read together, so many at a time.
 TOGETHER, SLICE = 64, 20_000
 #: Lower-case texts of these characters only are in normal form, and the standard library's patterns agree on them with the vocabulary's library.

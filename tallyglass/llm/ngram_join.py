@@ -39,7 +39,7 @@ WIDTH, PERCENT = 4, 85
 STAGE_WIDTH, STAGE_PERCENT = 5, 80  # near copies of the pipeline
 LOW = 1 << 62  # a quarter of the hashes
 HOT_SHARE = 50
-SMALL, BLOCK_ROWS, LEADERS, MAP_ROWS = 256, 512, 16, 2048
+SMALL, BLOCK_ROWS, LEADERS, MAP_ROWS = 256, 512, 16, 1024
 BROADCAST_IDS = 2_000_000
 MAP_WORDS = 32  # 2,048 bits
 
