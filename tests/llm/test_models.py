@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.llm import language, ppm, quality
 
-from .conftest import make_docs
+from .conftest import SYLLABLES, make_docs, sentence
 
 
 def _words(text):
@@ -150,3 +151,69 @@ def test_quality_without_labels(spark, corpus, nothing):
     one = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
     assert {r["score"] for r in quality.classify(docs, one).select("score").collect()} == {1.0}
     assert quality.classify(nothing, one).count() == 0
+
+
+def test_word_vectors_and_pooling_against_loops(spark):
+    rows = ["the cat sat on the mat.", "The dog; the cat!", "", None, "one", "a b a b a b", "naïve Ünï"]
+    hashes = []
+    for t in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        hashes.append(quality._tokens(raw, np.array([0, len(raw)]))[0])
+    table = np.zeros((quality.BUCKETS, quality.DIMS))
+    for own in hashes:
+        for i, h in enumerate(own):
+            for j in range(max(0, i - quality.WINDOW), min(len(own), i + quality.WINDOW + 1)):
+                if i == j:
+                    continue
+                bits = int(quality.mix(own[j:j + 1], 5)[0])
+                for k in range(quality.NONZERO):
+                    table[int(h) >> (64 - 14), bits >> (8 * k) & (quality.DIMS - 1)] += 1 - 2 * (bits >> (48 + k) & 1)
+    used = [i for i in range(len(table)) if table[i].any()]
+    unit = {i: table[i] / np.linalg.norm(table[i]) for i in used}
+    middle = sum(unit.values()) / len(unit)
+    want = np.zeros_like(table)
+    for i in used:
+        want[i] = (unit[i] - middle) / np.linalg.norm(unit[i] - middle)
+    got = quality.word_vectors(spark.createDataFrame([(t,) for t in rows], "text string").repartition(3))
+    assert np.allclose(got, want, atol=1e-5)
+    for t, own in zip(rows, hashes):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        v = [want[int(h) >> (64 - 14)] for h in own]
+        mean = sum(v) / len(v) if v else np.zeros(quality.DIMS)
+        pair = sum((a * b for a, b in zip(v, v[1:])), np.zeros(quality.DIMS)) / max(len(v) - 1, 1)
+        assert np.allclose(quality._pool(got, raw, np.array([0, len(raw)]))[0], [*mean, *pair, np.linalg.norm(mean), pair.sum()], atol=1e-5)
+
+
+def test_language_against_the_kernel_written_out(spark):
+    rng = random.Random(12)
+    texts = [(i, sentence(rng, lang, rng.randint(3, 30)), lang) for i, lang in enumerate(sorted(SYLLABLES) * 12)]
+    asked = [(100 + i, sentence(rng, lang, 8), None) for i, lang in enumerate(sorted(SYLLABLES) * 3)] + [(200, "12 34", None), (201, "", "en")]
+    docs = spark.createDataFrame(texts + asked, "doc_id long, text string, lang string")
+
+    def held(t):
+        raw = np.frombuffer((t or "").lower().encode(), np.uint8)
+        return set(np.flatnonzero(language._presence(raw, np.array([0, len(raw)]))[0]).tolist())
+
+    train = [(t, lang) for _, t, lang in texts] + [("", "en")]
+    marks = [m for m in {frozenset(held(t)) for t, _ in train} if m]
+
+    def kernel(a, b):
+        return len(a & b) / np.sqrt(max(len(a), 1) * len(b))
+
+    k = np.array([[kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(k)
+    use = value > 1e-6 * value.max()
+
+    def features(t):
+        return np.array([kernel(held(t), m) for m in marks]) @ vector[:, use] / np.sqrt(value[use])
+
+    names = sorted(SYLLABLES)
+    f, y = np.array([features(t) for t, _ in train]), np.array([[lang == n for n in names] for _, lang in train], float)
+    g = f - f.mean(0)
+    beta = np.linalg.solve(g.T @ g + language.RIDGE * len(f) * np.eye(f.shape[1]), g.T @ (y - y.mean(0)))
+    for r in language.identify(docs, landmarks=10_000).collect():
+        out = (features(r["text"]) - f.mean(0)) @ beta + y.mean(0)
+        if not any(c.isalpha() for c in r["text"]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert r["lang_pred"] == names[int(out.argmax())] and abs(r["score"] - min(1.0, max(0.0, out.max()))) < 5e-3
