@@ -22,7 +22,7 @@ NUMERIC_BINS = 12
 #: Of a table: occupied cells, and empty cells that noise may fill.
 MAX_CELLS, NOISE_CELLS = 1_000_000, 50_000
 MAX_GRID = 1 << 62  # cell numbers are 64-bit
-JOINED_LEVELS = 200
+JOINED_LEVELS, MAX_LEVELS = 200, 100_000
 
 
 def noisy(cells: np.ndarray, counts: np.ndarray, grid: int, scale: float, rng, empties: int = NOISE_CELLS) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +85,7 @@ class PrivBayes:
         if epsilon <= 0:
             raise ValueError("epsilon must be positive")
         rng = np.random.default_rng(seed)
-        marginals = fit_marginals(df, ids, points=201)
+        marginals = fit_marginals(df, ids, points=201, max_levels=MAX_LEVELS)
         live = [m for m in marginals if m.kind != "id"]
         exprs, domains = {}, {}
         ends = collect_stats(df, {(m.name, k): f(as_model(df, m.name, "numeric")) for m in live if m.kind == "numeric"

@@ -12,7 +12,7 @@ from ..functions.sequences import as_number
 from ..functions.special import normal_cdf, normal_ppf_array
 
 TABLE_POINTS = 1_001
-MAX_LEVELS = 100_000
+MAX_LEVELS = 10_000
 
 
 @dataclass
@@ -75,9 +75,9 @@ def as_model(df: DataFrame, name: str, model: str):
     return q(name).cast("string")
 
 
-def fit_marginals(df: DataFrame, ids: list[str] | None = None, points: int = TABLE_POINTS) -> list[Marginal]:
+def fit_marginals(df: DataFrame, ids: list[str] | None = None, points: int = TABLE_POINTS, max_levels: int = MAX_LEVELS) -> list[Marginal]:
     """Quantile tables of all numeric columns in one aggregate, level shares in one shuffle.  Text columns
-    with more than ``MAX_LEVELS`` levels must be named as ids."""
+    with more than ``max_levels`` levels must be named as ids."""
     ids = set(ids or [])
     kinds = {c: model_kind(df, c, ids) for c in df.columns}
     stats = {"n": F.count(F.lit(1))}
@@ -94,14 +94,14 @@ def fit_marginals(df: DataFrame, ids: list[str] | None = None, points: int = TAB
             stats[c, "levels"] = F.approx_count_distinct(x, 0.02)
     s = collect_stats(df, stats)
     texts = [c for c, k in kinds.items() if k == "categorical"]
-    crowded = [c for c in texts if s[c, "levels"] > MAX_LEVELS]
+    crowded = [c for c in texts if s[c, "levels"] > max_levels]
     if crowded:
-        raise ValueError(f"more than {MAX_LEVELS} levels, name them as ids: {crowded}")
+        raise ValueError(f"more than {max_levels} levels, name them as ids: {crowded}")
     levels: dict[str, list] = {c: [] for c in texts}
     if texts:
         cells = F.array(*[F.struct(F.lit(c).alias("column"), as_model(df, c, "categorical").alias("value")) for c in texts])
         got = df.select(F.inline(cells)).filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        for r in got.collect():  # at most MAX_LEVELS per column
+        for r in got.collect():  # at most max_levels per column
             levels[r["column"]].append((r["n"], r["value"]))
     out = []
     for c, k in kinds.items():
