@@ -53,7 +53,7 @@ def test_every_stage_against_python(spark, folder, corpus):
 
 def test_registered_queries():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names
 
