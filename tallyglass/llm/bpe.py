@@ -40,7 +40,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 #: Entries of a generation: a worker keeps two of them of words already encoded.
 MEMO = 30_000
 #: Words of up to so many bytes are read together, so many at a time.
-TOGETHER, SLICE = 64, 20_000
+TOGETHER, SLICE = 256, 5_000
 #: Lower-case texts of these characters only are in normal form, and the standard library's patterns agree on them with the vocabulary's library.
 LATIN = "a-zß-öø-ÿĀ-ſ"
 PLAIN = re.compile(f"[\x00-\x7f{LATIN}–—’“”«»¿¡…]*")
@@ -160,6 +160,7 @@ class Automaton:
         self.decimals = {i: str(i) for i in self.labels}
         self.known = Memo(self._entries)
         self._tables(len(self.labels))
+        self._forget()
 
     def _tables(self, size: int) -> None:
         """The automata as arrays: merges by pair, parts of tokens, arcs by state and symbol, tokens that end in a state, longest first."""
@@ -178,6 +179,20 @@ class Automaton:
         self.begin = np.concatenate([[0], np.cumsum([len(e) for e in self.ends])])
         self.token, self.length = (np.array([e[i] for own in self.ends for e in own], np.int32) for i in (0, 1))
 
+    def _forget(self) -> None:
+        """The dictionaries behind the arrays go: they are needed for very long words alone."""
+        self.order = self.parts = self.pair = self.arcs = self.ends = self.back = None
+
+    def _remember(self) -> None:
+        made = np.flatnonzero(self.made >= 0)
+        self.order = dict(zip(made.tolist(), self.made[made].tolist()))
+        self.parts = dict(zip(made.tolist(), zip(self.left[made].tolist(), self.right[made].tolist())))
+        self.pair = dict(zip(self.pairs.tolist(), self.ranks.tolist()))
+        self.arcs = dict(zip(self.keys.tolist(), self.targets.tolist()))
+        self.back = self.behind.tolist()
+        every = list(zip(self.token.tolist(), self.length.tolist()))
+        self.ends = [tuple(every[a:b]) for a, b in zip(self.begin.tolist(), self.begin[1:].tolist())]
+
     def _next(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
         out, open_ = np.zeros(len(at), np.int32), np.arange(len(at))
         while len(open_):
@@ -199,7 +214,7 @@ class Automaton:
         """``_replay`` of many pairs at once."""
         pair, back = np.unique(a.astype(np.int64) << 20 | b, return_inverse=True)
         a, b, out, open_ = pair >> 20, pair & 0xFFFFF, np.ones(len(pair), bool), np.arange(len(pair))
-        when = np.full(len(pair), len(self.order), np.int64)
+        when = np.full(len(pair), len(self.pairs), np.int64)
         while len(open_):
             key = a << 20 | b
             place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
@@ -253,6 +268,8 @@ class Automaton:
 
     def _replay(self, a: int, b: int) -> bool:
         """Whether token b may follow token a."""
+        if self.order is None:
+            self._remember()
         when = len(self.order)  # gadgets before this one have been added
         while True:
             removed = self.pair.get(a << 20 | b)
@@ -272,6 +289,9 @@ class Automaton:
                 b = self.parts[b][0]
 
     def _read(self, data: bytes) -> tuple[int, ...]:
+        """The path of one word, symbol by symbol."""
+        if self.arcs is None:
+            self._remember()
         arcs, back, ends = self.arcs, self.back, self.ends
         n = len(data)
         last, start = [0] * (n + 1), [0] * (n + 1)
@@ -307,12 +327,14 @@ class Automaton:
 
     def _entries(self, pieces: list[str]) -> list[tuple[tuple[int, ...], str, str]]:
         ids: dict[str, tuple[int, ...]] = {p: (self.special[p],) for p in pieces if p in self.special}
-        brief = [(p, w) for p in pieces if p not in ids and len(w := p.encode()) <= TOGETHER]
+        brief = sorted([(p, w) for p in pieces if p not in ids and len(w := p.encode()) <= TOGETHER], key=lambda x: len(x[1]))
         for at in range(0, len(brief), SLICE):
             part = brief[at:at + SLICE]
             ids.update(zip([p for p, _ in part], self._read_many([w for _, w in part])))
         label, decimal = self.labels.__getitem__, self.decimals.__getitem__
         out = [ids[p] if p in ids else self._read(p.encode()) for p in pieces]
+        if self.arcs is not None:
+            self._forget()
         return [(x, decimal(x[0]), label(x[0])) if len(x) == 1 else (x, " ".join(map(decimal, x)), " ".join(map(label, x))) for x in out]
 
     def cut_up(self, text: str) -> list[str]:
