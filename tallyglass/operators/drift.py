@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,6 +21,8 @@ PSI_BINS, PSI_MODERATE, PSI_SIGNIFICANT = 10, 0.1, 0.2
 PSI_FLOOR = 1e-10
 AUC_LIMIT = 0.7
 FOREST_MB = 1024  # of node statistics a pass
+FIT_ROW_TREES, FIT_TREES = 50_000_000, 10  # training rows times trees of one fit; trees of the smallest fit
+TASK_ROWS = 250_000  # training rows of a task
 EFFECT_KS = 0.2
 MIN_VALUES = {"ks": 3, "chi_square": 5, "psi": 10}
 
@@ -223,11 +226,40 @@ def _classifier_rows(ref, cur, cols):
                       F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("error"))
 
 
+def _forest_scores(train: DataFrame, test: DataFrame, trees: int, depth: int, seed: int):
+    """(label, raw vote for 1, prediction) of the test rows, and the importances of the features.
+
+    Training keeps every row with its draws for all trees of a fit, so a forest over many rows is fitted in parts of
+    at least ``FIT_TREES`` trees: votes add up, importances are averaged over the trees.  Only a forest of one fit keeps the nodes of the rows between passes.
+    A task holds about ``TASK_ROWS`` rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    n = train.count()
+    size = min(trees, max(FIT_TREES, FIT_ROW_TREES // max(n, 1)))
+    parts = math.ceil(n / TASK_ROWS)
+    spread = parts > train.sparkSession.sparkContext.defaultParallelism  # a scan has about that many tasks
+    if spread:
+        train = train.repartition(parts).persist()  # every fit reads it three times
+    votes, weights = [], 0.0
+    for i, at in enumerate(range(0, trees, size)):
+        count = min(size, trees - at)
+        forest = RandomForestClassifier(numTrees=count, maxDepth=depth, weightCol="weight", seed=seed + i, maxMemoryInMB=FOREST_MB, cacheNodeIds=size == trees,
+                                        rawPredictionCol=f"_raw{i}", probabilityCol="", predictionCol="")  # many nodes a pass
+        model = forest.fit(train)
+        test = model.transform(test)
+        votes.append(vector_to_array(f"_raw{i}"))
+        weights = weights + count * model.featureImportances.toArray()
+    if spread:
+        train.unpersist()
+    no, yes = (reduce(lambda a, b: a + b, [v[k] for v in votes]) for k in (0, 1))
+    return test.select("label", yes.alias("raw"), (yes > no).cast("double").alias("prediction")), weights / trees
+
+
 def drift_classifier(ref: DataFrame, cur: DataFrame, cols=None, trees: int = 100, depth: int = 10, top: int = 5,
                      seed: int = 42, limit: float = AUC_LIMIT) -> DataFrame:
     """Random forest told to separate the tables: (column, importance) of the strongest columns with the
     held-out accuracy and AUC on each row.  70/30 split per table by row hash; classes weighted to balance."""
-    from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
 
@@ -246,13 +278,11 @@ def drift_classifier(ref: DataFrame, cur: DataFrame, cols=None, trees: int = 100
     weight = F.when(F.col("label") == 0.0, total / (2.0 * n[0.0])).otherwise(total / (2.0 * n[1.0]))
     rows = VectorAssembler(inputCols=cols, outputCol="features").transform(both.withColumn("weight", weight)).select("features", "label", "weight", "_p")
     train, test = rows.filter("_p < 700"), rows.filter("_p >= 700")
-    # many nodes a pass, and the node of every row kept between passes
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed, maxMemoryInMB=FOREST_MB, cacheNodeIds=True)
-    model = forest.fit(train)
-    scored = materialise(model.transform(test).select("label", "prediction", "rawPrediction"), "classifier-scores")
-    auc = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(scored)
+    scored, best = _forest_scores(train, test, trees, depth, seed)
+    scored = materialise(scored, "classifier-scores")
+    auc = BinaryClassificationEvaluator(rawPredictionCol="raw", metricName="areaUnderROC").evaluate(scored)
     acc = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-    best = sorted(zip(model.featureImportances.toArray(), cols), reverse=True)[:top]
+    best = sorted(zip(best, cols), reverse=True)[:top]
     return records(ref.sparkSession, [(c, float(i), float(acc), float(auc), auc >= limit, n[0.0], n[1.0]) for i, c in best],
                    "column string, importance double, accuracy double, auc double, drift boolean, n_ref bigint, n_cur bigint")
 

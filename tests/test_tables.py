@@ -167,6 +167,29 @@ def test_classifier_separates_a_shift(spark):
     assert not same["drift"]
 
 
+def test_classifier_fits_a_large_forest_in_parts(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    fits, fit = [], RandomForestClassifier.fit
+
+    def seen(self, data, *args):
+        fits.append((self.getNumTrees(), self.getCacheNodeIds(), data.rdd.getNumPartitions()))
+        return fit(self, data, *args)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", seen)
+    a = spark.range(600).select(F.randn(1).alias("v"), F.randn(2).alias("w"))
+    b = spark.range(600).select((F.randn(3) + 2).alias("v"), F.randn(4).alias("w"))
+    whole = dr.drift_classifier(a, b, trees=25, depth=5).collect()
+    monkeypatch.setattr(dr, "FIT_ROW_TREES", 1_000)
+    monkeypatch.setattr(dr, "TASK_ROWS", 100)
+    parts = dr.drift_classifier(a, b, trees=25, depth=5).collect()
+    assert [f[:2] for f in fits] == [(25, True), (10, False), (10, False), (5, False)]
+    assert all(f[2] >= 8 for f in fits[1:])
+    assert [r["column"] for r in parts] == [r["column"] for r in whole] == ["v", "w"]
+    assert math.isclose(sum(r["importance"] for r in parts), 1.0)
+    assert abs(parts[0]["auc"] - whole[0]["auc"]) < 0.02 and abs(parts[0]["accuracy"] - whole[0]["accuracy"]) < 0.03
+
+
 PII = [("EMAIL", "write to jo.doe@example.org today", "jo at example"), ("PHONE_US", "call 415-555-0134 now", "call 12-34"),
        ("SSN", "id 078-05-1120 x", "id 078-051120"), ("CREDIT_CARD", "card 4111 1111 1111 1111 ok", "card 4111 1111"),
        ("IP_ADDRESS", "host 192.168.10.4 up", "v1.2.3"), ("URL", "see https://www.example.com/a?b=1 there", "see example dot com"),
