@@ -85,22 +85,16 @@ def fill(df: DataFrame, col: str, order: list[str], direction: str = "forward",
         raise ValueError(f"unknown direction: {direction}")
     group, ahead = group or [], direction == "forward"
     cut, many = ranged(df, order, per_range=per_range)
-    full = Window.partitionBy(*group, "_range").orderBy(*order)
-    if ahead:
-        local = F.last(q(col), ignorenulls=True).over(full.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        local = F.first(q(col), ignorenulls=True).over(full.rowsBetween(0, Window.unboundedFollowing))
-    filled = cut.withColumn("_f", local)
+    # backward runs along the reversed order: a frame that only grows is one pass, one that shrinks is read again for every row
+    full = Window.partitionBy(*group, "_range").orderBy(*order if ahead else [F.desc(c) for c in order])
+    filled = cut.withColumn("_f", F.last(q(col), ignorenulls=True).over(full.rowsBetween(Window.unboundedPreceding, 0)))
     if many:
         known = cut.filter(q(col).isNotNull())
         pick = F.max_by if ahead else F.min_by
         edge = known.groupBy(*group, "_range").agg(pick(q(col), F.struct(*order)).alias("_e"))
         ranges = cut.select(*group, "_range").distinct().join(edge, [*group, "_range"], "left")
-        w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range")
-        if ahead:
-            carry = F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        else:
-            carry = F.first("_e", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range" if ahead else F.desc("_range"))
+        carry = F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
         filled = filled.join(ranges.select(*group, "_range", carry.alias("_c")), [*group, "_range"], "left")
         filled = filled.withColumn("_f", F.coalesce("_f", "_c"))
     return filled.withColumn(col, F.col("_f")).select(*[q(c) for c in df.columns])

@@ -104,6 +104,15 @@ def test_fill_across_ranges(spark, per_range, direction):
         assert np.allclose(got, want, equal_nan=True)
 
 
+@pytest.mark.parametrize("per_range", [500_000, 40])
+def test_backward_fill_has_no_shrinking_frame(spark, per_range):
+    df = spark.range(400).select("id", (F.col("id") % 5).alias("t"), F.when(F.col("id") % 50 == 11, F.col("id")).alias("v"))
+    got = seq.fill(df, "v", ["t", "id"], "backward", per_range=per_range)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()  # each row would read the rest of its range
+    pdf = df.toPandas().sort_values(["t", "id"])
+    assert np.allclose(got.toPandas().set_index("id")["v"].sort_index(), pdf.assign(v=pdf["v"].bfill()).set_index("id")["v"].sort_index(), equal_nan=True)
+
+
 def test_blocks_show_the_same_neighbours(spark):
     from pyspark.sql import Window
 
