@@ -22,7 +22,9 @@ from ..functions.store import materialise
 # fixed values: detector defaults
 LOF_NEIGHBOURS, CONTAMINATION, LOF_FLOOR = 20, 0.1, 1e-10
 IMPUTE_NEIGHBOURS = 3
-BOX_POINTS = 2_000
+BOX_POINTS = 256
+GROUP_BOXES = 8  # neighbouring boxes that meet in one call
+BOX_SAMPLE = 16
 MAX_BOXES = 65_536
 VISITORS = 20_000
 DISTANCE_DECIMALS = 9
@@ -55,38 +57,36 @@ class Boxes:
         self.right[node] = self._grow(rows[~low], boxes - boxes // 2)
         return node
 
+    def _arrays(self):
+        return [np.asarray(v) for v in (self.dim, self.cut, self.left, self.right, self.leaf)]
+
     def home(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), int)
-        stack = [(0, np.arange(len(x)))]
-        while stack:
-            node, rows = stack.pop()
-            if self.leaf[node] >= 0:
-                out[rows] = self.leaf[node]
-                continue
-            low = x[rows, self.dim[node]] <= self.cut[node]
-            stack += [(self.left[node], rows[low]), (self.right[node], rows[~low])]
-        return out
+        dim, cut, left, right, leaf = self._arrays()
+        node, rows = np.zeros(len(x), int), np.arange(len(x))
+        while len(rows := rows[leaf[node[rows]] < 0]):
+            at = node[rows]
+            node[rows] = np.where(x[rows, dim[at]] <= cut[at], left[at], right[at])
+        return leaf[node]
 
     def reached(self, x: np.ndarray, radius: np.ndarray, norm: str = "euclid"):
         """(row, box) pairs of boxes no farther than the radius."""
+        dim, cut, left, right, leaf = self._arrays()
         rows_out, box_out = [], []
-        gap0 = np.zeros_like(x)
-        stack = [(0, np.arange(len(x)), gap0)]
-        while stack:
-            node, rows, gap = stack.pop()
-            if not len(rows):
-                continue
-            if self.leaf[node] >= 0:
-                rows_out.append(rows)
-                box_out.append(np.full(len(rows), self.leaf[node]))
-                continue
-            d, cut = self.dim[node], self.cut[node]
-            side = x[rows, d] - cut
-            for child, miss in ((self.left[node], np.maximum(side, 0)), (self.right[node], np.maximum(-side, 0))):
+        rows, node, gap = np.arange(len(x)), np.zeros(len(x), int), np.zeros_like(x)
+        while len(rows):
+            done = leaf[node] >= 0
+            rows_out.append(rows[done])
+            box_out.append(leaf[node[done]])
+            rows, node, gap = rows[~done], node[~done], gap[~done]
+            d, each = dim[node], np.arange(len(rows))
+            side = x[rows, d] - cut[node]
+            parts = []
+            for child, miss in ((left[node], np.maximum(side, 0)), (right[node], np.maximum(-side, 0))):
                 g = gap.copy()
-                g[:, d] = np.maximum(g[:, d], miss)
+                g[each, d] = np.maximum(g[each, d], miss)
                 near = (g.max(1) if norm == "max" else np.sqrt((g * g).sum(1))) <= radius[rows] + 1e-9
-                stack.append((child, rows[near], g[near]))
+                parts.append((rows[near], child[near], g[near]))
+            rows, node, gap = (np.concatenate(v) for v in zip(*parts))
         return np.concatenate(rows_out), np.concatenate(box_out)
 
 
@@ -96,11 +96,11 @@ def _matrix(series) -> np.ndarray:
 
 def _layout(data: DataFrame, n: int) -> Boxes:
     boxes = min(MAX_BOXES, max(1, math.ceil(n / BOX_POINTS)))
-    share = min(1.0, 64.0 * boxes / max(n, 1)) if boxes > 1 else 0.0
+    share = min(1.0, BOX_SAMPLE * boxes / max(n, 1)) if boxes > 1 else 0.0
     if share <= 0:
         return Boxes(np.zeros((1, 1)), 1)
     pick = F.pmod(F.xxhash64("p"), F.lit(1_000_000)) < F.lit(max(1, int(share * 1_000_000)))
-    sample = data.filter(pick).select("p").toPandas()  # at most about 64 rows per box
+    sample = data.filter(pick).select("p").toPandas()  # at most about BOX_SAMPLE rows per box
     return Boxes(_matrix(sample["p"]), boxes) if len(sample) else Boxes(np.zeros((1, 1)), 1)
 
 
@@ -123,19 +123,26 @@ def _placed(df: DataFrame, layout: Boxes, radius: bool, norm: str = "euclid") ->
     return df.mapInPandas(run, schema)
 
 
-def _near(d: np.ndarray, w: np.ndarray, own: np.ndarray, k: int):
+def _near(d: np.ndarray, w: np.ndarray, own: np.ndarray, k: int, norm: str):
     """(row, column, distance, k-distance per row) of the points within the k-distance; a row whose box holds
-    too little weight keeps all its points and an infinite k-distance."""
+    too little weight keeps all its points and an infinite k-distance.  ``d``: squared distances, or largest gaps."""
+    def length(v):
+        return np.round(v if norm == "max" else np.sqrt(v), DISTANCE_DECIMALS)
+
     rows_n, cols_n = d.shape
+    keep = np.isfinite(d)
     if cols_n > k:
-        edge = np.partition(d, k - 1, axis=1)[:, k - 1]  # every weight is at least one
-        keep = (d <= edge[:, None]) & np.isfinite(d)
-    else:
-        keep = np.isfinite(d)
+        edge = length(np.partition(d, k - 1, axis=1)[:, k - 1])  # every weight is at least one
+        wide = edge * (1 + 1e-9) + 2 * 10.0 ** -DISTANCE_DECIMALS  # rounding comes after, for these few
+        keep &= d <= (wide if norm == "max" else wide * wide)[:, None]
     r, c = np.nonzero(keep)
-    order = np.lexsort((d[r, c], r))
-    r, c = r[order], c[order]
-    dist, weight = d[r, c], w[c]
+    d = length(d[r, c])
+    if cols_n > k:
+        keep = d <= edge[r]
+        r, c, d = r[keep], c[keep], d[keep]
+    order = np.lexsort((d, r))
+    r, c, dist = r[order], c[order], d[order]
+    weight = w[c]
     total = np.cumsum(weight)
     start = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
     base = np.maximum.accumulate(np.where(start, total - weight, 0.0)) if len(r) else total
@@ -148,50 +155,58 @@ def _near(d: np.ndarray, w: np.ndarray, own: np.ndarray, k: int):
 
 def _meet(data: DataFrame, queries: DataFrame, k: int, same: bool, bound: bool, boxes: int, norm: str) -> DataFrame:
     """Meets every query with the points of its box.  ``bound`` yields (id, r); otherwise the neighbours
-    (id, self, nid, d, w[, v]) within r.  Crowded boxes are split into chunks of queries."""
+    (id, self, nid, d, w[, v]) within r.  Neighbouring boxes share a call; crowded ones are split into chunks of queries."""
     import pandas as pd
 
-    crowd = queries.groupBy("box").agg(F.count(F.lit(1)).alias("_n")).select(
-        "box", F.greatest(F.lit(1), F.ceil(F.col("_n") / VISITORS)).cast("int").alias("_chunks"))
-    crowd = F.broadcast(crowd)  # one row per box
+    data, queries = (df.withColumn("part", F.floor(F.col("box") / GROUP_BOXES)) for df in (data, queries))
+    crowd = queries.groupBy("part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "part", F.greatest(F.lit(1), F.ceil(F.col("_n") / VISITORS)).cast("int").alias("_chunks"))
+    crowd = F.broadcast(crowd)  # one row per group of boxes
     # An explicit partition count: the adaptive merge of small partitions would queue CPU-heavy boxes in one task.
-    tasks = min(4_096, max(boxes, data.sparkSession.sparkContext.defaultParallelism))
-    visitors = queries.join(crowd, "box").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int")).drop(
-        "_chunks").repartition(tasks, "box", "chunk")
-    points = data.join(crowd, "box").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop(
-        "_chunks").repartition(tasks, "box", "chunk")
+    tasks = min(4_096, max(math.ceil(boxes / GROUP_BOXES), data.sparkSession.sparkContext.defaultParallelism))
+    visitors = queries.join(crowd, "part").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int")).drop(
+        "_chunks").repartition(tasks, "part", "chunk")
+    points = data.join(crowd, "part").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop(
+        "_chunks").repartition(tasks, "part", "chunk")
     cols = ["id", "r"] if bound else ["id", "self", "nid", "d", "w"] + (["v"] if "v" in data.columns else [])
 
+    def meet(a, own, limit, qid, b, w, v, pid):
+        """The rows of one box."""
+        step = max(1, 4_000_000 // len(b))
+        order = np.argsort(pid)
+        for i in range(0, len(a), step):
+            s = slice(i, i + step)
+            d = np.zeros((len(a[s]), len(b)))
+            for j in range(a.shape[1]):
+                gap = a[s, j][:, None] - b[:, j]
+                d = np.maximum(d, np.abs(gap)) if norm == "max" else d + gap ** 2
+            if same:
+                at = order[np.minimum(np.searchsorted(pid, qid[s], sorter=order), len(b) - 1)]
+                mine = np.flatnonzero(pid[at] == qid[s])
+                d[mine, at[mine]] = np.inf
+            r, c, dist, kd = _near(d, w, own[s], k, norm)
+            if bound:
+                yield qid[s], kd
+                continue
+            ok = dist <= np.minimum(limit[s], kd)[r]
+            r, c = r[ok], c[ok]
+            yield (qid[s][r], own[s][r], pid[c], dist[ok], w[c]) + (() if v is None else (v[c],))
+
     def block(qs, ps):
         out = []
         if len(qs) and len(ps):
-            a, b, w = _matrix(qs["p"]), _matrix(ps["p"]), ps["w"].to_numpy(float)
-            own, limit = qs["self"].to_numpy(float), qs["r"].to_numpy(float)
-            qid, pid = qs["id"].to_numpy(), ps["id"].to_numpy()
-            step = max(1, 4_000_000 // len(b))
-            for i in range(0, len(a), step):
-                s = slice(i, i + step)
-                d = np.zeros((len(a[s]), len(b)))
-                for j in range(a.shape[1]):
-                    gap = a[s, j][:, None] - b[:, j]
-                    d = np.maximum(d, np.abs(gap)) if norm == "max" else d + gap ** 2
-                d = np.round(d if norm == "max" else np.sqrt(d), DISTANCE_DECIMALS)
-                if same:
-                    d[qid[s][:, None] == pid] = np.inf
-                r, c, dist, kd = _near(d, w, own[s], k)
-                if bound:
-                    out.append(pd.DataFrame({"id": qid[s], "r": kd}))
-                    continue
-                ok = dist <= np.minimum(limit[s], kd)[r]
-                r, c = r[ok], c[ok]
-                got = {"id": qid[s][r], "self": own[s][r], "nid": pid[c], "d": dist[ok], "w": w[c]}
-                if "v" in cols:
-                    got["v"] = ps["v"].to_numpy(float)[c]
-                out.append(pd.DataFrame(got))
-        return pd.concat(out, ignore_index=True)[cols] if out else pd.DataFrame({c: [] for c in cols})
+            qs, ps = qs.sort_values("box", kind="stable"), ps.sort_values("box", kind="stable")
+            asked = [_matrix(qs["p"]), qs["self"].to_numpy(float), qs["r"].to_numpy(float), qs["id"].to_numpy()]
+            given = [_matrix(ps["p"]), ps["w"].to_numpy(float), ps["v"].to_numpy(float) if "v" in cols else None, ps["id"].to_numpy()]
+            qbox, pbox = qs["box"].to_numpy(), ps["box"].to_numpy()
+            for box in np.unique(qbox):
+                q0, q1, p0, p1 = *np.searchsorted(qbox, [box, box + 1]), *np.searchsorted(pbox, [box, box + 1])
+                if p1 > p0:
+                    out += meet(*[x[q0:q1] for x in asked], *[x if x is None else x[p0:p1] for x in given])
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(cols, zip(*out))} if out else {c: [] for c in cols})
 
     types = {"id": "bigint", "nid": "bigint"}
-    return visitors.groupBy("box", "chunk").cogroup(points.groupBy("box", "chunk")).applyInPandas(
+    return visitors.groupBy("part", "chunk").cogroup(points.groupBy("part", "chunk")).applyInPandas(
         block, ", ".join(f"{c} {types.get(c, 'double')}" for c in cols))
 
 
@@ -243,9 +258,10 @@ def lof_scores(df: DataFrame, cols=None, k: int = LOF_NEIGHBOURS) -> tuple[DataF
     pairs = near.filter(F.col("self") < k).select("id", "nid", "d", "w").unionByName(own)
     kdist = near.groupBy("id").agg(F.max("kdist").alias("kd")).unionByName(
         asked.filter(F.col("self") >= k).select("id", F.lit(0.0).alias("kd"))).groupBy("id").agg(F.max("kd").alias("kd"))
-    reach = pairs.join(kdist.withColumnRenamed("id", "nid"), "nid").withColumn("reach", F.greatest("kd", "d"))
+    # the sides have one row per point: hashing them saves sorting the pairs
+    reach = pairs.join(kdist.withColumnRenamed("id", "nid").hint("shuffle_hash"), "nid").withColumn("reach", F.greatest("kd", "d"))
     lrd = reach.groupBy("id").agg((1 / (F.sum(F.col("w") * F.col("reach")) / F.sum("w") + F.lit(LOF_FLOOR))).alias("lrd"))
-    far = pairs.join(lrd.select(F.col("id").alias("nid"), F.col("lrd").alias("nlrd")), "nid").groupBy("id").agg(
+    far = pairs.join(lrd.select(F.col("id").alias("nid"), F.col("lrd").alias("nlrd")).hint("shuffle_hash"), "nid").groupBy("id").agg(
         (F.sum(F.col("w") * F.col("nlrd")) / F.sum("w")).alias("mean_lrd"))
     scores = far.join(lrd, "id").join(points.select("id", "p"), "id")
     return rows, materialise(scores.select("p", (F.col("mean_lrd") / F.col("lrd")).alias("lof")), "lof")

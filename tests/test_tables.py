@@ -319,3 +319,23 @@ def test_kmeans_bins_have_the_least_sum_of_squares(spark, pieces):
     best = min(within(np.split(order, c)) for c in combinations(range(1, len(order)), 2))
     assert within([order[(order > a) & (order <= b)] for a, b in zip([-np.inf, *edges[1:-1]], [*edges[1:-1], np.inf])]) == pytest.approx(best)
     assert rem.kmeans_edges(spark.createDataFrame([(2.0,)] * 3, "v double"), "v", 3) == [2.0, 2.0]
+
+
+@pytest.mark.parametrize("norm", ["euclid", "max"])
+@pytest.mark.parametrize("group", [1, 3])
+def test_boxes_meet_in_groups(spark, monkeypatch, norm, group):
+    from tallyglass.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BOX_POINTS", 10)
+    monkeypatch.setattr(neighbours, "GROUP_BOXES", group)
+    monkeypatch.setattr(neighbours, "VISITORS", 40)
+    x = np.random.default_rng(5).integers(0, 40, (300, 2)).astype(float)
+    x = np.unique(x, axis=0)
+    points = neighbours.materialise(spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "id long, p array<double>, w double"), "points")
+    got = neighbours.neighbours(points, points.select("id", "p", F.lit(0.0).alias("self")), 4, same=True, norm=norm).collect()
+    gap = np.abs(x[:, None] - x)
+    d = np.round(gap.max(2) if norm == "max" else np.sqrt((gap ** 2).sum(2)), 9)
+    np.fill_diagonal(d, np.inf)
+    edge = np.sort(d, axis=1)[:, 3]
+    assert {(r["id"], r["nid"], r["d"], r["kdist"]) for r in got} == {(i, j, d[i, j], edge[i]) for i, j in zip(*np.nonzero(d <= edge[:, None]))}
+    assert len(got) == int((d <= edge[:, None]).sum())
