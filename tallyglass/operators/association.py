@@ -122,40 +122,47 @@ def _inversions(key, x_order, w):
     return total
 
 
-def _concordance(pdf):
-    """Concordant minus discordant weight among the rows of one block."""
+def _concordance(pdf, inner: str | None = None):
+    """Concordant minus discordant weight among the rows of one block; with ``inner`` among those that differ in it:
+    pairs that share it are counted at once, as keys led by it turn no pair of different ``inner``."""
     import numpy as np
 
     x, y, w = (pdf[c].to_numpy() for c in ("x", "y", "w"))
     _, yr = np.unique(y, return_inverse=True)
-    discordant = _inversions(yr, np.lexsort((yr, x)), w)
     flipped = yr.max() - yr
-    concordant = _inversions(flipped, np.lexsort((flipped, x)), w)
-    return concordant - discordant
 
+    def total(group):
+        turned = []
+        for key in (flipped, yr):
+            _, whole = np.unique(group * (len(yr) + 1) + key, return_inverse=True)
+            turned.append(_inversions(whole, np.lexsort((key, x, group)), w))
+        return turned[0] - turned[1]
 
-def _block_sum(rows: DataFrame, keys: list[str]) -> float:
-    """Sum of block concordances.  Blocks with a single x or a single y contribute nothing and
-    are left out, so a heavy value never becomes a task of its own."""
+    among = total(np.zeros(len(yr), np.int64))
+    return among - total(pdf[inner].to_numpy().astype(np.int64)) if inner else among
+
+
+def _block_sum(rows: DataFrame, key: str, inner: str | None = None) -> float:
+    """Sum of block concordances, without the pairs that share ``inner``.  Blocks with a single x or a single y
+    contribute nothing and are left out, so a heavy value never becomes a task of its own."""
     import pandas as pd
 
-    flat = rows.groupBy(*[F.col(k).alias("_" + k) for k in keys]).agg(
+    flat = rows.groupBy(F.col(key).alias("_k")).agg(
         F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
-    flat = flat.filter("_x0 < _x1 AND _y0 < _y1").select(*["_" + k for k in keys])
-    live = rows.join(flat, reduce(lambda a, b: a & b, [F.col(k) == F.col("_" + k) for k in keys]), "left_semi")
+    flat = flat.filter("_x0 < _x1 AND _y0 < _y1").select("_k")  # one row per range
+    live = rows.join(F.broadcast(flat), F.col(key) == F.col("_k"), "left_semi")
 
     def block(pdf):
-        return pd.DataFrame({"s": [_concordance(pdf)]})
+        return pd.DataFrame({"s": [_concordance(pdf, inner)]})
 
-    got = live.groupBy(*keys).applyInPandas(block, "s double").agg(F.sum("s")).first()[0]
-    return got or 0.0
+    return live.groupBy(key).applyInPandas(block, "s double").agg(F.sum("s")).first()[0] or 0.0
 
 
 def kendall(df: DataFrame, cols=None, block_rows: int = KENDALL_BLOCK_ROWS) -> DataFrame:
     """Exact tau-b.  Rows are reduced to weighted (x, y) cells, and both axes are cut into ranges.
     Cell pairs in different x ranges and different y ranges are counted from the range contingency
     table; pairs that share an x or a y range are counted inside that range, and pairs sharing both
-    are taken out once."""
+    are taken out once, within the y range."""
     import numpy as np
 
     cols = resolve(df, cols, "numeric")
@@ -175,9 +182,9 @@ def kendall(df: DataFrame, cols=None, block_rows: int = KENDALL_BLOCK_ROWS) -> D
             cut[c] = isolate(cells.agg(F.percentile_approx(c, F.array(*[F.lit(p) for p in probs]),
                                                            F.lit(20 * ranges))).first()[0]) if probs else []
         rows = with_range(with_range(cells, "x", cut["x"], "bx"), "y", cut["y"], "by")
-        s = _block_sum(rows, ["bx"])
+        s = _block_sum(rows, "bx")
         if ranges > 1:
-            s += _block_sum(rows, ["by"]) - _block_sum(rows, ["bx", "by"])
+            s += _block_sum(rows, "by", inner="bx")
             grid = np.zeros((len(cut["x"]) + 1, len(cut["y"]) + 1))
             for r in rows.groupBy("bx", "by").agg(F.sum("w").alias("w")).collect():  # ranges x ranges cells
                 grid[r["bx"], r["by"]] = r["w"]

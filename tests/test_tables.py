@@ -339,3 +339,13 @@ def test_boxes_meet_in_groups(spark, monkeypatch, norm, group):
     edge = np.sort(d, axis=1)[:, 3]
     assert {(r["id"], r["nid"], r["d"], r["kdist"]) for r in got} == {(i, j, d[i, j], edge[i]) for i, j in zip(*np.nonzero(d <= edge[:, None]))}
     assert len(got) == int((d <= edge[:, None]).sum())
+
+
+def test_concordance_without_pairs_that_share_a_range():
+    rng = np.random.default_rng(9)
+    x, y, w = rng.integers(0, 20, 150), rng.integers(0, 12, 150), rng.integers(1, 4, 150)
+    pdf = pd.DataFrame({"x": x * 1.0, "y": y * 1.0, "w": w * 1.0, "bx": x // 6})
+    sign = np.sign(x[:, None] - x) * np.sign(y[:, None] - y) * w[:, None] * w
+    other = (x // 6)[:, None] != x // 6
+    assert assoc._concordance(pdf) == sign.sum() / 2
+    assert assoc._concordance(pdf, "bx") == (sign * other).sum() / 2
