@@ -90,8 +90,8 @@ def spearman(df: DataFrame, cols=None) -> DataFrame:
 
 
 def _rank_correlation(x: DataFrame, cols: list[str], rows: int, keys: dict[str, int], complete: bool = False) -> DataFrame:
-    # the ranks of all columns in one long pass, written once
-    counts = long_counts(x, {c: q(c) for c in cols}).filter(F.col("value").isNotNull())
+    # the ranks of all columns in one long pass; counts (cuts, range totals and sums read them) and ranks are written once
+    counts = materialise(long_counts(x, {c: q(c) for c in cols}).filter(F.col("value").isNotNull()), "rank-counts")
     cum = running_totals(counts, "value", ["n"], group=["column"], rows=sum(keys[c] for c in cols))
     ranks = materialise(cum.select("column", "value", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("rank")), "ranks")
     ranked = x

@@ -349,3 +349,12 @@ def test_concordance_without_pairs_that_share_a_range():
     other = (x // 6)[:, None] != x // 6
     assert assoc._concordance(pdf) == sign.sum() / 2
     assert assoc._concordance(pdf, "bx") == (sign * other).sum() / 2
+
+
+def test_spearman_counts_values_once(spark, monkeypatch):
+    written, write = [], assoc.materialise
+    monkeypatch.setattr(assoc, "materialise", lambda df, name: written.append(name) or write(df, name))
+    rows = spark.range(300).select((F.col("id") % 17).cast("double").alias("a"), F.randn(2).alias("b"))
+    got, pdf = assoc.spearman(rows).first()["r"], rows.toPandas()
+    assert "rank-counts" in written
+    assert math.isclose(got, pdf["a"].rank().corr(pdf["b"].rank()), abs_tol=1e-9)
