@@ -227,13 +227,13 @@ def _classifier_rows(ref, cur, cols):
 
 
 def _forest_scores(train: DataFrame, test: DataFrame, trees: int, depth: int, seed: int):
-    """(label, raw vote for 1, prediction) of the test rows, and the importances of the features.
+    """(label, prediction, votes) of the test rows, and the importances of the features.
 
     Training keeps every row with its draws for all trees of a fit, so a forest over many rows is fitted in parts of
     at least ``FIT_TREES`` trees: votes add up, importances are averaged over the trees.  Only a forest of one fit keeps the nodes of the rows between passes.
     A task holds about ``TASK_ROWS`` rows."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     n = train.count()
     size = min(trees, max(FIT_TREES, FIT_ROW_TREES // max(n, 1)))
@@ -253,7 +253,7 @@ def _forest_scores(train: DataFrame, test: DataFrame, trees: int, depth: int, se
     if spread:
         train.unpersist()
     no, yes = (reduce(lambda a, b: a + b, [v[k] for v in votes]) for k in (0, 1))
-    return test.select("label", yes.alias("raw"), (yes > no).cast("double").alias("prediction")), weights / trees
+    return test.select("label", (yes > no).cast("double").alias("prediction"), array_to_vector(F.array(no, yes)).alias("rawPrediction")), weights / trees
 
 
 def drift_classifier(ref: DataFrame, cur: DataFrame, cols=None, trees: int = 100, depth: int = 10, top: int = 5,
@@ -280,7 +280,7 @@ def drift_classifier(ref: DataFrame, cur: DataFrame, cols=None, trees: int = 100
     train, test = rows.filter("_p < 700"), rows.filter("_p >= 700")
     scored, best = _forest_scores(train, test, trees, depth, seed)
     scored = materialise(scored, "classifier-scores")
-    auc = BinaryClassificationEvaluator(rawPredictionCol="raw", metricName="areaUnderROC").evaluate(scored)
+    auc = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(scored)
     acc = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     best = sorted(zip(best, cols), reverse=True)[:top]
     return records(ref.sparkSession, [(c, float(i), float(acc), float(auc), auc >= limit, n[0.0], n[1.0]) for i, c in best],
