@@ -12,8 +12,8 @@ replaying the gadgets that made ``a`` and ``b``, newest first.  Rows of this 49k
 first use; the automaton that reads the characters (all tokens, with suffix arcs) is a second transition table.
 Reading keeps, for every prefix of a word, the one last token whose arc exists; walking back gives the word's path.  The new
 words of a batch are read together, a symbol of all of them at a time, by look-ups in arrays.  Decoding emits the arc labels.
-Words met before are looked up with their ids, decimal ids and labels, so a repeated word costs one look-up, and digests are taken
-beside the ids.
+Words met before are looked up with the bytes of their ids, so a repeated word costs one look-up; decimal ids and labels are joined
+for a run of texts at once.  Arcs asked for lately are kept by their pair of tokens.
 
 Null texts count as empty; empty texts have no ids.  Columns of the names that are added are replaced if the table
 has them already.  Rows never depend on each other: no shuffle, and repeated rows, ties and skew cost nothing extra.
@@ -25,11 +25,12 @@ import hashlib
 import json
 import re
 import unicodedata
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -38,7 +39,7 @@ from .rows import extend
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 #: Entries of a generation: a worker keeps two of them of words already encoded.
-MEMO = 30_000
+MEMO = 60_000
 #: Words of up to so many bytes are read together, so many at a time.
 TOGETHER, SLICE = 256, 5_000
 #: Lower-case texts of these characters only are in normal form, and the standard library's patterns agree on them with the vocabulary's library.
@@ -46,6 +47,8 @@ LATIN = "a-zß-öø-ÿĀ-ſ"
 PLAIN = re.compile(f"[\x00-\x7f{LATIN}–—’“”«»¿¡…]*")
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 FINAL = 256
+#: Places (a power of two) for arcs asked for lately.
+ARCS = 17
 
 
 # Letters and numbers that the pattern library here knows, but the vocabulary's library (an older
@@ -157,8 +160,10 @@ class Automaton:
                     self.ends[to] = ((own[to],) if own.get(to) else ()) + self.ends[back]
                     below.append(to)
             level = below
-        self.decimals = {i: str(i) for i in self.labels}
+        self.decimal_texts = pa.array([str(i) for i in range(len(self.labels))], pa.large_string())
+        self.label_texts = pa.array([self.labels[i] for i in range(len(self.labels))], pa.large_string())
         self.known = Memo(self._entries)
+        self.asked, self.answer = np.full(1 << ARCS, -1, np.int64), np.zeros(1 << ARCS, bool)
         self._tables(len(self.labels))
         self._forget()
 
@@ -211,8 +216,19 @@ class Automaton:
         return np.where((bits >> bit) & np.uint64(1), self.targets[np.minimum(self.offset[at, word] + before, len(self.targets) - 1)], -1)
 
     def _may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """``_replay`` of many pairs at once."""
-        pair, back = np.unique(a.astype(np.int64) << 20 | b, return_inverse=True)
+        """``_replay`` of many pairs at once; those asked for lately are looked up."""
+        pair = a.astype(np.int64) << 20 | b
+        place = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ARCS)).view(np.int64)
+        out, new = self.answer[place], np.flatnonzero(self.asked[place] != pair)
+        if len(new):
+            out[new] = self._replay_many(pair[new])
+            self.asked[place[new]] = pair[new]
+            kept = new[self.asked[place[new]] == pair[new]]  # one of the pairs of a place
+            self.answer[place[kept]] = out[kept]
+        return out
+
+    def _replay_many(self, pair: np.ndarray) -> np.ndarray:
+        pair, back = np.unique(pair, return_inverse=True)
         a, b, out, open_ = pair >> 20, pair & 0xFFFFF, np.ones(len(pair), bool), np.arange(len(pair))
         when = np.full(len(pair), len(self.pairs), np.int64)
         while len(open_):
@@ -229,7 +245,10 @@ class Automaton:
         return out[back]
 
     def _read_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """``_read`` of many words, symbol after symbol of all of them."""
+        return [tuple(np.frombuffer(x, np.int32).tolist()) for x in self._paths(words)]
+
+    def _paths(self, words: list[bytes]) -> list[bytes]:
+        """``_read`` of many words, symbol after symbol of all of them; the ids as bytes of 32-bit numbers."""
         size = np.array([len(w) for w in words])
         order = np.argsort(-size, kind="stable")
         size = size[order]
@@ -253,7 +272,6 @@ class Automaton:
                 last[open_[good], i + 1], took[open_[good], i + 1] = token[good], length[good]
                 open_ = open_[~good]
                 place[open_] += 1
-        out: list = [None] * len(words)
         where, rest, columns = np.arange(len(words)), size.copy(), []
         while len(where):
             column = np.full(len(words), -1, np.int32)
@@ -261,10 +279,11 @@ class Automaton:
             columns.append(column)
             rest = rest - took[where, rest]
             where, rest = where[rest > 0], rest[rest > 0]
-        tokens = np.array(columns[::-1]).T
-        for i, ids in zip(order.tolist(), tokens.tolist()):
-            out[i] = tuple(ids[ids.count(-1):])
-        return out
+        tokens = np.empty((len(words), len(columns)), np.int32)
+        tokens[order] = np.array(columns[::-1]).T
+        there = tokens >= 0
+        flat, ends = tokens[there].tobytes(), np.cumsum(4 * there.sum(1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def _replay(self, a: int, b: int) -> bool:
         """Whether token b may follow token a."""
@@ -325,17 +344,17 @@ class Automaton:
             return self.piece_newer.findall(text)
         return self.piece.findall(text)
 
-    def _entries(self, pieces: list[str]) -> list[tuple[tuple[int, ...], str, str]]:
-        ids: dict[str, tuple[int, ...]] = {p: (self.special[p],) for p in pieces if p in self.special}
-        brief = sorted([(p, w) for p in pieces if p not in ids and len(w := p.encode()) <= TOGETHER], key=lambda x: len(x[1]))
+    def _entries(self, pieces: list[str]) -> list[bytes]:
+        ids: dict[str, bytes] = {p: np.int32(self.special[p]).tobytes() for p in pieces if p in self.special}
+        coded = [p.encode() for p in pieces]
+        brief = sorted([i for i, p in enumerate(pieces) if p not in ids and len(coded[i]) <= TOGETHER], key=lambda i: len(coded[i]))
         for at in range(0, len(brief), SLICE):
             part = brief[at:at + SLICE]
-            ids.update(zip([p for p, _ in part], self._read_many([w for _, w in part])))
-        label, decimal = self.labels.__getitem__, self.decimals.__getitem__
-        out = [ids[p] if p in ids else self._read(p.encode()) for p in pieces]
+            ids.update(zip([pieces[i] for i in part], self._paths([coded[i] for i in part])))
+        out = [ids[p] if p in ids else np.array(self._read(w), np.int32).tobytes() for p, w in zip(pieces, coded)]
         if self.arcs is not None:
             self._forget()
-        return [(x, decimal(x[0]), label(x[0])) if len(x) == 1 else (x, " ".join(map(decimal, x)), " ".join(map(label, x))) for x in out]
+        return out
 
     def cut_up(self, text: str) -> list[str]:
         """The pieces of a text in order; a special token is a piece."""
@@ -345,18 +364,21 @@ class Automaton:
                 return list(chain.from_iterable([part] if k % 2 else self.pieces(part) for k, part in enumerate(parts)))
         return self.pieces(text)
 
-    def words(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str, str]]]:
-        """(ids, ids in decimals, labels) of the pieces of each text, in order."""
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and how many there are before each text and at the end."""
         pieces = [self.cut_up(t) for t in texts]
         found = self.known(list(chain.from_iterable(pieces)))
-        out, at = [], 0
-        for p in pieces:
-            out.append(found[at:at + len(p)])
-            at += len(p)
-        return out
+        ends = list(accumulate(map(len, pieces)))
+        rows = [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
+        return np.frombuffer(b"".join(rows), np.int32), np.cumsum([0, *[len(r) // 4 for r in rows]])
+
+    def words(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str, str]]]:
+        """(ids, ids in decimals, labels) of the pieces of each text, in order."""
+        every = [[tuple(np.frombuffer(x, np.int32).tolist()) for x in self.known(self.cut_up(t))] for t in texts]
+        return [[(x, " ".join(map(str, x)), self.decode(x)) for x in row] for row in every]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.words([text])[0] for i in ids]
+        return self.ids([text])[0].tolist()
 
     def decode(self, ids) -> str:
         """The labels of the path, joined as a vocabulary without a decoder does."""
@@ -379,8 +401,17 @@ def compiled(spec: str) -> Automaton:
 ADDED = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 
 
-def _digest(parts: list[str]) -> str:
-    return hashlib.sha256(" ".join(parts).encode()).hexdigest()
+def _joined(flat: np.ndarray, before: np.ndarray, names: pa.Array) -> pa.Array:
+    """The names of the ids of each row, joined by blanks."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(before, pa.int64()), names.take(pa.array(flat))), pa.scalar(" ", names.type))
+
+
+def _digests(joined: pa.Array) -> pa.Array:
+    """SHA-256 of each text."""
+    _, where, data = joined.buffers()
+    offsets = np.frombuffer(where, np.int64)[joined.offset:joined.offset + len(joined) + 1].tolist()
+    raw = memoryview(data) if data is not None else b""
+    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets, offsets[1:])], pa.string())
 
 
 def encode(df: DataFrame, path: str = PATH, text: str = "text", columns: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
@@ -393,24 +424,19 @@ def encode(df: DataFrame, path: str = PATH, text: str = "text", columns: tuple[s
     def run():
         a = compiled(spec.value)
 
-        def ids(rows):
-            flat = np.fromiter(chain.from_iterable([e[0] for r in rows for e in r]), np.int32)
-            size = [sum([len(e[0]) for e in r]) for r in rows]
-            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
-
         make = {
-            "ids": ids,
-            "decoded": lambda rows: pa.array([" ".join([e[2] for e in r]) for r in rows], pa.string()),
-            "n_tokens": lambda rows: pa.array([sum([len(e[0]) for e in r]) for r in rows], pa.int64()),
-            "ids_sha256": lambda rows: pa.array([_digest([e[1] for e in r]) for r in rows], pa.string()),
-            "decoded_sha256": lambda rows: pa.array([_digest([e[2] for e in r]) for r in rows], pa.string()),
+            "ids": lambda flat, before: pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(flat)),
+            "decoded": lambda flat, before: _joined(flat, before, a.label_texts).cast(pa.string()),
+            "n_tokens": lambda flat, before: pa.array(np.diff(before), pa.int64()),
+            "ids_sha256": lambda flat, before: _digests(_joined(flat, before, a.decimal_texts)),
+            "decoded_sha256": lambda flat, before: _digests(_joined(flat, before, a.label_texts)),
         }
 
         def work(batch, place):
             column = texts(batch.column(place[text]))
             for at, end, _, _ in runs(column, 1 << 20):
-                rows = a.words(column.slice(at, end - at).to_pylist())
-                yield at, [make[c](rows) for c in columns]
+                found = a.ids(column.slice(at, end - at).to_pylist())
+                yield at, [make[c](*found) for c in columns]
 
         return work
 

@@ -97,3 +97,16 @@ def test_table(spark, corpus, nothing, both):
         digest = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
         assert [r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], list(r["ids"])] == [len(ids), *digest, ids]
     assert os.path.exists(bpe.PATH)
+
+
+def test_ids_of_a_run_of_texts(both, monkeypatch):
+    """Right ids and places with few places for arcs, so that pairs of tokens displace each other; the memo holds nothing but bytes."""
+    monkeypatch.setattr(bpe, "ARCS", 3)
+    with open(bpe.PATH, encoding="utf-8") as f:
+        automaton = bpe.Automaton(f.read())
+    rng = random.Random(8)
+    texts = ["", *["".join(rng.choice("aabeeinorsttth .é") for _ in range(rng.randint(0, 60))) for _ in range(400)], "x" * 600, "a<|endoftext|>b", ""]
+    for _ in range(2):
+        flat, before = automaton.ids(texts)
+        assert [flat[a:b].tolist() for a, b in zip(before, before[1:])] == [both[1].encode(t, add_special_tokens=False).ids for t in texts]
+    assert {type(x) for x in automaton.known.young.values()} == {bytes}
