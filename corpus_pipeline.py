@@ -7,18 +7,33 @@ reads it again, so a lost executor costs at most one stage's tasks.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyglass.functions.store import materialise
 from tallyglass.llm import bpe, decontaminate, language, ngram_join, quality
+from tallyglass.llm.rows import small_batches
+
+
+def _lean(stage):
+    """The stage in a session of small Arrow batches."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
-STAGES = [
+STAGES = [(name, _lean(stage)) for name, stage in (
     ("quality", quality.stage),
     ("language", language.stage),
     ("near_copies", ngram_join.stage),
     ("decontamination", decontaminate.stage),
     ("encoding", bpe.stage),
-]
+)]
 
 #: No SQL for trained models; the stages are tested against brute force on a fixture.
 ORACLE_SQL = None

@@ -70,14 +70,31 @@ def lean(run):
         try:
             yield from run(sliced(batches))
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return over
 
 
+def lean_group(run):
+    """A function over the rows of a group that gives the memory it freed back to the system after each group."""
+
+    @functools.wraps(run)
+    def over(key, rows):
+        try:
+            return run(key, rows)
+        finally:
+            give_back()
+
+    return over
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one large_string array with nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):

@@ -17,6 +17,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     big, small = F.greatest("u", "v"), F.least("u", "v")
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").select(big.alias("u"), small.alias("v")).distinct()
     now, seen = materialise(now, "edges"), None
+    size = now.count()
     for _ in range(MAX_ROUNDS):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u2"), F.least("u", "m").alias("m"))
@@ -24,8 +25,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = now.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "u2")
         hung = now.join(least, now["u"] == least["u2"])
         now = materialise(hung.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-                          .select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+                          .select("e.u", "e.v").filter("u <> v").distinct(), "edges", 2 * size)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first())
+        size = state[0]
         if state == seen or state[0] == 0:
             break
         if state[0] == state[2] and not now.join(now.select(F.col("u").alias("v2")).distinct(), now["v"] == F.col("v2"), "left_semi").limit(1).count():

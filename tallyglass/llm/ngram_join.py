@@ -18,7 +18,8 @@ connected yet are compared, by bit maps, and verified like the others.
 Extra columns are ignored.
 
 Scale.  Texts are scanned three times and never shuffled while the surviving nodes' ids fit ``BROADCAST_IDS`` (their count is
-checked; beyond it the third scan joins by shuffle).  The largest shuffle holds a quarter of the shingle hashes; a hot shingle adds its members'
+checked; beyond it the third scan joins by shuffle).  The largest shuffle holds a quarter of the shingle hashes.  Whole sets are written once, by
+the scan, and shuffled only of nodes that are left in a candidate pair (as long as these fit ``BROADCAST_IDS``); a hot shingle adds its members'
 sets once, and their bit maps once per ``MAP_ROWS`` members that are outside its largest component.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exprs import q
 from ..functions.store import materialise
-from .arrays import SPACE, U, lean, mix, runs, shingles, texts, word_hashes, words
+from .arrays import SPACE, U, lean, lean_group, mix, runs, shingles, texts, word_hashes, words
 from .graph import components
 from .rows import text_hash, without
 
@@ -41,6 +42,8 @@ LOW = 1 << 62  # a quarter of the hashes
 HOT_SHARE = 50
 SMALL, BLOCK_ROWS, LEADERS, MAP_ROWS = 256, 512, 16, 1024
 BROADCAST_IDS = 2_000_000
+SHARED = 1 << 20  # entries that are counted pair by pair at once
+SKETCH_ROWS, SET_ROWS = 10_000, 1_000  # pairs that a task meets with two sketches, with two sets
 MAP_WORDS = 32  # 2,048 bits
 
 
@@ -191,8 +194,9 @@ def _share(rows: list[np.ndarray], other: list[np.ndarray], step: int = 2048, de
     begins = [np.searchsorted(v, values) for v in (left, right)]
     counts = [np.searchsorted(v, values, "right") - b for v, b in zip((left, right), begins)]
     often = counts[0] * counts[1] > dense
-    few = ~often
-    if few.any():
+    rare = np.flatnonzero(~often)
+    part_of = np.cumsum(counts[0][rare] * counts[1][rare]) // SHARED
+    for few in np.split(rare, np.flatnonzero(np.diff(part_of)) + 1) if len(rare) else ():
         at = _ranges(begins[0][few], counts[0][few])  # entries of the left side
         times = np.repeat(counts[1][few], counts[0][few])
         with_ = _ranges(np.repeat(begins[1][few], counts[0][few]), times)
@@ -271,23 +275,35 @@ def _apart(percent: int):
     return run
 
 
-def _pairs_that_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct ``pairs`` (a, b) of nodes those that link: filters of orders two and three, bounds, then the whole sets."""
-    sketch = sets.drop("shingles")
+def _of(sets: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """The rows of ``sets`` for the distinct ``nodes`` (one column), taken where they are; all rows if the nodes are more than ``limit``."""
+    nodes = nodes.toDF("of")
+    return sets.join(F.broadcast(nodes), F.col("node") == F.col("of"), "left_semi") if nodes.count() <= limit else sets
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _pairs_that_link(pairs: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Of distinct ``pairs`` (a, b) of nodes (written) those that link: filters of orders two and three, bounds, then the whole sets."""
+    sketch = _of(sets.drop("shingles"), _ends(pairs), limit)
     x, y = (sketch.select(*[F.col(c).alias(f"{s}_{c}") for c in sketch.columns]) for s in "xy")
     most = F.floor((F.col("x_n") + F.col("y_n")) * F.lit(100 - percent) / F.lit(100 + percent) + 1e-9)  # of the symmetric difference
     differing = F.aggregate(F.zip_with("x_map", "y_map", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     candidates = (pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
                   .filter((100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third"))
                   .filter(differing <= most).select("a", "b"))
-    candidates = materialise(candidates, "candidates")
-    x, y = (sets.select(F.col("node").alias(f"{s}_node"), F.col("n").alias(f"{s}_n"), F.col("shingles").alias(f"{s}_s")) for s in "xy")
+    candidates = materialise(candidates, "candidates", pairs.count(), SKETCH_ROWS)
+    whole = _of(sets.select("node", "n", "shingles"), _ends(candidates), limit)
+    x, y = (whole.select(F.col("node").alias(f"{s}_node"), F.col("n").alias(f"{s}_n"), F.col("shingles").alias(f"{s}_s")) for s in "xy")
     common = F.size(F.array_intersect("x_s", "y_s"))
-    return candidates.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node")).filter(
+    found = candidates.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node")).filter(
         100 * common >= percent * (F.col("x_n") + F.col("y_n") - common)).select("a", "b")
+    return materialise(found, "links", candidates.count(), SET_ROWS)
 
 
-def _hot_links(wide: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _hot_links(wide: DataFrame, sets: DataFrame, known: DataFrame, percent: int, limit: int) -> DataFrame:
     """Enough links between the nodes of hot shingles, ``wide`` (token, node), to connect all that are linked, beside the links ``known`` (written).
 
     First every node goes, with its set, to one block of its smallest hot shingle; a few leaders go to all blocks of theirs.  That connects
@@ -299,10 +315,11 @@ def _hot_links(wide: DataFrame, sets: DataFrame, known: DataFrame, percent: int)
     dealt = first.join(size, F.col("token") == F.col("of")).withColumn("blocks", F.ceil(F.col("c") / BLOCK_ROWS).cast("int"))
     lead = F.pmod(F.xxhash64("node", "token"), F.col("c")) < LEADERS
     dealt = dealt.select("token", "node", F.explode(F.when(lead, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(place))).alias("block"))
-    near = dealt.join(sets.select("node", "n", "shingles"), "node").groupBy("token", "block").applyInPandas(_linked(percent), "a long, b long")
+    whole = _of(sets.select("node", "n", "shingles"), wide.select("node").distinct(), limit)
+    near = dealt.join(whole, "node").groupBy("token", "block").applyInPandas(lean_group(_linked(percent)), "a long, b long")
     near = materialise(near, "hot-links")
     roots = materialise(components(known.unionAll(near)), "roots").select(F.col("node").alias("of"), "root")
-    named = materialise(wide.join(roots, wide["node"] == roots["of"], "left").select("token", "node", F.coalesce("root", "node").alias("root")), "hot-roots")
+    named = materialise(wide.join(roots, wide["node"] == roots["of"], "left").select("token", "node", F.coalesce("root", "node").alias("root")), "hot-roots", wide.count())
     parts = named.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
     parts = parts.groupBy(F.col("token").alias("of")).agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("c")).filter(F.col("all") > F.col("c"))
     sides = named.join(parts, F.col("token") == F.col("of")).withColumn("others", F.ceil((F.col("all") - F.col("c")) / MAP_ROWS).cast("int"))
@@ -312,8 +329,9 @@ def _hot_links(wide: DataFrame, sets: DataFrame, known: DataFrame, percent: int)
     met = F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(blocks) - 1)
     tasks = sides.select("token", "node", "root", own.alias("block"), F.explode(met).alias("other")).select(
         "token", "node", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    pairs = tasks.join(sets.select("node", "n", "map"), "node").groupBy("token", "lo", "hi").applyInPandas(_apart(percent), "a long, b long")
-    return near.unionAll(_pairs_that_link(materialise(pairs.distinct(), "hot-pairs"), sets, percent))
+    maps = _of(sets.select("node", "n", "map"), wide.select("node").distinct(), limit)
+    pairs = tasks.join(maps, "node").groupBy("token", "lo", "hi").applyInPandas(lean_group(_apart(percent)), "a long, b long")
+    return near.unionAll(_pairs_that_link(materialise(pairs.distinct(), "hot-pairs"), sets, percent, limit))
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, small: int = SMALL,
@@ -335,42 +353,48 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     late = F.col("tag").bitwiseAND(1)
     ranked = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(late.alias("late"), "df", "token"))).alias("every"), F.min(F.shiftright("tag", 1)).alias("missing"),
                                         F.sum(1 - late).alias("early"))
-    prefixes = materialise(ranked.filter("missing + early > 0").select("node", F.slice(F.transform("every", lambda e: e["token"]), 1, (F.col("missing") + F.col("early")).cast("int")).alias("prefix")),
-                           "prefixes")
-    places = prefixes.select("node", F.explode("prefix").alias("token"))
+    sizes = rows.filter("node is not null").groupBy(F.col("node").alias("of")).agg(F.min("n").alias("n"))
+    first = F.slice(F.transform("every", lambda e: e["token"]), 1, (F.col("missing") + F.col("early")).cast("int"))
+    prefixes = ranked.filter("missing + early > 0").select("node", first.alias("prefix"))
+    prefixes = materialise(prefixes.join(sizes, F.col("node") == F.col("of")).select("node", "n", "prefix"), "prefixes")
+    places = prefixes.select("node", "n", F.explode("prefix").alias("token"))
     groups = places.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     places = materialise(places.join(groups, "token"), "places")
-    # sets of the nodes that are left, from the first document of each
-    left = places.select("node").distinct()
-    owner = rows.groupBy("node").agg(F.min("doc").alias("doc")).join(left, "node", "left_semi").select(F.col("doc").alias("own")).distinct()
-    few = owner.count() <= broadcast_ids
-    kept = base.join(F.broadcast(owner) if few else owner, base["doc"].eqNullSafe(owner["own"]), "left_semi").select("t")
-    sets = kept.mapInArrow(lean(_sketches(width, percent)), "node long, n long, second array<int>, third array<int>, map array<long>, shingles array<long>")
-    sets = materialise(sets.dropDuplicates(["node"]), "sets")
-    tight = places.filter(F.col("members") <= small).join(sets.select("node", "n"), "node")
+    tight = places.filter(F.col("members") <= small)
     a, b = tight.select("token", F.col("node").alias("a"), F.col("n").alias("na")), tight.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
     pairs = a.join(b, "token").filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
-    found = _pairs_that_link(pairs, sets, percent)
+    pairs = materialise(pairs, "pairs")
     wide = places.filter(F.col("members") > small).select("token", "node")
+    # sets of the nodes that are left, from one row of each
+    left = _ends(pairs).unionAll(wide.select("node")).distinct()
+    owner = rows.join(left, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "hash")).alias("row")).select(F.col("row.doc").alias("own"), F.col("row.hash").alias("own_hash"))
+    owner = materialise(owner, "owners", total)
+    few = owner.count() <= broadcast_ids
+    kept = base.join(F.broadcast(owner) if few else owner, base["doc"].eqNullSafe(owner["own"]) & (base["hash"] == owner["own_hash"]), "left_semi").select("t")
+    sets = kept.mapInArrow(lean(_sketches(width, percent)), "node long, n long, second array<int>, third array<int>, map array<long>, shingles array<long>")
+    sets = materialise(sets, "sets")
+    if sets.groupBy("node").count().filter("count > 1").limit(1).count():  # a row of the table that is there more than once
+        sets = materialise(sets.dropDuplicates(["node"]), "sets")
+    found = _pairs_that_link(pairs, sets, percent, broadcast_ids)
     if wide.limit(1).count():
-        found = materialise(found, "links")
-        found = found.unionAll(_hot_links(wide, sets, found, percent))
+        found = found.unionAll(_hot_links(wide, sets, found, percent, broadcast_ids))
     return rows, found
 
 
-def _joined(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """doc, hash, n, root and component of every row; root is null for empty sets."""
+def _joined(docs: DataFrame, key: str, text: str, **options) -> tuple[DataFrame, int]:
+    """doc, hash, n, root and component of every row; root is null for empty sets.  And how many rows."""
     rows, edges = links(docs, key, text, **options)
     roots = components(edges).select(F.col("node").alias("linked"), "root")
     least = rows.filter("node is not null").groupBy("node").agg(F.min("doc").alias("doc"))
     of = least.join(roots, least["node"] == roots["linked"], "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     named = of.join(of.groupBy("root").agg(F.min("doc").alias("component")), "root").select(F.col("node").alias("of"), "root", "component")
-    return rows.join(named, rows["node"] == named["of"], "left").select("doc", "hash", "n", "root", F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"))
+    found = rows.join(named, rows["node"] == named["of"], "left").select("doc", "hash", "n", "root", F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"))
+    return found, rows.count()
 
 
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: key, ``n_shingles``, ``component_id``."""
-    return _joined(docs, key, text, **options).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return _joined(docs, key, text, **options)[0].select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,14 +404,15 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component the row with the smallest id (nulls last), of its rows of that id the one with the smallest hash of its text;
     empty sets are linked with nothing and stay.  Rows that repeat an id and its text stay once."""
-    found = materialise(_joined(docs, "doc_id", "text", width=STAGE_WIDTH, percent=STAGE_PERCENT), "components")
+    found, total = _joined(docs, "doc_id", "text", width=STAGE_WIDTH, percent=STAGE_PERCENT)
+    found = materialise(found, "components", total)
     heads = found.filter(F.col("root").isNotNull() & F.col("doc").eqNullSafe(F.col("component")))
     best = heads.groupBy(F.col("root").alias("of")).agg(F.min("hash").alias("best"))
     others = heads.join(best, (F.col("root") == F.col("of")) & (F.col("hash") != F.col("best")))
     gone = found.filter(F.col("root").isNotNull() & ~F.col("doc").eqNullSafe(F.col("component"))).select("doc", "hash").unionAll(others.select("doc", "hash"))
     names = {"doc": F.col("doc_id"), "hash": text_hash()}
     kept = without(docs, names, gone)
-    again = materialise(found.groupBy("doc", "hash").count().filter("count > 1").select("doc", "hash"), "repeated")
+    again = materialise(found.groupBy("doc", "hash").count().filter("count > 1").select("doc", "hash"), "repeated", total)
     if not again.limit(1).count():
         return kept
     side = again.toDF("_id", "_hash")

@@ -5,14 +5,22 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.exprs import q
-from .arrays import lean
+from .arrays import SLICE_ROWS, lean
 
 BROADCAST_KEYS = 2_000_000
 
 
+def small_batches(spark: SparkSession, rows: int = SLICE_ROWS) -> None:
+    """From now on rows go to Python in Arrow batches of at most ``rows``: buffers of 10,000 whole texts (Spark's default) lie outside an
+    executor's heap and stay with its process once they were needed.  The functions cut their batches to this size anyway."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_hash(text: str = "text"):
     """64-bit hash of a text; with the key it names a row, as keys may repeat."""
     return F.xxhash64(q(text))

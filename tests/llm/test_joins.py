@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tallyglass.functions.store import materialise
 from tallyglass.llm import graph, lattice, ngram_join
 
 from .conftest import make_docs
@@ -193,3 +194,34 @@ def test_stage_links_five_word_shingles_at_four_fifths(spark, corpus):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(_brute_stage(list(enumerate(texts)))) == [0, 2, 3]
     docs, rows = corpus
     assert sorted(r["doc_id"] for r in ngram_join.stage(spark, docs, "").collect()) == sorted(_brute_stage([(i, t) for i, t, _ in rows]))
+
+
+def test_common_values_are_counted_in_bounded_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, other = ([np.unique(rng.integers(0, 300, 40)).astype(np.uint64) for _ in range(30)] for _ in "ab")
+    want = [[len(np.intersect1d(x, y)) for y in other] for x in rows]
+    most, ranges = [], ngram_join._ranges
+    monkeypatch.setattr(ngram_join, "_ranges", lambda begin, count: most.append(int(count.sum())) or ranges(begin, count))
+    monkeypatch.setattr(ngram_join, "SHARED", 50)
+    assert ngram_join._share(rows, other).tolist() == want
+    assert max(most) < 50 + 30 * 30
+
+
+def test_whole_sets_are_met_for_candidates_alone(spark, tmp_path, monkeypatch):
+    """Documents that share a rare passage but do not link: their sets are not sent."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) + " " + passage for i in range(40)] + [" ".join(f"c{j}" for j in range(60))] * 2 + [" ".join(f"c{j}" for j in range(59))]
+    rows, sent = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []
+    of = ngram_join._of
+    monkeypatch.setattr(ngram_join, "_of", lambda sets, nodes, limit: sent.append((sets.columns, (out := of(sets, nodes, limit)).count())) or out)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(rows.unionAll(rows)).collect()}
+    assert got == {**{i: i for i in range(40)}, 40: 40, 41: 40, 42: 40}
+    assert [n for columns, n in sent if "shingles" in columns] == [2]
+    assert ngram_join._of(spark.range(5).toDF("node"), spark.range(3).toDF("x"), 2).count() == 5  # more than the limit: all
+
+
+def test_small_tables_are_written_in_few_files(spark):
+    assert len(materialise(spark.range(0, 800, 1, 8), "t").inputFiles()) == 8
+    got = materialise(spark.range(0, 800, 1, 8), "t", 800)
+    assert len(got.inputFiles()) == 1 and got.count() == 800
+    assert len(materialise(spark.range(0, 800, 1, 8), "t", 800, 300).inputFiles()) == 3

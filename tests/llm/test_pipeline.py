@@ -72,3 +72,17 @@ def test_contract_columns(spark, folder, corpus):
                 got = query(spark, folder)
                 assert columns.items() <= dict(got.dtypes).items()
                 assert got.count() == len(corpus[1])
+
+
+def test_stages_send_small_batches(spark, nothing):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        corpus_pipeline.STAGES[4][1](spark, nothing, "")
+        assert spark.conf.get(name) == "1000"
+        spark.conf.set(name, "7")
+        corpus_pipeline.STAGES[4][1](spark, nothing, "")
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, old)
