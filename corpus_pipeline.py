@@ -13,16 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyglass.functions.store import materialise
 from tallyglass.llm import bpe, decontaminate, language, ngram_join, quality
+from tallyglass.llm.arrays import give_back
 from tallyglass.llm.rows import small_batches
 
 
 def _lean(stage):
-    """The stage in a session of small Arrow batches."""
+    """The stage in a session of small Arrow batches; the driver gives back the memory that it freed."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark)
-        return stage(spark, docs, sf_dir)
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            give_back()  # models are trained in the driver's process
 
     return run
 
