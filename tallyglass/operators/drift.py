@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import special
 from ..functions.exprs import cells, collect_stats, columns_of, num, q, records
 from ..functions.ordered import running_totals
 from ..functions.store import materialise
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import SKETCH, _search, quantiles
 from .profile import bin_index
 from .remediation import bin_column, equal_width_edges
 
@@ -23,6 +24,8 @@ AUC_LIMIT = 0.7
 FOREST_MB = 1024  # of node statistics a pass
 FIT_ROW_TREES, FIT_TREES = 50_000_000, 10  # training rows times trees of one fit; trees of the smallest fit
 TASK_ROWS = 250_000  # training rows of a task
+MAX_BINS, BIN_STEPS = 32, 512  # bins of a feature, as the trainer has; quantiles of a table that place them
+MAX_CELLS, CELL_ROWS, TASK_TREES = 500_000, 4, 4  # most cells of a forest, training rows per cell at least, trees of a task
 EFFECT_KS = 0.2
 MIN_VALUES = {"ks": 3, "chi_square": 5, "psi": 10}
 
@@ -226,6 +229,122 @@ def _classifier_rows(ref, cur, cols):
                       F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("error"))
 
 
+def _bin_edges(train: DataFrame, cols: list[str]) -> dict[str, list[float]]:
+    """Thresholds per column, placed by the trainer's rule: at most ``MAX_BINS`` bins of about equal weight, both tables
+    weighing the same.  The values come from sketches of all training rows, where the trainer samples them."""
+    steps = F.split(F.lit(",".join(str(i / BIN_STEPS) for i in range(BIN_STEPS + 1))), ",").cast("array<double>")  # one literal, not hundreds
+    got = collect_stats(train, {(c, x): F.when(F.count_if(F.col("label") == x) > 0, F.kll_sketch_get_quantile_double(
+        F.kll_sketch_agg_double(F.when(F.col("label") == x, q(c)), F.lit(SKETCH)), steps)) for c in cols for x in (0.0, 1.0)})
+    edges = {}
+    for c in cols:
+        values, n = np.unique(np.concatenate([got[c, x] or [] for x in (0.0, 1.0)]) + 0.0, return_counts=True)
+        edges[c] = (values[:-1] / 2 + values[1:] / 2).tolist()
+        if len(values) > MAX_BINS:
+            stride, sums, kept = n.sum() / MAX_BINS, np.cumsum(n), []
+            for i, edge in enumerate(edges[c]):
+                target = stride * (len(kept) + 1)
+                if abs(sums[i] - target) < abs(sums[i + 1] - target):
+                    kept.append(edge)
+            edges[c] = kept[:MAX_BINS - 1]
+    return edges
+
+
+def _cells(rows: DataFrame, cols: list[str], n_train: int):
+    """(bins, training rows, held-out rows) of the cells that hold rows, counts by label; None where the cells are too many or
+    save too little.  A forest that sees features in bins sees no more of the rows than their cell."""
+    edges = _bin_edges(rows.filter("_p < 700"), cols)
+    keys = [f"b{i}" for i in range(len(cols))]
+    binned = rows.select(*[_search(q(c), [math.nextafter(e, math.inf) for e in edges[c]], 0, len(edges[c])).cast("tinyint").alias(b) for b, c in zip(keys, cols)],
+                         "label", (F.col("_p") < 700).alias("train"))
+    limit = min(MAX_CELLS, n_train // CELL_ROWS)
+    if math.prod(len(e) + 1 for e in edges.values()) > limit and binned.agg(F.approx_count_distinct(F.struct(*keys), 0.02)).first()[0] > limit:
+        return None
+    counts = [F.count_if((F.col("label") == x) & (F.col("train") == t)).alias(f"n{x:.0f}{t}") for t in (True, False) for x in (0.0, 1.0)]
+    got = binned.groupBy(*keys).agg(*counts).toPandas().sort_values(keys)  # at most about MAX_CELLS rows
+    return got[keys].to_numpy("uint8"), *[got[[f"n0{t}", f"n1{t}"]].to_numpy("int64") for t in (True, False)]
+
+
+def _gini(w: np.ndarray) -> np.ndarray:
+    total = w.sum(-1)
+    return 1 - (w * w).sum(-1) / np.where(total > 0, total * total, 1.0)
+
+
+def _tree(bins: np.ndarray, rows: np.ndarray, weights, depth: int, width: int, rng: np.random.Generator):
+    """(votes for label 1 per cell, importances) of one tree, grown as the trainer grows it: a Poisson draw of every row (of a
+    cell's rows: one draw of their number), ``width`` random features a node, Gini gain; leaves that agree are joined."""
+    drawn = rng.poisson(rows).astype(float)
+    live = np.flatnonzero(drawn.sum(1))
+    node, size, levels = np.zeros(len(bins), np.int64), 1, []
+    for level in range(depth + 1):
+        at = node[live]
+        own = np.stack([np.bincount(at, drawn[live, k], size) for k in (0, 1)], 1) * weights
+        total, impurity = own.sum(1), _gini(own)
+        best, feature, cut = np.zeros(size), np.full(size, -1), np.zeros(size, np.int64)
+        if level < depth and (impurity > 0).any():
+            chosen = rng.random((size, bins.shape[1])).argsort(1).argsort(1) < width
+            for f in range(bins.shape[1]):
+                hist = np.stack([np.bincount(at * MAX_BINS + bins[live, f], drawn[live, k], size * MAX_BINS).reshape(size, MAX_BINS) for k in (0, 1)], 2)
+                left = np.cumsum(hist, 1)
+                left, right = left[:, :-1], left[:, -1:] - left[:, :-1]
+                both = left.any(2) & right.any(2) & chosen[:, f, None]
+                left, right = left * weights, right * weights
+                lost = (left.sum(2) * _gini(left) + right.sum(2) * _gini(right)) / np.where(total > 0, total, 1.0)[:, None]
+                gain = np.where(both, impurity[:, None] - lost, 0.0)
+                top = gain.argmax(1)
+                better = gain[np.arange(size), top] > best
+                best[better], feature[better], cut[better] = gain[better, top[better]], f, top[better]
+        split = feature >= 0
+        first = np.where(split, 2 * (np.cumsum(split) - 1), -1)
+        levels.append([own, best, feature, cut, first])
+        if not split.any():
+            break
+        live = live[split[at]]
+        at = node[live]
+        node[live] = first[at] + (bins[live, feature[at]] > cut[at])
+        size = 2 * int(split.sum())
+    importance = np.zeros(bins.shape[1])
+    for (own, best, feature, _, first), below in zip(levels[-2::-1], levels[:0:-1]):
+        inner = np.flatnonzero(feature >= 0)
+        one, two = first[inner], first[inner] + 1
+        agree = (below[2][one] < 0) & (below[2][two] < 0) & ((below[0][one, 1] > below[0][one, 0]) == (below[0][two, 1] > below[0][two, 0]))
+        feature[inner[agree]] = -1
+        inner = inner[~agree]
+        importance += np.bincount(feature[inner], best[inner] * own[inner].sum(1), bins.shape[1])
+    votes, node, live = np.zeros(len(bins)), np.zeros(len(bins), np.int64), np.arange(len(bins))
+    for own, _, feature, cut, first in levels:
+        done = feature[node[live]] < 0
+        ends = own[node[live[done]]]
+        votes[live[done]] = ends[:, 1] / np.maximum(ends.sum(1), 1e-300)
+        live = live[~done]
+        at = node[live]
+        node[live] = first[at] + (bins[live, feature[at]] > cut[at])
+    return votes, importance / importance.sum() if importance.any() else importance
+
+
+def _cell_forest(spark, cells, weights, trees: int, depth: int, seed: int):
+    """(accuracy, AUC, importances) of a forest over cells; tasks grow ``TASK_TREES`` trees each and vote on every cell."""
+    import pandas as pd
+
+    bins, rows, held = cells
+    width = math.ceil(math.sqrt(bins.shape[1])) if trees > 1 else bins.shape[1]
+
+    def grow(batches):
+        for pdf in batches:
+            for i in pdf["id"]:
+                mine = [_tree(bins, rows, np.asarray(weights), depth, width, np.random.default_rng([seed, k])) for k in range(i, min(i + TASK_TREES, trees))]
+                votes, importance = (np.sum(v, axis=0) for v in zip(*mine))
+                yield pd.DataFrame({"id": [i], "votes": [votes.tobytes()], "importance": [importance.tobytes()]})
+
+    got = sorted(spark.range(0, trees, TASK_TREES, numPartitions=math.ceil(trees / TASK_TREES)).mapInPandas(grow, "id bigint, votes binary, importance binary").collect())
+    votes, importance = (np.sum([np.frombuffer(r[k]) for r in got], axis=0) for k in ("votes", "importance"))
+    n = held.sum(0)
+    right = held[votes > trees - votes, 1].sum() + held[votes <= trees - votes, 0].sum()
+    _, at = np.unique(votes, return_inverse=True)
+    no, yes = (np.bincount(at, held[:, k]) for k in (0, 1))
+    auc = float((yes * (np.cumsum(no) - no / 2)).sum() / (n[0] * n[1])) if n.all() else 0.0
+    return right / n.sum() if n.sum() else None, auc, importance / max(importance.sum(), 1e-300)
+
+
 def _forest_scores(train: DataFrame, test: DataFrame, trees: int, depth: int, seed: int):
     """(label, prediction, votes) of the test rows, and the importances of the features.
 
@@ -259,7 +378,10 @@ def _forest_scores(train: DataFrame, test: DataFrame, trees: int, depth: int, se
 def drift_classifier(ref: DataFrame, cur: DataFrame, cols=None, trees: int = 100, depth: int = 10, top: int = 5,
                      seed: int = 42, limit: float = AUC_LIMIT) -> DataFrame:
     """Random forest told to separate the tables: (column, importance) of the strongest columns with the
-    held-out accuracy and AUC on each row.  70/30 split per table by row hash; classes weighted to balance."""
+    held-out accuracy and AUC on each row.  70/30 split per table by row hash; classes weighted to balance.
+
+    Many rows are counted by cells of binned features first and the trees grown over the cells; where that saves nothing
+    the trainer's forest is fitted in parts."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
 
@@ -271,17 +393,22 @@ def drift_classifier(ref: DataFrame, cur: DataFrame, cols=None, trees: int = 100
     # Equal rows fall on the same side; ids make the split independent of partitioning.
     part = F.pmod(F.xxhash64(*[q(c) for c in cols], "label", F.lit(seed)), F.lit(1000))
     both = materialise(side(ref, 0).unionByName(side(cur, 1)).withColumn("_p", part), "classifier-rows")
-    n = {r["label"]: r["n"] for r in both.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_p") < 700).alias("train")).collect()
+    n, n_train = {r["label"]: r["n"] for r in counts}, sum(r["train"] for r in counts)
     if len(n) < 2:
         raise ValueError("both tables need complete rows")
-    total = sum(n.values())
-    weight = F.when(F.col("label") == 0.0, total / (2.0 * n[0.0])).otherwise(total / (2.0 * n[1.0]))
-    rows = VectorAssembler(inputCols=cols, outputCol="features").transform(both.withColumn("weight", weight)).select("features", "label", "weight", "_p")
-    train, test = rows.filter("_p < 700"), rows.filter("_p >= 700")
-    scored, best = _forest_scores(train, test, trees, depth, seed)
-    scored = materialise(scored, "classifier-scores")
-    auc = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(scored)
-    acc = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    weights = [sum(n.values()) / (2.0 * n[x]) for x in (0.0, 1.0)]
+    cells = _cells(both, cols, n_train) if n_train * trees > FIT_ROW_TREES else None
+    if cells:
+        acc, auc, best = _cell_forest(both.sparkSession, cells, weights, trees, depth, seed)
+    else:
+        weight = F.when(F.col("label") == 0.0, weights[0]).otherwise(weights[1])
+        rows = VectorAssembler(inputCols=cols, outputCol="features").transform(both.withColumn("weight", weight)).select("features", "label", "weight", "_p")
+        train, test = rows.filter("_p < 700"), rows.filter("_p >= 700")
+        scored, best = _forest_scores(train, test, trees, depth, seed)
+        scored = materialise(scored, "classifier-scores")
+        auc = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(scored)
+        acc = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     best = sorted(zip(best, cols), reverse=True)[:top]
     return records(ref.sparkSession, [(c, float(i), float(acc), float(auc), auc >= limit, n[0.0], n[1.0]) for i, c in best],
                    "column string, importance double, accuracy double, auc double, drift boolean, n_ref bigint, n_cur bigint")

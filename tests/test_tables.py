@@ -190,6 +190,37 @@ def test_classifier_fits_a_large_forest_in_parts(spark, monkeypatch):
     assert abs(parts[0]["auc"] - whole[0]["auc"]) < 0.02 and abs(parts[0]["accuracy"] - whole[0]["accuracy"]) < 0.03
 
 
+def test_classifier_grows_a_large_forest_over_cells(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rng = np.random.default_rng(5)
+    a, b = ({"v": np.round(rng.normal(m, 1, n), 3), "w": rng.integers(0, 3, n).astype(float), "same": np.ones(n), "hole": np.where(rng.random(n) < 0.1, np.nan, 1.0)}
+            for m, n in ((0, 9000), (1, 3000)))
+    a, b = (spark.createDataFrame(pd.DataFrame(x)) for x in (a, b))
+    whole = dr.drift_classifier(a, b, trees=25, depth=5).collect()
+    monkeypatch.setattr(dr, "FIT_ROW_TREES", 1_000)
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda *_: pytest.fail("a forest over all rows"))
+    cells = dr.drift_classifier(a, b, trees=25, depth=5).collect()
+    assert cells == dr.drift_classifier(a.repartition(7), b.repartition(3), trees=25, depth=5).collect()
+    assert [r["column"] for r in cells[:2]] == [r["column"] for r in whole[:2]] == ["v", "w"] and {r["importance"] for r in cells[2:]} == {0.0}
+    assert math.isclose(sum(r["importance"] for r in cells), 1.0) and abs(cells[0]["importance"] - whole[0]["importance"]) < 0.1
+    assert [tuple(cells[0])[4:], cells[0]["drift"]] == [tuple(whole[0])[4:], True]
+    assert abs(cells[0]["auc"] - whole[0]["auc"]) < 0.02 and abs(cells[0]["accuracy"] - whole[0]["accuracy"]) < 0.03
+    monkeypatch.setattr(dr, "MAX_CELLS", 10)
+    with pytest.raises(pytest.fail.Exception):  # too many cells: the trainer's forest, in parts
+        dr.drift_classifier(a, b, trees=25, depth=5)
+
+
+def test_tree_over_cells_splits_where_gini_falls_most():
+    bins = np.array([[i, j] for i in range(4) for j in range(4)], "uint8")
+    rows = np.array([[1000, 1000 * (i > 1) + 400 * (j > 2)] for i, j in bins])
+    votes, importance = dr._tree(bins, rows, np.array([1.0, 1.0]), 1, 2, np.random.default_rng(1))
+    assert list(importance) == [1.0, 0.0] and len(set(votes)) == 2
+    assert abs(votes[0] - 400 / 4400) < 0.02 and abs(votes[-1] - 4400 / 8400) < 0.02
+    same, nothing = dr._tree(bins, rows // [1, 10], np.array([1.0, 1.0]), 3, 2, np.random.default_rng(1))
+    assert len(set(same)) == 1 and not nothing.any()  # leaves that agree are one leaf
+
+
 PII = [("EMAIL", "write to jo.doe@example.org today", "jo at example"), ("PHONE_US", "call 415-555-0134 now", "call 12-34"),
        ("SSN", "id 078-05-1120 x", "id 078-051120"), ("CREDIT_CARD", "card 4111 1111 1111 1111 ok", "card 4111 1111"),
        ("IP_ADDRESS", "host 192.168.10.4 up", "v1.2.3"), ("URL", "see https://www.example.com/a?b=1 there", "see example dot com"),
