@@ -169,6 +169,46 @@ def test_lof_over_many_boxes_matches_brute_force(spark, monkeypatch):
         nb.lof(df.limit(5), ["a", "b"], k=10)
 
 
+@pytest.mark.parametrize("boxes,leaf,visitors", [(1, 8, 40), (4, 8, 100_000)])
+def test_lof_over_many_tiles_writes_no_pairs(spark, monkeypatch, boxes, leaf, visitors):
+    for name, value in (("BOX_POINTS", 25), ("TILE_BOXES", boxes), ("LEAF_POINTS", leaf), ("TILE_VISITORS", visitors)):
+        monkeypatch.setattr(nb, name, value, raising=False)
+    sizes, write = [], nb.materialise
+
+    def seen(df, *args):
+        got = write(df, *args)
+        sizes.append(got.count())
+        return got
+
+    monkeypatch.setattr(nb, "materialise", seen)
+    rng = np.random.default_rng(8)
+    x = np.r_[rng.normal(0, 1, (500, 2)), rng.normal(9, 0.2, (200, 2)), [[40.0, -30.0], [40.0, 60.0]], np.tile([[2.0, 2.0]], (30, 1)), np.tile([[3.0, 1.0]], (4, 1)),
+              np.stack(np.meshgrid(np.arange(10.0), np.arange(10.0) + 20), -1).reshape(-1, 2)]
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "a": x[:, 0], "b": x[:, 1]})).withColumn("b", F.when(F.col("id") >= 0, F.col("b")))
+    df = df.unionByName(spark.createDataFrame([(-1, 1.0, None)], "id long, a double, b double"))
+    got = nb.lof(df, ["a", "b"], k=8, contamination=0.05).orderBy("id").toPandas()
+    want = brute_lof((x - x.mean(0)) / x.std(0), 8)
+    assert list(got["id"]) == list(range(len(x))) and np.allclose(got["lof"], want, rtol=1e-9)
+    assert (got["lof_outlier"] == (got["lof"] > np.quantile(got["lof"], 0.95))).all() and got["lof_outlier"][700:702].all()
+    points = len(np.unique(x, axis=0))
+    assert max(sizes) <= 4 * points  # a neighbour list has at least eight rows a point
+
+
+def test_quantile_of_weighted_rows(spark):
+    df = spark.createDataFrame([(0.5, 3.0), (2.0, 1.0), (-1.0, 5.0), (0.5, 2.0)], "v double, w double")
+    rows = np.repeat([0.5, 2.0, -1.0, 0.5], [3, 1, 5, 2])
+    for p in (0.0, 0.3, 0.45, 0.9, 1.0):
+        assert math.isclose(nb._weighted_quantile(df, "v", "w", p), np.quantile(rows, p), abs_tol=1e-12)
+
+
+def test_boxes_know_their_spans():
+    x = np.random.default_rng(3).normal(size=(400, 3))
+    boxes = nb.Boxes(x, 13)
+    low, high = boxes.spans()
+    at = boxes.home(x)
+    assert len(low) == boxes.count == 13 and ((x > low[at]) & (x <= high[at])).all()
+
+
 def test_knn_imputation_over_boxes(spark, monkeypatch):
     monkeypatch.setattr(nb, "BOX_POINTS", 20)
     df = spark.range(200).select("id", F.col("id").cast("double").alias("f"), F.when(F.col("id") % 10 != 5, F.col("id") * 2.0).alias("v"))
